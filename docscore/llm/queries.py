@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docscore.llm import exact_dedup
+from docscore.llm import bpe, exact_dedup, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_bpe_round_trip": bpe.query,
+        "op7_simhash_near_dedup": simhash.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
