@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from docscore.llm import bpe, exact_dedup, simhash
+from docscore.llm import bpe, exact_dedup, secrets, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op3_bpe_round_trip": bpe.query,
+        "op5_secret_scan": secrets.query,
         "op7_simhash_near_dedup": simhash.query,
+        "op8_substring_dedup": substrings.query,
+        "op9_token_counts": token_counts.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 

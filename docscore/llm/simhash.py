@@ -11,7 +11,6 @@ never the links themselves, so its output is linear in its input.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from docscore.llm.components import components
 from docscore.llm.storage import Workspace
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LANES = np.uint64(0x0101010101010101)
 TILE = 1024
 DEALT_TILE = 8192
@@ -57,7 +55,7 @@ def _pack(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> Iterator[np.ndarray]:
     """XXH64 of the word shingles of a lower-cased text, in slices of bounded size."""
-    words = WORD.findall(text)
+    words = text.split()  # at space and tab to carriage return
     if not words:
         return
     digest = xxhash.xxh64_intdigest
