@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docscore.llm import bpe, exact_dedup, secrets, simhash, substrings, token_counts
+from docscore.llm import bpe, exact_dedup, secrets, simhash, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_bpe_round_trip": bpe.query,
         "op5_secret_scan": secrets.query,
+        "op6_toxicity": toxicity.query,
         "op7_simhash_near_dedup": simhash.query,
         "op8_substring_dedup": substrings.query,
         "op9_token_counts": token_counts.query,
