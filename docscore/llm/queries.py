@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docscore.llm import bpe, exact_dedup, secrets, simhash, substrings, token_counts, toxicity
+from docscore.llm import bpe, decontam, exact_dedup, licenses, quality, secrets, simhash, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontam.query,
+        "op2_license_scan": licenses.query,
         "op3_bpe_round_trip": bpe.query,
+        "op4_quality_resampling": quality.query,
         "op5_secret_scan": secrets.query,
         "op6_toxicity": toxicity.query,
         "op7_simhash_near_dedup": simhash.query,
