@@ -97,18 +97,20 @@ def fingerprints_of(texts: list[str | None], width: int = 3, seed: int = 42) ->
     return _pack(counts, sizes)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every text as a signed long. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """``row, doc_id, fp``: the fingerprint of every text as a signed long. Null text counts as empty.
+    ``row`` is ``row_col`` or else a number given in reading order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                found = fingerprints_of(part.column(1).to_pylist(), width, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                found = fingerprints_of(part.column(2).to_pylist(), width, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.int64())], ["row", "doc_id", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    picked = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"row long, doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 class Forest:
@@ -238,6 +240,15 @@ def links(values: DataFrame, radius: int, work: Workspace) -> DataFrame:
     return small.unionByName(dealt).groupBy("g1", "g2", "g3").applyInArrow(run, "u long, v long").distinct()
 
 
+def component_labels(marks: DataFrame, radius: int, work: Workspace) -> DataFrame:
+    """``fp, root, component_id`` for every fingerprint of ``marks``."""
+    values = work.write(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "values")
+    roots = components(links(values.select("fp"), radius, work), work)
+    named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return work.write(named.join(lowest, "root").select("fp", "root", "component_id"), "labels")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2, work: Workspace | None = None
 ) -> DataFrame:
@@ -252,13 +263,21 @@ def near_duplicates(
     """
     work = work or Workspace(docs.sparkSession, "simhash")
     marks = work.write(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    values = work.write(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "values")
-    roots = components(links(values.select("fp"), radius, work), work)
-    named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = work.write(named.join(lowest, "root").select("fp", "component_id"), "labels")
+    labels = component_labels(marks, radius, work)
     return marks.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """The input's rows and columns, one row of each component: that with the smallest
+    id, of several the first in reading order; a null id is larger than any other."""
+    work = Workspace(docs.sparkSession, "simhash")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    marks = work.write(fingerprints(marked, id_col, text_col, width, seed, "__row"), "fingerprints")
+    labels = component_labels(marks, radius, work)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    kept = marks.join(labels, "fp").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__row"))
+    return marked.join(kept, "__row", "left_semi").drop("__row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
