@@ -2,10 +2,536 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docscore import schema as S
+from docscore.functions import numbers as N
+from docscore.functions import regex as R
+from docscore.functions import text as X
+from docscore.operators import aggregate as A
+from docscore.operators import extract as E
+from docscore.operators import inspect as I
+from docscore.operators import rank as K
+from docscore.operators import regions as G
+from docscore.operators import score as C
+from docscore.operators import seeding as D
+from docscore.operators import validate as V
+from docscore.plans import facts as P
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(sql: str | None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[function.__name__] = function
+        if sql is not None:
+            _ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return P.read(spark, sf, "documents").select(*columns)
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- candidates in text -------------------------------------------------------
+
+
+@_register("SELECT length(r) AS run_length, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS r FROM documents) GROUP BY 1")
+def digit_runs_by_length(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _docs(spark, sf, "text").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("r"))
+    return runs.groupBy(F.length("r").alias("run_length").cast("long").alias("run_length")).agg(F.count("*").alias("n"))
+
+
+_STARTS = """list_transform(range(1, len(runs) + 1), lambda k: coalesce(list_sum(list_transform(pieces[1:k], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(runs[1:k - 1], lambda x: length(x))), 0))"""
+
+
+@_register(f"""SELECT doc_id, n_runs, CAST(first_pos AS BIGINT) AS first_pos, CAST(last_pos AS BIGINT) AS last_pos FROM (
+  SELECT doc_id, len(runs) AS n_runs, starts[1] AS first_pos, starts[len(starts)] AS last_pos FROM (
+    SELECT doc_id, runs, {_STARTS} AS starts FROM (
+      SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS runs, string_split_regex(text, '[0-9]+') AS pieces FROM documents) WHERE len(runs) > 0))""")
+def match_positions(spark: SparkSession, sf: str) -> DataFrame:
+    found = _docs(spark, sf, "doc_id", "text").withColumn("p", F.transform(R.matches(F.col("text"), "[0-9]+"), lambda m: m["pos"])).where(F.size("p") > 0)
+    return found.select("doc_id", F.size("p").cast("long").alias("n_runs"), F.element_at("p", 1).cast("long").alias("first_pos"), F.element_at("p", -1).cast("long").alias("last_pos"))
+
+
+_CHECKSUM = """(list_sum(list_transform(range(1, 10), lambda i: CASE WHEN CAST(substr({x}, CAST(i AS INTEGER), 1) AS INTEGER) * (2 - i % 2) > 9
+    THEN CAST(substr({x}, CAST(i AS INTEGER), 1) AS INTEGER) * (2 - i % 2) - 9 ELSE CAST(substr({x}, CAST(i AS INTEGER), 1) AS INTEGER) * (2 - i % 2) END)) % 10 = 0)"""
+
+
+@_register(f"""SELECT doc_id, r AS tax_id, {_CHECKSUM.format(x='r')} AS valid FROM (
+  SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 9)) AS r FROM documents)""")
+def tax_id_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _docs(spark, sf, "doc_id", "text").select("doc_id", F.explode(E.digit_runs(F.col("text"), 9, 9)).alias("m"))
+    return runs.select("doc_id", F.col("m.value").alias("tax_id"), N.checksum_valid(F.col("m.value")).alias("valid"))
+
+
+@_register(f"SELECT CAST(o_custkey AS BIGINT) AS custkey, id AS tax_id, {_CHECKSUM.format(x='id')} AS valid FROM (SELECT DISTINCT o_custkey, lpad(CAST(o_custkey * 7919 AS VARCHAR), 9, '0') AS id FROM orders)")
+def tax_id_checksum(spark: SparkSession, sf: str) -> DataFrame:
+    ids = P.read(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")).distinct()
+    return ids.withColumn("tax_id", F.lpad((F.col("custkey") * 7919).cast("string"), 9, "0")).withColumn("valid", N.checksum_valid(F.col("tax_id")))
+
+
+@_register("SELECT doc_id, r[1] AS allocation_number FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) >= 15) AS r FROM documents) WHERE len(r) > 0")
+def allocation_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.try_element_at(E.digit_runs(F.col("text"), 15), F.lit(1))["value"]
+    return _docs(spark, sf, "doc_id", "text").select("doc_id", first.alias("allocation_number")).where("allocation_number IS NOT NULL")
+
+
+@_register("SELECT doc_id, r[1] AS invoice_number, CAST(len(r) AS BIGINT) AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 3 AND 7) AS r FROM documents) WHERE len(r) > 0")
+def invoice_number_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _docs(spark, sf, "doc_id", "text").withColumn("r", E.digit_runs(F.col("text"), 3, 7)).where(F.size("r") > 0)
+    return runs.select("doc_id", F.col("r")[0]["value"].alias("invoice_number"), F.size("r").cast("long").alias("n"))
+
+
+_PARSE = """TRY_CAST(CASE
+  WHEN instr({x}, ',') > 0 AND instr({x}, '.') > 0 THEN CASE WHEN instr(reverse({x}), '.') < instr(reverse({x}), ',') THEN replace({x}, ',', '')
+    ELSE replace(regexp_replace(replace({x}, '.', ''), ',', '.'), ',', '') END
+  WHEN len(string_split({x}, '.')) > 2 THEN array_to_string(string_split({x}, '.')[:-2], '') || CASE WHEN length(string_split({x}, '.')[-1]) BETWEEN 1 AND 2 THEN '.' ELSE '' END || string_split({x}, '.')[-1]
+  WHEN instr({x}, ',') > 0 THEN array_to_string(string_split({x}, ',')[:-2], '') || CASE WHEN length(string_split({x}, ',')[-1]) BETWEEN 1 AND 2 THEN '.' ELSE '' END || string_split({x}, ',')[-1]
+  ELSE {x} END AS DOUBLE)"""
+
+
+@_register(f"""SELECT doc_id, tok AS token, {_PARSE.format(x='tok')} AS tolerant, TRY_CAST(replace(tok, ',', '') AS DOUBLE) AS strict FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+[0-9.,]*[0-9]')) AS tok FROM documents) WHERE tok ~ '.*[.,].*'""")
+def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = _docs(spark, sf, "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+[0-9.,]*[0-9]"), 0)).alias("token")).where(F.col("token").rlike("[.,]"))
+    return tokens.select("doc_id", "token", N.parse_tolerant(F.col("token")).alias("tolerant"), N.parse_strict(F.col("token")).alias("strict"))
+
+
+@_register("""SELECT a.o_custkey AS custkey, a.o_orderkey AS key_a, b.o_orderkey AS key_b, round(b.o_totalprice - a.o_totalprice, 2) AS vat_amount
+  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.o_totalprice > a.o_totalprice
+   AND abs(b.o_totalprice - a.o_totalprice * 1.18e0) <= greatest(0.5e0, a.o_totalprice * 1.18e0 * 0.005e0)""")
+def amount_vat_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a customer's orders that differ by the tax rate; prices are banded so that only near ones meet."""
+    o = P.read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    width = 0.01  # of the logarithm; the tolerance of small amounts reaches further and looks in more bands
+    band = lambda v: F.floor(F.log(v) / width).cast("long")
+    want = F.col("price_a") * 1.18
+    tol = F.greatest(F.lit(0.5), want * 0.005)
+    a = o.where("o_totalprice > 0").toDF("custkey", "key_a", "price_a").withColumn("band", F.explode(F.sequence(band(F.greatest(want - tol, F.lit(0.01))), band(want + tol))))
+    b = o.where("o_totalprice > 0").toDF("custkey", "key_b", "price_b").withColumn("band", band(F.col("price_b")))
+    near = (F.col("key_a") != F.col("key_b")) & (F.col("price_b") > F.col("price_a")) & (F.abs(F.col("price_b") - want) <= tol)
+    return a.join(b, ["custkey", "band"]).where(near).select("custkey", "key_a", "key_b", F.round(F.col("price_b") - F.col("price_a"), 2).alias("vat_amount"))
+
+
+@_register(f"""SELECT doc_id, a AS amount_before_vat, b AS total_amount FROM (
+  SELECT doc_id, x.v AS a, y.v AS b, row_number() OVER (PARTITION BY doc_id ORDER BY abs(x.i - y.i), x.i, y.i) AS place FROM
+    (SELECT doc_id, v, i FROM (SELECT doc_id, unnest(t) AS v, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+[.][0-9][0-9]'), lambda z: CAST(z AS DOUBLE)) AS t FROM documents))) x
+    JOIN (SELECT doc_id, v, i FROM (SELECT doc_id, unnest(t) AS v, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+[.][0-9][0-9]'), lambda z: CAST(z AS DOUBLE)) AS t FROM documents))) y
+    USING (doc_id) WHERE y.v > x.v AND x.i <> y.i AND abs(y.v - x.v * 1.18e0) <= greatest(0.5e0, x.v * 1.18e0 * 0.005e0)) WHERE place = 1""")
+def amount_pairs_in_text(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = F.regexp_extract_all("text", F.lit("[0-9]+[.][0-9][0-9]"), 0)
+    amounts = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.cast("double").alias("v")))
+    pair = E.vat_pair(F.col("amounts"), F.lit(None).cast("int"))
+    return _docs(spark, sf, "doc_id", "text").withColumn("amounts", amounts).withColumn("p", pair).where("p IS NOT NULL").select("doc_id", F.col("p.a").alias("amount_before_vat"), F.col("p.b").alias("total_amount"))
+
+
+_DATE = """CASE WHEN length(d[3]) <= 4 THEN CASE WHEN CAST(d[2] AS INT) BETWEEN 1 AND 12 AND CAST(d[1] AS INT) BETWEEN 1 AND 31 AND CAST(d[3] AS INT) BETWEEN 1900 AND 2100 THEN d[3] || '-' || lpad(d[2], 2, '0') || '-' || lpad(d[1], 2, '0')
+   WHEN CAST(d[1] AS INT) BETWEEN 1 AND 12 AND CAST(d[2] AS INT) BETWEEN 1 AND 31 THEN d[3] || '-' || lpad(d[1], 2, '0') || '-' || lpad(d[2], 2, '0') END END"""
+
+
+@_register(f"""SELECT o_orderkey AS key, {_DATE} AS invoice_date, d[3] || '-' || lpad(d[2], 2, '0') || '-' || lpad(d[1], 2, '0') AS loose_date FROM (
+  SELECT o_orderkey, [CAST(o_orderkey % 40 AS VARCHAR), CAST(o_orderkey % 17 AS VARCHAR), CAST(1890 + o_orderkey % 220 AS VARCHAR)] AS d FROM orders)""")
+def date_parse(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    parts = [(k % 40).cast("string"), (k % 17).cast("string"), (1890 + k % 220).cast("string")]
+    o = P.read(spark, sf, "orders").select(k.alias("key"), *[p.alias(f"d{i}") for i, p in enumerate(parts)])
+    return o.select("key", N.date_checked(F.col("d0"), F.col("d1"), F.col("d2")).alias("invoice_date"), N.date_loose(F.concat_ws("/", "d0", "d1", "d2")).alias("loose_date"))
+
+
+# --- normalisation ------------------------------------------------------------
+
+
+@_register(r"""SELECT doc_id, CAST(length(v) AS BIGINT) AS vendor_chars, md5(v) AS vendor_md5, md5(nfc_normalize(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS string_md5,
+  md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html_md5
+  FROM (SELECT doc_id, text, regexp_replace(nfc_normalize(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS v FROM documents)""")
+def string_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    d = _docs(spark, sf, "doc_id", "text").withColumns({"v": X.norm_vendor(F.col("text")), "s": X.norm_string(F.col("text"))})
+    return d.select("doc_id", F.length("v").cast("long").alias("vendor_chars"), F.md5(F.encode("v", "UTF-8")).alias("vendor_md5"), F.md5(F.encode("s", "UTF-8")).alias("string_md5"), F.md5(F.encode(X.html_escape(F.col("text")), "UTF-8")).alias("html_md5"))
+
+
+@_register("""SELECT page_id, CASE WHEN s = '' THEN 'doc' ELSE s END AS slug, left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 80) AS stem FROM (
+  SELECT page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS s FROM pages)""")
+def slug_document_id(spark: SparkSession, sf: str) -> DataFrame:
+    return P.read(spark, sf, "pages").select("page_id", X.slug(F.col("url")).alias("slug"), X.safe_stem(F.col("url")).alias("stem"))
+
+
+@_register(r"""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1, 3), '|') AS top,
+  CASE WHEN length(text) > 200 THEN left(text, 200) || '… (truncated, ' || CAST(length(text) - 200 AS VARCHAR) || ' more chars)' ELSE text END AS short FROM documents""")
+def top_text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf, "doc_id", "text").select("doc_id", F.array_join(X.top_lines(F.col("text"), 3), "|").alias("top"), X.truncated(F.col("text"), 200).alias("short"))
+
+
+@_register("SELECT c_custkey AS custkey, CASE WHEN c_custkey % 2 = 0 THEN '/data/' ELSE '/base/in/' END || c_name || '.png' AS path, CASE WHEN c_custkey % 2 = 0 THEN '/data/' || c_name || '.png' ELSE 'in/' || c_name || '.png' END AS relative FROM customer")
+def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("/data/"), "c_name", F.lit(".png"))).otherwise(F.concat(F.lit("in/"), "c_name", F.lit(".png")))
+    path = X.resolve_path(raw, "/base")
+    return P.read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), path.alias("path"), X.relative_path(path, "/base").alias("relative"))
+
+
+# --- joins and scoring --------------------------------------------------------
+
+
+@_register("""SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS has_truth FROM documents d LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS r FROM labels) WHERE r = 1) l ON d.doc_id = l.doc_id""")
+def label_truth_join(spark: SparkSession, sf: str) -> DataFrame:
+    labels = P.read(spark, sf, "labels").groupBy("doc_id").agg(F.max(F.struct("quality", "toxic")).alias("t"))
+    return _docs(spark, sf, "doc_id").join(labels, "doc_id", "left").select("doc_id", "t.quality", "t.toxic", F.col("t").isNotNull().alias("has_truth"))
+
+
+@_register(P.SQL + "SELECT document_id, engine_id, field, presence, scorable, predicted, expected, correct, error_label FROM outcomes")
+def outcomes_long(spark: SparkSession, sf: str) -> DataFrame:
+    return P.outcomes(spark, sf)
+
+
+_COUNTERS = """SELECT engine_id, count(*) AS submitted, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'BLOCKED') AS blocked,
+  count(*) FILTER (WHERE status NOT IN ('ok', 'BLOCKED')) AS errored, count(*) FILTER (WHERE critical_complete) AS critical_complete_ok, count(critical_complete) AS critical_complete_total,
+  count(*) FILTER (WHERE all_fields_complete) AS all_fields_complete_ok, count(all_fields_complete) AS all_fields_complete_total,
+  avg(digit_accuracy) AS digit_accuracy_mean, count(digit_accuracy) AS digit_accuracy_samples, count(*) FILTER (WHERE all_fields_complete) / CAST(count(*) AS DOUBLE) AS strict_yield FROM scores GROUP BY 1"""
+
+
+@_register(P.SQL + f"SELECT * REPLACE (round(digit_accuracy_mean, 6) AS digit_accuracy_mean, round(strict_yield, 6) AS strict_yield) FROM ({_COUNTERS})")
+def engine_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(A.engine_counters(P.scores(spark, sf)), "digit_accuracy_mean", "strict_yield")
+
+
+_STATUS = "CASE WHEN blocked = submitted AND submitted > 0 THEN 'BLOCKED' WHEN ok = 0 AND errored > 0 THEN 'ERRORED' WHEN blocked > 0 AND ok > 0 THEN 'PARTIAL' WHEN ok > 0 THEN 'OK' ELSE 'NOT RUN' END"
+_CANDIDATE = """CASE WHEN adapter = 'tesseract' AND (lower(engine_id) LIKE '%fast%' OR lower(coalesce(tessdata, '')) LIKE '%fast%') THEN 3 WHEN adapter = 'paddleocr-hebrew' THEN 1 WHEN adapter = 'tesseract' THEN 2
+  WHEN adapter = 'kraken' THEN 4 WHEN adapter = 'ironocr' THEN 5 WHEN adapter = 'abbyy' THEN 6 ELSE 0 END"""
+
+
+def _wilson_sql(ok: str, total: str) -> tuple[str, str]:
+    z = "1.959963984540054e0"
+    p, n = f"({ok} / nullif(CAST({total} AS DOUBLE), 0))", f"nullif(CAST({total} AS DOUBLE), 0)"
+    centre = f"(({p} + {z} * {z} / (2 * {n})) / (1 + {z} * {z} / {n}))"
+    half = f"({z} * sqrt(({p} * (1 - {p}) + {z} * {z} / (4 * {n})) / {n}) / (1 + {z} * {z} / {n}))"
+    return (f"round(CASE WHEN {total} > 0 THEN greatest(0.0e0, {centre} - {half}) ELSE 0.0e0 END, 6)", f"round(CASE WHEN {total} > 0 THEN least(1.0e0, {centre} + {half}) ELSE 0.0e0 END, 6)")
+
+
+_CW, _AW = _wilson_sql("critical_complete_ok", "critical_complete_total"), _wilson_sql("all_fields_complete_ok", "all_fields_complete_total")
+
+
+@_register(P.SQL + f""", counters AS ({_COUNTERS}),
+joined AS (SELECT e.engine_id, adapter, tessdata, coalesce(submitted, 0) AS submitted, coalesce(ok, 0) AS ok, coalesce(blocked, 0) AS blocked, coalesce(errored, 0) AS errored,
+  coalesce(critical_complete_ok, 0) AS critical_complete_ok, coalesce(critical_complete_total, 0) AS critical_complete_total, coalesce(all_fields_complete_ok, 0) AS all_fields_complete_ok,
+  coalesce(all_fields_complete_total, 0) AS all_fields_complete_total, digit_accuracy_mean, coalesce(digit_accuracy_samples, 0) AS digit_accuracy_samples, strict_yield
+  FROM eng e LEFT JOIN counters c ON e.engine_id = c.engine_id)
+SELECT engine_id, adapter, {_CANDIDATE} AS candidate_number, {_STATUS} AS status, submitted, ok, blocked, errored, critical_complete_ok, critical_complete_total, all_fields_complete_ok, all_fields_complete_total,
+  round(digit_accuracy_mean, 6) AS digit_accuracy_mean, digit_accuracy_samples, round(critical_complete_ok / nullif(CAST(critical_complete_total AS DOUBLE), 0), 6) AS critical_rate, {_CW[0]} AS critical_low, {_CW[1]} AS critical_high,
+  round(all_fields_complete_ok / nullif(CAST(all_fields_complete_total AS DOUBLE), 0), 6) AS all_fields_rate, {_AW[0]} AS all_fields_low, {_AW[1]} AS all_fields_high FROM joined""")
+def engine_report(spark: SparkSession, sf: str) -> DataFrame:
+    df = A.engine_report(P.engines(spark), P.scores(spark, sf))
+    numbers = ["digit_accuracy_mean", "critical_rate", "critical_low", "critical_high", "all_fields_rate", "all_fields_low", "all_fields_high"]
+    counts = ["submitted", "ok", "blocked", "errored", "critical_complete_ok", "critical_complete_total", "all_fields_complete_ok", "all_fields_complete_total"]
+    return _round(df, *numbers).select("engine_id", "adapter", "candidate_number", "status", *counts, "digit_accuracy_mean", "digit_accuracy_samples", *numbers[1:])
+
+
+_FIELD_COUNTS = """SELECT engine_id, field, count(*) FILTER (WHERE scorable AND presence = 'PRESENT' AND correct) AS present_correct, count(*) FILTER (WHERE scorable AND presence = 'PRESENT') AS present_total,
+  count(*) FILTER (WHERE scorable AND presence <> 'PRESENT' AND correct) AS absent_correct, count(*) FILTER (WHERE scorable AND presence <> 'PRESENT') AS absent_total, count(*) FILTER (WHERE NOT scorable) AS excluded FROM outcomes GROUP BY 1, 2"""
+
+
+@_register(P.SQL + _FIELD_COUNTS)
+def engine_field_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.field_counters(P.outcomes(spark, sf))
+
+
+@_register(P.SQL + "SELECT engine_id, " + ", ".join(
+    f"count(*) FILTER (WHERE field = '{f}' AND scorable AND presence {op} 'PRESENT'{' AND correct' if what == 'correct' else ''}) AS {side}_{f}_{what}"
+    for f in S.BUSINESS_FIELDS for side, op in (("present", "="), ("absent", "<>")) for what in ("correct", "total")) + " FROM outcomes GROUP BY 1")
+def engine_field_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return A.field_pivot(P.outcomes(spark, sf))
+
+
+@_register(P.SQL + """, labels_ AS (SELECT engine_id, label, count(*) AS n FROM (SELECT engine_id, status AS label FROM scores WHERE status NOT IN ('ok', 'BLOCKED') UNION ALL SELECT engine_id, error_label FROM outcomes WHERE error_label IS NOT NULL) GROUP BY 1, 2)
+SELECT engine_id, string_agg(label || '×' || CAST(n AS VARCHAR), ', ' ORDER BY place) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY engine_id ORDER BY n DESC, label) AS place FROM labels_) WHERE place <= 3 GROUP BY 1""")
+def error_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.top_labels(A.error_labels(P.scores(spark, sf)))
+
+
+_FW = _wilson_sql("present_correct", "present_total")
+
+
+@_register(P.SQL + f"SELECT engine_id, field, present_correct, present_total, {_FW[0]} AS low, {_FW[1]} AS high FROM ({_FIELD_COUNTS})")
+def wilson_ci(spark: SparkSession, sf: str) -> DataFrame:
+    df = A.field_counters(P.outcomes(spark, sf))
+    low, high = N.wilson(F.col("present_correct"), F.col("present_total"))
+    return df.select("engine_id", "field", "present_correct", "present_total", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_TOTALS = """SELECT engine_id, count(*) FILTER (WHERE scorable) AS total_scorable, count(*) FILTER (WHERE scorable AND correct) AS total_correct, count(*) FILTER (WHERE scorable AND presence = 'PRESENT') AS present_scorable,
+  count(*) FILTER (WHERE scorable AND presence = 'PRESENT' AND correct) AS present_correct, count(*) FILTER (WHERE scorable AND presence <> 'PRESENT') AS absent_scorable,
+  count(*) FILTER (WHERE scorable AND presence <> 'PRESENT' AND correct) AS absent_correct FROM outcomes GROUP BY 1"""
+
+
+def _ranking_sql(by: str) -> str:
+    return P.SQL + f""", totals AS ({_TOTALS}), ranked AS (SELECT *, rank() OVER (ORDER BY {by} DESC) AS rank, lag({by}) OVER (ORDER BY {by} DESC, present_correct DESC, engine_id) AS above FROM totals)
+SELECT engine_id, total_scorable, total_correct, present_scorable, present_correct, absent_scorable, absent_correct, CAST(rank AS INTEGER) AS rank,
+  CASE WHEN above = {by} THEN '' ELSE CAST(rank AS VARCHAR) END AS shown_rank, 'RANKED' AS status FROM ranked
+UNION ALL SELECT DISTINCT engine_id, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL, '—', 'BLOCKED' FROM scores WHERE status = 'BLOCKED' AND engine_id NOT IN (SELECT engine_id FROM totals)"""
+
+
+def _ranking(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    scores = P.scores(spark, sf)
+    return K.ranking(A.presence_totals(C.outcomes_long(scores)), by, scores.where("status = 'BLOCKED'"))
+
+
+@_register(_ranking_sql("total_correct"))
+def ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranking(spark, sf, "total_correct")
+
+
+@_register(_ranking_sql("present_correct"))
+def ranking_present(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranking(spark, sf, "present_correct")
+
+
+_WINNERS = """, each_ AS (SELECT document_id, engine_id, count(*) FILTER (WHERE scorable AND correct) AS correct_fields FROM outcomes GROUP BY 1, 2),
+best AS (SELECT document_id, max(correct_fields) AS correct_fields FROM each_ GROUP BY 1),
+winners_ AS (SELECT e.document_id, e.correct_fields, list(engine_id ORDER BY engine_id) AS winners FROM each_ e JOIN best b ON e.document_id = b.document_id AND e.correct_fields = b.correct_fields GROUP BY 1, 2)"""
+
+
+@_register(P.SQL + _WINNERS + "SELECT document_id, correct_fields, array_to_string(winners, ',') AS winners FROM winners_")
+def doc_winners(spark: SparkSession, sf: str) -> DataFrame:
+    return K.document_winners(P.outcomes(spark, sf)).withColumn("winners", F.array_join("winners", ","))
+
+
+@_register(P.SQL + _WINNERS + "SELECT engine_id, round(sum(share), 4) AS docs_won FROM (SELECT unnest(winners) AS engine_id, 1.0e0 / len(winners) AS share FROM winners_) GROUP BY 1")
+def win_credit(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(K.win_credit(K.document_winners(P.outcomes(spark, sf))), "docs_won", digits=4)
+
+
+@_register(P.SQL + "SELECT document_id, engine_id, status, round(digit_accuracy, 6) AS digit_accuracy, CAST(reference_digit_count AS INTEGER) AS reference_digit_count, critical_complete, all_fields_complete FROM scores")
+def digit_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(P.scores(spark, sf), "digit_accuracy").select("document_id", "engine_id", "status", "digit_accuracy", "reference_digit_count", "critical_complete", "all_fields_complete")
+
+
+@_register(P.SQL + """, pairs AS (SELECT engine_id, regexp_replace(coalesce(predicted, ''), '[^0-9]', '', 'g') AS p, regexp_replace(expected, '[^0-9]', '', 'g') AS e FROM outcomes WHERE presence = 'PRESENT' AND place IS NOT NULL)
+SELECT substr(e, i, 1) AS expected_digit, substr(p, i, 1) AS predicted_digit, count(*) AS n FROM (SELECT e, p, CAST(unnest(range(1, length(e) + 1)) AS INTEGER) AS i FROM pairs WHERE length(p) = length(e) AND length(e) > 0) GROUP BY 1, 2""")
+def digit_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    numeric = S.ID_FIELDS + ["invoice_date"] + S.AMOUNT_FIELDS
+    pairs = P.outcomes(spark, sf).where((F.col("presence") == "PRESENT") & F.col("field").isin(*numeric))
+    return A.digit_confusion(pairs.select(N.digits_of(F.col("predicted")).alias("predicted"), N.digits_of(F.col("expected")).alias("expected")))
+
+
+@_register("""SELECT lang, CAST(sum(d) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS reference_chars, round(sum(d) / CAST(sum(n) AS DOUBLE), 6) AS cer_micro, round(avg(d / CAST(n AS DOUBLE)), 6) AS cer_macro FROM (
+  SELECT lang, levenshtein(translate(w, 'aeiou', 'eioua'), w) AS d, length(w) AS n FROM (SELECT lang, unnest(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+')) AS w FROM documents) WHERE w <> '') GROUP BY 1""")
+def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    words = _docs(spark, sf, "lang", "text").select("lang", F.explode(F.split("text", r"[ \t\n\r\x0b\x0c]+")).alias("expected")).where("expected <> ''")
+    pairs = words.withColumn("predicted", F.translate("expected", "aeiou", "eioua"))
+    return _round(A.character_error(pairs, ["lang"]), "cer_micro", "cer_macro")
+
+
+@_register(P.SQL + """SELECT CASE WHEN grouping(language) = 1 THEN '(all)' ELSE language END AS language, CASE WHEN grouping(split) = 1 THEN '(all)' ELSE split END AS split, count(*) AS total,
+  CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS correct, round(sum(CAST(correct AS INTEGER)) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM outcomes WHERE scorable GROUP BY ROLLUP(language, split)""")
+def slice_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.scores(spark, sf).select("language", "split", F.explode("outcomes").alias("o")).where("o.scorable").select("language", "split", F.col("o.correct").cast("long").alias("hit"))
+    out = A.slice_rollup(rows.withColumnRenamed("hit", "correct_"), ["language", "split"], "correct_")
+    return _round(out, "accuracy").select("language", "split", "total", "correct", "accuracy")
+
+
+@_register("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(A.latency(P.read(spark, sf, "events"), ["event_type"], "value"), "p50", "p95")
+
+
+@_register("""SELECT f.field, hits, n, CAST(hits AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS rate FROM (SELECT count(*) AS n, count(*) FILTER (WHERE text <> '') AS text, count(*) FILTER (WHERE lang = 'en') AS english FROM documents) t,
+  LATERAL (VALUES ('text', t.text), ('english', t.english)) f(field, hits)""")
+def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    d = _docs(spark, sf, "text", "lang").withColumn("english", F.when(F.col("lang") == "en", "en"))
+    return A.hit_rate(d, ["text", "english"]).withColumn("rate", F.split("rate", " ")[0])
+
+
+@_register(P.SQL + """SELECT d.document_id, e.engine_id, coalesce(s.status, 'NOT RUN') AS status FROM (SELECT DISTINCT document_id FROM rows_) d CROSS JOIN (SELECT engine_id FROM eng) e
+  LEFT JOIN scores s ON s.document_id = d.document_id AND s.engine_id = e.engine_id""")
+def cross_status_grid(spark: SparkSession, sf: str) -> DataFrame:
+    facts = P.facts(spark, sf).select("document_id", "engine_id", "error_label")
+    return C.cross_status(P.truths(spark, sf).select("document_id"), P.engines(spark), facts)
+
+
+@_register("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def seed_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    return D.new_documents(_docs(spark, sf, "doc_id", "source"), P.read(spark, sf, "labels"), key="doc_id")
+
+
+@_register("""SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('k', 'page'))), ',') AS extra, array_to_string(list_sort(list_filter(['k', 'page'], lambda k: NOT list_contains(json_keys(props), k))), ',') AS missing FROM events""")
+def key_set_check(spark: SparkSession, sf: str) -> DataFrame:
+    extra, missing = V.key_differences(F.json_object_keys("props"), ["k", "page"])
+    return P.read(spark, sf, "events").select("event_id", F.array_join(extra, ",").alias("extra"), F.array_join(missing, ",").alias("missing"))
+
+
+_RULES_SQL = {
+    "empty_text": "text IS NULL OR text = ''", "length_mismatch": "n_chars <> length(text)", "unknown_language": "lang IS NULL OR lang NOT IN ('en', 'fr', 'de')", "has_mail_sign": "text LIKE '%@%'",
+}
+
+
+@_register(" UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule FROM documents WHERE {rule}" for name, rule in _RULES_SQL.items()))
+def validation_violations(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    rules: dict[str, Column] = {
+        "empty_text": t.isNull() | (t == ""), "length_mismatch": F.col("n_chars") != F.length(t), "unknown_language": F.col("lang").isNull() | ~F.col("lang").isin("en", "fr", "de"), "has_mail_sign": F.contains(t, F.lit("@")),
+    }
+    return V.violations(_docs(spark, sf, "doc_id", "text", "lang", "n_chars"), ["doc_id"], rules)
+
+
+@_register(P.SQL + f"SELECT engine_id, adapter, {_CANDIDATE} AS candidate_number FROM eng")
+def candidate_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.candidate(F.col("adapter"), F.col("engine_id"), F.col("tessdata"))
+    return P.engines(spark).select("engine_id", "adapter", c["number"].alias("candidate_number"))
+
+
+@_register(P.SQL + f"SELECT candidate_number, string_agg(engine_id, ',' ORDER BY engine_id) AS engine_ids FROM (SELECT engine_id, {_CANDIDATE} AS candidate_number FROM eng) GROUP BY 1")
+def candidate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return A.candidate_groups(P.engines(spark))
+
+
+_LINE_RULES = {"list": r"\|", "digits": "[0-9]", "contact": "@|http", "license": "(?i)licen[sc]e", "never": "qqqqqq"}
+
+
+@_register(" UNION ALL ".join(f"SELECT '{n}' AS category, count(*) FILTER (WHERE regexp_matches(l, '{p}')) AS hits FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)" for n, p in _LINE_RULES.items()))
+def line_category_hits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _docs(spark, sf, "text").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    return I.category_counts(I.line_labels(rows, _LINE_RULES), _LINE_RULES)
+
+
+@_register("SELECT 'documents' AS origin, doc_id AS id, CAST(length(text) AS BIGINT) AS size, source AS note FROM documents UNION ALL SELECT 'pages', page_id, CAST(length(html) AS BIGINT), NULL FROM pages")
+def bag_union_sources(spark: SparkSession, sf: str) -> DataFrame:
+    a = _docs(spark, sf, "doc_id", "text", "source").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"), F.col("source").alias("note"))
+    b = P.read(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@_register("""SELECT docs, pages, kind, round(busy * rate, 4) AS elastic_cost, round(ceil(docs * pages / (speed * 3600 * 0.7e0 * 720)) * 720 * rate, 4) AS warm_cost, round(busy * rate / docs * 1000, 6) AS cost_per_1000,
+  round(busy * rate / (docs * 0.75e0), 9) AS cost_per_correct, round(docs * 0.1e0 * 30 / 3600 * 10, 4) AS correction_cost FROM (SELECT *, docs * pages / (speed * 3600 * 0.7e0) AS busy FROM (
+  SELECT d.v AS docs, p.v AS pages, k.kind, k.rate, k.speed FROM (VALUES (100000), (1000000)) d(v), (VALUES (1), (2), (3)) p(v), (VALUES ('cpu', 0.2330496e0, 0.5e0), ('gpu', 1.0e0, 2.0e0)) k(kind, rate, speed)))""")
+def cost_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs, pages = P.literal_table(spark, [(100_000,), (1_000_000,)], ["docs"]), P.literal_table(spark, [(1,), (2,), (3,)], ["pages"])
+    kinds = P.literal_table(spark, [("cpu", 0.2330496, 0.5), ("gpu", 1.0, 2.0)], ["kind", "rate", "speed"])
+    df = docs.crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(kinds))  # twelve scenarios
+    m = N.cost_model(F.col("docs"), F.col("pages"), F.col("rate"), F.col("speed"))
+    return df.select(
+        "docs", "pages", "kind", F.round(m["elastic_cost"], 4).alias("elastic_cost"), F.round(m["warm_cost"], 4).alias("warm_cost"), F.round(m["cost_per_1000"], 6).alias("cost_per_1000"),
+        F.round(N.cost_per_correct(m["elastic_cost"], F.col("docs"), F.lit(0.75)), 9).alias("cost_per_correct"), F.round(N.correction_cost(F.col("docs") * 0.1, F.lit(30), F.lit(10)), 4).alias("correction_cost"),
+    )
+
+
+@_register(P.SQL + """SELECT engine_id, count(*) AS n, count(*) FILTER (WHERE a) AS accepted, round(count(*) FILTER (WHERE a) / CAST(count(*) AS DOUBLE), 6) AS coverage, round(count(*) FILTER (WHERE a AND good) / nullif(CAST(count(*) FILTER (WHERE a) AS DOUBLE), 0), 6) AS precision,
+  round((count(*) FILTER (WHERE a) - count(*) FILTER (WHERE a AND good)) / CAST(count(*) AS DOUBLE), 6) AS false_accept_rate FROM (SELECT engine_id, status = 'ok' AND digit_accuracy >= 0.95e0 AS a, coalesce(all_fields_complete, false) AS good FROM scores) GROUP BY 1""")
+def auto_accept(spark: SparkSession, sf: str) -> DataFrame:
+    accepted = F.coalesce((F.col("status") == "ok") & (F.col("digit_accuracy") >= 0.95), F.lit(False))
+    out = A.auto_accept(P.scores(spark, sf), ["engine_id"], accepted, F.coalesce("all_fields_complete", F.lit(False)))
+    return _round(out, "coverage", "precision", "false_accept_rate")
+
+
+@_register(P.SQL + """SELECT engine_id, round(count(*) FILTER (WHERE presence = 'PRESENT' AND predicted IS NULL) / nullif(CAST(count(*) FILTER (WHERE presence = 'PRESENT') AS DOUBLE), 0), 6) AS missing_rate,
+  round(count(*) FILTER (WHERE presence = 'ABSENT' AND predicted IS NOT NULL) / nullif(CAST(count(*) FILTER (WHERE presence = 'ABSENT') AS DOUBLE), 0), 6) AS false_positive_rate FROM outcomes GROUP BY 1""")
+def miss_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(A.miss_rates(P.outcomes(spark, sf)), "missing_rate", "false_positive_rate")
+
+
+@_register(P.SQL + "SELECT count(*) AS rows, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'BLOCKED') AS blocked, count(*) FILTER (WHERE status NOT IN ('ok', 'BLOCKED')) AS failed, count(DISTINCT document_id) FILTER (WHERE status = 'ok') AS documents_ok FROM scores")
+def status_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return A.status_counters(P.scores(spark, sf))
+
+
+@_register(None)
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval of the digit-accuracy difference of two engines; Poisson weights come from a hash that SQL does not have."""
+    s = P.scores(spark, sf)
+    pairs = s.groupBy("document_id").agg(F.max(F.when(F.col("engine_id") == "exact", F.col("digit_accuracy"))).alias("a"), F.max(F.when(F.col("engine_id") == "truncated", F.col("digit_accuracy"))).alias("b"))
+    return _round(A.paired_bootstrap(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b", "document_id", rounds=50), "mean", "low", "high")
+
+
+# --- regions ------------------------------------------------------------------
+
+_WORDS = r"""SELECT conv_id, turn, w, i - 1 AS i FROM (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (
+  SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS ws FROM conversations))"""
+
+
+def _word_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of conversations as if recognised on a page: five to a line, slightly off the baseline."""
+    words = F.filter(F.split("text", r"[ \t\n\r\x0b\x0c]+"), lambda w: w != "")
+    c = P.read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(words).alias("i", "text"))
+    top = F.floor(F.col("i") / 5) * 30 + F.col("i") % 3
+    box = G.rectangle((F.col("i") % 5) * 50, top, F.lit(40), F.lit(20))
+    return c.select("conv_id", F.col("turn").cast("int").alias("page"), "text", box.alias("polygon"), F.lit("word").alias("granularity"), (F.col("i") % 100 / 100).alias("confidence"), F.col("i").alias("reading_order"))
+
+
+@_register(rf"""SELECT conv_id, md5(string_agg(page_text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, CAST(sum(n) AS BIGINT) AS n_words FROM (
+  SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY l) AS page_text, sum(n) AS n FROM (SELECT conv_id, turn, i // 5 AS l, string_agg(w, ' ' ORDER BY i) AS line, count(*) AS n FROM ({_WORDS}) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""")
+def region_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    docs = G.collect_regions(_word_regions(spark, sf), ["conv_id"])
+    docs = G.assemble(docs)
+    return docs.select("conv_id", F.md5(F.encode("assembled_text", "UTF-8")).alias("text_md5"), F.size("regions").cast("long").alias("n_words"))
+
+
+@_register(rf"SELECT conv_id, turn AS page, max(w) FILTER (WHERE i = 0) AS first_word, CAST(count(*) AS BIGINT) AS n_words, CAST(max(i) AS INTEGER) AS last_order FROM ({_WORDS}) GROUP BY 1, 2")
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.filter(F.split("text", r"[ \t\n\r\x0b\x0c]+"), lambda w: w != "")
+    c = P.read(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.posexplode(words).alias("i", "text"))
+    rows = c.select("*", *[F.lit(0.0).alias(x) for x in ("left", "top", "width", "height")], F.lit("90").alias("conf"))
+    r = G.words_from_tsv(rows)
+    return r.groupBy(F.col("document_id").alias("conv_id"), "page").agg(F.max(F.when(F.col("reading_order") == 0, F.col("text"))).alias("first_word"), F.count("*").alias("n_words"), F.max("reading_order").alias("last_order"))
+
+
+@_register(rf"SELECT w AS text, conv_id, i AS reading_order FROM (SELECT w, conv_id, turn, i FROM ({_WORDS}) ORDER BY i DESC, w, conv_id, turn LIMIT 15)")
+def top_confident_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A top-k report: the fifteen words with the highest confidence."""
+    words = _word_regions(spark, sf).withColumn("confidence", F.col("reading_order").cast("double"))
+    best = words.orderBy(F.desc("confidence"), "text", "conv_id", "page").limit(15)
+    return best.select("text", "conv_id", F.col("reading_order").cast("long").alias("reading_order"))
+
+
+@_register("SELECT o_custkey AS custkey, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median FROM orders GROUP BY 1")
+def upper_median(spark: SparkSession, sf: str) -> DataFrame:
+    """The upper of two middle values of each customer's orders."""
+    prices = P.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_list("o_totalprice").alias("v"))
+    return prices.select("custkey", N.upper_median(F.col("v")).alias("upper_median"))
+
+
+@_register("SELECT event_id, CASE WHEN value >= 0 THEN least(value / 100, 1.0e0) END AS clamped, CASE WHEN value > 1 THEN value / 100 ELSE value END AS rescaled FROM events")
+def confidence_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return P.read(spark, sf, "events").select("event_id", G.clamp_confidence(F.col("value") / 100).alias("clamped"), G.percent_confidence(F.col("value")).alias("rescaled"))
+
+
+@_register("""SELECT c_custkey AS custkey, CASE WHEN msg LIKE 'BLOCKED:%' OR lower(msg) LIKE '%license%' OR code IN (401, 403, 429) THEN 'BLOCKED' ELSE 'OCR_FAILURE' END AS label, name AS language FROM (
+  SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'BLOCKED: no engine' WHEN 1 THEN 'License expired' ELSE 'timed out' END AS msg, 400 + c_custkey % 5 AS code,
+  CASE c_custkey % 3 WHEN 0 THEN 'Hebrew' WHEN 1 THEN 'English' ELSE 'xx' END AS name FROM customer)""")
+def error_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    msg = F.when(k % 4 == 0, "BLOCKED: no engine").when(k % 4 == 1, "License expired").otherwise("timed out")
+    code = F.when(k % 3 == 0, "heb").when(k % 3 == 1, "ENG").otherwise("xx")
+    return P.read(spark, sf, "customer").select(k.alias("custkey"), G.error_code(msg, 400 + k % 5).alias("label"), G.language_name(code).alias("language"))
+
+
+# --- extraction on the driver's texts -----------------------------------------
+
+
+@_register(None)
+def extract_format_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole record of every document; its parts have oracles, the cascade is held against golden texts."""
+    return E.format_first(_docs(spark, sf, "doc_id", "text")).drop("text").withColumn("extraction_notes", F.array_join("extraction_notes", "; "))
+
+
+@_register(None)
+def extract_label_anchored(spark: SparkSession, sf: str) -> DataFrame:
+    """The record read at labels, from every document."""
+    return E.label_anchored(_docs(spark, sf, "doc_id", "text"), tolerant=True, reverse_tokens=False, fix_abbreviations=False).drop("text").withColumn("extraction_notes", F.array_join("extraction_notes", "; "))
