@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docscore.llm.storage import Workspace
+
 WIDTH = 5
 LEAST_COVERAGE = 0.8
 LEAST_LITERAL = 2
@@ -187,6 +189,8 @@ def contaminated(
     sizes = asked.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
     asked = asked.join(sizes, "item")
     spark = docs.sparkSession
+    work = Workspace(spark, "decontam")
+    asked = work.write(asked, "asked")
     if asked.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hashes = [r[0] for r in asked.select("window").distinct().collect()]
         wanted = spark.sparkContext.broadcast(np.sort(np.array(hashes, np.int64).view(np.uint64)))
@@ -194,7 +198,8 @@ def contaminated(
         found = window_rows(docs, id_col, text_col, width, wanted) if hashes else window_rows(docs.limit(0), id_col, text_col, width)
     else:
         found = window_rows(docs, id_col, text_col, width)
-    hits = found.join(asked, "window").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    # documents are read once: the hits are written before they are judged in several ways
+    hits = work.write(found.join(asked, "window").withColumn("shift", F.col("pos") - F.col("item_pos")), "hits")
     plain = hits.where(F.size("slots") == 0).select("row", "id", "item", "item_id", "n_windows", "window", F.lit(0).alias("n"), F.lit(0).alias("wrong"))
     pairs = hits.where(F.size("slots") > 0).select(
         "row", "id", "item", "item_id", "n_windows", "window", "shift", "pos",
