@@ -23,6 +23,7 @@ from docscore.llm.toxicity import held_out
 BUCKET_BITS = 15
 LENGTH = 64.0
 SHARE = 0.5
+TARGET_ROWS = 20_000
 SMOOTH = 0.5
 CACHE_WORDS = 400_000
 SLICE_WORDS = 500_000
@@ -68,16 +69,20 @@ def count_features(texts: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     return each.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS) -> np.ndarray:
     """Log ratio of target to raw probability for every bucket; as large as the table of buckets.
 
-    All documents make the raw model; those labelled good outside the held-out fold
-    make the target model. Rows with a null id or label are not target.
+    All documents make the raw model. The target model is made of at most
+    ``target_rows`` documents labelled good outside the held-out fold, those with the
+    smallest hash of their id; their ids are broadcast. Rows with a null id or label
+    are not target.
     """
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     good = good.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(good.select("doc_id", F.lit(True).alias("target")), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    ids = [(r["doc_id"],) for r in good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long").select("doc_id", F.lit(True).alias("target"))
+    texts = texts.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     for r in count_features(texts, bits).collect():  # bounded by the number of buckets
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
