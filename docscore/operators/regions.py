@@ -37,7 +37,7 @@ def bbox_polygon(box: Column) -> Column:
 def line_polygon(boundary: Column, bbox: Column, cuts: Column) -> Column:
     """The boundary, else the box, else the hull of the cut points (arrays of ``[x, y]``); never invented."""
     points = lambda c: F.transform(c, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
-    xs, ys = (F.transform(cuts, lambda p, k=k: p[k].cast("double")) for k in (0, 1))
+    xs, ys = F.transform(cuts, lambda p: p[0].cast("double")), F.transform(cuts, lambda p: p[1].cast("double"))
     x0, y0, x1, y1 = F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
     return F.coalesce(F.when(F.size(boundary) > 0, points(boundary)), bbox_polygon(bbox), F.when(F.size(cuts) > 0, rectangle(x0, y0, x1 - x0, y1 - y0)))
 

@@ -20,6 +20,7 @@ from docscore.operators import score as C
 from docscore.operators import seeding as D
 from docscore.operators import validate as V
 from docscore.plans import facts as P
+from docscore.streaming import events as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -535,3 +536,19 @@ def extract_format_first(spark: SparkSession, sf: str) -> DataFrame:
 def extract_label_anchored(spark: SparkSession, sf: str) -> DataFrame:
     """The record read at labels, from every document."""
     return E.label_anchored(_docs(spark, sf, "doc_id", "text"), tolerant=True, reverse_tokens=False, fix_abbreviations=False).drop("text").withColumn("extraction_notes", F.array_join("extraction_notes", "; "))
+
+
+# --- extensions on the event table ---------------------------------------------
+
+
+@_register("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    out = T.event_windows(P.read(spark, sf, "events"))
+    return _round(out, "total", digits=4).select("window_start", "event_type", "n", "total")
+
+
+@_register("""SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (
+  SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+  SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return T.event_sessions(P.read(spark, sf, "events"))
