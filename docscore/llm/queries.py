@@ -22,5 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op8_substring_dedup": substrings.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
