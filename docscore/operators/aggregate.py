@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docscore import schema as S
 from docscore.functions import numbers as N
@@ -138,6 +140,27 @@ def character_error(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.where(n > 0).groupBy(*by).agg(F.sum(d).alias("edits"), F.sum(n).alias("reference_chars"), (F.sum(d) / F.sum(n)).alias("cer_micro"), F.avg(d / n).alias("cer_macro"))
 
 
+@F.pandas_udf(T.IntegerType())
+def _word_edits(predicted: pd.Series, expected: pd.Series) -> pd.Series:
+    def edits(a: str | None, b: str | None) -> int:
+        a, b = (a or "").split(), (b or "").split()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    return pd.Series([edits(a, b) for a, b in zip(predicted, expected, strict=True)], dtype="int32")
+
+
+def word_error(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Word edits by reference words, pooled; edit distance over words has no built-in."""
+    n = F.size(F.filter(F.split("expected", r"\s+"), lambda w: w != ""))
+    each = pairs.select(*by, _word_edits("predicted", "expected").alias("d"), n.alias("n"))
+    return each.groupBy(*by).agg(F.sum("d").alias("edits"), F.sum("n").alias("reference_words"), N.ratio(F.sum("d"), F.sum("n")).alias("wer"))
+
+
 def slice_rollup(df: DataFrame, dims: list[str], correct: str) -> DataFrame:
     """Accuracy for every prefix of the dimensions; ``(all)`` where one is rolled up."""
     cube = df.rollup(*dims).agg(F.count("*").alias("total"), F.sum(correct).alias("correct"), F.grouping_id().alias("level"))

@@ -6,6 +6,8 @@ five shapes, becomes ``array<struct>`` or rows of the one region type.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,3 +197,24 @@ def confident_words(regions: DataFrame, k: int = 15) -> DataFrame:
 
 def confident_boxes(regions: DataFrame, least: float = 50.0) -> DataFrame:
     return regions.where(F.col("conf") >= least)
+
+
+ADAPTERS = {"tesseract": words_from_tsv, "kraken": lines_from_recognizer, "ironocr": regions_from_worker, "abbyy": regions_from_worker, "cloud": regions_from_cloud}
+
+
+def regions_of(adapter: str, rows: DataFrame) -> DataFrame:
+    """Regions of the rows that an engine's adapter returned; an unknown adapter is an error."""
+    if adapter not in ADAPTERS:
+        raise ValueError(f"unknown adapter {adapter!r}; known: {', '.join(sorted(ADAPTERS))}")
+    return ADAPTERS[adapter](rows)
+
+
+def engine_params(params: dict[str, str], folder: str) -> dict[str, str]:
+    """Parameters with ``~`` and relative paths of ``*_path``, ``*_dir`` and ``model*`` keys expanded from the configuration's folder."""
+    out = {}
+    for key, value in params.items():
+        if key.endswith(("_path", "_dir")) or key.startswith("model"):
+            value = os.path.expanduser(value)
+            value = value if os.path.isabs(value) else os.path.join(folder, value)
+        out[key] = value
+    return out

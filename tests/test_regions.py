@@ -75,3 +75,11 @@ def test_small_rules(spark):
         F.transform(G.words_or_lines(F.array(F.struct(F.lit(" ").alias("text"))), F.array(F.struct(F.lit("l").alias("text")))), lambda x: x["text"]).alias("h"),
     ).first()
     assert tuple(r) == (1.0, None, 0.96, "Hebrew", None, "BLOCKED", "t-fast", ["l"])
+
+
+def test_dispatch():
+    import pytest
+
+    with pytest.raises(ValueError, match="unknown adapter"):
+        G.regions_of("nope", None)
+    assert G.engine_params({"model": "m.bin", "tessdata_dir": "/abs", "n": "1"}, "/conf") == {"model": "/conf/m.bin", "tessdata_dir": "/abs", "n": "1"}

@@ -118,3 +118,10 @@ def test_costs(spark, confidence):
 
     r = spark.range(1).select(*[c.alias(k) for k, c in N.cost_model(F.lit(100_000), F.lit(1), F.lit(0.2330496), F.lit(0.5)).items()], N.correction_cost(F.lit(100_000), F.lit(30), F.lit(10)).alias("c"), N.cost_per_correct(F.lit(335.59), F.lit(1_000_000), F.lit(0.75)).alias("k")).collect()[0]
     assert round(r["elastic_cost"], 2) == 18.50 and round(r["warm_cost"], 2) == 167.80 and round(r["c"], 2) == 8333.33 and round(r["k"], 8) == 0.00044745
+
+
+def test_word_and_character_error(spark):
+    pairs = spark.createDataFrame([("x", "a b c", "a c"), ("x", None, "q"), ("x", "a  b", "a b"), ("y", "abc", "abd")], "k string, predicted string, expected string")
+    got = {r["k"]: (r["edits"], r["reference_words"], r["wer"]) for r in A.word_error(pairs, ["k"]).collect()}
+    assert got == {"x": (2, 5, 0.4), "y": (1, 1, 1.0)}
+    assert A.character_error(pairs.where("k = 'y'"), ["k"]).first()["cer_micro"] == pytest.approx(1 / 3)
