@@ -25,7 +25,7 @@ WIDTH = 5
 LEAST_COVERAGE = 0.8
 LEAST_LITERAL = 2
 BROADCAST_WINDOWS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 FILTER_BITS = 22
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -150,6 +150,7 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, width: int, wanted
                     yield pack(rows, ids, places, found, slots)
                     rows, ids, places, found, slots = [], [], [], [], []
             yield pack(rows, ids, places, found, slots)
+        _WORDS.clear()  # the worker lives on
 
     def pack(rows: list, ids: list, places: list, found: list, slots: list) -> pa.RecordBatch:
         flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)

@@ -62,6 +62,7 @@ def count_features(texts: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
                 raw += found
                 if target:
                     good += found
+        _HASHES.clear()  # the worker lives on
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(good[seen])], ["bucket", "raw", "target"])
 
@@ -134,6 +135,7 @@ def resample(docs: DataFrame, ratios: np.ndarray, share: float = SHARE, seed: in
             found = (features(t.as_py(), bits) for t in batch.column(2))
             weights = [float(table[x].mean()) * length if len(x) else 0.0 for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weights, pa.float64())], ["row", "doc_id", "log_weight"])
+        _HASHES.clear()
 
     work = Workspace(docs.sparkSession, "quality")
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -34,6 +34,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "rodeo clown", "pond scum", "idiot proof", "idiot light", "oxymoron", "sore loser award")
 
 TRAIN_ROWS = 20_000
+COUNTED_AT_ONCE = 150_000
 ENTRIES = 2_000
 SHORTEST, LONGEST = 3, 9
 LEAST_DOCS = 3
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
         for batch in batches:
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[t].update(_beginnings(fold(text)))
-                if len(found[0]) > 1_000_000:
+                if len(found[0]) + len(found[1]) > COUNTED_AT_ONCE:
                     yield _counted(found)
                     found = (Counter(), Counter())
         yield _counted(found)
