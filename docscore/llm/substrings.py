@@ -14,12 +14,11 @@ Texts are shuffled once, by chunk; both passes over them read the same exchange.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,42 +27,70 @@ WINDOW = 13
 CHUNK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 20
 BYTES_PER_WORD = 6
-CACHE_WORDS = 500_000
+SLICE_BYTES = 1 << 20
+# space, and tab to carriage return
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 LAST = np.iinfo(np.int64).max
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within a bound."""
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
 
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        for k, b in enumerate((BASE, inverse)):
+            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b), dtype=np.uint64)])
+    return _POWERS
 
-_HASHES = WordHashes()
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Mix so that every bit of the hash depends on all of it."""
+    h ^= h >> np.uint64(32)
+    h *= BASE
+    h ^= h >> np.uint64(29)
+    h *= BASE
+    h ^= h >> np.uint64(32)
+    return h
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between white space (space, tab to carriage return), as UTF-8."""
-    return (text or "").encode("utf-8", "replace").split()
 
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(bytes, start, end, text number)`` of the words of all texts together."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    edges = np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
+    return data, starts, ends, np.searchsorted(begins, starts, side="right") - 1
 
-def window_hashes(words: list[bytes], window: int) -> np.ndarray:
-    """Polynomial hash of every run of ``window`` words; the last steps spread it over all bits."""
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of the bytes of each word, from running sums over slices of the data."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = starts[i]
+        j = int(np.searchsorted(starts, first + SLICE_BYTES))
+        part = data[first : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)])
+        a, b = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = (sums[b] - sums[a]) * down[a]
+        i = j
+    return _spread(out)
+
+
+def window_hashes(words: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first word, hash)`` of every run of ``window`` words inside one text."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    out = each[:n].copy()
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    out = words[:n].copy()
     for k in range(1, window):
         out *= BASE
-        out += each[k : k + n]
-    out ^= out >> np.uint64(32)
-    out *= BASE
-    out ^= out >> np.uint64(29)
-    return out
+        out += words[k : k + n]
+    at = np.flatnonzero(owner[:n] == owner[window - 1 :])
+    return at, _spread(out[at])
 
 
 def bucket_starts(buckets: int) -> np.ndarray:
@@ -89,20 +116,14 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def chunk_hashes(table: pa.Table, window: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of each document of a chunk, and the sorted distinct ones."""
-    each = [window_hashes(words_of(t.as_py()), window) for t in table.column("text")]
-    return each, np.unique(np.concatenate([np.empty(0, np.uint64), *each]))
+def _encoded(table: pa.Table) -> list[bytes]:
+    return [t.encode("utf-8", "replace") for t in table.column("text").to_pylist()]
 
 
-def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal intervals of the words that windows at ``starts`` cover, ends exclusive."""
-    if not len(starts):
-        return []
-    breaks = np.flatnonzero(np.diff(starts) > window)
-    first = starts[np.append(0, breaks + 1)]
-    last = starts[np.append(breaks, len(starts) - 1)] + window
-    return list(zip(first.tolist(), last.tolist(), strict=True))
+def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of removed words, ends exclusive."""
+    edges = np.diff(np.concatenate([[False], removed, [False]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
 def repeated_passages(
@@ -147,7 +168,8 @@ def repeated_passages(
     dealt = picked.withColumn("chunk", chunk_of("rank"))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, distinct = chunk_hashes(table, window)
+        data, starts, ends, owner = split_words(_encoded(table))
+        distinct = np.unique(window_hashes(word_hashes(data, starts, ends), owner, window)[1])
         at = np.append(np.searchsorted(distinct, bucket_starts(buckets)), len(distinct))
         some = np.flatnonzero(np.diff(at))
         return pa.table(
@@ -178,30 +200,34 @@ def repeated_passages(
         return said.filter(pa.array([any(b) for b in bits], pa.bool_()))
 
     def remove(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-        each, distinct = chunk_hashes(table, window)
+        texts, rank = _encoded(table), table.column("rank").to_numpy()
+        data, starts, ends, owner = split_words(texts)
+        first_word, hashes = window_hashes(word_hashes(data, starts, ends), owner, window)
+        del data, starts, ends
+        distinct, place = np.unique(hashes, return_inverse=True)
         at = np.append(np.searchsorted(distinct, bucket_starts(buckets)), len(distinct))
         elsewhere = np.zeros(len(distinct), bool)
         for bucket, bits in zip(said.column("bucket").to_pylist(), said.column("seen").to_pylist(), strict=True):
             n = at[bucket + 1] - at[bucket]
             elsewhere[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        rank = table.column("rank").to_numpy()
-        first = np.full(len(distinct), LAST, np.int64)
-        places = [np.searchsorted(distinct, h) for h in each]
-        for place, r in zip(places, rank, strict=True):
-            first[place] = np.minimum(first[place], r)
-        n_words, n_removed, digests, spans = [], [], [], []
-        for text, place, r in zip(table.column("text"), places, rank, strict=True):
-            words = words_of(text.as_py())
-            gone = intervals(np.flatnonzero(elsewhere[place] | (first[place] < r)), window)
-            kept, end = [], 0
-            for a, b in gone:
-                kept += words[end:a]
-                end = b
-            kept += words[end:]
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(kept))
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            spans.append([{"start": a, "end": b} for a, b in gone])
+        holder = rank[owner[first_word]]
+        lowest = np.full(len(distinct), LAST, np.int64)
+        np.minimum.at(lowest, place, holder)
+        gone = first_word[elsewhere[place] | (lowest[place] < holder)]
+        change = np.zeros(len(owner) + 1, np.int32)
+        change[gone] += 1
+        change[gone + window] -= 1
+        removed = np.cumsum(change[:-1]) > 0
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        n_words, n_removed, digests, spans = np.diff(cuts), [], [], []
+        for text, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            words, mask = text.split(), removed[a:b]
+            runs = intervals(mask) if mask.any() else []
+            if runs:
+                words = list(compress(words, (~mask).tolist()))
+            n_removed.append(b - a - len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            spans.append([{"start": x, "end": y} for x, y in runs])
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -223,3 +249,22 @@ def repeated_passages(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
+
+
+ORACLE = """
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM texts)),
+firsts AS (SELECT said, min(doc_id) AS low FROM windows GROUP BY said),
+gone AS (
+  SELECT DISTINCT doc_id, place + step AS place
+  FROM windows JOIN firsts USING (said) CROSS JOIN (SELECT unnest(range(0, 13)) AS step) WHERE low < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.place) AS said
+  FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id)
+SELECT t.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""

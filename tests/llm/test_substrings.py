@@ -67,7 +67,20 @@ def test_pack_round_trip():
 
 
 def test_intervals_merge():
-    assert op.intervals(np.array([0, 1, 5, 30]), 13) == [(0, 18), (30, 43)]
+    mask = np.zeros(50, bool)
+    mask[0:18] = mask[30:43] = mask[49] = True
+    assert op.intervals(mask) == [(0, 18), (30, 43), (49, 50)]
+
+
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    monkeypatch.setattr(op, "SLICE_BYTES", 7)
+    texts = [b"abc de \x00 \x00\x00", b"", b"  de abc", "é".encode() * 20 + b" de"]
+    data, starts, ends, owner = op.split_words(texts)
+    words = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert words == [w for t in texts for w in t.split()]
+    assert owner.tolist() == [0, 0, 0, 0, 2, 2, 3, 3]
+    hashes = op.word_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(words)) and len({*zip(words, hashes.tolist(), strict=True)}) == len(set(words))
 
 
 def test_empty_table_and_clashing_columns(spark):
