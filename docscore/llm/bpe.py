@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 NEVER = np.iinfo(np.int64).max
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_LETTERS = 64
 SLICE_CHARS = 1_000_000
 STREAM_CHARS = 4_000_000
@@ -108,16 +108,20 @@ class Tables:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > 48:
             return self._exact_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = merge.get(pair)
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
+        find, none = self.merge.get, (NEVER, -1)
+        # the merge of each token with the next one
+        ways = [find(pair, none) for pair in zip(ids, ids[1:])]
+        while ways:
+            best = min(ways)
+            if best is none:
                 break
+            at = ways.index(best)
             ids[at : at + 2] = [best[1]]
+            del ways[at]
+            if at:
+                ways[at - 1] = find((ids[at - 1], best[1]), none)
+            if at < len(ways):
+                ways[at] = find((best[1], ids[at + 1]), none)
         return ids
 
     def _exact_long(self, ids: list[int]) -> list[int]:
@@ -206,6 +210,7 @@ class Encoder:
     def __init__(self, tables: Tables, cache_words: int = CACHE_WORDS):
         self.tables, self.limit = tables, cache_words
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the cache before it last was full
         self.passing: list[str] = []  # too long to keep
         self.words = regex.compile(PATTERN).findall
         self.stream = regex.compile(PATTERN).finditer
@@ -233,13 +238,20 @@ class Encoder:
         need = set().union(*slices)
         unseen = need.difference(self.cache)
         if unseen:
-            found = self.tables.encode_words(list(unseen))
-            if len(self.cache) + len(found) > self.limit:
-                self.cache = {w: self.cache[w] for w in need if w in self.cache}
+            if len(self.cache) + len(unseen) > self.limit:
+                self.older, self.cache = self.cache, {}
+                unseen = need
+            known = unseen.intersection(self.older)
+            self.cache.update(zip(known, map(self.older.__getitem__, known)))
+            found = self.tables.encode_words(list(unseen.difference(known)))
             self.cache.update(found)
             self.passing = [w for w in found if len(w) > CACHE_LETTERS]
         return self.cache
 
+    def forget(self) -> None:
+        """Empty the cache; the worker lives on when its task is over."""
+        self.cache, self.older, self.passing = {}, {}, []
+
     def encode(self, text: str | None) -> Iterator[list[int]]:
         """The ids of a text, in slices; null is the empty text."""
         for piece in self.pieces(text or ""):
@@ -314,6 +326,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 part = batch.slice(k, 256)
                 ids = [list(chain.from_iterable(x)) for x in encoder.encode_many([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        encoder.forget()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -365,6 +378,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
+        encoder.forget()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
