@@ -51,21 +51,29 @@ class Counter(bpe.Encoder):
         super().__init__(tables, cache_words)
         self.first = frequent.table()
         self.lengths = dict(self.first)
+        self.older: dict[str, int] = {}
 
     def lookup(self, slices: list[list[str]]) -> dict[str, int]:
         for word in self.passing:
             self.lengths.pop(word, None)
         self.passing = []
-        unseen = set().union(*slices).difference(self.lengths)
+        need = set().union(*slices)
+        unseen = need.difference(self.lengths)
         if unseen:
             if len(self.lengths) + len(unseen) > len(self.first) + self.limit:
-                self.lengths = dict(self.first)
-                unseen = set().union(*slices).difference(self.lengths)
-            found = self.tables.encode_words(list(unseen))
+                self.older, self.lengths = self.lengths, dict(self.first)
+                unseen = need.difference(self.lengths)
+            known = unseen.intersection(self.older)
+            self.lengths.update(zip(known, map(self.older.__getitem__, known)))
+            found = self.tables.encode_words(list(unseen.difference(known)))
             self.lengths.update((w, len(ids)) for w, ids in found.items())
             self.passing = [w for w in found if len(w) > bpe.CACHE_LETTERS]
         return self.lengths
 
+    def forget(self) -> None:
+        super().forget()
+        self.lengths, self.older = dict(self.first), {}
+
     def count_many(self, texts: list[str]) -> Iterator[int]:
         """The number of tokens of each text; unknown pre-tokens of short texts are encoded together."""
         waiting, chars = [], 0
@@ -113,6 +121,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             counts = list(counter.count_many([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        counter.forget()
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     picked = picked.withColumn("n_bytes", F.octet_length("text").cast("long"))
