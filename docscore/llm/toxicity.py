@@ -139,6 +139,19 @@ def _by_chance(t: int, n: int, share: float) -> float:
     return -n * (found * math.log(found / share) + rest)
 
 
+def _passing(counts: DataFrame, toxic: int, clean: int, tested: int) -> DataFrame:
+    """The beginnings ``choose_entries`` accepts, but for a margin of rounding, in its order."""
+    t, c, share = F.col("bad"), F.col("clean"), toxic / max(1, toxic + clean)
+    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    passed = counts.where((t >= LEAST_DOCS) & (odds >= LEAST_ODDS - 1e-6))
+    if 0 < share < 1:
+        found = t / (t + c)
+        rest = F.when(c > 0, (1 - found) * F.log((1 - found) / (1 - share))).otherwise(0.0)
+        chance = F.when(found <= share, 0.0).otherwise(-(t + c) * (found * F.log(found / share) + rest))
+        passed = passed.where(chance < -math.log(max(tested, 1)) + 1e-6)
+    return passed.orderBy(F.desc(odds - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))), F.length("entry").desc(), "entry")
+
+
 def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, most: int = ENTRIES) -> dict[str, float]:
     """Entries and weights from ``(beginning, toxic documents, clean documents)``.
 
@@ -165,15 +178,20 @@ def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, t
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a small ridge."""
+    """Slope and offset of a logistic curve, by Newton steps with a small ridge.
+
+    Where most rows are toxic they weigh as much as the clean ones together: such
+    labels were picked, and a text without entries must not be toxic by their share.
+    """
     if not len(y) or y.min() == y.max():
         return Model.slope, Model.offset
+    weight = np.where(y > 0, min(1.0, (len(y) - y.sum()) / y.sum()), 1.0)
     a = np.column_stack([x, np.ones(len(x))])
     theta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        grad = a.T @ (p - y) / len(y) + ridge * theta * (1, 0)
-        hess = (a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag([ridge, 1e-12])
+        grad = a.T @ (weight * (p - y)) / len(y) + ridge * theta * (1, 0)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a / len(y) + np.diag([ridge, 1e-12])
         step = np.linalg.solve(hess, grad)
         theta -= step
         if np.abs(step).max() < 1e-8:
@@ -239,16 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     counts = texts.mapInArrow(count, "entry string, bad long, clean long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
     counts = work.write(counts.where(F.col("bad") + F.col("clean") >= LEAST_DOCS), "counts")
     tested = counts.count()
-    share = toxic / len(rows)
-    best = (
-        counts.where(F.col("bad") >= LEAST_DOCS)
-        .where(F.col("bad") > 3 * share * (F.col("bad") + F.col("clean")))
-        .orderBy(F.desc(F.col("bad") / (F.col("clean") + 1.0)), F.desc("bad"), "entry")
-        .limit(20 * ENTRIES)
-        .collect()
-    )
+    best = _passing(counts, toxic, len(rows) - toxic, tested).limit(20 * ENTRIES).collect()
     work.drop(counts)
     model = Model(choose_entries([(r["entry"], r["bad"], r["clean"]) for r in best], toxic, len(rows) - toxic, tested), exceptions=exceptions)
+    if not model.weights:
+        return model  # nothing to tell texts apart by, so none is called toxic
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

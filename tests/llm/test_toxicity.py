@@ -42,3 +42,23 @@ def test_edge_tables(spark, labels):
     assert [r["predicted"] for r in op.score(docs, model).collect()] == [0] * 5
     assert op.drop_toxic(docs, model).count() == 5
     assert op.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("toxic", "of"), [(2, 5), (3, 5), (1, 10)])
+def test_any_share_of_toxic_labels(spark, toxic, of):
+    def text(d):
+        words = [f"w{(d * k + k * k) % 997:03d}x" for k in range(3, 40)]
+        return " ".join(words[:20] + (["you", "grobnitz" if d % 7 else "vlarfing"] if d % of < toxic else []) + words[20:])
+
+    docs = spark.createDataFrame([(d, text(d)) for d in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % of < toxic)) for d in range(1000)], "doc_id long, toxic int")
+    model = op.train(docs, labels)
+    assert model.weights
+    assert {r["doc_id"]: r["predicted"] for r in op.score(docs, model).collect()} == {d: int(d % of < toxic) for d in range(1000)}
+    assert op.drop_toxic(docs, model).count() == 1000 - 1000 * toxic // of
+
+
+def test_no_entry_calls_nothing_toxic(spark):
+    docs = spark.createDataFrame([(d, f"plain words number{d}") for d in range(100)], "doc_id long, text string")
+    model = op.train(docs, spark.createDataFrame([(d, int(d % 5 < 3)) for d in range(100)], "doc_id long, toxic int"))
+    assert not model.weights and op.drop_toxic(docs, model).count() == 100
