@@ -5,6 +5,10 @@ other parameters has the same template. Windows of template words are hashed, an
 the windows of documents are joined to those of benchmark items. What the slots of
 matched windows hold is then compared: on one alignment of an item with a document
 every slot value must stand for one value throughout, or the window does not count.
+
+An item is looked for in three ways: with capitalised words inside sentences as
+names, with those that begin a sentence as names too unless they are ordinary
+words, and word for word in lower case.
 """
 
 from __future__ import annotations
@@ -37,10 +41,28 @@ UNITS = frozenset(
     "kilogram kilograms liter liters litre litres mile miles foot feet inch inches pound pounds".split()
 )
 
+# fixed values: words that begin sentences without being names
+ORDINARY = frozenset(
+    "a about above according across after again all almost along already also although always among an and another any anyone anything are as ask "
+    "assume assuming at because before begin below beside besides between both but by calculate can choose compare complete compute consider "
+    "convert could count decide define derive describe determine did do does draw during each either else estimate evaluate even eventually every "
+    "everyone everything except explain express factor few final finally find first for former four from further give given gives had half has have "
+    "he hence her here hers his how however i if imagine in initially inside instead into is it its itself just know last later latter least less "
+    "let like list look many maybe meanwhile more moreover most much must my name near neither never next no nobody none nor not nothing now of off "
+    "often on once one only or other others our out outside over per perhaps please prove put read right round say second select several she should "
+    "show simplify since six so solve some someone something sometimes soon state still such suppose take tell than that the their them then there "
+    "therefore these they third this those three through throughout thus to today together tomorrow too two under unless until up upon use using "
+    "usually very was we were what whatever when whenever where whether which while who whoever whom whose why with within without would write "
+    "yesterday yet you your".split()
+)
+
 NUMBER = re.compile(r"[+\-−]?[$€£]?\d[\d.,:/]*(?:[%°]|[A-Za-zµ²³]{1,4})?[€£$]?", re.ASCII)
 EDGES = re.compile(r"^[^\w$€£+\-−]+|[^\w%°€£$²³]+$")
-LITERAL, CAPITAL, ENDS, IS_NUMBER, IS_UNIT, EMPTY = 0, 1, 2, 4, 8, 16
-FLAGS = 32
+LITERAL, CAPITAL, ENDS, IS_NUMBER, IS_UNIT, EMPTY, IS_ORDINARY = 0, 1, 2, 4, 8, 16, 32
+FLAGS = 64
+# the ways of looking for an item, and what sets windows of the last apart
+INSIDE, STARTS, VERBATIM = 0, 1, 2
+VERBATIM_MARK = np.uint64(xxhash.xxh64_intdigest("\x00verbatim"))
 NUMBER_HASH, UNIT_HASH, NAME_HASH = (np.uint64(xxhash.xxh64_intdigest(x) // FLAGS * FLAGS) for x in ("\x00number", "\x00unit", "\x00name"))
 
 
@@ -64,7 +86,7 @@ class Words(dict):
         elif low in UNITS:
             flags |= IS_UNIT
         if inner[:1].isupper() and not inner.isupper():  # words all in capitals are no names
-            flags |= CAPITAL
+            flags |= CAPITAL | (IS_ORDINARY if low in ORDINARY else 0)
         found = self[word] = xxhash.xxh64_intdigest(low) // FLAGS * FLAGS | flags
         return found
 
@@ -72,11 +94,13 @@ class Words(dict):
 _WORDS = Words()
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of a text, their canonical hashes, and which of them are slots.
+def templates(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a text, and for each way a row of their canonical hashes and of which are slots.
 
     A number is a slot; a unit is one after a number; a capitalised word is a name
-    unless it begins the text or a sentence or is all in capitals. Words without a letter or digit go.
+    unless it is all in capitals or begins the text or a sentence, and by ``STARTS``
+    there too unless it is an ordinary word. By ``VERBATIM`` nothing is a slot. Words
+    without a letter or digit go.
     """
     words = (text or "").split()
     each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -87,37 +111,55 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         flags[ends[ends > 0] - 1] |= ENDS
         keep = ~empty
         words, each, flags = [w for w, k in zip(words, keep, strict=True) if k], each[keep], flags[keep]
-    hashes = each & ~np.uint64(FLAGS - 1)
     number = (flags & IS_NUMBER) != 0
     after_number, inside = np.zeros(len(flags), bool), np.zeros(len(flags), bool)
     after_number[1:] = number[:-1]
     inside[1:] = (flags[:-1] & ENDS) == 0
     unit = ((flags & IS_UNIT) != 0) & after_number
-    name = ((flags & CAPITAL) != 0) & inside & ~number & ~unit
-    hashes[number], hashes[unit], hashes[name] = NUMBER_HASH, UNIT_HASH, NAME_HASH
-    return words, hashes, number | unit | name
+    capital = ((flags & CAPITAL) != 0) & ~number & ~unit
+    hashes = np.empty((3, len(flags)), np.uint64)
+    hashes[:] = each & ~np.uint64(FLAGS - 1)
+    slots = np.zeros((3, len(flags)), bool)
+    hashes[:VERBATIM, number], hashes[:VERBATIM, unit] = NUMBER_HASH, UNIT_HASH
+    for way, name in ((INSIDE, capital & inside), (STARTS, capital & (inside | ((flags & IS_ORDINARY) == 0)))):
+        hashes[way, name] = NAME_HASH
+        slots[way] = number | unit | name
+    return words, hashes, slots
+
+
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a text, their canonical hashes, and which of them are slots; names inside sentences only."""
+    words, hashes, slots = templates(text)
+    return words, hashes[INSIDE], slots[INSIDE]
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``width`` template words, and whether it has enough literal words."""
-    n = len(hashes) - width + 1
+    """By way, the hash of each window of ``width`` words, and whether it has enough literal words."""
+    n = hashes.shape[1] - width + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    out = hashes[:n].copy()
+        return np.empty((3, 0), np.uint64), np.empty((3, 0), bool)
+    out = hashes[:, :n].copy()
     for k in range(1, width):
         out *= BASE
-        out += hashes[k : k + n]
+        out += hashes[:, k : k + n]
     out ^= out >> np.uint64(31)
     out *= BASE
     out ^= out >> np.uint64(29)
-    total = np.concatenate([[0], np.cumsum(slots)])
-    return out, width - (total[width:] - total[:-width]) >= LEAST_LITERAL
+    out[VERBATIM] ^= VERBATIM_MARK
+    literal = np.zeros((3, hashes.shape[1] + 1), np.int64)
+    np.cumsum(~slots, axis=1, out=literal[:, 1:])
+    good = literal[:, width:] - literal[:, :-width] >= LEAST_LITERAL
+    # one word says something only where it is the whole text
+    good[VERBATIM] = width > 1 or hashes.shape[1] == 1
+    return out, good
 
 
-def window_rows(table: DataFrame, id_col: str, text_col: str, width: int, wanted=None) -> DataFrame:
-    """``row, id, pos, window, slots``: template windows and the lower-cased contents of their slots.
+def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int], wanted=None, items: bool = False) -> DataFrame:
+    """``row, id, pos, way, width, window, slots``: windows of the template words and the lower-cased contents of their slots.
 
-    With ``wanted`` (a broadcast sorted array of hashes) only those windows.
+    With ``wanted`` (a broadcast sorted array of hashes) only those windows. ``items``
+    have windows of the first width in each way, shorter ones one of all their words.
+    Elsewhere a window that is the same in both ways of names comes once.
     """
     picked = table.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -128,38 +170,45 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, width: int, wanted
             near = np.zeros(1 << FILTER_BITS, bool)
             near[some >> np.uint64(64 - FILTER_BITS)] = True
         for batch in batches:
-            rows, ids, places, found, slots = [], [], [], [], []
+            rows, ids, places, ways, wide, found, slots = [], [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row += 1
-                words, hashes, is_slot = template(text.as_py())
-                each, good = windows(hashes, is_slot, width)
-                if some is not None:
-                    at = np.flatnonzero(near[each >> np.uint64(64 - FILTER_BITS)] & good)
-                    if len(at):
-                        place = np.minimum(np.searchsorted(some, each[at]), len(some) - 1)
-                        at = at[some[place] == each[at]]
-                else:
-                    at = np.flatnonzero(good)
-                for p in at.tolist():
-                    rows.append(row)
-                    ids.append(key)
-                    places.append(p)
-                    slots.append([core(words[p + k]).lower() for k in range(width) if is_slot[p + k]])
-                found.append(each[at])
+                words, hashes, is_slot = templates(text.as_py())
+                for width in [min(widths[0], max(1, len(words)))] if items else widths:
+                    each, good = windows(hashes, is_slot, width)
+                    if not items:
+                        good[STARTS] &= each[STARTS] != each[INSIDE]
+                    if some is not None:
+                        way, at = np.nonzero(near[each >> np.uint64(64 - FILTER_BITS)] & good)
+                        if len(at):
+                            place = np.minimum(np.searchsorted(some, each[way, at]), len(some) - 1)
+                            hit = some[place] == each[way, at]
+                            way, at = way[hit], at[hit]
+                    else:
+                        way, at = np.nonzero(good)
+                    for w, p in zip(way.tolist(), at.tolist(), strict=True):
+                        rows.append(row)
+                        ids.append(key)
+                        places.append(p)
+                        ways.append(w)
+                        wide.append(width)
+                        slots.append([core(words[p + k]).lower() for k in range(width) if is_slot[w, p + k]])
+                    found.append(each[way, at])
                 if len(rows) > 50_000:
-                    yield pack(rows, ids, places, found, slots)
-                    rows, ids, places, found, slots = [], [], [], [], []
-            yield pack(rows, ids, places, found, slots)
+                    yield pack(rows, ids, places, ways, wide, found, slots)
+                    rows, ids, places, ways, wide, found, slots = [], [], [], [], [], [], []
+            yield pack(rows, ids, places, ways, wide, found, slots)
         _WORDS.clear()  # the worker lives on
 
-    def pack(rows: list, ids: list, places: list, found: list, slots: list) -> pa.RecordBatch:
+    def pack(rows: list, ids: list, places: list, ways: list, wide: list, found: list, slots: list) -> pa.RecordBatch:
         flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip((rows, ids, places, flat, slots), types, strict=True)], ["row", "id", "pos", "window", "slots"]
+            [pa.array(c, t) for c, t in zip((rows, ids, places, ways, wide, flat, slots), types, strict=True)],
+            ["row", "id", "pos", "way", "width", "window", "slots"],
         )
 
-    return picked.mapInArrow(run, "row long, id long, pos long, window long, slots array<string>")
+    return picked.mapInArrow(run, "row long, id long, pos long, way int, width int, window long, slots array<string>")
 
 
 def contaminated(
@@ -177,47 +226,53 @@ def contaminated(
     reparameterised``: the share of an item's distinct template windows that the
     document has with consistent slots, at least ``least``; how many distinct windows
     the item has; its slot values, and how many hold another value in the document.
+    Of the three ways the first that reaches ``least`` counts; word for word, nothing
+    is a slot.
     ``row`` numbers the input rows, so repeated rows and null ids are told apart.
 
-    Null and empty texts contain nothing. Items with fewer than ``width`` template
-    words, or without a window of two literal words, are never found. Items that
+    Null and empty texts contain nothing. Items with fewer than ``width`` words are one
+    window of all their words, one of a single word is found where it is the whole text.
+    Items without a window of two literal words are found word for word only. Items that
     repeat are separate items. Empty tables give no rows; other columns are never read.
     """
     items = benchmark.select(F.monotonically_increasing_id().alias("copy"), F.col("item_id").alias("item_id"), F.col("text").alias("text"))
-    asked = window_rows(items, "item_id", "text", width).select(
-        F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots")
+    asked = window_rows(items, "item_id", "text", [width], items=True).select(
+        F.col("row").alias("item"), F.col("id").alias("item_id"), "way", "width", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots")
     )
-    sizes = asked.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
-    asked = asked.join(sizes, "item")
     spark = docs.sparkSession
     work = Workspace(spark, "decontam")
     asked = work.write(asked, "asked")
+    widths = [width, *sorted(r[0] for r in asked.where(F.col("width") < width).select("width").distinct().collect())]
+    sizes = asked.groupBy("item", "way").agg(F.countDistinct("window").alias("n_windows"))
+    asked = work.write(asked.drop("width").join(sizes, ["item", "way"]), "sized")
     if asked.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hashes = [r[0] for r in asked.select("window").distinct().collect()]
         wanted = spark.sparkContext.broadcast(np.sort(np.array(hashes, np.int64).view(np.uint64)))
         asked = F.broadcast(asked)
-        found = window_rows(docs, id_col, text_col, width, wanted) if hashes else window_rows(docs.limit(0), id_col, text_col, width)
+        found = window_rows(docs, id_col, text_col, widths, wanted) if hashes else window_rows(docs.limit(0), id_col, text_col, widths)
     else:
-        found = window_rows(docs, id_col, text_col, width)
+        found = window_rows(docs, id_col, text_col, widths)
     # documents are read once: the hits are written before they are judged in several ways
-    hits = work.write(found.join(asked, "window").withColumn("shift", F.col("pos") - F.col("item_pos")), "hits")
-    plain = hits.where(F.size("slots") == 0).select("row", "id", "item", "item_id", "n_windows", "window", F.lit(0).alias("n"), F.lit(0).alias("wrong"))
+    hits = work.write(found.drop("way", "width").join(asked, "window").withColumn("shift", F.col("pos") - F.col("item_pos")), "hits")
+    plain = hits.where(F.size("slots") == 0).select("row", "id", "item", "item_id", "way", "n_windows", "window", F.lit(0).alias("n"), F.lit(0).alias("wrong"))
     pairs = hits.where(F.size("slots") > 0).select(
-        "row", "id", "item", "item_id", "n_windows", "window", "shift", "pos",
+        "row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos",
         F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("said"))).alias("pair"),
-    ).select("row", "id", "item", "item_id", "n_windows", "window", "shift", "pos", F.col("pair.asked").alias("asked"), F.col("pair.said").alias("said"))
-    align = ["row", "item", "shift"]
+    ).select("row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos", F.col("pair.asked").alias("asked"), F.col("pair.said").alias("said"))
+    align = ["row", "item", "way", "shift"]
     votes = pairs.groupBy(*align, "asked", "said").agg(F.count("*").alias("votes"))
     rule = votes.groupBy(*align, "asked").agg(F.max_by("said", F.struct("votes", "said")).alias("rule"))
-    judged = pairs.join(rule, [*align, "asked"]).groupBy("row", "id", "item", "item_id", "n_windows", "window", "shift", "pos").agg(
+    judged = pairs.join(rule, [*align, "asked"]).groupBy("row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos").agg(
         F.count("*").alias("n"), F.count_if(F.col("said") != F.col("rule")).alias("wrong")
     )
     kept = plain.unionByName(judged.select(plain.columns)).where("wrong = 0")
-    covered = kept.groupBy("row", "id", "item", "item_id", "n_windows").agg(F.countDistinct("window").alias("found"))
+    covered = kept.groupBy("row", "id", "item", "item_id", "way", "n_windows").agg(F.countDistinct("window").alias("found"))
     covered = covered.withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= least)
-    changes = rule.groupBy("row", "item", "asked").agg(F.max((F.col("asked") == F.col("rule")).cast("int")).alias("same"))
-    changes = changes.groupBy("row", "item").agg(F.count("*").alias("n_slots"), F.count_if(F.col("same") == 0).alias("n_changed"))
-    return covered.join(changes, ["row", "item"], "left").select(
+    covered = covered.groupBy("row", "id", "item", "item_id").agg(F.min_by(F.struct("way", "n_windows", "coverage"), "way").alias("best"))
+    covered = covered.select("row", "id", "item", "item_id", "best.*")
+    changes = rule.groupBy("row", "item", "way", "asked").agg(F.max((F.col("asked") == F.col("rule")).cast("int")).alias("same"))
+    changes = changes.groupBy("row", "item", "way").agg(F.count("*").alias("n_slots"), F.count_if(F.col("same") == 0).alias("n_changed"))
+    return covered.join(changes, ["row", "item", "way"], "left").select(
         "row",
         F.col("id").alias("doc_id"),
         "item_id",

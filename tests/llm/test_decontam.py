@@ -60,3 +60,22 @@ def test_drop_and_empty(spark):
     assert sorted(r["doc_id"] for r in op.drop_contaminated(docs, items).collect()) == [2, 3]
     assert op.drop_contaminated(docs, items).columns == docs.columns
     assert op.contaminated(docs, items.limit(0)).count() == op.contaminated(docs.limit(0), items).count() == 0
+
+
+TOM = "Tom has 12 apples. Tom buys 5 more at the market. Tom gives 3 apples to Anna. How many apples does Tom have left?"
+TOM_AGAIN = "Sara has 31 apples. Sara buys 9 more at the market. Sara gives 8 apples to Mia. How many apples does Sara have left?"
+NATALIA = "Natalia sold 48 clips in April. Natalia then sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"
+OSCAR = NATALIA.replace("Natalia", "Oscar").replace("48", "62").replace("April", "June").replace("May", "July")
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_windows": 0}])
+def test_names_that_begin_sentences_case_and_short_items(spark, options):
+    docs = [
+        (1, f"Intro. {TOM_AGAIN} End.", 0), (2, OSCAR, 0), (3, NATALIA.lower(), 0), (4, TOM.upper(), 0), (5, TOM, 0), (6, "he said: WHAT IS entropy? twice", 0),
+        (7, "Entropy!", 0), (8, "what is energy", 0), (9, TOM_AGAIN.replace("Sara gives", "Peter gives").replace("does Sara", "does Kim").replace("Sara buys", "Lea buys"), 0),
+    ]
+    items = [(1, TOM, ""), (2, NATALIA, ""), (3, "What is entropy?", ""), (4, "entropy", ""), (5, "", "")]
+    got = found(spark, docs, items, **options)
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 1), (6, 3), (7, 4)}
+    assert got[(1, 1)]["reparameterised"] and got[(2, 2)]["reparameterised"]
+    assert not any(got[k]["reparameterised"] for k in ((3, 2), (4, 1), (5, 1), (6, 3), (7, 4)))
