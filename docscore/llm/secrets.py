@@ -1,7 +1,7 @@
 """Secret scan: pattern candidates, and encodings confirmed by their structure.
 
 The base patterns report what looks like a credential. A second group of candidates
-is decoded from base64 or hex and reported only if the bytes parse: DER sequences
+is decoded from base64 (over several lines too) or hex and reported only if the bytes parse: DER sequences
 whose nested lengths fill their parents exactly, length-prefixed key records, and
 signed tokens whose header is a JSON object that names an algorithm.
 """
@@ -25,8 +25,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# a lookahead, so that a refused candidate does not hide one that begins inside it
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[^-]|-(?!----))+)-----END \1-----")
+ESCAPED = re.compile(r"\\+([nrt/])")
+HEADERS = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)+")
+ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4,[ \t]*ENCRYPTED\s.*?DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{16}){1,2})\s", re.DOTALL)
+# base64 wrapped over lines, also as a string with escaped line ends
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:(?:[ \t\r]*\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/]{40,})*(?:[ \t\r]*\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/]+={0,2}")
+LINE = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]+={0,2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
 OPENSSH = b"openssh-key-v1\x00"
@@ -121,6 +128,52 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_record_key(data))
 
 
+def is_armored_key(body: str) -> bool:
+    """The body of a PEM block, escaped line ends and header lines allowed, decodes to a key.
+
+    An encrypted body has no structure but its headers: a cipher with an initial
+    vector, and whole cipher blocks of that size.
+    """
+    if "\\" in body:
+        body = ESCAPED.sub(lambda m: {"n": "\n", "r": "\r", "t": "\t", "/": "/"}[m[1]], body)
+    headers = HEADERS.match(body)
+    data = _unbase64(body[headers.end() :] if headers else body)
+    sealed = ENCRYPTED.search(headers[0]) if headers else None
+    if sealed and data:
+        return len(data) >= 32 and len(data) % (len(sealed[1]) // 2) == 0
+    return is_key(data)
+
+
+def wrapped_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of keys over two or more of the base64 lines between ``start`` and ``end``.
+
+    The length at the head of a DER key says where it ends; records are tried to the last line and the one before.
+    """
+    lines = [m.span() for m in LINE.finditer(text, start, end)]
+    first = 0
+    while first < len(lines):
+        a, b = lines[first]
+        head = _unbase64(text[a : min(b, a + 40)])
+        lasts: list[int] = []
+        if head and head[:1] == b"\x30" and (b - a) >= 40:
+            size = head[1] if head[1] < 0x80 else int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
+            chars = -(-(size + 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)) * 4 // 3)
+            got, last = 0, first
+            while last < len(lines) and got < chars:
+                got += len(text[slice(*lines[last])].rstrip("="))
+                last += 1
+            if got == chars:
+                lasts = [last - 1]
+        elif head and (OPENSSH.startswith(head[:15]) or head[:3] == b"\0\0\0"):
+            lasts = [len(lines) - 1, len(lines) - 2]
+        for last in lasts:
+            if last > first and is_key(_unbase64("".join(text[slice(*x)] for x in lines[first : last + 1]))):
+                yield a, lines[last][1]
+                first = last
+                break
+        first += 1
+
+
 def is_signed_token(header: str, body: str) -> bool:
     """The header decodes to a JSON object with an algorithm; the body decodes too."""
     if not header.startswith(("ey", "ew")) or _unbase64(body, True) is None:
@@ -150,12 +203,18 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates whose decoded bytes have the structure of a key or a signed token."""
     found = []
     if "." in text and ("ey" in text or "ew" in text):
-        found += [(m.start(), m.end(), "token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
+        found += [(m.start(), m.end(3), "token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in ARMOR.finditer(text):
-            if is_key(_unbase64(m[2])):
+            if is_armored_key(m[2]):
                 found.append((m.start(), m.end(), "armor"))
-    found += [(m.start(), m.end(), "base64_key") for m in BASE64.finditer(text) if is_key(_unbase64(m[0]))]
+    armored = [(a, b) for a, b, kind in found if kind == "armor"]
+    lines = list(BASE64.finditer(text))
+    found += [(m.start(), m.end(), "base64_key") for m in lines if is_key(_unbase64(m[0]))]
+    if lines:
+        for m in WRAPPED.finditer(text):
+            if not any(a <= m.start() < b for a, b in armored):
+                found += [(a, b, "base64_key") for a, b in wrapped_keys(text, m.start(), m.end())]
     found += [(m.start(), m.end(), "hex_key") for m in ANY_HEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
     return found
 

@@ -81,3 +81,26 @@ def test_fixture_and_empty(spark):
     for r in op.scan(docs).collect():
         assert r["base_sha256"] == hashlib.sha256(",".join(brute(text[r["doc_id"]])).encode()).hexdigest()
     assert op.scan(docs.limit(0)).count() == 0
+
+
+def wrap(data, end="\n", width=64):
+    plain = base64.b64encode(data).decode()
+    return end.join(plain[k : k + width] for k in range(0, len(plain), width))
+
+
+def test_keys_in_strings_headers_and_lines():
+    record = lambda b: len(b).to_bytes(4, "big") + b
+    token = f"{url(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{url(b'{}')}.{url(b'x' * 32)}"
+    escaped = f"-----BEGIN PRIVATE KEY-----\\n{wrap(KEY, chr(92) + 'n')}\\n-----END PRIVATE KEY-----"
+    assert kinds(json.dumps({"private_key": escaped.replace("\\n", "\n")})) == [("armor", escaped)]
+    head = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    sealed = f"-----BEGIN RSA PRIVATE KEY-----{head}{wrap(bytes(range(160)))}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"x {sealed} y") == [("armor", sealed)]
+    assert kinds(sealed.replace("DEK-Info", "Other")) == kinds(sealed.replace(wrap(bytes(range(160))), wrap(bytes(range(150))))) == []
+    for body in (KEY, KEY[:0] + der(0x30, der(0x02, b"\x01") + der(0x04, b"\x22" * 300)), record(b"ssh-rsa") + record(b"\x01\x00\x01") + record(b"k" * 257)):
+        for end in ("\n", "\r\n", "\n    ", "\\n"):
+            assert kinds(f"key: {wrap(body, end)} \n.") == [("base64_key", wrap(body, end))]
+    assert kinds(f"{wrap(KEY)}\nnext line of words\n{wrap(KEY)}\n") == [("base64_key", wrap(KEY))] * 2
+    assert kinds(wrap(KEY[:-1] + b"\0\0")) == []
+    for before in ("auth_token.", "eyJub3RoaW5n.", "a.b.eyJhbGciOjF9."):
+        assert ("token", token) in kinds(before + token)
