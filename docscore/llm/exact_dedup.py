@@ -151,8 +151,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns, without rows whose text another kept row has."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = exact_duplicates(marked, id_col, text_col, row_col="__row", **options).where("kept").select(F.col("row").alias("__row"))
+    work = options.pop("work", None) or Workspace(docs.sparkSession, "exact")
+    # numbers depend on how files are split, so the numbered rows are written and never numbered again
+    marked = work.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    kept = exact_duplicates(marked, id_col, text_col, row_col="__row", work=work, **options).where("kept").select(F.col("row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").drop("__row")
 
 

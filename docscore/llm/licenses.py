@@ -126,13 +126,15 @@ def scan(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(path, F.lit("")).alias("path"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"),
     )
-    low = rows.select("row", F.lower("text").alias("text"), "text").toDF("row", "low", "text")
+    said = F.filter(F.split("low", SEGMENT), lambda s: _has_any(s, weights.required))
+    rows = rows.withColumn("said", F.when(_has_any(F.col("low"), weights.required), said))
+    # numbers depend on how files are split, so the numbered rows are written and never numbered again
+    length = F.when(F.size("said") > 0, F.regexp_count("low", F.lit(TERM)))
+    rows = work.write(rows.select("row", "doc_id", "path", "said", length.alias("length")), "rows")
     segments = (
-        low.where(_has_any(F.col("low"), weights.required))
-        .select("row", F.posexplode(F.split("low", SEGMENT)).alias("segment", "said"))
-        .where(_has_any(F.col("said"), weights.required))
+        rows.select("row", F.posexplode("said").alias("segment", "said"))
         .select("row", "segment", F.explode(F.regexp_extract_all("said", F.lit(TERM), 0)).alias("term"))
         .groupBy("row", "segment", "term")
         .agg(F.count("*").alias("tf"))
@@ -157,9 +159,7 @@ def scan(
     own = work.write(own.select("row", "best.license", (-F.col("best.back")).alias("cosine"), "n_matches", "words"), "own")
     placed = rows.select("row", "doc_id", "path", _parent(F.col("path")).alias("folder")).join(own, "row", "left")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    length = F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))
-    # only documents with a licence are read again for their length
-    files = rows.join(own, "row").where(name.rlike(FILE_NAME) | (2 * F.col("words") >= length))
+    files = rows.join(own, "row").where(name.rlike(FILE_NAME) | (2 * F.col("words") >= F.col("length")))
     files = files.groupBy(_parent(F.col("path")).alias("above")).agg(F.min(F.struct((-F.col("cosine")).alias("back"), "license")).alias("best"))
     files = work.write(files.select("above", "best.license"), "files")
     folders = placed.where("license IS NULL").select("folder").distinct()

@@ -271,7 +271,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The input's rows and columns, one row of each component: that with the smallest
     id, of several the first in reading order; a null id is larger than any other."""
     work = Workspace(docs.sparkSession, "simhash")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    # numbers depend on how files are split, so the numbered rows are written and never numbered again
+    marked = work.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     marks = work.write(fingerprints(marked, id_col, text_col, width, seed, "__row"), "fingerprints")
     labels = component_labels(marks, radius, work)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")

@@ -53,3 +53,21 @@ def test_main_path_runs_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = op.exact_duplicates(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_stay_when_files_are_split_anew(spark, tmp_path):
+    rows = [(k, f"text {k % 40} " + " ".join(f"w{(k % 40) * j}" for j in range(9)), "s") for k in range(60)]
+    for k in range(6):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted(r["doc_id"] for r in op.drop_duplicates(docs).collect())
+    late = op.drop_duplicates(docs)
+    try:
+        # as if cores had been lost between the jobs: fewer, larger splits
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(r["doc_id"] for r in late.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) == 40

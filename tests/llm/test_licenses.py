@@ -85,3 +85,19 @@ def test_empty_and_native(spark):
     out = op.scan(docs, F.col("path"))
     assert out.count() == 0
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_licences_stay_with_their_rows_when_files_are_split_anew(spark, tmp_path):
+    for k in range(6):
+        rows = [(10 * k + j, "Licensed under the MIT License." if j % 3 == 0 else "no licence in here") for j in range(10)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    late = op.scan(docs, F.concat(F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/x")))
+    try:
+        # as if cores had been lost between the jobs: fewer, larger splits
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert {r["doc_id"] for r in late.collect() if r["basis"] == "own"} == {d for d in range(60) if d % 10 % 3 == 0}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

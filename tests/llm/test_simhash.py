@@ -97,3 +97,21 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (None, 4), (2000, 2001), (2001, 2000)]
     found = components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "test")).collect()
     assert {r["node"]: r["root"] for r in found} == {i: 0 for i in range(1, 61)} | {k: 1000 for k in range(1001, 1100)} | {2001: 2000}
+
+
+def test_rows_stay_when_files_are_split_anew(spark, tmp_path):
+    rows = [(k, f"text {k % 40} " + " ".join(f"w{(k % 40) * j}" for j in range(9)), "s") for k in range(60)]
+    for k in range(6):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    late = simhash.drop_near_duplicates(docs)
+    try:
+        # as if cores had been lost between the jobs: fewer, larger splits
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(r["doc_id"] for r in late.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) == 40
