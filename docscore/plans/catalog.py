@@ -458,7 +458,7 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Interval of the digit-accuracy difference of two engines; Poisson weights come from a hash that SQL does not have."""
     s = P.scores(spark, sf)
     pairs = s.groupBy("document_id").agg(F.max(F.when(F.col("engine_id") == "exact", F.col("digit_accuracy"))).alias("a"), F.max(F.when(F.col("engine_id") == "truncated", F.col("digit_accuracy"))).alias("b"))
-    return _round(A.paired_bootstrap(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b", "document_id", rounds=50), "mean", "low", "high")
+    return _round(A.paired_bootstrap(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b", "document_id"), "mean", "low", "high")
 
 
 # --- regions ------------------------------------------------------------------
