@@ -7,6 +7,9 @@ reading it back, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,10 +19,18 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own where unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder of this machine, if all of Spark runs on it;
+    on a cluster that is an error, as executors would not see each other's files.
+    """
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docscore-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="docscore-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
 
@@ -46,6 +57,12 @@ class Workspace:
     def drop(self, frame: DataFrame) -> None:
         self._delete(frame._docscore_path)
 
+    def free(self) -> None:
+        """Let go of the shuffle files of finished steps: Spark's cleaner removes those
+        whose plans the driver's JVM has collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,36 +1,42 @@
 """Exact substring dedup by Rabin-Karp hashes of every fixed-length word window.
 
-Documents are dealt into chunks of neighbouring ids, so whether a window also
-starts in a smaller document is answered in two parts: inside the chunk by the
-chunk itself, and for all smaller chunks at once by the bucket of hashes. A chunk
-sends each bucket the distinct hashes it has (sorted, as fixed-width differences);
-the bucket sends back one bit for each. A passage that a third of all documents
-share is one hash per chunk, never one row per document. Windows that are to go
-merge into maximal intervals.
-
-Texts are shuffled once, by chunk; both passes over them read the same exchange.
+1. Every window of every document is hashed and Spark counts the hashes (map-side
+   combined). Windows that occur once anywhere can't be repeated.
+2. Hashes counted more than once set two bits each in a bit filter of fixed size. The
+   content of the windows that pass it (strong digest of the words) is grouped, with
+   the smallest id that holds it. So contents decide, never the hashes: a collision,
+   or a filter that fills up as tables grow, lets more windows through and changes
+   nothing else.
+3. Each content goes back to that first holder alone. A document removes the windows
+   that pass the filter and are not its own firsts; removed windows merge into
+   maximal intervals.
+
+A passage that a third of all documents share is combined before each shuffle and
+goes back to one document.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docscore.llm.storage import Workspace
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 13
-CHUNK_BYTES = 8 << 20
-BUCKET_HASHES = 1 << 20
-BYTES_PER_WORD = 6
+FILTER_BITS = 28
+PART_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 # space, and tab to carriage return
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-LAST = np.iinfo(np.int64).max
+INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -93,31 +99,60 @@ def window_hashes(words: np.ndarray, owner: np.ndarray, window: int) -> tuple[np
     return at, _spread(out[at])
 
 
-def bucket_starts(buckets: int) -> np.ndarray:
-    """The smallest hash of each bucket."""
-    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``PART_BYTES`` of text, a longer text alone, and their texts in UTF-8."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        k = 0
+        while k < batch.num_rows:
+            done = ends[k - 1] if k else 0
+            j = max(k + 1, int(np.searchsorted(ends, done + PART_BYTES, side="right")))
+            yield batch.slice(k, j - k), [t or b"" for t in texts.slice(k, j - k).to_pylist()]
+            k = j
 
-def pack(hashes: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences of equal width."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    body = steps[1:]
-    width = max(1, (int(body.max()).bit_length() + 7) // 8) if len(body) else 1
-    raw = body.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + int(hashes[0]).to_bytes(8, "little") + raw.tobytes()
 
+class Filter:
+    """A fixed number of bits, two of them set for each hash of a table.
 
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(raw) + 1, 8), np.uint8)
-    steps[1:, :width] = raw
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
-
+    Equal hashes pass or fail alike. The bits are the only thing collected: at most
+    ``2 ** bits / 8`` bytes at any size of the table.
+    """
 
-def _encoded(table: pa.Table) -> list[bytes]:
-    return [t.encode("utf-8", "replace") for t in table.column("text").to_pylist()]
+    def __init__(self, hashes: DataFrame, bits: int):
+        self.bits = bits
+        high = F.shiftrightunsigned("hash", 64 - bits)
+        low = F.shiftrightunsigned("hash", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        slots = hashes.select(F.explode(F.array(high, low)).alias("slot"))
+        mask = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+        found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(mask).alias("mask")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+        self.words = words
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the hashes that have both bits."""
+        some = np.flatnonzero(self._has(hashes >> np.uint64(64 - self.bits)))
+        low = (hashes[some] >> np.uint64(64 - 2 * self.bits)) & np.uint64((1 << self.bits) - 1)
+        return some[self._has(low)]
+
+    def _has(self, slots: np.ndarray) -> np.ndarray:
+        return (self.words[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+
+
+class Candidates:
+    """The windows of some texts that pass the filter, with the digests of their words."""
+
+    def __init__(self, texts: list[bytes], window: int, passing: Filter):
+        data, starts, ends, self.owner = split_words(texts)
+        at, hashes = window_hashes(word_hashes(data, starts, ends), self.owner, window)
+        self.at = at[passing.passes(hashes)]
+        # words with one space between them: a window is one run of bytes
+        self.said = b" ".join(data.tobytes().split())
+        self.begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts + 1)])
+        view, digest = memoryview(self.said), hashlib.blake2b
+        a, b = self.begins[self.at].tolist(), (self.begins[self.at + window] - 1).tolist()
+        self.digests = [digest(view[x:y], digest_size=16).digest() for x, y in zip(a, b, strict=True)]
 
 
 def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
@@ -126,124 +161,123 @@ def intervals(removed: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
+def _halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
-    chunk_bytes: int = CHUNK_BYTES,
-    bucket_hashes: int = BUCKET_HASHES,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     One row per input row: ``doc_id, n_words, n_removed, kept_sha256, removed``, where
     ``removed`` has the maximal intervals of removed words (ends exclusive). Windows
-    are judged on the input. Null text has no words. A null id is larger than any
+    are judged on the input, which is read several times and should be a stored table.
+    Ids may be of any ordered type. Null text has no words. A null id is larger than any
     other, so its windows remove nothing elsewhere; rows that share an id (null too)
     remove nothing from each other. Texts shorter than a window stay whole. An empty
     table gives no rows; other columns are never read.
 
-    Windows are equal when their 64-bit hashes are: for n distinct windows about
-    n^2 / 2^65 unequal pairs are taken for equal (0.0003 for 1e8 windows).
+    Windows are equal when their words are (128-bit BLAKE2 digests of the words).
+    ``filter_bits`` sets the size of the broadcast filter, 32 MiB for 28 bits; results
+    do not depend on it. A worker holds a slice of ``PART_BYTES`` of text, or one
+    longer text.
     """
-    picked = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    buckets = max(1, -(-total // (BYTES_PER_WORD * bucket_hashes)))
-    cuts = np.empty(0, np.int64)
-    if chunks > 1:
-        # quantiles of the ids: as many numbers as there are chunks
-        shares = [k / chunks for k in range(1, chunks)]
-        cuts = np.unique(picked.agg(F.percentile_approx("rank", shares, max(10_000, 20 * chunks))).first()[0])
-    shared = docs.sparkSession.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("long")
-    def chunk_of(rank: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, rank.to_numpy(), side="left"))
-
-    dealt = picked.withColumn("chunk", chunk_of("rank"))
-
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        data, starts, ends, owner = split_words(_encoded(table))
-        distinct = np.unique(window_hashes(word_hashes(data, starts, ends), owner, window)[1])
-        at = np.append(np.searchsorted(distinct, bucket_starts(buckets)), len(distinct))
-        some = np.flatnonzero(np.diff(at))
-        return pa.table(
-            {
-                "bucket": pa.array(some, pa.int64()),
-                "chunk": pa.array([key[0].as_py()] * len(some), pa.int64()),
-                "hashes": pa.array([pack(distinct[at[k] : at[k + 1]]) for k in some], pa.binary()),
-            }
-        )
-
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        each = [unpack(h.as_py()) for h in table.column("hashes")]
-        every = np.concatenate(each)
-        order = np.argsort(every, kind="stable")  # equal hashes: the smallest chunk first
-        ranked = every[order]
-        seen = np.zeros(len(every), bool)
-        seen[order[1:]] = ranked[1:] == ranked[:-1]
-        ends = np.cumsum([len(h) for h in each])
-        bits = [np.packbits(seen[end - len(h) : end]).tobytes() for h, end in zip(each, ends, strict=True)]
-        said = pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "bucket": table.column("bucket"),
-                "seen": pa.array(bits, pa.binary()),
-            }
-        )
-        return said.filter(pa.array([any(b) for b in bits], pa.bool_()))
-
-    def remove(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-        texts, rank = _encoded(table), table.column("rank").to_numpy()
-        data, starts, ends, owner = split_words(texts)
-        first_word, hashes = window_hashes(word_hashes(data, starts, ends), owner, window)
-        del data, starts, ends
-        distinct, place = np.unique(hashes, return_inverse=True)
-        at = np.append(np.searchsorted(distinct, bucket_starts(buckets)), len(distinct))
-        elsewhere = np.zeros(len(distinct), bool)
-        for bucket, bits in zip(said.column("bucket").to_pylist(), said.column("seen").to_pylist(), strict=True):
-            n = at[bucket + 1] - at[bucket]
-            elsewhere[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        holder = rank[owner[first_word]]
-        lowest = np.full(len(distinct), LAST, np.int64)
-        np.minimum.at(lowest, place, holder)
-        gone = first_word[elsewhere[place] | (lowest[place] < holder)]
-        change = np.zeros(len(owner) + 1, np.int32)
-        change[gone] += 1
-        change[gone + window] -= 1
-        removed = np.cumsum(change[:-1]) > 0
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        n_words, n_removed, digests, spans = np.diff(cuts), [], [], []
-        for text, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            words, mask = text.split(), removed[a:b]
-            runs = intervals(mask) if mask.any() else []
-            if runs:
-                words = list(compress(words, (~mask).tolist()))
-            n_removed.append(b - a - len(words))
-            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            spans.append([{"start": x, "end": y} for x, y in runs])
-        return pa.table(
-            {
-                "doc_id": table.column("doc_id"),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_sha256": pa.array(digests, pa.string()),
-                "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            }
-        )
-
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, hashes binary")
-    said = sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, seen binary")
-    return (
-        dealt.groupBy("chunk")
-        .cogroup(said.groupBy("chunk"))
-        .applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    spark = docs.sparkSession
+    work = Workspace(spark, "substrings")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = picked.schema["id"].dataType.simpleString()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in parts(batches):
+            data, starts, ends, owner = split_words(texts)
+            found = window_hashes(word_hashes(data, starts, ends), owner, window)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+
+    counted = picked.select("text").mapInArrow(hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n"))
+    repeated = work.write(counted.where("n > 1").select("hash"), "repeated")
+    work.free()
+    passing = spark.sparkContext.broadcast(Filter(repeated, filter_bits))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in parts(batches):
+            found = Candidates(texts, window, passing.value)
+            both = _halves(found.digests)
+            holder = pa.array(found.owner[found.at])
+            others = [batch.column(k).take(holder) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(both[:, 0]), pa.array(both[:, 1])], [*batch.schema.names[:-1], "a", "b"])
+
+    held = picked.mapInArrow(contents, f"id {kind}, a long, b long")
+    firsts = work.write(held.groupBy("a", "b").agg(F.min("id").alias("low")), "firsts")
+    work.drop(repeated)
+    work.free()
+
+    def remove(stay: bool):
+        """Listed digests are those that stay, or else those that go."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in parts(batches):
+                yield _removed(batch, texts, Candidates(texts, window, passing.value), window, stay)
+
+        return run
+
+    result = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    listed = F.collect_list(F.struct("a", "b")).alias("listed")
+    shared = work.write(picked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("low")), "shared")
+    if shared.isEmpty():
+        return _with(picked, firsts.groupBy(F.col("low").alias("key")).agg(listed), F.col("id")).mapInArrow(remove(True), result)
+    # the firsts of an id that many rows share are no bounded list: there each row is told what goes
+    same = F.col("id").eqNullSafe(F.col("low"))
+    alone = picked.join(shared, same, "left_anti")
+    known = firsts.join(shared, "low", "left_anti").groupBy(F.col("low").alias("key")).agg(listed)
+    one = _with(alone, known, F.col("id")).mapInArrow(remove(True), result)
+    several = picked.join(shared, same, "left_semi").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    mine = several.select("id", "digest", "text").mapInArrow(contents, f"id {kind}, digest string, a long, b long")
+    gone = mine.join(firsts, ["a", "b"]).where(F.coalesce(F.col("low") < F.col("id"), F.col("id").isNull() & F.col("low").isNotNull()))
+    key = F.struct("id", "digest")
+    told = gone.select(key.alias("key"), "a", "b").distinct().groupBy("key").agg(listed)
+    return one.unionByName(_with(several, told, key).mapInArrow(remove(False), result))
+
+
+def _with(texts: DataFrame, lists: DataFrame, key) -> DataFrame:
+    """``id, listed, text`` of every text, with the list of its key if there is one."""
+    return texts.select("id", "text", key.alias("own")).join(lists, F.col("own").eqNullSafe(F.col("key")), "left").select("id", "listed", "text")
+
+
+def _removed(batch: pa.RecordBatch, texts: list[bytes], found: Candidates, window: int, stay: bool) -> pa.RecordBatch:
+    lists = batch.column("listed")
+    flat = lists.flatten()
+    raw = np.stack([flat.field("a").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False)], axis=1).astype("<i8").tobytes()
+    stops = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)) * 16
+    holder = found.owner[found.at]
+    cuts = np.searchsorted(holder, np.arange(len(texts) + 1)).tolist()
+    goes = np.zeros(len(holder), bool)
+    for k in np.unique(holder).tolist():
+        known = {raw[x : x + 16] for x in range(int(stops[k - 1]) if k else 0, int(stops[k]), 16)}
+        goes[cuts[k] : cuts[k + 1]] = [(x in known) != stay for x in found.digests[cuts[k] : cuts[k + 1]]]
+    gone = found.at[goes]
+    change = np.zeros(len(found.owner) + 1, np.int32)
+    change[:-1] += np.bincount(gone, minlength=len(found.owner)).astype(np.int32)
+    change -= np.bincount(gone + window, minlength=len(change)).astype(np.int32)
+    removed = np.cumsum(change[:-1]) > 0
+    ends = np.searchsorted(found.owner, np.arange(len(texts) + 1)).tolist()
+    n_removed, digests, spans = [], [], []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        said = found.said[found.begins[a] : found.begins[b] - 1] if b > a else b""
+        mask = removed[a:b]
+        runs = intervals(mask) if mask.any() else []
+        if runs:
+            said = b" ".join(compress(said.split(b" "), (~mask).tolist()))
+        n_removed.append(int(mask.sum()))
+        digests.append(hashlib.sha256(said).hexdigest())
+        spans.append([{"start": x, "end": y} for x, y in runs])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id"), pa.array(np.diff(ends), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, INTERVALS)],
+        ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"],
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -15,12 +16,12 @@ def brute(rows, window=13):
         cut.append((d, words))
         for k in range(len(words) - window + 1):
             key = tuple(words[k : k + window])
-            first[key] = min(first.get(key, op.LAST), op.LAST if d is None else d)
+            first[key] = min(first.get(key, math.inf), math.inf if d is None else d)
     out = []
     for d, words in cut:
         gone = set()
         for k in range(len(words) - window + 1):
-            if first[tuple(words[k : k + window])] < (op.LAST if d is None else d):
+            if first[tuple(words[k : k + window])] < (math.inf if d is None else d):
                 gone.update(range(k, k + window))
         kept = [w for k, w in enumerate(words) if k not in gone]
         out.append((d, len(words), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
@@ -48,22 +49,59 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "bucket_hashes": 300}, {"window": 1}, {"window": 40, "chunk_bytes": 5000}])
-def test_matches_brute_force(spark, options):
+@pytest.mark.parametrize("options", [{}, {"filter_bits": 6}, {"window": 1}, {"window": 40, "filter_bits": 12}])
+def test_matches_brute_force(spark, options, monkeypatch):
+    monkeypatch.setattr(op, "PART_BYTES", 3000)
     rows = made()
     assert found(spark, rows, **options) == brute(rows, options.get("window", 13))
 
 
 def test_fixture(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    assert found(spark, rows, chunk_bytes=50_000, bucket_hashes=10_000) == brute(rows)
+    assert found(spark, rows) == brute(rows)
 
 
-def test_pack_round_trip():
-    rnd = random.Random(1)
-    for n in (1, 2, 1000):
-        some = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
-        assert np.array_equal(op.unpack(op.pack(some)), some)
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_with_one_polynomial_hash_are_not_equal(spark):
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    data, starts, ends, _ = op.split_words([one.encode(), other.encode()])
+    assert len(set(op.word_hashes(data, starts, ends).tolist())) == 1
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest} more"), (4, f"{rest} {one} {rest}")]
+    assert found(spark, rows) == brute(rows)
+    assert [r[2] for r in found(spark, rows)] == [0, 0, 13, 13]
+
+
+def test_ids_that_many_rows_share(spark):
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(9)) for _ in range(n))
+    passage = text(40)
+    rows = [(rnd.choice([7, None, 3]), f"{text(5)} {passage} {text(9)}") for _ in range(60)] + [(7, passage)] * 30 + [(None, passage)] * 30
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, [(None, t) for _, t in rows]) == brute([(None, t) for _, t in rows])
+
+
+def test_ids_of_another_type(spark):
+    rows = [("b", "x " * 20), ("a", "x " * 15), (None, "x " * 13), ("é", "y")]
+    out = op.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {"a": 0, "b": 20, None: 13, "é": 0}
+
+
+def test_long_text(spark):
+    words = [f"w{k % 70_000}" for k in range(150_000)]
+    rows = [(1, " ".join(words)), (2, "\t".join(words[1000:90_000])), (3, "z" * 3_000_000)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_nothing_is_dealt_by_a_count_of_the_driver(spark):
+    """The hashes of all windows are counted by Spark, combined before the shuffle."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = op.repeated_passages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
 
 
 def test_intervals_merge():
