@@ -11,6 +11,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it where the table has such a column (in any case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Workspace:
     """Tables of one operator call. ``drop`` frees what no later step reads;
     the rest goes when the driver's Python ends."""
@@ -43,6 +52,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docscore/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[str] = []
         atexit.register(self._quiet_clear)
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
@@ -52,16 +62,33 @@ class Workspace:
         frame.write.parquet(path)
         again = self.spark.read.schema(frame.schema).parquet(path)
         again._docscore_path = path
+        self.paths.append(path)
         return again
 
-    def drop(self, frame: DataFrame) -> None:
-        self._delete(frame._docscore_path)
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            self.paths.remove(frame._docscore_path)
+            self._delete(frame._docscore_path)
+
+    def mark(self) -> int:
+        """A place in the list of written tables, for ``prune``."""
+        return len(self.paths)
+
+    def prune(self, mark: int, *keep: DataFrame) -> None:
+        """Drop the tables written since ``mark`` but for ``keep``."""
+        kept = [frame._docscore_path for frame in keep]
+        for path in self.paths[mark:]:
+            if path not in kept:
+                self._delete(path)
+        self.paths[mark:] = [path for path in self.paths[mark:] if path in kept]
 
     def free(self) -> None:
         """Let go of the shuffle files of finished steps: Spark's cleaner removes those
-        whose plans the driver's JVM has collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        whose plans the driver's JVM has collected, which takes it more than one pass."""
+        for _ in range(3):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
