@@ -2,7 +2,8 @@
 
 Alternates the two star operations: every node first tells its larger neighbours
 about the smallest node around it, then its smaller ones. Minima are map-side
-combined and joined back, so a hub is never gathered in one task.
+combined, written, and joined back from storage, so that Spark splits the edges of a
+hub over tasks; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -13,18 +14,18 @@ from pyspark.sql import functions as F
 from docscore.llm.storage import Workspace
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low"))
+def _smallest(edges: DataFrame, work: Workspace) -> DataFrame:
+    return work.write(edges.groupBy("u").agg(F.min("v").alias("low")), "low").hint("merge")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, work: Workspace) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _smallest(both).withColumn("low", F.least("low", "u"))
+    low = _smallest(both, work).withColumn("low", F.least("low", "u"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = _smallest(edges)  # v < u throughout
+def _small_star(edges: DataFrame, work: Workspace) -> DataFrame:
+    low = _smallest(edges, work)  # v < u throughout
     moved = edges.join(low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
@@ -41,12 +42,14 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     direction are allowed; edges with a null end link nothing. No edges: no rows.
     """
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    start = work.mark()
     now = work.write(ordered, "edges")
     mark = _mark(now)
     while True:
-        then, before = now, mark
-        now = work.write(_small_star(_large_star(then)), "edges")
+        before = mark
+        wide = work.write(_large_star(now, work), "wide")
+        now = work.write(_small_star(wide, work), "edges")
         mark = _mark(now)
-        work.drop(then)
+        work.prune(start, now)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

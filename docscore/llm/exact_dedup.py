@@ -10,6 +10,10 @@ Texts are compared once: in the aggregation that finds the distinct blocks.
 Afterwards blocks are looked up by a 64-bit hash of the block, which is only a
 routing key: hashes that two distinct blocks share are found by counting, and
 their blocks are looked up by content.
+
+Names go back to their rows in joins whose other side has one row per key. That side
+is written first and read from storage, not aggregated in the join's own stage: only
+then does Spark split the partition of a key that a third of all rows have.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscore.llm.storage import Workspace
+from docscore.llm.storage import Workspace, free_name
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_BYTES = 4096
@@ -47,7 +51,7 @@ def _block_names(blocks: DataFrame, bits: int, work: Workspace) -> tuple[DataFra
     named = work.write(
         _ranked(blocks.groupBy("block").agg(F.first("route").alias("route")), ["block"]).select("route", "name"), "names"
     )
-    by_route = named.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    by_route = work.write(named.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("n")), "routes")
     alone = by_route.where("n = 1").select("route", "name")
     shared = by_route.where("n > 1").select("route")
     if shared.isEmpty():
@@ -73,7 +77,8 @@ def _pair_up(names: DataFrame, work: Workspace) -> DataFrame:
     )
     keyed = pairs.withColumn("right", F.coalesce("right", F.lit(0)))
     named = _ranked(keyed.groupBy("left", "right", "parts").agg(F.count("*").alias("n")), ["left", "right", "parts"])
-    return keyed.join(named.drop("n"), ["left", "right", "parts"]).select("row", "doc_id", "blocks", "digest", "i", "name")
+    named = work.write(named.drop("n"), "names")
+    return keyed.join(named.hint("merge"), ["left", "right", "parts"]).select("row", "doc_id", "blocks", "digest", "i", "name")
 
 
 def identities(
@@ -111,7 +116,7 @@ def identities(
     cut = cut.select("row", "doc_id", "digest", F.size("cut").alias("blocks"), F.posexplode("cut").alias("i", "part"))
     placed = cut.select("row", "doc_id", F.when(F.col("i") == 0, F.col("digest")).alias("digest"), "blocks", "i", "part.*")
     keep = ["row", "doc_id", "blocks", "digest", "i", "name"]
-    names = placed.join(alone, "route").select(keep)
+    names = placed.join(alone.hint("merge"), "route").select(keep)
     if clash is not None:
         names = names.unionByName(placed.join(clash, ["route", "block"]).select(keep))
     names = work.write(names, "level")
@@ -136,10 +141,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows; other columns of the input are never read.
     """
     work = options.pop("work", None) or Workspace(docs.sparkSession, "exact")
+    mark = work.mark()
     ids = work.write(identities(docs, id_col, text_col, work=work, **options), "identities")
+    work.prune(mark, ids)
     first = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), (-F.col("row")).alias("back"))
-    groups = ids.groupBy("blocks", "name").agg(F.max(first).alias("top"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["blocks", "name"]).select(
+    groups = work.write(ids.groupBy("blocks", "name").agg(F.max(first).alias("top"), F.count("*").alias("group_size")), "groups")
+    return ids.join(groups.hint("merge"), ["blocks", "name"]).select(
         "row",
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
@@ -150,12 +157,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows and columns, without rows whose text another kept row has."""
+    """The input's rows and columns, without rows whose text another kept row has.
+
+    Of equal texts (null is the empty text) the row with the largest id stays, a null
+    id being smaller than any other; of rows that share it one stays. Columns of any
+    name are kept. An empty table gives no rows.
+    """
     work = options.pop("work", None) or Workspace(docs.sparkSession, "exact")
     # numbers depend on how files are split, so the numbered rows are written and never numbered again
-    marked = work.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    kept = exact_duplicates(marked, id_col, text_col, row_col="__row", work=work, **options).where("kept").select(F.col("row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").drop("__row")
+    number = free_name(docs, "__row")
+    marked = work.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    kept = exact_duplicates(marked, id_col, text_col, row_col=number, work=work, **options).where("kept").select(F.col("row").alias(number))
+    return marked.join(kept, number, "left_semi").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Fingerprints at most ``radius`` bits apart agree in at least one of ``radius + 1``
 blocks of bits, so every link is found inside a bucket of fingerprints that share a
-block. A bucket is cut into tiles ordered by population count. Pairs of tiles are
-compared with numpy exclusive-or and bit counts; pairs whose population counts
-differ beyond the radius are skipped. A large bucket is dealt over many tasks, a
-pair of tiles at a time. Each task returns a spanning forest of the links it saw,
-never the links themselves, so its output is linear in its input.
+block. The same holds for the bits that a bucket leaves open, so a large bucket is
+split by blocks of those, again and again until its parts are small: distinct
+fingerprints that agree in all but a few bits are few. A bucket is cut into tiles
+ordered by population count. Pairs of tiles are compared with numpy exclusive-or and
+bit counts; pairs whose population counts differ beyond the radius are skipped. Each
+task returns a spanning forest of the links it saw, never the links themselves, so
+its output is linear in its input.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscore.llm.components import components
-from docscore.llm.storage import Workspace
+from docscore.llm.storage import Workspace, free_name
 
 LANES = np.uint64(0x0101010101010101)
 TILE = 1024
-DEALT_TILE = 8192
+LARGE = 8192
 PACK_ROWS = 20_000
 SLICE_SHINGLES = 200_000
 
@@ -136,22 +138,19 @@ class Forest:
                 root[:] = again
 
 
-def compare_tiles(values: np.ndarray, radius: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest ``(value, root value)`` of the links among ``values``, or from ``values`` to ``second``."""
-    own = np.unique(values)
-    every = own if second is None else np.unique(np.concatenate([own, second]))
+def compare_tiles(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest ``(value, root value)`` of the links among ``values``."""
+    every = np.unique(values)
     weight = np.bitwise_count(every)
     order = np.argsort(weight, kind="stable")
-    left = order if second is None else order[np.isin(every[order], own)]
-    right = order if second is None else order[np.isin(every[order], second)]
     forest = Forest(len(every))
-    for i in range(0, len(left), TILE):
-        rows = left[i : i + TILE]
-        low, high = int(weight[rows[0]]), int(weight[rows[-1]])
-        for j in range(i if second is None else 0, len(right), TILE):
-            cols = right[j : j + TILE]
-            if int(weight[cols[0]]) > high + radius or int(weight[cols[-1]]) < low - radius:
-                continue
+    for i in range(0, len(order), TILE):
+        rows = order[i : i + TILE]
+        high = int(weight[rows[-1]])
+        for j in range(i, len(order), TILE):
+            cols = order[j : j + TILE]
+            if int(weight[cols[0]]) > high + radius:
+                break  # tiles further on weigh more
             apart = np.bitwise_count(every[rows][:, None] ^ every[cols][None, :])
             a, b = np.nonzero(apart <= radius)
             forest.link(rows[a], cols[b])
@@ -159,75 +158,67 @@ def compare_tiles(values: np.ndarray, radius: int, second: np.ndarray | None = N
     return every[moved], every[forest.root[moved]]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """``(shift, bits)`` of each block of the fingerprint."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def split_mask(mask: int, radius: int) -> list[int]:
+    """``mask`` with each of ``radius + 1`` blocks of the bits it leaves open; none where it leaves too few."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    if len(rest) <= radius:
+        return []
+    cuts = [len(rest) * k // (radius + 1) for k in range(radius + 2)]
+    return [mask | sum(1 << b for b in rest[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _block_value(fp: Column, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keyed(values: DataFrame, splits: dict[int, list[int]]) -> DataFrame:
+    """``fp, mask, value``: each fingerprint of a bucket once for each split of the bucket's mask."""
+    rows = [(_signed(mask), _signed(part)) for mask, parts in splits.items() for part in parts]
+    # (radius + 1) ** depth rows at most, whatever the table
+    finer = F.broadcast(values.sparkSession.createDataFrame(rows, "mask long, finer long"))
+    each = values.join(finer, "mask").select("fp", F.col("finer").alias("mask"))
+    return each.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
 
 
 def links(values: DataFrame, radius: int, work: Workspace) -> DataFrame:
     """``u, v``: links between distinct fingerprints (column ``fp``) that connect all that are within ``radius``."""
-    keyed = values.select(
-        "fp",
-        F.explode(
-            F.array(*[F.struct(F.lit(k).alias("block"), _block_value(F.col("fp"), *cut).alias("value")) for k, cut in enumerate(_blocks(radius))])
-        ).alias("key"),
-    ).select("fp", "key.block", "key.value")
-    sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = work.write(sizes, "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    masks, large = [0], values.withColumn("mask", F.lit(0).cast("long"))
+    small: list[DataFrame] = []
+    total = 0
+    while True:
+        splits = {m: split_mask(m, radius) for m in masks}
+        splits = {m: parts for m, parts in splits.items() if parts}
+        keyed = _keyed(large, splits)
+        sizes = work.write(keyed.groupBy("mask", "value").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        members = work.write(keyed.join(sizes.hint("merge"), ["mask", "value"]), "members")
+        masks = sorted({m for parts in splits.values() for m in parts})
+        # a bucket that leaves too few bits open to be split is small
+        final = [_signed(m) for m in masks if not split_mask(m, radius)]
+        fits = (F.col("size") <= LARGE) | F.col("mask").isin(final)
+        small.append(members.where(fits))
+        total += small[-1].count()
+        large = members.where(~fits).select("fp", "mask")
+        if large.isEmpty():
+            break
     packs = max(1, -(-total // PACK_ROWS))
-    members = keyed.join(sizes, ["block", "value"])
-    small = members.where(F.col("size") <= DEALT_TILE).select(
-        F.pmod(F.xxhash64("block", "value"), F.lit(packs)).alias("g1"), F.lit(-1).cast("long").alias("g2"), F.lit(-1).cast("long").alias("g3"),
-        F.struct("block", "value").alias("bucket"), F.lit(0).alias("side"), "fp",
-    )
-    # a large bucket: tiles by population count, each pair of near enough tiles in a group of its own
-    tiles = F.ceil(F.col("size") / DEALT_TILE)
-    large = (
-        members.where(F.col("size") > DEALT_TILE)
-        .withColumn("weight", F.bit_count("fp").cast("long"))
-        .withColumn("tiles", tiles.cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("tiles")))
-        .withColumn("tile", F.col("weight") * F.lit(1 << 32) + F.col("part"))
-    )
-    partner = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.greatest(F.col("weight") - radius, F.lit(0)), F.least(F.col("weight") + radius, F.lit(64))),
-                lambda w: F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda p: w * F.lit(1 << 32) + p),
-            )
-        )
-    )
-    dealt = large.withColumn("other", partner).select(
-        F.xxhash64("block", "value").alias("g1"), F.least("tile", "other").alias("g2"), F.greatest("tile", "other").alias("g3"),
-        F.struct("block", "value").alias("bucket"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "fp",
-    )
+    every = small[0]
+    for more in small[1:]:
+        every = every.unionByName(more)
+    dealt = every.select(F.pmod(F.xxhash64("mask", "value"), F.lit(packs)).alias("pack"), "mask", "value", "fp")
 
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        side = table.column("side").to_numpy()
-        bucket = table.column("bucket").combine_chunks()
-        block, value = bucket.field("block").to_numpy(zero_copy_only=False), bucket.field("value").to_numpy(zero_copy_only=False)
-        order = np.lexsort((value, block))
-        fp, side, block, value = fp[order], side[order], block[order], value[order]
-        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1
-        ends = [*cuts.tolist(), len(fp)] if len(fp) else []
+        mask, value = table.column("mask").to_numpy(), table.column("value").to_numpy()
+        order = np.lexsort((value, mask))
+        fp, mask, value = fp[order], mask[order], value[order]
+        cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1
         us, vs, start = [], [], 0
-        for end in ends:
-            some, on = fp[start:end], side[start:end]
-            if end - start == 2 and on[0] == on[1]:
+        for end in [*cuts.tolist(), len(fp)] if len(fp) else []:
+            some = fp[start:end]
+            if end - start == 2:
                 if int(some[0] ^ some[1]).bit_count() <= radius:
                     us.append(some[:1])
                     vs.append(some[1:])
-            elif on.any():
-                a, b = compare_tiles(some[on == 0], radius, some[on == 1])
-                us.append(a)
-                vs.append(b)
             else:
                 a, b = compare_tiles(some, radius)
                 us.append(a)
@@ -237,16 +228,21 @@ def links(values: DataFrame, radius: int, work: Workspace) -> DataFrame:
         u, v = np.concatenate([none, *us]).view(np.int64), np.concatenate([none, *vs]).view(np.int64)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return small.unionByName(dealt).groupBy("g1", "g2", "g3").applyInArrow(run, "u long, v long").distinct()
+    return dealt.groupBy("pack").applyInArrow(run, "u long, v long").distinct()
 
 
 def component_labels(marks: DataFrame, radius: int, work: Workspace) -> DataFrame:
-    """``fp, root, component_id`` for every fingerprint of ``marks``."""
+    """``fp, root, component_id`` for every fingerprint of ``marks``, a written table."""
+    mark = work.mark()
     values = work.write(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "values")
     roots = components(links(values.select("fp"), radius, work), work)
-    named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return work.write(named.join(lowest, "root").select("fp", "root", "component_id"), "labels")
+    named = values.join(roots.hint("merge"), values["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = work.write(named, "named")
+    # written, so that Spark splits a component that has a third of all fingerprints
+    lowest = work.write(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    labels = work.write(named.join(lowest.hint("merge"), "root").select("fp", "root", "component_id"), "labels")
+    work.prune(mark, labels)
+    return labels
 
 
 def near_duplicates(
@@ -264,20 +260,23 @@ def near_duplicates(
     work = work or Workspace(docs.sparkSession, "simhash")
     marks = work.write(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     labels = component_labels(marks, radius, work)
-    return marks.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marks.join(labels.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The input's rows and columns, one row of each component: that with the smallest
-    id, of several the first in reading order; a null id is larger than any other."""
+    id, of several the first in reading order; a null id is larger than any other.
+    Texts without words, null among them, are one component. Columns of any name are
+    kept; an empty table gives no rows."""
     work = Workspace(docs.sparkSession, "simhash")
     # numbers depend on how files are split, so the numbered rows are written and never numbered again
-    marked = work.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marks = work.write(fingerprints(marked, id_col, text_col, width, seed, "__row"), "fingerprints")
+    number = free_name(docs, "__row")
+    marked = work.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    marks = work.write(fingerprints(marked, id_col, text_col, width, seed, number), "fingerprints")
     labels = component_labels(marks, radius, work)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    kept = marks.join(labels, "fp").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").drop("__row")
+    kept = marks.join(labels.hint("merge"), "fp").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(number))
+    return marked.join(kept, number, "left_semi").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

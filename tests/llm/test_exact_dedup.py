@@ -71,3 +71,32 @@ def test_rows_stay_when_files_are_split_anew(spark, tmp_path):
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(want) == 40
+
+
+def test_drop_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "A", 7, 8), (2, "a", 9, 8), (None, None, None, 1)], "doc_id long, text string, __row long, __ROW_ long")
+    out = op.drop_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [(2, "a", 9, 8), (None, None, None, 1)]
+
+
+def test_a_text_that_most_rows_have_is_split(spark):
+    """With thresholds forced down, Spark splits the joins of a text that three quarters of the rows have."""
+    set_to = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.files.maxPartitionBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "20",
+    }
+    old = {k: spark.conf.get(k, None) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        rows = [(k, "same text " * 900 if k % 4 else f"text {k} " * 900) for k in range(4000)]
+        docs = op.Workspace(spark, "test").write(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "docs")
+        out = op.exact_duplicates(docs)
+        groups = out.groupBy("group_size").count().collect()
+        assert {(r["group_size"], r["count"]) for r in groups} == {(3000, 3000), (1, 1000)}
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -65,7 +65,7 @@ def test_empty_table_and_clashing_columns(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_tiles_find_every_link(spark, monkeypatch, split):
     if split:
-        monkeypatch.setattr(simhash, "DEALT_TILE", 16)
+        monkeypatch.setattr(simhash, "LARGE", 4)
         monkeypatch.setattr(simhash, "TILE", 8)
     rnd = random.Random(5)
     values = {rnd.getrandbits(64) for _ in range(60)}
@@ -115,3 +115,33 @@ def test_rows_stay_when_files_are_split_anew(spark, tmp_path):
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(want) == 40
+
+
+def test_masks_cover_every_link():
+    """Any two values within the radius agree in one mask at every depth, and the last masks leave few bits open."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        a = rnd.getrandbits(64)
+        b = a
+        for k in rnd.sample(range(64), 2):
+            b ^= 1 << k
+        masks = [0]
+        while masks:
+            alike = [m for m in masks if a & m == b & m]
+            assert alike
+            masks = [x for m in alike[:1] for x in simhash.split_mask(m, 2)]
+    assert simhash.split_mask((1 << 62) - 1, 2) == []
+
+
+def test_drop_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8), (2, "a b c d", 9, 8), (3, None, None, 1)], "doc_id long, text string, __row long, __ROW_ long")
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b c d", 7, 8), (3, None, None, 1)]
+
+
+def test_a_component_with_most_fingerprints_is_split(spark):
+    """No aggregation in the stage of a join on a key that many rows share: Spark can split such a key."""
+    docs = spark.createDataFrame([(k, f"a b c d{k % 3}") for k in range(50)], "doc_id long, text string")
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan and "Broadcast" not in plan
