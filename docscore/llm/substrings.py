@@ -32,8 +32,8 @@ from docscore.llm.storage import Workspace
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 13
 FILTER_BITS = 28
-PART_BYTES = 2 << 20
-SLICE_BYTES = 1 << 20
+PART_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 # space, and tab to carriage return
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
