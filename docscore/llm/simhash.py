@@ -173,10 +173,13 @@ def _signed(mask: int) -> int:
 
 def _keyed(values: DataFrame, splits: dict[int, list[int]]) -> DataFrame:
     """``fp, mask, value``: each fingerprint of a bucket once for each split of the bucket's mask."""
-    rows = [(_signed(mask), _signed(part)) for mask, parts in splits.items() for part in parts]
-    # (radius + 1) ** depth rows at most, whatever the table
-    finer = F.broadcast(values.sparkSession.createDataFrame(rows, "mask long, finer long"))
-    each = values.join(finer, "mask").select("fp", F.col("finer").alias("mask"))
+    if list(splits) == [0]:
+        each = values.select("fp", F.explode(F.array(*[F.lit(_signed(part)).cast("long") for part in splits[0]])).alias("mask"))
+    else:
+        rows = [(_signed(mask), _signed(part)) for mask, parts in splits.items() for part in parts]
+        # (radius + 1) ** depth rows at most, whatever the table
+        finer = F.broadcast(values.sparkSession.createDataFrame(rows, "mask long, finer long"))
+        each = values.join(finer, "mask").select("fp", F.col("finer").alias("mask"))
     return each.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
 
 
