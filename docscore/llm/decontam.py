@@ -4,7 +4,13 @@ Numbers, units and names become typed placeholders, so a question asked again wi
 other parameters has the same template. Windows of template words are hashed, and
 the windows of documents are joined to those of benchmark items. What the slots of
 matched windows hold is then compared: on one alignment of an item with a document
-every slot value must stand for one value throughout, or the window does not count.
+every slot value must stand for one value throughout and no two for the same, or the
+window does not count.
+
+To reach a coverage an item must share at least one of its rarest windows, enough of
+them that the others alone fall short. Only these are joined to find which items may
+be in a document, so a phrase that many items and many documents have meets nothing
+by itself.
 
 An item is looked for in three ways: with capitalised words inside sentences as
 names, with those that begin a sentence as names too unless they are ordinary
@@ -13,6 +19,7 @@ words, and word for word in lower case.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscore.llm.storage import Workspace
+from docscore.llm.storage import Workspace, free_name
 
 WIDTH = 5
 LEAST_COVERAGE = 0.8
@@ -41,6 +48,12 @@ UNITS = frozenset(
     "kilogram kilograms liter liters litre litres mile miles foot feet inch inches pound pounds".split()
 )
 
+# fixed values: numbers in words ("one" is more often none)
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
+    "fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+
 # fixed values: words that begin sentences without being names
 ORDINARY = frozenset(
     "a about above according across after again all almost along already also although always among an and another any anyone anything are as ask "
@@ -81,7 +94,7 @@ class Words(dict):
         flags = EMPTY if not inner else 0
         if word.rstrip("\"')]»”’")[-1:] in ".!?:":
             flags |= ENDS
-        if NUMBER.fullmatch(inner):
+        if NUMBER.fullmatch(inner) or low in NUMBER_WORDS:
             flags |= IS_NUMBER
         elif low in UNITS:
             flags |= IS_UNIT
@@ -97,7 +110,7 @@ _WORDS = Words()
 def templates(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words of a text, and for each way a row of their canonical hashes and of which are slots.
 
-    A number is a slot; a unit is one after a number; a capitalised word is a name
+    A number is a slot, in digits or in a word; a unit is one after a number; a capitalised word is a name
     unless it is all in capitals or begins the text or a sentence, and by ``STARTS``
     there too unless it is an ordinary word. By ``VERBATIM`` nothing is a slot. Words
     without a letter or digit go.
@@ -154,14 +167,38 @@ def windows(hashes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarr
     return out, good
 
 
+class Kept:
+    """Windows found so far, by column."""
+
+    NAMES = ["row", "id", "text_sha256", "pos", "way", "width", "slots"]
+
+    def __init__(self, kind: pa.DataType):
+        self.kind, self.hashes = kind, []
+        self.columns: list[list] = [[] for _ in self.NAMES]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, *cells) -> None:
+        for column, cell in zip(self.columns, cells, strict=True):
+            column.append(cell)
+
+    def batch(self) -> pa.RecordBatch:
+        types = [pa.int64(), self.kind, pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+        *arrays, slots = (pa.array(c, t) for c, t in zip(self.columns, types, strict=True))
+        flat = np.concatenate([np.empty(0, np.uint64), *self.hashes]).view(np.int64)
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(flat, pa.int64()), slots], [*self.NAMES[:-1], "window", "slots"])
+
+
 def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int], wanted=None, items: bool = False) -> DataFrame:
-    """``row, id, pos, way, width, window, slots``: windows of the template words and the lower-cased contents of their slots.
+    """``row, id, text_sha256, pos, way, width, window, slots``: windows of the template words and the lower-cased contents of their slots.
 
     With ``wanted`` (a broadcast sorted array of hashes) only those windows. ``items``
     have windows of the first width in each way, shorter ones one of all their words.
     Elsewhere a window that is the same in both ways of names comes once.
     """
-    picked = table.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = table.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = picked.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -170,10 +207,11 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int],
             near = np.zeros(1 << FILTER_BITS, bool)
             near[some >> np.uint64(64 - FILTER_BITS)] = True
         for batch in batches:
-            rows, ids, places, ways, wide, found, slots = [], [], [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            kept = Kept(batch.schema.field("id").type)
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 row += 1
-                words, hashes, is_slot = templates(text.as_py())
+                text, digest = text.as_py(), None
+                words, hashes, is_slot = templates(text)
                 for width in [min(widths[0], max(1, len(words)))] if items else widths:
                     each, good = windows(hashes, is_slot, width)
                     if not items:
@@ -186,29 +224,33 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int],
                             way, at = way[hit], at[hit]
                     else:
                         way, at = np.nonzero(good)
+                    if len(at) and digest is None:
+                        digest = hashlib.sha256((text or "").encode("utf-8", "replace")).hexdigest()
                     for w, p in zip(way.tolist(), at.tolist(), strict=True):
-                        rows.append(row)
-                        ids.append(key)
-                        places.append(p)
-                        ways.append(w)
-                        wide.append(width)
-                        slots.append([core(words[p + k]).lower() for k in range(width) if is_slot[w, p + k]])
-                    found.append(each[way, at])
-                if len(rows) > 50_000:
-                    yield pack(rows, ids, places, ways, wide, found, slots)
-                    rows, ids, places, ways, wide, found, slots = [], [], [], [], [], [], []
-            yield pack(rows, ids, places, ways, wide, found, slots)
+                        slots = [core(words[p + k]).lower() for k in range(width) if is_slot[w, p + k]]
+                        kept.add(row, key.as_py(), digest, p, w, width, slots)
+                    kept.hashes.append(each[way, at])
+                if len(kept) > 50_000:
+                    yield kept.batch()
+                    kept = Kept(kept.kind)
+            yield kept.batch()
         _WORDS.clear()  # the worker lives on
 
-    def pack(rows: list, ids: list, places: list, ways: list, wide: list, found: list, slots: list) -> pa.RecordBatch:
-        flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip((rows, ids, places, ways, wide, flat, slots), types, strict=True)],
-            ["row", "id", "pos", "way", "width", "window", "slots"],
-        )
+    return picked.mapInArrow(run, f"row long, id {kind}, text_sha256 string, pos long, way int, width int, window long, slots array<string>")
 
-    return picked.mapInArrow(run, "row long, id long, pos long, way int, width int, window long, slots array<string>")
+
+def sized(asked: DataFrame, least: float) -> DataFrame:
+    """``asked`` with ``n_windows``, how many distinct windows the item has that way, and
+    ``key``: is the window among the rarest, one of which a document must have to reach ``least``?"""
+    each = asked.select("item", "way", "window").distinct()
+    spread = each.groupBy("window").agg(F.countDistinct("item").alias("n_items"))
+    whole = Window.partitionBy("item", "way")
+    each = each.join(spread, "window").select(
+        "item", "way", "window", F.count("*").over(whole).alias("n_windows"), F.row_number().over(whole.orderBy("n_items", "window")).alias("place")
+    )
+    needed = F.greatest(F.ceil(F.col("n_windows") * least - 1e-6), F.lit(1))
+    each = each.select("item", "way", "window", "n_windows", (F.col("place") <= F.col("n_windows") - needed + 1).alias("key"))
+    return asked.join(each, ["item", "way", "window"])
 
 
 def contaminated(
@@ -222,18 +264,22 @@ def contaminated(
 ) -> DataFrame:
     """Pairs of documents and the benchmark items they contain, as asked or with other parameters.
 
-    Columns ``row, doc_id, item_id, coverage, n_windows, n_slots, n_changed,
+    Columns ``row, doc_id, text_sha256, item_id, coverage, n_windows, n_slots, n_changed,
     reparameterised``: the share of an item's distinct template windows that the
     document has with consistent slots, at least ``least``; how many distinct windows
     the item has; its slot values, and how many hold another value in the document.
     Of the three ways the first that reaches ``least`` counts; word for word, nothing
-    is a slot.
+    is a slot. A window of either way of names is met by one of either.
     ``row`` numbers the input rows, so repeated rows and null ids are told apart.
 
     Null and empty texts contain nothing. Items with fewer than ``width`` words are one
     window of all their words, one of a single word is found where it is the whole text.
     Items without a window of two literal words are found word for word only. Items that
-    repeat are separate items. Empty tables give no rows; other columns are never read.
+    repeat are separate items. Ids may be of any type. Empty tables give no rows; other
+    columns are never read.
+
+    The hashes of up to ``broadcast_windows`` windows of the benchmark (8 bytes each) are
+    broadcast to skip the other windows of documents; beyond that all of these are joined.
     """
     items = benchmark.select(F.monotonically_increasing_id().alias("copy"), F.col("item_id").alias("item_id"), F.col("text").alias("text"))
     asked = window_rows(items, "item_id", "text", [width], items=True).select(
@@ -243,38 +289,42 @@ def contaminated(
     work = Workspace(spark, "decontam")
     asked = work.write(asked, "asked")
     widths = [width, *sorted(r[0] for r in asked.where(F.col("width") < width).select("width").distinct().collect())]
-    sizes = asked.groupBy("item", "way").agg(F.countDistinct("window").alias("n_windows"))
-    asked = work.write(asked.drop("width").join(sizes, ["item", "way"]), "sized")
-    if asked.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        hashes = [r[0] for r in asked.select("window").distinct().collect()]
+    asked = work.write(sized(asked.drop("width"), least), "sized")
+    hashes = [r[0] for r in asked.select("window").distinct().limit(broadcast_windows + 1).collect()]
+    if len(hashes) <= broadcast_windows:
         wanted = spark.sparkContext.broadcast(np.sort(np.array(hashes, np.int64).view(np.uint64)))
-        asked = F.broadcast(asked)
-        found = window_rows(docs, id_col, text_col, widths, wanted) if hashes else window_rows(docs.limit(0), id_col, text_col, widths)
+        found = window_rows(docs if hashes else docs.limit(0), id_col, text_col, widths, wanted)
     else:
-        found = window_rows(docs, id_col, text_col, widths)
-    # documents are read once: the hits are written before they are judged in several ways
-    hits = work.write(found.drop("way", "width").join(asked, "window").withColumn("shift", F.col("pos") - F.col("item_pos")), "hits")
-    plain = hits.where(F.size("slots") == 0).select("row", "id", "item", "item_id", "way", "n_windows", "window", F.lit(0).alias("n"), F.lit(0).alias("wrong"))
+        found = window_rows(docs, id_col, text_col, widths).join(asked.select("window").distinct(), "window", "left_semi")
+    # documents are read once: what they share with any item is written
+    found = work.write(found.drop("way", "width"), "found")
+    maybe = found.select("row", "window").join(asked.where("key").select("item", "way", "window").distinct(), "window")
+    maybe = work.write(maybe.select("row", "item", "way").distinct(), "maybe")
+    hits = maybe.join(asked.drop("key"), ["item", "way"]).join(found, ["row", "window"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    hits = work.write(hits, "hits")
+    one = ["row", "id", "text_sha256", "item", "item_id", "way", "n_windows"]
+    plain = hits.where(F.size("slots") == 0).select(*one, "window", F.lit(0).alias("n"), F.lit(0).alias("wrong"))
     pairs = hits.where(F.size("slots") > 0).select(
-        "row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos",
-        F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("said"))).alias("pair"),
-    ).select("row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos", F.col("pair.asked").alias("asked"), F.col("pair.said").alias("said"))
+        *one, "window", "shift", "pos", F.explode(F.arrays_zip(F.col("item_slots").alias("asked"), F.col("slots").alias("said"))).alias("pair")
+    ).select(*one, "window", "shift", "pos", "pair.asked", "pair.said")
+    # an alignment has no more pairs than its item has slots
     align = ["row", "item", "way", "shift"]
-    votes = pairs.groupBy(*align, "asked", "said").agg(F.count("*").alias("votes"))
-    rule = votes.groupBy(*align, "asked").agg(F.max_by("said", F.struct("votes", "said")).alias("rule"))
-    judged = pairs.join(rule, [*align, "asked"]).groupBy("row", "id", "item", "item_id", "way", "n_windows", "window", "shift", "pos").agg(
-        F.count("*").alias("n"), F.count_if(F.col("said") != F.col("rule")).alias("wrong")
-    )
+    pairs = pairs.repartition(*align).withColumn("votes", F.count("*").over(Window.partitionBy(*align, "asked", "said")))
+    pairs = pairs.withColumn("rule", F.max_by("said", F.struct("votes", "said")).over(Window.partitionBy(*align, "asked")))
+    pairs = pairs.withColumn("back", F.max_by("asked", F.struct("votes", "asked")).over(Window.partitionBy(*align, "said")))
+    wrong = F.count_if((F.col("said") != F.col("rule")) | (F.col("asked") != F.col("back")))
+    judged = pairs.groupBy(*one, "window", "shift", "pos").agg(F.count("*").alias("n"), wrong.alias("wrong"))
     kept = plain.unionByName(judged.select(plain.columns)).where("wrong = 0")
-    covered = kept.groupBy("row", "id", "item", "item_id", "way", "n_windows").agg(F.countDistinct("window").alias("found"))
+    covered = kept.groupBy(*one).agg(F.countDistinct("window").alias("found"))
     covered = covered.withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= least)
-    covered = covered.groupBy("row", "id", "item", "item_id").agg(F.min_by(F.struct("way", "n_windows", "coverage"), "way").alias("best"))
-    covered = covered.select("row", "id", "item", "item_id", "best.*")
-    changes = rule.groupBy("row", "item", "way", "asked").agg(F.max((F.col("asked") == F.col("rule")).cast("int")).alias("same"))
+    covered = covered.groupBy(*one[:5]).agg(F.min_by(F.struct("way", "n_windows", "coverage"), "way").alias("best"))
+    covered = covered.select(*one[:5], "best.*")
+    changes = pairs.groupBy("row", "item", "way", "asked").agg(F.max((F.col("asked") == F.col("rule")).cast("int")).alias("same"))
     changes = changes.groupBy("row", "item", "way").agg(F.count("*").alias("n_slots"), F.count_if(F.col("same") == 0).alias("n_changed"))
     return covered.join(changes, ["row", "item", "way"], "left").select(
         "row",
         F.col("id").alias("doc_id"),
+        "text_sha256",
         "item_id",
         F.round("coverage", 6).alias("coverage"),
         "n_windows",
@@ -285,15 +335,19 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, without documents that contain a benchmark item.
+    """The input's rows and columns, without those whose text contains a benchmark item.
 
-    Ids decide: rows that share the id of a contaminated row go with it, and rows
-    with a null id go if any of them is contaminated.
+    Texts decide, not ids: rows with a null id or one that others share stay unless
+    their own text is contaminated. Null and empty texts stay. An empty table gives no
+    rows, an empty benchmark drops none; columns of any name are kept.
     """
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    name = free_name(docs, "__text")
+    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("text_sha256").alias(name)).distinct()
+    bad = Workspace(docs.sparkSession, "decontam").write(bad, "bad")
+    said = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    return docs.withColumn(name, said).join(bad, name, "left_anti").drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row", "text_sha256")
