@@ -38,7 +38,6 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
 OPENSSH = b"openssh-key-v1\x00"
 KINDS = ("assign", "access", "hex", "token", "armor", "base64_key", "hex_key")
-MOST_NESTED = 32
 
 
 def _unbase64(text: str, url: bool = False) -> bytes | None:
@@ -69,17 +68,24 @@ def _der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= end else None
 
 
-def _der_fills(data: bytes, at: int, end: int, depth: int = 0) -> bool:
-    """Do well-formed values, nested ones too, fill ``at`` to ``end`` exactly?"""
-    while at < end:
-        item = _der_item(data, at, end)
-        if item is None or depth > MOST_NESTED:
+def _der_fills(data: bytes, at: int, end: int) -> bool:
+    """Do well-formed values, nested ones too, fill ``at`` to ``end`` exactly? At any depth."""
+    ends = [end]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        item = _der_item(data, at, ends[-1])
+        if item is None:
             return False
-        tag, start, at = item
-        if tag & 0x20 and not _der_fills(data, start, at, depth + 1):
-            return False
-        if tag == 0x02 and start == at:  # an integer has contents
+        tag, start, stop = item
+        if tag == 0x02 and start == stop:  # an integer has contents
             return False
+        if tag & 0x20:
+            ends.append(stop)
+            at = start
+        else:
+            at = stop
     return True
 
 
@@ -103,7 +109,7 @@ def _record(data: bytes, at: int) -> tuple[bytes, int] | None:
 
 
 def is_record_key(data: bytes) -> bool:
-    """Length-prefixed records: an OpenSSH private key file, or a public key whose records fill it exactly."""
+    """Length-prefixed records that fill it exactly: an OpenSSH private key file, or a public key."""
     if data.startswith(OPENSSH):
         at = len(OPENSSH)
         for _ in range(3):  # cipher, key derivation and its options
@@ -111,7 +117,14 @@ def is_record_key(data: bytes) -> bool:
             if found is None:
                 return False
             at = found[1]
-        return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+        count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        # each key's public part, then one part with all private ones
+        for _ in range(count + 1):
+            found = _record(data, at)
+            if found is None:
+                return False
+            at = found[1]
+        return count >= 1 and at == len(data)
     found = _record(data, 0)
     if found is None or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", found[0]):
         return False

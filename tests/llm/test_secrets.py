@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 
 from docscore.llm import secrets as op
@@ -104,3 +105,72 @@ def test_keys_in_strings_headers_and_lines():
     assert kinds(wrap(KEY[:-1] + b"\0\0")) == []
     for before in ("auth_token.", "eyJub3RoaW5n.", "a.b.eyJhbGciOjF9."):
         assert ("token", token) in kinds(before + token)
+
+
+def test_deep_nesting_and_many_keys():
+    deep = der(0x02, b"\x01" * 30)
+    for _ in range(400):
+        deep = der(0x30, deep)
+    assert op.is_der_key(der(0x30, der(0x04, b"\x33" * 24) + deep))
+    assert not op.is_der_key(der(0x30, der(0x04, b"\x33" * 24) + deep[:-1]))
+    record = lambda b: len(b).to_bytes(4, "big") + b
+    head = op.OPENSSH + record(b"none") + record(b"none") + record(b"")
+    for n in (1, 65, 300):
+        file = head + n.to_bytes(4, "big") + record(b"public") * n + record(b"private" * n)
+        assert op.is_record_key(file)
+        assert not op.is_record_key(file[:-1]) and not op.is_record_key(file + b"x")
+    assert not op.is_record_key(head + (0).to_bytes(4, "big") + record(b"private"))
+    assert not op.is_record_key(head + (2**32 - 1).to_bytes(4, "big") + record(b"public") * 5)
+
+
+def parses(data):
+    """By recursion: the DER values in ``data``, or None where it is not made of them exactly."""
+    out = []
+    while data:
+        if len(data) < 2 or data[0] & 0x1F == 0x1F:
+            return None
+        size, skip = data[1], 2
+        if size >= 128:
+            n = size - 128
+            if not 1 <= n <= 4 or len(data) < 2 + n or data[2] == 0:
+                return None
+            size, skip = int.from_bytes(data[2 : 2 + n], "big"), 2 + n
+            if size < 128:
+                return None
+        body, tag = data[skip : skip + size], data[0]
+        if len(body) < size or (tag == 2 and not body):
+            return None
+        if tag & 0x20 and parses(body) is None:
+            return None
+        out.append((tag, body))
+        data = data[skip + size :]
+    return out
+
+
+def test_confirmed_keys_match_a_brute_force_parser():
+    """Every unbroken run of base64 or hex in random texts, good keys and broken ones."""
+    rnd = random.Random(8)
+    some = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+
+    def value(depth):
+        if depth and rnd.random() < 0.4:
+            return der(0x30, b"".join(value(depth - 1) for _ in range(rnd.randint(0, 3))))
+        return der(rnd.choice([2, 3, 4, 6]), some(rnd.choice([1, 3, 20, 33, 140])))
+
+    confirmed = 0
+    for _ in range(400):
+        data = bytearray(der(rnd.choice([0x30, 0x30, 0x31]), b"".join(value(2) for _ in range(rnd.randint(1, 4)))))
+        if rnd.random() < 0.4:
+            data[rnd.randrange(len(data))] ^= 1 << rnd.randrange(8)
+        if rnd.random() < 0.1:
+            data += b"\0"
+        run = bytes(data).hex() if rnd.random() < 0.5 else base64.b64encode(data).decode()
+        text = f"say {run} now"
+        top = parses(bytes(data))
+        parts = parses(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+        good = bool(parts) and len(parts) >= 2 and any(t in (2, 3, 4) and len(b) >= 20 for t, b in parts) and len(data) >= 30
+        got = [(a, b) for a, b, k in op.confirmed_spans(text) if k in ("base64_key", "hex_key")]
+        if len(data) >= 30:
+            assert got == ([(4, 4 + len(run))] if good else []), run
+            confirmed += good
+    assert confirmed > 50
