@@ -23,10 +23,29 @@ def test_small_cache_and_slices(monkeypatch):
     library = Tokenizer.from_file(PATH)
     monkeypatch.setattr(bpe, "SLICE_CHARS", 30)
     tables = bpe.load_tables(PATH)
-    counter = token_counts.Counter(tables, token_counts.Frequent(tables), cache_words=5)
     some = texts()[::7]
+    first = {w: len(ids) for w, ids in tables.encode_words(["the", " the", "Ġthe", " unbelievably"]).items()}
+    counter = token_counts.Counter(tables, first, cache_words=5)
     assert list(counter.count_many(some)) == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
 
 
 def test_empty_table(spark):
     assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_the_first_tier_is_measured(spark):
+    tables = bpe.load_tables(PATH)
+    docs = spark.createDataFrame([(k, "zyxwvutq zyxwvutq common words " + f"rare{k}") for k in range(300)] + [(None, None)], "doc_id long, text string")
+    first = token_counts.frequent(docs, tables, rows=200, most=4)
+    library = Tokenizer.from_file(PATH)
+    # all are as frequent; of equal ones the first by order of code points
+    assert set(first) == {" common", " rare", " words", " zyxwvutq"}
+    assert first[" zyxwvutq"] == len(library.encode(" zyxwvutq", add_special_tokens=False).ids) > 1
+    assert token_counts.frequent(docs.limit(0), tables) == {}
+
+
+def test_results_do_not_depend_on_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts())], "doc_id long, text string")
+    want = sorted(tuple(r) for r in token_counts.token_counts(docs, PATH).collect())
+    monkeypatch.setattr(token_counts, "frequent", lambda *_: {})
+    assert sorted(tuple(r) for r in token_counts.token_counts(docs, PATH).collect()) == want
