@@ -1,16 +1,19 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick on folded text.
 
-Folding maps homoglyphs and digit substitutions to plain letters and punctuation to
-spaces. Lexicon entries are word beginnings (whole short words among them) with
-weights learned from labels. One automaton finds the entries and the exception
-phrases; a match inside an exception phrase does not count. The summed weight is
-normalised by length and mapped to a score by a fitted logistic curve.
+Folding maps homoglyphs, accents and digit substitutions to plain letters and
+punctuation to spaces. Lexicon entries are word beginnings and whole words with
+weights learned from labels. Exception phrases, a matched word with its neighbour,
+are learned from the labels too: those whose documents are clean although the word
+is mostly toxic. One automaton finds the entries and the exception phrases; a match
+inside an exception phrase does not count. The summed weight is normalised by length
+and mapped to a score by a fitted logistic curve.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,16 +29,13 @@ from docscore.llm.storage import Workspace
 
 # fixed values: what stands for a letter
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-CYRILLIC = dict(zip("абвгеѕзіјкмнорстухћԁԛԝ", "a6breszijkmhopctyxhdqw", strict=True)) | {"б": "b", "в": "b", "г": "r", "н": "h", "т": "t", "з": "3"}
+CYRILLIC = dict(zip("абвгеѕзіјкмнорстухћԁԛԝ", "abbresziikmhopctyxhdqw", strict=True)) | {"з": "3", "ј": "j", "ԍ": "g", "һ": "h", "ӏ": "l", "ь": "b"}
 GREEK = dict(zip("αβγεζηικνορτυχω", "abyeznikvoptuxw", strict=True))
-INVISIBLE = "­​‌‍⁠﻿"
-
-# fixed values: phrases in which a lexicon word is not an insult
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "rodeo clown", "pond scum", "idiot proof", "idiot light", "oxymoron", "sore loser award")
+LATIN = {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ƒ": "f", "æ": "ae", "œ": "oe", "ß": "ss"}
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 TRAIN_ROWS = 20_000
 COUNTED_AT_ONCE = 150_000
-ENTRIES = 2_000
 SHORTEST, LONGEST = 3, 9
 LEAST_DOCS = 3
 LEAST_ODDS = 2.0
@@ -44,18 +44,21 @@ HELD_OUT_OF = 5
 
 
 def _fold_table() -> dict[int, str | None]:
-    """Code point to folded text; built from the letters above and compatibility forms."""
-    import unicodedata
+    """Code point to folded text; built from the letters above, decompositions and compatibility forms.
 
+    What a code point becomes is folded again, so text that is folded stays as it is.
+    """
+    letters = CYRILLIC | GREEK | LATIN
     table: dict[int, str | None] = {ord(c): " " for c in "\t\n\x0b\x0c\r\"#%&'()*+,-./:;<=>?[\\]^_`{|}~¡¿«»‘’“”„…–—·"}
-    for c, letter in (DIGITS | CYRILLIC | GREEK).items():
-        table[ord(c)] = letter
-    for start, end in ((0x2100, 0x2150), (0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0x2460, 0x2500)):
-        for code in range(start, end):
-            plain = unicodedata.normalize("NFKC", chr(code)).lower()
-            if plain.isalnum() and plain.isascii():
-                table[code] = "".join(DIGITS.get(c, c) for c in plain)
-    table.update(dict.fromkeys(map(ord, INVISIBLE)))
+    blocks = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2100, 0x2150), (0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0x2460, 0x2500))
+    for code in [*(c for a, b in blocks for c in range(a, b)), *map(ord, letters)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
+        plain = "".join(letters.get(c, c) for c in plain)
+        plain = "".join(DIGITS.get(c, c) for c in plain)
+        if plain != chr(code) and plain.isalnum():
+            table[code] = plain
+    table.update({ord(c): letter for c, letter in DIGITS.items()})
+    table.update(dict.fromkeys([*map(ord, INVISIBLE), *range(0x300, 0x370)]))
     return table
 
 
@@ -71,12 +74,12 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Model:
-    """Entries with their weights (bounded by ``ENTRIES``) and the curve from weight to score."""
+    """Entries with their weights, exception phrases and the curve from weight to score; as large as the labelled sample allows."""
 
     weights: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -4.0
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
@@ -116,10 +119,25 @@ def held_out(id_col: Column, of: int = HELD_OUT_OF) -> Column:
 
 
 def _beginnings(folded: str) -> set[str]:
+    """The beginnings of the words up to ``LONGEST`` letters, and longer words as a whole."""
     found = set()
     for word in set(folded.split(" ")):
         for size in range(SHORTEST, min(LONGEST, len(word)) + 1):
             found.add(word[:size])
+        if len(word) > LONGEST:
+            found.add(word)
+    return found
+
+
+def _phrases(folded: str, weights: dict[str, float]) -> dict[str, str]:
+    """Each word that has an entry together with the word before and the word after it, and the entry."""
+    words = folded.split()
+    found = {}
+    for k, word in enumerate(words):
+        heads = (word[:size] for size in range(SHORTEST, min(LONGEST, len(word)) + 1))
+        entry = next((h for h in heads if h in weights), word if word in weights else None)
+        if entry:
+            found |= {" ".join(words[a : a + 2]): entry for a in (k - 1, k) if 0 <= a < len(words) - 1}
     return found
 
 
@@ -152,7 +170,7 @@ def _passing(counts: DataFrame, toxic: int, clean: int, tested: int) -> DataFram
     return passed.orderBy(F.desc(odds - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))), F.length("entry").desc(), "entry")
 
 
-def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, most: int = ENTRIES) -> dict[str, float]:
+def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int) -> dict[str, float]:
     """Entries and weights from ``(beginning, toxic documents, clean documents)``.
 
     An entry must be so unlikely by chance that of ``tested`` beginnings less than one
@@ -168,15 +186,29 @@ def choose_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, t
     chosen: dict[str, float] = {}
     heads: set[str] = set()  # beginnings of accepted entries
     for _, _, entry, odds in sorted(ranked, key=lambda r: (-r[0], r[1], r[2])):
-        if len(chosen) >= most:
-            break
-        if entry in heads or any(entry[:k] in chosen for k in range(SHORTEST, len(entry))):
+        sizes = range(SHORTEST, min(len(entry), LONGEST + 1))
+        if entry in heads or any(entry[:k] in chosen for k in sizes):
             continue
         chosen[entry] = odds
-        heads.update(entry[:k] for k in range(SHORTEST, len(entry)))
+        heads.update(entry[:k] for k in sizes)
     return chosen
 
 
+def choose_exceptions(counts: list[tuple[str, str, int, int]], entries: dict[str, tuple[int, int]]) -> tuple[str, ...]:
+    """Phrases from ``(phrase, entry, toxic documents, clean documents)``, given the entries' ``(toxic, clean)`` documents.
+
+    At the entry's toxic share, so few toxic documents among those of the phrase must
+    be so unlikely by chance that less than one of all phrases would pass.
+    """
+    chosen = []
+    for phrase, entry, t, c in counts:
+        bad, clean = entries[entry]
+        share = clean / max(1, bad + clean)
+        if t <= c and c >= LEAST_DOCS and share < 1 and _by_chance(c, t + c, share) < -math.log(len(counts)):
+            chosen.append(phrase)
+    return tuple(sorted(chosen))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps with a small ridge.
 
@@ -199,12 +231,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float,
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """Learn entries, weights and the curve from at most ``train_rows`` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = ()) -> Model:
+    """Learn entries, weights, exception phrases and the curve from at most ``train_rows`` labelled documents.
 
     The sample is the labelled rows outside the held-out fold with the smallest hash
-    of their id, so it does not depend on partitions. Rows with a null id or label
-    are not used; a document labelled twice is toxic if either label says so.
+    of their id, so it does not depend on partitions. ``exceptions`` are phrases of the
+    caller's besides the learned ones. Rows with a null id or label are not used; a
+    document labelled twice is toxic if either label says so; ids may be of any ordered
+    type. Null and empty texts have no words; of repeated rows and copies one of each
+    label counts. Without labelled documents, or where nothing tells toxic ones apart,
+    the model calls nothing toxic.
     """
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -214,16 +250,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     rows = [(r["doc_id"], r["toxic"]) for r in sample.collect()]  # bounded by train_rows
     if not rows:
         return Model(exceptions=exceptions)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    labelled = F.broadcast(spark.createDataFrame(rows, f"doc_id {kind}, toxic int"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [sketch(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["doc_id", "toxic", "mark"])
 
-    marks = texts.join(labelled, "doc_id").select("doc_id", "toxic", "text").mapInArrow(mark, "doc_id long, toxic int, mark long")
-    first: dict[tuple[int, int], int] = {}
+    marks = texts.join(labelled, "doc_id").select("doc_id", "toxic", "text").mapInArrow(mark, f"doc_id {kind}, toxic int, mark long")
+    first: dict[tuple[int, int], object] = {}
     for r in marks.collect():  # bounded by train_rows
         at = (r["mark"], r["toxic"])
         first[at] = min(first.get(at, r["doc_id"]), r["doc_id"])
@@ -232,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     if not rows:
         return Model(exceptions=exceptions)
     # copies of one text would make its every word look significant: one of each stays
-    sample = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))
+    sample = F.broadcast(spark.createDataFrame(rows, f"doc_id {kind}, toxic int"))
     texts = texts.join(sample, "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +294,25 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     counts = texts.mapInArrow(count, "entry string, bad long, clean long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
     counts = work.write(counts.where(F.col("bad") + F.col("clean") >= LEAST_DOCS), "counts")
     tested = counts.count()
-    best = _passing(counts, toxic, len(rows) - toxic, tested).limit(20 * ENTRIES).collect()
+    best = _passing(counts, toxic, len(rows) - toxic, tested).collect()  # words of train_rows texts at most
     work.drop(counts)
-    model = Model(choose_entries([(r["entry"], r["bad"], r["clean"]) for r in best], toxic, len(rows) - toxic, tested), exceptions=exceptions)
+    chosen = choose_entries([(r["entry"], r["bad"], r["clean"]) for r in best], toxic, len(rows) - toxic, tested)
+    model = Model(chosen, exceptions=exceptions)
     if not model.weights:
         return model  # nothing to tell texts apart by, so none is called toxic
+    entries = spark.sparkContext.broadcast(chosen)
+
+    def phrase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, e, t) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, e in _phrases(fold(text), entries.value).items()]
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], ["phrase", "entry", "toxic"])
+
+    phrases = texts.mapInArrow(phrase, "phrase string, entry string, toxic int").groupBy("phrase", "entry")
+    phrases = phrases.agg(F.sum("toxic").cast("long").alias("bad"), F.count_if(F.col("toxic") == 0).alias("clean")).where(F.col("clean") >= LEAST_DOCS)
+    held = {r["entry"]: (r["bad"], r["clean"]) for r in best}
+    learned = choose_exceptions([tuple(r) for r in phrases.collect()], held)  # words of train_rows texts at most
+    model.exceptions = tuple(sorted({*exceptions, *learned}))
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +352,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, without rows whose text scores 0.5 or more."""
+    """The input's rows and columns, without rows whose text scores 0.5 or more.
+
+    Null and empty texts have no matches. Repeated rows go or stay together; columns of
+    any name are kept; an empty table gives no rows.
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
