@@ -1,11 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-DataFrame functions only. Texts are cut into segments (lines and sentences). A
-segment can only reach the threshold if it has one of a few heavy template terms,
-which follows from the weights by Cauchy-Schwarz; others are passed over unread.
-Terms of the rest are counted, joined to the template weights and summed to cosines.
-A document without a licence of its own takes that of the licence file in the
-nearest directory above it, found by joining directories to their ancestors.
+DataFrame functions only. Of every text these units are compared with the templates:
+its lines and sentences, its blocks (lines up to the next blank one, comment signs
+taken away, so that wrapped headers are whole again), the blocks of its comment lines
+alone, and the whole text. A unit can only reach the threshold if it has one of a few
+heavy template terms, which follows from the weights by Cauchy-Schwarz; others are
+passed over. Terms of the rest are counted, joined to the template weights and summed
+to cosines. A document without a licence of its own takes that of the licence file in
+the nearest directory above it, found by joining directories to their ancestors.
 """
 
 from __future__ import annotations
@@ -13,35 +15,27 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docscore.llm.license_texts import TEMPLATES, with_files  # noqa: F401
 from docscore.llm.storage import Workspace
 
-# fixed values: licence ids with header lines and opening sentences
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
-    "Proprietary": ["All rights reserved."],
-}
 FILE_NAME = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
-TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+# what stands between terms
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r\xa0«»‘’“”„…–—•©"
 SEGMENT = r"[\r\n]+|(?<=[.!?;])[ \t]+"
+LEADER = r"(?dm)^[ \t]*(?://+[!/]*|/\*+!?|\*+/?|#+|--+|;+|%+|<!--+|--+>|\(\*|\*\)|rem\b|dnl\b)[ \t]*"
+NOT_COMMENT = r"(?dm)^(?![ \t]*(?://|/\*|\*|#|--|;|%|<!--|\(\*|rem\b|dnl\b)).*$"
+BLOCK = r"(?:[ \t]*\r?\n){2,}[ \t\r\n]*"
 THRESHOLD = 0.8
+# rounding in sums of doubles
+SLACK = 1e-9
 
 
 def _terms(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return text.lower().translate(str.maketrans(SIGNS, " " * len(SIGNS))).split()
 
 
 class Weights:
@@ -70,17 +64,49 @@ class Weights:
             self.required.add(max(gain, key=lambda t: (gain[t] * self.idf[t], t)))
 
 
-def _has_any(text: Column, terms: set[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in sorted(terms)))
+def _plain(text: Column) -> Column:
+    """The text with a space for every sign between terms."""
+    return F.translate(text, SIGNS, " " * len(SIGNS))
+
+
+def _words(text: Column) -> Column:
+    return F.split(_plain(text), " ")
 
 
 def term_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """How many documents there are, and how many have each term of the templates."""
-    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^a-z0-9.]+|\.(?![0-9])")
+    words = _words(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     found = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("term"))
     return docs.count(), {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # bounded by the vocabulary
 
 
+def units(low: Column, required: set[str]) -> Column:
+    """The parts of a lower-cased text to compare, as ``array<struct<kind, said>>`` with only spaces between terms.
+
+    Parts without a required term are left out, and a part equal to one of a smaller
+    kind. A text without any is not cut into parts: null.
+    """
+    heavy = F.array(*map(F.lit, sorted(required)))
+    bare = F.regexp_replace(low, LEADER, "")
+    comments = F.regexp_replace(F.regexp_replace(low, NOT_COMMENT, ""), LEADER, "")
+    kinds = {
+        "segment": F.split(bare, SEGMENT),
+        "block": F.concat(F.split(bare, BLOCK), F.when(low.rlike(LEADER), F.split(comments, BLOCK)).otherwise(F.array().cast("array<string>"))),
+        "file": F.array(bare),
+    }
+    parts = {}
+    for kind, found in kinds.items():
+        some = F.transform(found, lambda s: F.trim(F.regexp_replace(_plain(s), " +", " ")))
+        parts[kind] = F.filter(some, lambda s: F.arrays_overlap(F.split(s, " "), heavy))
+    parts["block"] = F.array_except(parts["block"], parts["segment"])
+    parts["file"] = F.array_except(F.array_except(parts["file"], parts["segment"]), parts["block"])
+
+    def tagged(kind: str) -> Column:
+        return F.transform(parts[kind], lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("said")))
+
+    return F.when(F.arrays_overlap(_words(low), heavy), F.concat(*map(tagged, parts)))
+
+
 def _parent(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -108,14 +134,17 @@ def scan(
 ) -> DataFrame:
     """One row per input row: ``doc_id, path, license, basis, cosine, n_matches, inherited_from``.
 
-    ``license`` is that of the segment with the largest cosine (ties: the smaller
-    name), at least ``threshold``; ``basis`` is ``own``, ``inherited`` or ``none``.
-    ``inherited_from`` is the folder of the nearest licence file: a document with a
-    licence of its own and a name like LICENSE, COPYING or NOTICE, or of which half
-    of the words or more are in matching segments. If a folder has several, the
-    largest cosine counts, then the smaller name. Null texts are empty and match
-    nothing; a null path is at the root. Document frequencies are taken over all rows.
-    Repeated rows stay repeated; an empty table gives no rows.
+    ``license`` is that of the matching unit (a cosine of at least ``threshold``) that says
+    most: the whole text before a block before a segment, then the largest cosine, then
+    the smaller name; ``n_matches`` counts matching units; ``basis`` is ``own``,
+    ``inherited`` or ``none``. ``inherited_from`` is the folder of the nearest licence
+    file: a document with a licence of its own and a name like LICENSE, COPYING or
+    NOTICE, or of which half of the words or more are in matching segments, in matching
+    blocks, or in all if the whole text matches. If a folder has several, the largest
+    cosine counts, then the smaller name. Null texts are empty and match nothing; a
+    null path is at the root. Document frequencies are taken over all rows. Repeated
+    rows stay repeated; ids may be of any type; an empty table gives no rows; columns
+    of other names are never read.
     """
     work = Workspace(docs.sparkSession, "licenses")
     templates = templates or TEMPLATES
@@ -126,17 +155,16 @@ def scan(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(path, F.lit("")).alias("path"),
-        F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"),
+        F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("low"),
     )
-    said = F.filter(F.split("low", SEGMENT), lambda s: _has_any(s, weights.required))
-    rows = rows.withColumn("said", F.when(_has_any(F.col("low"), weights.required), said))
+    found = rows.withColumn("units", units(F.col("low"), weights.required))
     # numbers depend on how files are split, so the numbered rows are written and never numbered again
-    length = F.when(F.size("said") > 0, F.regexp_count("low", F.lit(TERM)))
-    rows = work.write(rows.select("row", "doc_id", "path", "said", length.alias("length")), "rows")
-    segments = (
-        rows.select("row", F.posexplode("said").alias("segment", "said"))
-        .select("row", "segment", F.explode(F.regexp_extract_all("said", F.lit(TERM), 0)).alias("term"))
-        .groupBy("row", "segment", "term")
+    length = F.when(F.size("units") > 0, F.size(F.filter(_words(F.col("low")), lambda w: w != "")))
+    rows = work.write(found.select("row", "doc_id", "path", "units", length.alias("length")), "rows")
+    terms = (
+        rows.select("row", F.posexplode("units").alias("unit", "part"))
+        .select("row", "unit", "part.kind", F.explode(F.split("part.said", " ")).alias("term"))
+        .groupBy("row", "unit", "kind", "term")
         .agg(F.count("*").alias("tf"))
     )
     spark = docs.sparkSession
@@ -144,18 +172,21 @@ def scan(
     entries = [(name, k, t, w) for name, k, v in weights.vectors for t, w in sorted(v.items())]
     vectors = _table(spark, entries, ["license", "template", "term", "weight"])
     # both tables have a row or a few for each term of the templates
-    weighed = segments.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.unknown)))
-    weighed = work.write(weighed.select("row", "segment", "term", "tf", "w"), "terms")
-    norms = weighed.groupBy("row", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("row", "segment", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.unknown)))
+    # per unit, the norm and the number of words; of the terms only those of templates
+    weighed = work.write(weighed.select("row", "unit", "kind", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "tf", "w"), "terms")
+    norms = weighed.groupBy("row", "unit", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    size = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "block", 1).otherwise(2)
     matches = (
-        dots.join(norms, ["row", "segment"])
-        .withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-        .where(F.col("cosine") >= threshold)
-        .groupBy("row", "segment")
-        .agg(F.min(F.struct((-F.col("cosine")).alias("back"), "license")).alias("best"), F.max("words").alias("words"))
+        dots.join(norms, ["row", "unit"])
+        .withColumn("cosine", F.col("dot") / F.col("norm"))
+        .where(F.col("cosine") >= threshold - SLACK)
+        .groupBy("row", "unit", "kind")
+        .agg(F.min(F.struct(size.alias("size"), (-F.round("cosine", 6)).alias("back"), "license")).alias("best"), F.max("words").alias("words"))
     )
-    own = matches.groupBy("row").agg(F.min("best").alias("best"), F.count("*").alias("n_matches"), F.sum("words").alias("words"))
+    by_kind = [F.sum(F.when(F.col("kind") == kind, F.col("words")).otherwise(0)) for kind in ("segment", "block", "file")]
+    own = matches.groupBy("row").agg(F.min("best").alias("best"), F.count("*").alias("n_matches"), F.greatest(*by_kind).alias("words"))
     own = work.write(own.select("row", "best.license", (-F.col("best.back")).alias("cosine"), "n_matches", "words"), "own")
     placed = rows.select("row", "doc_id", "path", _parent(F.col("path")).alias("folder")).join(own, "row", "left")
     name = F.regexp_extract("path", r"([^/]*)$", 1)

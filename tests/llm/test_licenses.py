@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -7,45 +8,96 @@ from pyspark.sql import functions as F
 from docscore.llm import licenses as op
 
 
-def brute(rows):
-    """(license, cosine, n_matches) of each (path, text), without inheritance."""
-    vocabulary = {t for lines in op.TEMPLATES.values() for line in lines for t in op._terms(line)}
-    words = [set(re.split(r"[^a-z0-9.]+|\.(?![0-9])", (t or "").lower())) for _, t in rows]
-    df = {t: sum(t in w for w in words) for t in vocabulary}
-    idf = {t: 1 + math.log((len(rows) + 1) / (df[t] + 1)) for t in vocabulary}
+def words(text):
+    return "".join(" " if c in op.SIGNS else c for c in text.lower()).split()
+
+
+def brute(texts):
+    """(license, cosine, n_matches) of each text, without inheritance; every unit against every template."""
+    vectors = [(name, Counter(words(line))) for name, lines in op.TEMPLATES.items() for line in lines]
+    have = [set(words(t or "")) for t in texts]
+    idf = {t: 1 + math.log((len(texts) + 1) / (sum(t in w for w in have) + 1)) for _, v in vectors for t in v}
+    unknown = 1 + math.log(len(texts) + 1)
+    size = lambda tf: math.sqrt(sum((c * idf.get(t, unknown)) ** 2 for t, c in tf.items()))
+    leader, other = (re.compile(x.replace("(?dm)", "(?m)")) for x in (op.LEADER, op.NOT_COMMENT))
     out = []
-    for _, text in rows:
+    for text in texts:
+        low = (text or "").lower()
+        bare = leader.sub("", low)
+        parts = re.split(op.SEGMENT, bare)
+        said = [" ".join(words(s)) for s in parts]
+        blocks = {" ".join(words(s)) for s in re.split(op.BLOCK, bare)}
+        if leader.search(low):
+            blocks |= {" ".join(words(s)) for s in re.split(op.BLOCK, leader.sub("", other.sub("", low)))}
+        blocks -= set(said)
+        file = {" ".join(words(bare))} - set(said) - blocks
         found = []
-        for said in re.split(op.SEGMENT, (text or "").lower()):
-            tf = Counter(re.findall(op.TERM, said))
-            w = {t: c * idf.get(t, 1 + math.log(len(rows) + 1)) for t, c in tf.items()}
-            norm = math.sqrt(sum(x * x for x in w.values()))
-            best = None
-            for name, lines in op.TEMPLATES.items():
-                for line in lines:
-                    v = {t: c * idf[t] for t, c in Counter(op._terms(line)).items()}
-                    dot = sum(v[t] * w.get(t, 0) for t in v) / math.sqrt(sum(x * x for x in v.values()))
-                    cosine = round(dot / norm, 6) if norm else 0
-                    if cosine >= op.THRESHOLD:
-                        best = min(best or (0, ""), (-cosine, name))
-            found += [best] if best else []
-        out.append((min(found)[1], -min(found)[0], len(found)) if found else (None, 0.0, 0))
+        for place, unit in [(2, x) for x in said if x] + [(1, x) for x in blocks if x] + [(0, x) for x in file if x]:
+            tf = Counter(unit.split())
+            cosines = [(sum(c * tf[t] * idf[t] ** 2 for t, c in v.items()) / size(v) / size(tf), name) for name, v in vectors]
+            best = [(place, -round(cosine, 6), name) for cosine, name in cosines if cosine >= op.THRESHOLD - op.SLACK]
+            found += [min(best)] if best else []
+        out.append((min(found)[2], -min(found)[1], len(found)) if found else (None, 0.0, 0))
     return out
 
 
+def compared(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # a folder for each document: nothing is inherited
+    got = {r["doc_id"]: r for r in op.scan(docs, F.concat(F.col("doc_id").cast("string"), F.lit("/x"))).collect()}
+    for k, (licence, cosine, n) in enumerate(brute(texts)):
+        assert (got[k]["license"], got[k]["n_matches"]) == (licence, n), texts[k]
+        assert abs(got[k]["cosine"] - cosine) < 2e-6
+    return [got[k]["license"] for k in range(len(texts))]
+
+
 def test_fixture_matches_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = docs.collect()
-    want = dict(zip((r["doc_id"] for r in rows), brute([("", r["text"]) for r in rows]), strict=True))
-    got = {r["doc_id"]: r for r in op.query(spark, "/root/testdata/sf0.001").collect()}
-    assert len(got) == len(rows)
-    assert any(v[0] for v in want.values())
-    for d, (licence, cosine, n) in want.items():
-        if licence:
-            assert (got[d]["license"], got[d]["basis"], got[d]["n_matches"]) == (licence, "own", n)
-            assert abs(got[d]["cosine"] - cosine) < 2e-6
-        else:
-            assert got[d]["basis"] != "own"
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert any(compared(spark, texts))
+
+
+def wrap(text, width, lead):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines, line = [*lines, line], ""
+        line = f"{line} {word}".strip()
+    return "\n".join(lead + x for x in [*lines, line])
+
+
+def test_wrapped_headers_and_whole_files(spark):
+    t, apache = op.TEMPLATES, "http://www.apache.org/licenses/LICENSE-2.0"
+    head = f"{t['Apache-2.0'][3]}\n\n    {apache}\n\n" + t["Apache-2.0"][5].split(apache)[1].strip()
+    code = "\nimport os\n\n\ndef main(path):\n    return os.listdir(path)\n" * 5
+    paragraphs = lambda text, ends: "\n\n".join(wrap(x, 70, "") for x in re.split(ends, text))
+    whole = [
+        ("GPL-3.0", "/*\n" + wrap(t["GPL-3.0"][4], 60, " * ") + "\n */\n" + code),
+        ("GPL-3.0", wrap(t["GPL-3.0"][2], 50, "# ") + code),
+        ("Apache-2.0", "\n".join("// " + x for x in wrap(t["Apache-2.0"][3], 70, "").split("\n")) + "\n//\n//     " + apache + code),
+        ("Apache-2.0", "#!/bin/sh\n" + wrap(head, 72, "# ") + code),
+        ("MPL-2.0", wrap(t["MPL-2.0"][2], 66, "-- ") + "\n" + code),
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + paragraphs(t["MIT"][6], r"(?<=conditions:) |(?<=Software\.) ")),
+        ("BSD-3-Clause", "Copyright 2019, Some Body\nAll of it.\n\n" + paragraphs(t["BSD-3-Clause"][4], r"(?<=met:) | (?=\d\. )|(?<=permission\.) ")),
+        ("BSD-2-Clause", "Copyright 2019, Some Body\n\n" + paragraphs(t["BSD-2-Clause"][2], r"(?<=met:) | (?=\d\. )|(?<=distribution\.) ")),
+        ("ISC", "ISC\n\n" + paragraphs(t["ISC"][2], r"(?<=copies\.) ")),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "The licences for most works are designed to take away your freedom. " * 40),
+        (None, code), (None, ""), (None, None), (None, "word " * 30_000), (None, "// " + "\n// ".join(f"a comment of line {k} about the software" for k in range(300))),
+    ]
+    plain = [f"ordinary text number {k} about rivers, towns and the weather of the year" for k in range(60)]
+    found = compared(spark, [text for _, text in whole] + plain)
+    assert found[: len(whole)] == [name for name, _ in whole]
+
+
+def test_whole_licence_files_of_the_system(spark):
+    folder = "/usr/share/common-licenses"
+    names = {k: v for k, v in {"GPL-3.0": "GPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}.items() if os.path.exists(f"{folder}/{v}")}
+    templates = op.with_files(folder, names)
+    texts = [(k, open(f"{folder}/{v}", encoding="utf-8").read().upper().replace("\n", "\n// ")) for k, v in names.items()]
+    docs = spark.createDataFrame([(i, f"d{i}/src/{i}", x) for i, (_, x) in enumerate(texts)] + [(100 + i, f"d{i}/a/b", "plain") for i in range(len(texts))] + [(99, "z", "")], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in op.scan(docs, F.concat(F.lit("/"), F.regexp_replace("path", "/src", "")), templates=templates).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert (got[i]["license"], got[i]["basis"]) == (name, "own") and got[i]["cosine"] > 0.95
+        assert (got[100 + i]["license"], got[100 + i]["basis"]) == (name, "inherited")
 
 
 def test_headers_and_inheritance(spark):
