@@ -92,7 +92,7 @@ TEMPLATES = {
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ],
     "MIT": [
-        "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+        "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         _MIT_GRANT, f"{_MIT_GRANT} {_MIT_REST}",
     ],

@@ -50,18 +50,32 @@ class Weights:
                 tf = Counter(_terms(line))
                 norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in tf.items()))
                 self.vectors.append((licence, len(self.vectors), {t: c * self.idf[t] / norm for t, c in tf.items()}))
-        self.required: set[str] = set()
-        while True:
-            # what is left of a template without its required terms bounds its cosine with any segment that lacks them
-            loose = [v for _, _, v in self.vectors if math.sqrt(sum(w * w for t, w in v.items() if t not in self.required)) >= threshold - 1e-9]
-            if not loose:
-                break
-            gain = Counter()
-            for v in loose:
-                for t, w in v.items():
-                    if t not in self.required:
-                        gain[t] += w * w
-            self.required.add(max(gain, key=lambda t: (gain[t] * self.idf[t], t)))
+        self.required = _required([v for _, _, v in self.vectors], df, threshold)
+
+
+def _required(vectors: list[dict[str, float]], df: dict[str, int], threshold: float) -> set[str]:
+    """Terms of which every unit that reaches the threshold has one.
+
+    What is left of a template without its required terms bounds its cosine with any unit
+    that lacks them. Terms are taken by how much they lower what is too much, in all
+    templates, for each document that has them; in the end those that are not needed go,
+    the most frequent first.
+    """
+    most = threshold * threshold - 2 * SLACK
+    over = lambda v, taken: sum(w * w for t, w in v.items() if t not in taken) - most
+    chosen: set[str] = set()
+    while loose := [v for v in vectors if over(v, chosen) >= 0]:
+        gain: Counter = Counter()
+        for v in loose:
+            need = over(v, chosen) + SLACK
+            for t, w in v.items():
+                if t not in chosen:
+                    gain[t] += min(w * w, need)
+        chosen.add(max(gain, key=lambda t: (gain[t] / (1 + df.get(t, 0)), t)))
+    for t in sorted(chosen, key=lambda t: (-df.get(t, 0), t)):
+        if all(over(v, chosen - {t}) < 0 for v in vectors if t in v):
+            chosen.remove(t)
+    return chosen
 
 
 def _plain(text: Column) -> Column:
@@ -196,8 +210,9 @@ def scan(
     folders = placed.where("license IS NULL").select("folder").distinct()
     chain = folders.select("folder", F.posexplode(_ancestors(F.col("folder"))).alias("up", "above"))
     nearest = chain.join(files, "above").groupBy("folder").agg(F.min(F.struct("up", "above", "license")).alias("found"))
-    nearest = nearest.select("folder", F.col("found.license").alias("given"), F.col("found.above").alias("inherited_from"))
-    return placed.join(nearest, "folder", "left").select(
+    # written, so that Spark splits a folder that a third of all documents are in
+    nearest = work.write(nearest.select("folder", F.col("found.license").alias("given"), F.col("found.above").alias("inherited_from")), "nearest")
+    return placed.join(nearest.hint("merge"), "folder", "left").select(
         "doc_id",
         "path",
         F.coalesce("license", "given").alias("license"),

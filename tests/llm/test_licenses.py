@@ -153,3 +153,13 @@ def test_licences_stay_with_their_rows_when_files_are_split_anew(spark, tmp_path
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_required_terms_are_rare_and_sufficient():
+    lines = [line for lines in op.TEMPLATES.values() for line in lines]
+    common = {t: 50_000 for t in "the of and to in is a this for or any by with be not are you all free work use may work under copy".split()}
+    weights = op.Weights(op.TEMPLATES, common | {"license": 900}, 100_000, op.THRESHOLD)
+    assert not weights.required & set(common)
+    for _, _, v in weights.vectors:
+        assert math.sqrt(sum(w * w for t, w in v.items() if t not in weights.required)) < op.THRESHOLD
+    assert len(weights.vectors) == len(lines)
