@@ -13,27 +13,48 @@ from docscore.llm.storage import Workspace
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon model rejects go."""
+    """Documents that the lexicon model rejects go.
+
+    Null and empty texts stay, repeated rows share their fate, an empty table or one
+    without labels loses nothing; extra columns are kept.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; null is the empty text.
+
+    A null id is smaller than any other; of rows that share the largest id one stays.
+    An empty table gives an empty one; extra columns are kept.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of linked fingerprints the document with the smallest id stays.
+
+    Texts without words, null among them, are one group. A null id is larger than any
+    other; of rows that share the smallest id one stays. An empty table gives an empty
+    one; extra columns are kept.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item, re-parameterised ones too, go."""
+    """Documents whose text contains a benchmark item, re-parameterised ones too, go.
+
+    Texts decide, so rows with a null or shared id are judged one by one. Null and empty
+    texts stay; an empty table or benchmark changes nothing; extra columns are kept.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """Token counts and digests of the ids and of the decoded text, a row per document.
+
+    Null and empty texts have no tokens; repeated rows stay repeated; an empty table
+    gives no rows; extra columns are not read.
+    """
     return bpe.round_trip(docs, bpe.default_tokenizer())
 
 
