@@ -95,13 +95,15 @@ def date_checked(day: Column, month: Column, year: Column) -> Column:
 
 
 def digits_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, rx(r"\D"), ""), F.lit(""))
+    bare = F.when(text.rlike("^[0-9]*\\z"), text).otherwise(F.regexp_replace(text, rx(r"\D"), ""))
+    return F.coalesce(bare, F.lit(""))
 
 
 def digit_accuracy(predicted: Column, expected: Column) -> Column:
     """One minus edit distance by reference length, at least 0; null without reference digits."""
     n = F.length(expected)
-    return F.when(n > 0, F.greatest(F.lit(0.0), 1 - F.levenshtein(predicted, expected) / n))
+    edits = F.when(predicted == expected, 0).otherwise(F.levenshtein(predicted, expected))
+    return F.when(n > 0, F.greatest(F.lit(0.0), 1 - edits / n))
 
 
 def ratio(num: Column, den: Column) -> Column:

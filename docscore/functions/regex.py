@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,25 +37,60 @@ def all_groups(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(rx(pattern)), group)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where it is used inside lambdas, which compute all else anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+_CHUNK = 64
+
+
+def _chunks(values: Column) -> Column:
+    """An array that is not empty, cut into arrays of at most ``_CHUNK``."""
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda k: F.slice(v, k * _CHUNK + 1, F.lit(_CHUNK))))
+
+
+def _added(values: Column, start: Column) -> Column:
+    """``start`` plus the sum of all values before, for every value."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+
+def running(values: Column, levels: int = 2) -> Column:
+    """For every int of an array the sum of those before it.
+
+    An array grows by copying, so sums are made in chunks, from the sums of the chunks,
+    and these likewise: the cost stays near the size of the array.
+    """
+    if not levels:
+        return _added(values, F.lit(0))
+
+    def whole(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), running(sums, levels - 1).alias("s")), lambda z: _added(z["c"], z["s"])))
+
+    return F.when(F.size(values) > 0, let(_chunks(values), whole)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<pos, value>>`` of all matches in order; the pattern never matches the empty string.
 
-    Offsets are running sums over the pieces between the matches and the matches themselves.
+    Offsets are running sums over the pieces between the matches and the matches
+    themselves. Null text gives null.
     """
-    pieces = F.split(text, rx(pattern), -1)
-    whole = all_groups(text, pattern, 0)
-    value = whole if group == 0 else all_groups(text, pattern, group)
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<pos:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        pos = acc["at"] + F.length(row["piece"])
-        return F.struct(
-            (pos + F.length(row["whole"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(pos.alias("pos"), row["value"].alias("value")))).alias("out"),
-        )
-
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+    def placed(whole: Column) -> Column:
+        value = whole if group == 0 else all_groups(text, pattern, group)
+        rows = F.arrays_zip(F.slice(F.split(text, rx(pattern), -1), 1, F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value"))
+
+        def found(rows: Column) -> Column:
+            before = running(F.transform(rows, lambda r: F.length(r["piece"]) + F.length(r["whole"])))
+            return F.transform(F.arrays_zip(rows.alias("r"), before.alias("b")), lambda z: F.struct((z["b"] + F.length(z["r"]["piece"])).alias("pos"), z["r"]["value"].alias("value")))
+
+        return let(rows, found)
+
+    return F.when(text.isNotNull(), let(all_groups(text, pattern, 0), placed))
 
 
 def positions(text: Column, pattern: str) -> Column:

@@ -37,8 +37,13 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. Text of ASCII and Latin-1 letters is composed already and stays in the JVM."""
-    return _nfc(text)
+    """Canonical composition.
+
+    Text whose letters all come before the combining marks (ASCII and Latin) is composed
+    already and stays in the JVM: the Python function sees null in its place.
+    """
+    marked = text.rlike("[^\\x{0}-\\x{2ff}]")
+    return F.coalesce(_nfc(F.when(marked, text)), text)
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 
 from docscore import schema as S
 from docscore.functions import numbers as N
+from docscore.operators.score import each_outcome, judged
 
 # fixed values: candidate number and name of each adapter
 CANDIDATES = {
@@ -51,18 +55,37 @@ def field_counters(outcomes: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
-def field_pivot(outcomes: DataFrame) -> DataFrame:
-    """One row per engine with ``present_<field>_correct`` and so on for every field."""
-    wide = field_counters(outcomes).groupBy("engine_id").pivot("field", S.BUSINESS_FIELDS)
-    cells = wide.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("present_correct", "present_total", "absent_correct", "absent_total")])
-    names = {f"{f}_{side}_{what}": f"{side}_{f}_{what}" for f in S.BUSINESS_FIELDS for side in ("present", "absent") for what in ("correct", "total")}
-    return cells.withColumnsRenamed(names).na.fill(0)
+def _counts_of(o: Column) -> dict[str, Column]:
+    """The five counters of one outcome struct, null where a row has no outcomes."""
+    present, absent = o["scorable"] & (o["presence"] == "PRESENT"), o["scorable"] & (o["presence"] != "PRESENT")
+    return {
+        "present_correct": F.count_if(present & o["correct"]), "present_total": F.count_if(present), "absent_correct": F.count_if(absent & o["correct"]),
+        "absent_total": F.count_if(absent), "excluded": F.count_if(~o["scorable"]),
+    }
+
+
+def field_pivot(scores: DataFrame) -> DataFrame:
+    """One row per engine with ``present_<field>_correct`` and so on for every field, in one aggregation of the score rows."""
+    made = []
+    for k, f in enumerate(S.BUSINESS_FIELDS):
+        for name, value in _counts_of(F.get("outcomes", F.lit(k))).items():
+            side, what = name.partition("_")[::2]
+            made += [value.alias(f"{side}_{f}_{what}")] if what else []
+    return judged(scores).groupBy("engine_id").agg(*made)
+
+
+def field_counts(scores: DataFrame) -> DataFrame:
+    """``field_counters`` by engine and field, in one aggregation of the score rows: no row per field is shuffled."""
+    names = ["present_correct", "present_total", "absent_correct", "absent_total", "excluded"]
+    cells = [F.struct(F.lit(f).alias("field"), *[v.alias(n) for n, v in _counts_of(F.get("outcomes", F.lit(k))).items()]).alias(f) for k, f in enumerate(S.BUSINESS_FIELDS)]
+    wide = judged(scores).groupBy("engine_id").agg(*cells)
+    return wide.select("engine_id", F.explode(F.array(*S.BUSINESS_FIELDS)).alias("c")).select("engine_id", "c.field", *[f"c.{n}" for n in names])
 
 
 def error_labels(scores: DataFrame) -> DataFrame:
     """``engine_id, label, n``: failures of rows (BLOCKED aside) and of fields together."""
     rows = scores.where(~F.col("status").isin("ok", "BLOCKED")).select("engine_id", F.col("status").alias("label"))
-    fields = scores.select("engine_id", F.explode("outcomes.error_label").alias("label")).where("label IS NOT NULL")
+    fields = each_outcome(scores).select("engine_id", F.col("o.error_label").alias("label")).where("label IS NOT NULL")
     return rows.unionByName(fields).groupBy("engine_id", "label").agg(F.count("*").alias("n"))
 
 
@@ -116,13 +139,15 @@ def candidate_groups(engines: DataFrame) -> DataFrame:
     return engines.select(c["number"].alias("candidate_number"), "engine_id").groupBy("candidate_number").agg(F.array_join(F.array_sort(F.collect_list("engine_id")), ",").alias("engine_ids"))
 
 
-def presence_totals(outcomes: DataFrame) -> DataFrame:
-    """Scorable and correct fields of each engine: all, PRESENT only, ABSENT only."""
-    s = F.col("scorable")
-    present = F.col("presence") == "PRESENT"
-    return outcomes.groupBy("engine_id").agg(
-        F.count_if(s).alias("total_scorable"), F.count_if(s & F.col("correct")).alias("total_correct"), F.count_if(s & present).alias("present_scorable"),
-        F.count_if(s & present & F.col("correct")).alias("present_correct"), F.count_if(s & ~present).alias("absent_scorable"), F.count_if(s & ~present & F.col("correct")).alias("absent_correct"),
+def presence_totals(scores: DataFrame) -> DataFrame:
+    """Scorable and correct fields of each engine (all, PRESENT only, ABSENT only), and its judged and blocked rows, in one aggregation."""
+    every = [_counts_of(F.get("outcomes", F.lit(k))) for k in range(len(S.BUSINESS_FIELDS))]
+    total = lambda name: reduce(lambda a, b: a + b, (c[name] for c in every))
+    return scores.groupBy("engine_id").agg(
+        (total("present_total") + total("absent_total")).alias("total_scorable"), (total("present_correct") + total("absent_correct")).alias("total_correct"),
+        total("present_total").alias("present_scorable"), total("present_correct").alias("present_correct"),
+        total("absent_total").alias("absent_scorable"), total("absent_correct").alias("absent_correct"),
+        F.count_if((F.col("status") == "ok") & F.col("has_truth")).alias("judged"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"),
     )
 
 
@@ -143,21 +168,32 @@ def character_error(pairs: DataFrame, by: list[str]) -> DataFrame:
 @F.pandas_udf(T.IntegerType())
 def _word_edits(predicted: pd.Series, expected: pd.Series) -> pd.Series:
     def edits(a: str | None, b: str | None) -> int:
-        a, b = (a or "").split(), (b or "").split()
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
+        # words to numbers, then one row of the table at a time; numpy does the work of a row
+        number: dict[str, int] = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in (t or "").split()], np.int64) for t in (a, b))
+        if len(x) < len(y):
+            x, y = y, x
+        place = np.arange(len(y) + 1)
+        row = place.copy()
+        for i, word in enumerate(x, 1):
+            least = np.minimum(row[1:] + 1, row[:-1] + (y != word))
+            # insertions: the smallest of all to the left plus the way to here
+            row = np.minimum.accumulate(np.concatenate([[i], least]) - place) + place
+        return int(row[-1])
 
     return pd.Series([edits(a, b) for a, b in zip(predicted, expected, strict=True)], dtype="int32")
 
 
 def word_error(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Word edits by reference words, pooled; edit distance over words has no built-in."""
-    n = F.size(F.filter(F.split("expected", r"\s+"), lambda w: w != ""))
-    each = pairs.select(*by, _word_edits("predicted", "expected").alias("d"), n.alias("n"))
+    """Word edits by reference words, pooled; edit distance over words has no built-in. Null text has no words.
+
+    Equal texts need none, so only the others go to Python.
+    """
+    n = F.size(F.filter(F.split(F.coalesce("expected", F.lit("")), r"\s+"), lambda w: w != ""))
+    differ = ~F.col("predicted").eqNullSafe(F.col("expected"))
+    # nulls where nothing has to be compared: short rows for Python
+    d = F.when(differ, _word_edits(F.when(differ, F.col("predicted")), F.when(differ, F.col("expected")))).otherwise(0)
+    each = pairs.select(*by, d.alias("d"), n.alias("n"))
     return each.groupBy(*by).agg(F.sum("d").alias("edits"), F.sum("n").alias("reference_words"), N.ratio(F.sum("d"), F.sum("n")).alias("wer"))
 
 
@@ -169,9 +205,39 @@ def slice_rollup(df: DataFrame, dims: list[str], correct: str) -> DataFrame:
     return cube.withColumn("accuracy", F.col("correct") / F.col("total")).drop("level")
 
 
-def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact median and 95th percentile."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"))
+def latency(df: DataFrame, by: list[str], value: str, bins: int = 1024) -> DataFrame:
+    """Exact median and 95th percentile (interpolated) of each group, and how many values it has.
+
+    Values are counted in bins between the smallest and largest of their group; only the
+    bins that hold a wanted rank are looked into, and there distinct values are counted
+    before they are put in order. No task holds the values of a group. Null and NaN
+    values do not count; a group without any has none.
+    """
+    keys = [F.col(c) for c in by]
+    rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v"))
+    ends = rows.groupBy(*by).agg(F.count("__v").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    known = rows.where("__v IS NOT NULL").join(_renamed(ends, by), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*[f"_{c}" for c in by])
+    share = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    placed = known.withColumn("__bin", F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)))
+    ranks = F.array(*[f(F.col("__n") - 1, p) for p in (0.5, 0.95) for f in (lambda n, p: F.floor(n * p), lambda n, p: F.ceil(n * p))])
+    inner = Window.partitionBy(*by).orderBy("__bin")
+    # at most ``bins`` rows per group
+    counts = placed.groupBy(*by, "__bin").agg(F.count("*").alias("__k"), F.max("__n").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__k").over(inner) - F.col("__k")).withColumn("__ranks", ranks)
+    wanted = counts.where(F.exists("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__k"))))
+    wanted = _renamed(wanted.select(*by, "__bin", "__before", "__ranks"), [*by, "__bin"])
+    inside = placed.join(wanted, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "__bin"]]).groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__k"), F.max("__before").alias("__before"), F.max("__ranks").alias("__ranks"))
+    ordered = Window.partitionBy(*by, "__bin").orderBy("__v")
+    inside = inside.withColumn("__first", F.col("__before") + F.sum("__k").over(ordered) - F.col("__k"))
+    at = lambda k: F.max(F.when((F.col("__ranks")[k] >= F.col("__first")) & (F.col("__ranks")[k] < F.col("__first") + F.col("__k")), F.col("__v")))
+    found = inside.groupBy(*by).agg(*[at(k).alias(f"__r{k}") for k in range(4)])
+    out = ends.join(_renamed(found, by), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    between = lambda p, a, b: F.col(a) + (F.col(b) - F.col(a)) * ((F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p))
+    return out.select(*by, F.col("__n").alias("n"), between(0.5, "__r0", "__r1").alias("p50"), between(0.95, "__r2", "__r3").alias("p95"))
+
+
+def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_{c}" for c in names})
 
 
 def auto_accept(df: DataFrame, by: list[str], accepted: Column, correct: Column) -> DataFrame:
@@ -193,14 +259,17 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, key: str, rounds: int = 2
     """Interval of the mean difference of two engines on the same documents.
 
     Each document has a Poisson weight per round that depends on its key, the round and
-    the seed only, so rounds are one aggregation and need no resampled copies.
+    the seed only: from the first 13 hexadecimal digits of an MD5, which other systems
+    can compute too. So rounds are one aggregation and need no resampled copies.
     """
     r = F.explode(F.sequence(F.lit(1), F.lit(rounds)))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, "round"), 11).cast("double")) / float(1 << 53)
+    digest = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("round").cast("string")), "UTF-8"))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d")).withColumn("round", r).withColumn("w", weight)
+    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d")).withColumn("round", r).withColumn("u", u).withColumn("w", weight)
     means = each.groupBy("round").agg((F.sum(F.col("d") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    # one row per round
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("rounds"))
 
 

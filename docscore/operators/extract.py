@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docscore.functions import numbers as N
 from docscore.functions import text as X
-from docscore.functions.regex import all_groups, first_group, lines, matches, nearest, positions, rx, strip
+from docscore.functions.regex import all_groups, first_group, let, lines, matches, nearest, positions, rx, strip
 
 VAT_RATE = 0.18
 FIELDS = ["vendor_name", "business_tax_id", "business_tax_id_valid", "invoice_number", "invoice_date", "amount_before_vat", "vat_amount", "total_amount", "allocation_number", "extraction_notes"]
@@ -183,12 +183,14 @@ def label_anchored(df: DataFrame, text_col: str = "text", reverse_tokens: bool =
 
 def nearest_id(text: Column) -> Column:
     """The nine-digit run that ranks first: valid, near the addressee, near a tax label, early."""
-    addressee, tax = positions(text, HINTS["addressee"]), F.concat(positions(text, HINTS["dealer"]), positions(text, HINTS["party"]))
-    ranked = F.transform(
+    hints = F.struct(
+        positions(text, HINTS["addressee"]).alias("addressee"), F.concat(positions(text, HINTS["dealer"]), positions(text, HINTS["party"])).alias("tax")
+    )
+    ranked = lambda h: F.transform(
         digit_runs(text, 9, 9),
-        lambda m: F.struct((~N.checksum_valid(m["value"])).alias("invalid"), nearest(addressee, m["pos"]).alias("a"), nearest(tax, m["pos"]).alias("b"), m["pos"].alias("pos"), m["value"].alias("value")),
+        lambda m: F.struct((~N.checksum_valid(m["value"])).alias("invalid"), nearest(h["addressee"], m["pos"]).alias("a"), nearest(h["tax"], m["pos"]).alias("b"), m["pos"].alias("pos"), m["value"].alias("value")),
     )
-    return F.array_min(ranked)
+    return F.array_min(let(hints, ranked))
 
 
 def windowed_number(text: Column) -> Column:
@@ -202,16 +204,16 @@ def windowed_number(text: Column) -> Column:
 
 def nearest_date(text: Column) -> Column:
     """The checked date nearest to a source mark, then to a date label, then the first; day-first forms rank before year-first ones."""
-    source, label = positions(text, HINTS["source"]), positions(text, HINTS["date"])
+    hints = F.struct(positions(text, HINTS["source"]).alias("source"), positions(text, HINTS["date"]).alias("label"))
 
-    def ranked(pattern: str, kind: int, order: tuple[int, int, int]) -> Column:
+    def ranked(h: Column, pattern: str, kind: int, order: tuple[int, int, int]) -> Column:
         part = lambda m, k: F.regexp_extract(m["value"], rx(pattern), k)
         return F.transform(
             matches(text, pattern),
-            lambda m: F.struct(nearest(source, m["pos"]).alias("a"), nearest(label, m["pos"]).alias("b"), m["pos"].alias("pos"), F.lit(kind).alias("kind"), N.date_checked(*(part(m, k) for k in order)).alias("iso")),
+            lambda m: F.struct(nearest(h["source"], m["pos"]).alias("a"), nearest(h["label"], m["pos"]).alias("b"), m["pos"].alias("pos"), F.lit(kind).alias("kind"), N.date_checked(*(part(m, k) for k in order)).alias("iso")),
         )
 
-    every = F.concat(ranked(DATE_DMY, 0, (1, 2, 3)), ranked(DATE_YMD, 1, (3, 2, 1)))
+    every = let(hints, lambda h: F.concat(ranked(h, DATE_DMY, 0, (1, 2, 3)), ranked(h, DATE_YMD, 1, (3, 2, 1))))
     return F.array_min(F.filter(every, lambda r: r["iso"].isNotNull()))["iso"]
 
 

@@ -5,42 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docscore.operators.score import judged
+
 
 def _place(order: Column) -> Column:
     # one row per engine: a small, fixed set
     return F.rank().over(Window.orderBy(order))
 
 
-def ranking(totals: DataFrame, by: str = "total_correct", blocked: DataFrame | None = None) -> DataFrame:
+def ranking(totals: DataFrame, by: str = "total_correct") -> DataFrame:
     """Competition ranking of engines by ``by`` alone; rows are ordered by all of correct, present and id.
 
-    ``shown_rank`` is blank where the row above has the same count. Engines of
-    ``blocked`` (``engine_id``) come last, without a place.
+    ``totals`` has a row per engine. ``shown_rank`` is blank where the row above has the
+    same count. Engines without a judged row (``judged``) come last, without a place, if
+    they have blocked ones (``blocked``); both columns are optional.
     """
+    have = {"judged", "blocked"} <= set(totals.columns)
+    ranked = totals.where("judged > 0").drop("judged", "blocked") if have else totals
     order = [F.desc(by), F.desc("present_correct"), F.col("engine_id")]
     above = F.lag(by).over(Window.orderBy(*order))
-    ranked = totals.withColumn("rank", _place(F.desc(by)))
+    ranked = ranked.withColumn("rank", _place(F.desc(by)))
     ranked = ranked.withColumn("shown_rank", F.when(above.eqNullSafe(F.col(by)), "").otherwise(F.col("rank").cast("string"))).withColumn("status", F.lit("RANKED"))
-    if blocked is not None:
-        rest = blocked.join(totals.select("engine_id"), "engine_id", "left_anti").select("engine_id").distinct()
+    if have:
+        rest = totals.where("judged = 0 AND blocked > 0").select("engine_id")
         ranked = ranked.unionByName(rest.withColumns({"shown_rank": F.lit("—"), "status": F.lit("BLOCKED")}), allowMissingColumns=True)
     return ranked
 
 
-def document_scores(outcomes: DataFrame) -> DataFrame:
-    """Correct fields of each document and engine."""
-    return outcomes.groupBy("document_id", "engine_id").agg(F.count_if(F.col("scorable") & F.col("correct")).alias("correct_fields"))
-
-
-def document_winners(outcomes: DataFrame) -> DataFrame:
+def document_winners(scores: DataFrame) -> DataFrame:
     """Engines with the most correct fields of each document, sorted; with none correct anywhere all of them.
 
-    The best count is a partial aggregation; a document's winners are at most all engines.
+    Correct fields are counted inside the rows of ``scores``; a document has one row per
+    engine at most, so its engines are a small group.
     """
-    each = document_scores(outcomes)
-    best = each.groupBy("document_id").agg(F.max("correct_fields").alias("correct_fields"))
-    tied = each.join(best, ["document_id", "correct_fields"])
-    return tied.groupBy("document_id", "correct_fields").agg(F.array_sort(F.collect_list("engine_id")).alias("winners"))
+    correct = F.size(F.filter("outcomes", lambda o: o["scorable"] & o["correct"]))
+    each = judged(scores).select("document_id", F.struct(correct.alias("n"), F.col("engine_id").alias("e")).alias("r"))
+    found = each.groupBy("document_id").agg(F.collect_list("r").alias("r"), F.max("r.n").cast("long").alias("correct_fields"))
+    best = F.transform(F.filter("r", lambda r: r["n"] == F.col("correct_fields")), lambda r: r["e"])
+    return found.select("document_id", "correct_fields", F.array_sort(best).alias("winners"))
 
 
 def win_credit(winners: DataFrame) -> DataFrame:

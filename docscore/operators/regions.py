@@ -7,6 +7,7 @@ five shapes, becomes ``array<struct>`` or rows of the one region type.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,9 +191,15 @@ def assemble(df: DataFrame, regions: str = "regions", gap_pixels: float | None =
     return df.withColumn(into, F.coalesce(text, F.lit(""))).drop("_r", "_pages")
 
 
-def confident_words(regions: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` words with the highest confidence; those without one do not count."""
-    return regions.where("confidence IS NOT NULL").orderBy(F.desc("confidence"), "text").limit(k)
+def confident_words(regions: DataFrame, k: int = 15, by: list[str] | None = None) -> DataFrame:
+    """The ``k`` words with the highest confidence, ties in the order of ``by``; those without one do not count."""
+    return regions.where("confidence IS NOT NULL").orderBy(F.desc("confidence"), *(by or ["text"])).limit(k)
+
+
+def bag_union(tables: dict[str, DataFrame], origin: str = "origin") -> DataFrame:
+    """All rows of several tables with the name of their table; a column that a table lacks is null there."""
+    named = [df.select(F.lit(name).alias(origin), *df.columns) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def confident_boxes(regions: DataFrame, least: float = 50.0) -> DataFrame:

@@ -8,6 +8,8 @@ accuracy depends on. Fields are judged inside their row, so scoring shuffles not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,15 @@ def with_fields(results: DataFrame, compose: bool = True) -> DataFrame:
     return results.withColumns({"prediction": side("prediction"), "truth": side("truth")}).withColumn("fields", fields_of(F.col("prediction"), F.col("truth"), F.col("presence")))
 
 
-def field_matches(field: Column, predicted: Column, expected: Column) -> Column:
+def field_matches(field: str, predicted: Column, expected: Column) -> Column:
     """Null-safe equality after the normalisation of the field's kind; two values that do not parse are equal."""
-    same = lambda norm: norm(predicted).eqNullSafe(norm(expected))
-    return (
-        F.when(field.isin(*S.AMOUNT_FIELDS), same(N.norm_amount))
-        .when(field == "invoice_date", same(N.norm_date))
-        .when(field == "vendor_name", same(lambda c: X.norm_vendor(c, compose=False)))
-        .otherwise(same(lambda c: X.norm_string(c, compose=False)))
-    )
+    if field in S.AMOUNT_FIELDS:
+        norm = N.norm_amount
+    elif field == "invoice_date":
+        norm = N.norm_date
+    else:
+        norm = lambda c: (X.norm_vendor if field == "vendor_name" else X.norm_string)(c, compose=False)
+    return norm(predicted).eqNullSafe(norm(expected))
 
 
 def presence_of(noted: Column, expected: Column) -> Column:
@@ -47,19 +49,20 @@ def presence_of(noted: Column, expected: Column) -> Column:
     return F.coalesce(noted, F.when(expected.isNull(), "ABSENT").otherwise("PRESENT"))
 
 
-def _outcome(e: Column) -> Column:
+def _judged(field: str, e: Column) -> Column:
+    """The outcome of one field. Equal raw tokens are equal under any normalisation, so few are normalised."""
     presence = presence_of(e["noted"], e["expected"])
     scorable = ~presence.isin("UNREADABLE", "AMBIGUOUS")
-    same = field_matches(e["field"], e["predicted"], e["expected"])
+    same = F.when(e["predicted"].eqNullSafe(e["expected"]), True).otherwise(field_matches(field, e["predicted"], e["expected"]))
     correct = F.when(~scorable, False).when(presence == "ABSENT", e["predicted"].isNull()).otherwise(same)
     return F.struct(
-        e["field"].alias("field"), presence.alias("presence"), scorable.alias("scorable"), e["predicted"].alias("predicted"),
+        F.lit(field).alias("field"), presence.alias("presence"), scorable.alias("scorable"), e["predicted"].alias("predicted"),
         F.when(presence != "ABSENT", e["expected"]).alias("expected"), correct.alias("correct"),
     )
 
 
-def _labelled(o: Column) -> Column:
-    wrong = F.when(o["field"].isin(*S.AMOUNT_FIELDS, *S.ID_FIELDS), "OCR_DIGIT_ERROR").otherwise("OCR_TEXT_ERROR")
+def _labelled(field: str, o: Column) -> Column:
+    wrong = "OCR_DIGIT_ERROR" if field in (*S.AMOUNT_FIELDS, *S.ID_FIELDS) else "OCR_TEXT_ERROR"
     label = F.when(~o["scorable"] | o["correct"], None).when(o["presence"] == "ABSENT", "FIELD_SELECTION_ERROR").when(o["predicted"].isNull(), "OCR_DETECTION_ERROR").otherwise(wrong)
     return F.struct(*[o[c].alias(c) for c in ("field", "presence", "scorable", "predicted", "expected", "correct")], label.alias("error_label"))
 
@@ -74,36 +77,54 @@ def status_of(error_label: Column, has_error: Column | None = None) -> Column:
 def scored(facts: DataFrame, critical: list[str] | None = None) -> DataFrame:
     """Facts with ``status, has_truth, outcomes, critical_complete, all_fields_complete, digit_accuracy, reference_digit_count``.
 
-    Rows with an error or without truth have no outcomes and null measures.
+    ``fields`` has the business fields in their fixed order, so each is judged by plain
+    expressions of its own. Rows with an error or without truth have no outcomes and
+    null measures.
     """
     critical = critical or S.CRITICAL_FIELDS
+    cells = {f: F.col("_o")[f] for f in S.BUSINESS_FIELDS}
     status = status_of(F.col("error_label"))
     judged = (status == "ok") & F.col("fields").isNotNull()
-    found = F.transform(F.transform("fields", _outcome), _labelled)
-    df = facts.withColumns({"status": status, "has_truth": F.col("fields").isNotNull()})
-    df = df.withColumn("outcomes", F.when(judged, found).otherwise(F.array().cast(OUTCOME)))
+    each = F.struct(*[_judged(f, F.col("fields")[k]).alias(f) for k, f in enumerate(S.BUSINESS_FIELDS)])
+    df = facts.withColumns({"status": status, "has_truth": F.col("fields").isNotNull(), "_o": F.when(judged, each)})
+    found = F.array(*[_labelled(f, cells[f]) for f in S.BUSINESS_FIELDS])
+    df = df.withColumn("outcomes", F.when(F.col("_o").isNotNull(), found).otherwise(F.array().cast(OUTCOME)))
+
+    def all_of(fields: list[str], what: str) -> Column:
+        return reduce(lambda a, b: a & b, (cells[f][what] for f in fields))
 
     def complete(fields: list[str]) -> Column:
-        bucket = F.filter("outcomes", lambda o: o["field"].isin(*fields))
-        return F.when((F.size(bucket) > 0) & F.forall(bucket, lambda o: o["scorable"]), F.forall(bucket, lambda o: o["correct"]))
+        return F.when(all_of(fields, "scorable"), all_of(fields, "correct"))
 
     def digits(side: str) -> Column:
-        order = F.array(*map(F.lit, [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]))
-        counted = F.filter("outcomes", lambda o: (o["presence"] == "PRESENT") & o["expected"].isNotNull())
-        placed = F.transform(counted, lambda o: F.struct(F.array_position(order, o["field"]).alias("at"), N.digits_of(o[side]).alias("d")))
-        return F.array_join(F.transform(F.array_sort(F.filter(placed, lambda p: p["at"] > 0)), lambda p: p["d"]), "")
+        order = [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]
+        counted = lambda o: (o["presence"] == "PRESENT") & o["expected"].isNotNull()
+        return F.concat(*[F.when(counted(cells[f]), N.digits_of(cells[f][side])).otherwise("") for f in order])
 
-    df = df.withColumns({"_p": digits("predicted"), "_e": digits("expected")})
+    known = F.col("_o").isNotNull()
+    df = df.withColumns({"_p": F.when(known, digits("predicted")), "_e": F.when(known, digits("expected"))})
     return df.withColumns({
-        "critical_complete": complete(critical),
-        "all_fields_complete": complete(S.BUSINESS_FIELDS),
+        "critical_complete": F.when(known, complete(critical)),
+        "all_fields_complete": F.when(known, complete(S.BUSINESS_FIELDS)),
         "digit_accuracy": N.digit_accuracy(F.col("_p"), F.col("_e")),
-        "reference_digit_count": F.length("_e"),
-    }).drop("_p", "_e")
+        "reference_digit_count": F.coalesce(F.length("_e"), F.lit(0)),
+    }).drop("_o", "_p", "_e")
+
+
+def judged(scores: DataFrame) -> DataFrame:
+    """The rows that have outcomes, told by their status: a condition on the outcomes
+    themselves would be pushed below them and judge every field once more."""
+    return scores.where((F.col("status") == "ok") & F.col("has_truth"))
+
+
+def each_outcome(scores: DataFrame) -> DataFrame:
+    """A row for each judged field: the columns of ``scores`` and ``o``, the outcome."""
+    places = F.array(*[F.lit(k) for k in range(len(S.BUSINESS_FIELDS))])
+    return judged(scores).withColumn("_k", F.explode(places)).withColumn("o", F.get("outcomes", F.col("_k"))).drop("_k")
 
 
 def outcomes_long(scores: DataFrame) -> DataFrame:
-    return scores.select("document_id", "engine_id", F.explode("outcomes").alias("o")).select("document_id", "engine_id", "o.*")
+    return each_outcome(scores).select("document_id", "engine_id", "o.*")
 
 
 def latest_truth(truth: DataFrame, key: str = "document_id", order: str = "line") -> DataFrame:
@@ -124,6 +145,14 @@ def cross_status(documents: DataFrame, engines: DataFrame, facts: DataFrame) ->
     return grid.join(have, ["document_id", "engine_id"], "left").withColumn("status", F.coalesce("status", F.lit("NOT RUN")))
 
 
+def ordered_grid(documents: DataFrame, engines: DataFrame, facts: DataFrame) -> DataFrame:
+    """``cross_status`` in the order of documents (``ordinal``, then id) and of engines (``ordinal``, then id), both kept as columns."""
+    first = documents.groupBy("document_id").agg(F.min("ordinal").alias("document_ordinal"))
+    place = engines.groupBy("engine_id").agg(F.min("ordinal").alias("engine_ordinal"))
+    grid = cross_status(documents, engines, facts).join(first, "document_id").join(F.broadcast(place), "engine_id")
+    return grid.select("document_id", "engine_id", "status", "document_ordinal", "engine_ordinal").orderBy("document_ordinal", "document_id", "engine_ordinal", "engine_id")
+
+
 def block_failed_engines(facts: DataFrame, load_errors: DataFrame) -> DataFrame:
     """Rows of engines that did not load are BLOCKED, with no prediction."""
     failed = load_errors.select("engine_id", F.lit(True).alias("_failed")).distinct()

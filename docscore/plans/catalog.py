@@ -20,28 +20,15 @@ from docscore.operators import score as C
 from docscore.operators import seeding as D
 from docscore.operators import validate as V
 from docscore.plans import facts as P
+from docscore.plans.registry import ORACLES, QUERIES, register as _register
 from docscore.streaming import events as T
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def _register(sql: str | None):
-    def add(function: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[function.__name__] = function
-        if sql is not None:
-            _ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
 
 
 def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -193,10 +180,15 @@ def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_register("""SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS has_truth FROM documents d LEFT JOIN (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS r FROM labels) WHERE r = 1) l ON d.doc_id = l.doc_id""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality * 2 + toxic DESC) AS r FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) WHERE r = 1) l ON d.doc_id = l.doc_id""")
 def label_truth_join(spark: SparkSession, sf: str) -> DataFrame:
-    labels = P.read(spark, sf, "labels").groupBy("doc_id").agg(F.max(F.struct("quality", "toxic")).alias("t"))
-    return _docs(spark, sf, "doc_id").join(labels, "doc_id", "left").select("doc_id", "t.quality", "t.toxic", F.col("t").isNotNull().alias("has_truth"))
+    """Labels as truth of documents: of several the last line counts, here the one with the larger labels."""
+    labels = P.read(spark, sf, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    truth = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    rows = labels.select(F.col("doc_id").alias("document_id"), truth.alias("truth"), F.lit(None).cast("map<string,string>").alias("presence"), (F.col("quality") * 2 + F.col("toxic")).alias("line"))
+    joined = C.join_truth(_docs(spark, sf, "doc_id").withColumnRenamed("doc_id", "document_id"), rows)
+    value = lambda k: F.col("truth")[k].cast("long").alias(k)
+    return joined.select(F.col("document_id").alias("doc_id"), value("quality"), value("toxic"), F.col("truth").isNotNull().alias("has_truth"))
 
 
 @_register(P.SQL + "SELECT document_id, engine_id, field, presence, scorable, predicted, expected, correct, error_label FROM outcomes")
@@ -252,14 +244,14 @@ _FIELD_COUNTS = """SELECT engine_id, field, count(*) FILTER (WHERE scorable AND
 
 @_register(P.SQL + _FIELD_COUNTS)
 def engine_field_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.field_counters(P.outcomes(spark, sf))
+    return A.field_counts(P.scores(spark, sf))
 
 
 @_register(P.SQL + "SELECT engine_id, " + ", ".join(
     f"count(*) FILTER (WHERE field = '{f}' AND scorable AND presence {op} 'PRESENT'{' AND correct' if what == 'correct' else ''}) AS {side}_{f}_{what}"
     for f in S.BUSINESS_FIELDS for side, op in (("present", "="), ("absent", "<>")) for what in ("correct", "total")) + " FROM outcomes GROUP BY 1")
 def engine_field_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return A.field_pivot(P.outcomes(spark, sf))
+    return A.field_pivot(P.scores(spark, sf))
 
 
 @_register(P.SQL + """, labels_ AS (SELECT engine_id, label, count(*) AS n FROM (SELECT engine_id, status AS label FROM scores WHERE status NOT IN ('ok', 'BLOCKED') UNION ALL SELECT engine_id, error_label FROM outcomes WHERE error_label IS NOT NULL) GROUP BY 1, 2)
@@ -273,7 +265,7 @@ _FW = _wilson_sql("present_correct", "present_total")
 
 @_register(P.SQL + f"SELECT engine_id, field, present_correct, present_total, {_FW[0]} AS low, {_FW[1]} AS high FROM ({_FIELD_COUNTS})")
 def wilson_ci(spark: SparkSession, sf: str) -> DataFrame:
-    df = A.field_counters(P.outcomes(spark, sf))
+    df = A.field_counts(P.scores(spark, sf))
     low, high = N.wilson(F.col("present_correct"), F.col("present_total"))
     return df.select("engine_id", "field", "present_correct", "present_total", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
@@ -291,8 +283,7 @@ UNION ALL SELECT DISTINCT engine_id, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL,
 
 
 def _ranking(spark: SparkSession, sf: str, by: str) -> DataFrame:
-    scores = P.scores(spark, sf)
-    return K.ranking(A.presence_totals(C.outcomes_long(scores)), by, scores.where("status = 'BLOCKED'"))
+    return K.ranking(A.presence_totals(P.scores(spark, sf)), by)
 
 
 @_register(_ranking_sql("total_correct"))
@@ -312,12 +303,12 @@ winners_ AS (SELECT e.document_id, e.correct_fields, list(engine_id ORDER BY eng
 
 @_register(P.SQL + _WINNERS + "SELECT document_id, correct_fields, array_to_string(winners, ',') AS winners FROM winners_")
 def doc_winners(spark: SparkSession, sf: str) -> DataFrame:
-    return K.document_winners(P.outcomes(spark, sf)).withColumn("winners", F.array_join("winners", ","))
+    return K.document_winners(P.scores(spark, sf)).withColumn("winners", F.array_join("winners", ","))
 
 
 @_register(P.SQL + _WINNERS + "SELECT engine_id, round(sum(share), 4) AS docs_won FROM (SELECT unnest(winners) AS engine_id, 1.0e0 / len(winners) AS share FROM winners_) GROUP BY 1")
 def win_credit(spark: SparkSession, sf: str) -> DataFrame:
-    return _round(K.win_credit(K.document_winners(P.outcomes(spark, sf))), "docs_won", digits=4)
+    return _round(K.win_credit(K.document_winners(P.scores(spark, sf))), "docs_won", digits=4)
 
 
 @_register(P.SQL + "SELECT document_id, engine_id, status, round(digit_accuracy, 6) AS digit_accuracy, CAST(reference_digit_count AS INTEGER) AS reference_digit_count, critical_complete, all_fields_complete FROM scores")
@@ -344,8 +335,8 @@ def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 @_register(P.SQL + """SELECT CASE WHEN grouping(language) = 1 THEN '(all)' ELSE language END AS language, CASE WHEN grouping(split) = 1 THEN '(all)' ELSE split END AS split, count(*) AS total,
   CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS correct, round(sum(CAST(correct AS INTEGER)) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM outcomes WHERE scorable GROUP BY ROLLUP(language, split)""")
 def slice_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.scores(spark, sf).select("language", "split", F.explode("outcomes").alias("o")).where("o.scorable").select("language", "split", F.col("o.correct").cast("long").alias("hit"))
-    out = A.slice_rollup(rows.withColumnRenamed("hit", "correct_"), ["language", "split"], "correct_")
+    rows = C.each_outcome(P.scores(spark, sf)).where("o.scorable").select("language", "split", F.col("o.correct").cast("long").alias("correct_"))
+    out = A.slice_rollup(rows, ["language", "split"], "correct_")
     return _round(out, "accuracy").select("language", "split", "total", "correct", "accuracy")
 
 
@@ -354,11 +345,11 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return _round(A.latency(P.read(spark, sf, "events"), ["event_type"], "value"), "p50", "p95")
 
 
-@_register("""SELECT f.field, hits, n, CAST(hits AS VARCHAR) || '/' || CAST(n AS VARCHAR) AS rate FROM (SELECT count(*) AS n, count(*) FILTER (WHERE text <> '') AS text, count(*) FILTER (WHERE lang = 'en') AS english FROM documents) t,
+@_register("""SELECT f.field, hits, n, CAST(hits AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ' (' || printf('%.0f', hits * 100.0e0 / n) || '%)' AS rate FROM (SELECT count(*) AS n, count(*) FILTER (WHERE text <> '') AS text, count(*) FILTER (WHERE lang = 'en') AS english FROM documents) t,
   LATERAL (VALUES ('text', t.text), ('english', t.english)) f(field, hits)""")
 def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf, "text", "lang").withColumn("english", F.when(F.col("lang") == "en", "en"))
-    return A.hit_rate(d, ["text", "english"]).withColumn("rate", F.split("rate", " ")[0])
+    return A.hit_rate(d, ["text", "english"])
 
 
 @_register(P.SQL + """SELECT d.document_id, e.engine_id, coalesce(s.status, 'NOT RUN') AS status FROM (SELECT DISTINCT document_id FROM rows_) d CROSS JOIN (SELECT engine_id FROM eng) e
@@ -415,9 +406,9 @@ def line_category_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("SELECT 'documents' AS origin, doc_id AS id, CAST(length(text) AS BIGINT) AS size, source AS note FROM documents UNION ALL SELECT 'pages', page_id, CAST(length(html) AS BIGINT), NULL FROM pages")
 def bag_union_sources(spark: SparkSession, sf: str) -> DataFrame:
-    a = _docs(spark, sf, "doc_id", "text", "source").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"), F.col("source").alias("note"))
-    b = P.read(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
-    return a.unionByName(b, allowMissingColumns=True)
+    a = _docs(spark, sf, "doc_id", "text", "source").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"), F.col("source").alias("note"))
+    b = P.read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("size"))
+    return G.bag_union({"documents": a, "pages": b})
 
 
 @_register("""SELECT docs, pages, kind, round(busy * rate, 4) AS elastic_cost, round(ceil(docs * pages / (speed * 3600 * 0.7e0 * 720)) * 720 * rate, 4) AS warm_cost, round(busy * rate / docs * 1000, 6) AS cost_per_1000,
@@ -453,9 +444,15 @@ def status_counters(spark: SparkSession, sf: str) -> DataFrame:
     return A.status_counters(P.scores(spark, sf))
 
 
-@_register(None)
+_WEIGHTS = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+
+
+@_register(P.SQL + f""", pairs AS (SELECT document_id, max(digit_accuracy) FILTER (WHERE engine_id = 'exact') AS a, max(digit_accuracy) FILTER (WHERE engine_id = 'truncated') AS b FROM scores GROUP BY 1),
+drawn AS (SELECT r, a - b AS d, CAST(('0x' || left(md5('42:' || document_id || ':' || CAST(r AS VARCHAR)), 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM pairs CROSS JOIN (SELECT unnest(range(1, 201)) AS r) WHERE a IS NOT NULL AND b IS NOT NULL),
+means AS (SELECT sum(d * w) / nullif(sum(w), 0) AS m FROM (SELECT r, d, {_WEIGHTS} AS w FROM drawn) GROUP BY r)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(m) AS rounds FROM means""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the digit-accuracy difference of two engines; Poisson weights come from a hash that SQL does not have."""
+    """Interval of the digit-accuracy difference of two engines."""
     s = P.scores(spark, sf)
     pairs = s.groupBy("document_id").agg(F.max(F.when(F.col("engine_id") == "exact", F.col("digit_accuracy"))).alias("a"), F.max(F.when(F.col("engine_id") == "truncated", F.col("digit_accuracy"))).alias("b"))
     return _round(A.paired_bootstrap(pairs.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b", "document_id"), "mean", "low", "high")
@@ -497,7 +494,7 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 def top_confident_words(spark: SparkSession, sf: str) -> DataFrame:
     """A top-k report: the fifteen words with the highest confidence."""
     words = _word_regions(spark, sf).withColumn("confidence", F.col("reading_order").cast("double"))
-    best = words.orderBy(F.desc("confidence"), "text", "conv_id", "page").limit(15)
+    best = G.confident_words(words, 15, by=["text", "conv_id", "page"])
     return best.select("text", "conv_id", F.col("reading_order").cast("long").alias("reading_order"))
 
 
@@ -523,21 +520,6 @@ def error_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return P.read(spark, sf, "customer").select(k.alias("custkey"), G.error_code(msg, 400 + k % 5).alias("label"), G.language_name(code).alias("language"))
 
 
-# --- extraction on the driver's texts -----------------------------------------
-
-
-@_register(None)
-def extract_format_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole record of every document; its parts have oracles, the cascade is held against golden texts."""
-    return E.format_first(_docs(spark, sf, "doc_id", "text")).drop("text").withColumn("extraction_notes", F.array_join("extraction_notes", "; "))
-
-
-@_register(None)
-def extract_label_anchored(spark: SparkSession, sf: str) -> DataFrame:
-    """The record read at labels, from every document."""
-    return E.label_anchored(_docs(spark, sf, "doc_id", "text"), tolerant=True, reverse_tokens=False, fix_abbreviations=False).drop("text").withColumn("extraction_notes", F.array_join("extraction_notes", "; "))
-
-
 # --- extensions on the event table ---------------------------------------------
 
 
@@ -552,3 +534,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
   SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s""")
 def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return T.event_sessions(P.read(spark, sf, "events"))
+
+
+# registered by being imported; both use names of this module
+from docscore.plans import catalog_io, catalog_records  # noqa: E402, F401

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docscore import schema as S
 from docscore.functions import text as X
 
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+HEADER_BYTES = 256 << 10
 SKIP_FOLDERS = (".git", ".venv", "venv", "__pycache__", "node_modules")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, raw`` of a text file, numbered from 1 in file order. For manifests, whose size is that of a list of documents."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "line long, raw string")
+    """``line, raw`` of a text file, numbered from 1 in file order; of several files each from 1.
+
+    Lines are counted in every split of a file, and the counts of the splits before,
+    one row each, are added: no line leaves the JVM or its split's order.
+    """
+    rows = spark.read.text(path).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
+    )
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("f", "b").orderBy("i")))
+    counts = rows.groupBy("f", "b").agg(F.count("*").alias("k"))
+    before = counts.withColumn("before", F.sum("k").over(Window.partitionBy("f").orderBy("b")) - F.col("k")).select(F.col("f").alias("f2"), F.col("b").alias("b2"), "before")
+    return placed.join(before, (F.col("f") == F.col("f2")) & (F.col("b") == F.col("b2"))).select((F.col("before") + F.col("n")).cast("long").alias("line"), "raw")
 
 
 def _entries(lines: DataFrame) -> DataFrame:
@@ -104,8 +117,75 @@ def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (*I
     return files.where(suffix.isin(*suffixes)).orderBy("path")
 
 
+def _size_of(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of an image; null if there is none that says."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data[:2] == b"BM" and len(data) >= 26:
+        width, height = struct.unpack("<ii", data[18:26]) if data[14:18] != b"\x0c\0\0\0" else struct.unpack("<HH", data[18:22])
+        return width, abs(height)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        width, height = struct.unpack("<HH", data[26:30])
+        return width & 0x3FFF, height & 0x3FFF
+    if data[:2] == b"\xff\xd8":
+        return _jpeg_size(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff_size(data)
+    return None
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    at = 2
+    while at + 9 <= len(data):
+        if data[at] != 0xFF:
+            return None
+        mark = data[at + 1]
+        if mark == 0xFF or 0xD0 <= mark <= 0xD8 or mark == 0x01:  # filling, or a mark alone
+            at += 1 if mark == 0xFF else 2
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def _tiff_size(data: bytes) -> tuple[int, int] | None:
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", data[4:8])[0]
+    if at + 2 > len(data):
+        return None
+    found = {}
+    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+        entry = at + 2 + 12 * k
+        if entry + 12 > len(data):
+            return None
+        tag, kind = struct.unpack_from(order + "HH", data, entry)
+        if tag in (256, 257) and kind in (3, 4):
+            found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, entry + 8)[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.origin", "image.width", "image.height")
+    """``path, width, height`` of the images below a folder, read from their headers; null where a header does not say.
+
+    The first ``HEADER_BYTES`` are looked at, of TIFF the whole file, whose directory may be at its end.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    head = F.when(suffix.isin(".tif", ".tiff"), F.col("content")).otherwise(F.substring("content", 1, HEADER_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [_size_of(x.as_py() or b"") or (None, None) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))], ["path", "width", "height"])
+
+    return files.where(suffix.isin(*IMAGES)).select("path", head.alias("head")).mapInArrow(run, "path string, width int, height int")
 
 
 def source_lines(spark: SparkSession, folder: str, suffix: str = ".py", skip: tuple[str, ...] = SKIP_FOLDERS) -> DataFrame:
@@ -119,18 +199,24 @@ def source_lines(spark: SparkSession, folder: str, suffix: str = ".py", skip: tu
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """``document_id, engine_id, text`` of files named ``<document>__<engine>.txt``."""
     rows = spark.read.option("pathGlobFilter", "*__*.txt").text(folder, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]*)\.txt$", 1)
+    name = F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]*)\.txt$", 1)
     return rows.select(F.regexp_extract(name, r"^(.*)__", 1).alias("document_id"), F.regexp_extract(name, r"__([^_]*(?:_[^_]+)*)$", 1).alias("engine_id"), F.col("value").alias("text"))
 
 
+def read_packed_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """``document_id, engine_id, text`` of the sidecars that were written as a table."""
+    return spark.read.schema("document_id string, engine_id string, text string").parquet(path)
+
+
 def with_sidecar_text(rows: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Rows with the text of their sidecar, empty where there is none."""
     return rows.join(sidecars, ["document_id", "engine_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def read_batch_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A row per document of a batch summary (``per_pdf`` array)."""
-    return spark.read.option("multiLine", True).schema(f"per_pdf array<struct<{S.INVOICE}>>").json(path).select(F.explode("per_pdf").alias("r")).select("r.*")
+    """``pdf, hits, error`` and the record of every document of a batch summary (``per_pdf`` array)."""
+    rows = spark.read.option("multiLine", True).schema(f"per_pdf array<struct<pdf string, hits int, error string, parsed struct<{S.INVOICE}>>>").json(path)
+    return rows.select(F.explode("per_pdf").alias("r")).select("r.pdf", "r.hits", "r.error", "r.parsed.*")
 
 
 def resolved_pages(manifest: DataFrame, folder: str) -> DataFrame:

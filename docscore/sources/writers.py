@@ -7,14 +7,17 @@ with one row per engine, a small and fixed set.
 from __future__ import annotations
 
 import csv
+import io
 import json
-from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscore import schema as S
 from docscore.functions import numbers as N
+from docscore.functions import text as X
+from docscore.operators.aggregate import hit_rate
+from docscore.sources import pdf, scratch
 
 # fixed values: columns of the spreadsheet export
 SPREADSHEET = ["source_file", "vendor_name", "business_tax_id", "business_tax_id_valid", "invoice_number", "invoice_date", "amount_before_vat", "vat_amount", "total_amount", "allocation_number", "extraction_notes"]
@@ -28,10 +31,26 @@ def append_manifest(entries: DataFrame, path: str, overwrite: bool = False) -> N
     entries.write.mode("overwrite" if overwrite else "append").json(path)
 
 
+def sidecar_text() -> Column:
+    """The assembled text, or the label and message of the error in its place."""
+    message = F.coalesce("error_message", F.lit(""))
+    failed = F.concat(F.lit("["), F.coalesce("error_label", F.lit("NO_TEXT")), F.lit("] "), message)
+    return F.coalesce(F.when(F.col("error_label").isNull(), F.col("assembled_text")), failed)
+
+
+def write_packed_sidecars(rows: DataFrame, path: str) -> None:
+    """``document_id, engine_id, text`` as a table: for any number of documents."""
+    rows.select("document_id", "engine_id", sidecar_text().alias("text")).write.mode("overwrite").parquet(path)
+
+
 def write_sidecars(rows: DataFrame, path: str) -> None:
-    """One text per document and engine below ``document_id=/engine_id=``; the status text where there is an error."""
-    text = F.when(F.col("error_label").isNotNull(), F.concat(F.lit("["), "error_label", F.lit("]"))).otherwise(F.coalesce("assembled_text", F.lit("")))
-    rows.select("document_id", "engine_id", text.alias("value")).write.partitionBy("document_id", "engine_id").mode("overwrite").option("lineSep", "\n").text(path)
+    """A file ``<document>__<engine>.txt`` for each row, written by the driver a row at a time.
+
+    For people to read, so for small runs; ``write_packed_sidecars`` takes any number.
+    """
+    spark = rows.sparkSession
+    for r in rows.select("document_id", "engine_id", sidecar_text().alias("text")).toLocalIterator():
+        scratch.write_bytes(spark, f"{path.rstrip('/')}/{r['document_id']}__{r['engine_id']}.txt", r["text"].encode())
 
 
 def per_document(scores: DataFrame) -> DataFrame:
@@ -60,14 +79,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_spreadsheet(rows: Iterable, path: str) -> None:
-    """CSV for spreadsheets on the driver: UTF-8 with a byte order mark, notes joined with bars."""
-    with open(path, "w", encoding="utf-8-sig", newline="") as file:
-        writer = csv.DictWriter(file, SPREADSHEET, extrasaction="ignore")
-        writer.writeheader()
-        for r in rows:
-            row = r.asDict()
-            writer.writerow(row | {"extraction_notes": " | ".join(row.get("extraction_notes") or [])})
+def write_spreadsheet(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """CSV for spreadsheets: UTF-8 with a byte order mark, notes joined with bars.
+
+    Written by the driver a row at a time, as no Spark writer makes the mark; for
+    tables that a spreadsheet can hold.
+    """
+    text = io.StringIO(newline="")
+    writer = csv.DictWriter(text, SPREADSHEET, extrasaction="ignore")
+    writer.writeheader()
+    for r in rows.toLocalIterator():
+        row = r.asDict()
+        writer.writerow(row | {"extraction_notes": " | ".join(row.get("extraction_notes") or [])})
+    scratch.write_bytes(spark, path, text.getvalue().encode("utf-8-sig"))
 
 
 def markdown_report(report: DataFrame, pivot: DataFrame, labels: DataFrame, title: str, run_id: str, documents: int, load_errors: dict[str, str] | None = None) -> str:
@@ -90,13 +114,80 @@ def markdown_report(report: DataFrame, pivot: DataFrame, labels: DataFrame, titl
     return "\n".join(out) + "\n"
 
 
+def batch_records(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Extracted documents of a batch: ``pdf, raw, normalized, parsed, hits``, ``parsed`` being the record.
+
+    ``hits`` counts the business fields that hold something. Null text is a failed
+    extraction: no record, no hits, and an error.
+    """
+    record = F.struct(*[F.col(c) for c in S.CANONICAL_KEYS])
+    hits = N.field_hits(*[F.col(f) for f in S.BUSINESS_FIELDS])
+    known = F.col(text_col).isNotNull()
+    return df.select(
+        F.col("source_file").alias("pdf"), F.col(text_col).alias("raw"), X.normalize_for_matching(F.col(text_col)).alias("normalized"), F.when(known, record).alias("parsed"),
+        F.when(known, hits).alias("hits"), F.when(~known, F.lit("text extraction failed")).alias("error"),
+    )
+
+
+def write_batch(records: DataFrame, path: str) -> None:
+    """The batch as tables: ``raw``, ``normalized`` and ``parsed`` with a row per document, for any number of documents."""
+    for part in ("raw", "normalized", "parsed"):
+        records.where(F.col("raw").isNotNull()).select("pdf", part).write.mode("overwrite").json(f"{path}/{part}")
+
+
+def write_batch_summary(records: DataFrame, path: str) -> None:
+    """One JSON file with the number of documents, the hit rate of each field and a record per document, by document.
+
+    Written by the driver a row at a time, as readers of the summary expect one file.
+    """
+    spark = records.sparkSession
+    wide = records.select(*[F.col(f"parsed.{f}").alias(f) for f in S.BUSINESS_FIELDS])
+    rates = {r["field"]: (r["n"], r["rate"]) for r in hit_rate(wide, S.BUSINESS_FIELDS).collect()}
+    head = {"pdf_count": max((n for n, _ in rates.values()), default=0), "field_hit_rate": {f: rates[f][1] for f in S.BUSINESS_FIELDS if f in rates}}
+    cell = F.to_json(F.struct("pdf", "hits", "error", "parsed"), {"ignoreNullFields": "false"})
+    rows = (r["j"] for r in records.orderBy("pdf").select(cell.alias("j")).toLocalIterator())
+    text = json.dumps(head, ensure_ascii=False)[:-1] + ', "per_pdf": [' + ",\n".join(rows) + "]}"
+    scratch.write_bytes(spark, path, text.encode())
+
+
+def word_rows(regions: DataFrame) -> DataFrame:
+    """Recognised words with their boxes as flat columns, for a CSV file: the least corner, width and height."""
+    xs, ys = F.transform("polygon", lambda p: p["x"]), F.transform("polygon", lambda p: p["y"])
+    return regions.select(
+        "document_id", "page", "reading_order", "text", "confidence", F.array_min(xs).alias("left"), F.array_min(ys).alias("top"),
+        (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("height"),
+    )
+
+
+def write_ranking_pdf(spark: SparkSession, ranked: DataFrame, path: str, title: str = "Ranking") -> None:
+    """The ranking (a row per engine) as a PDF of text: place, engine, correct of all, of present and of absent fields."""
+    cells = ["rank", "shown_rank", "engine_id", "status", "total_correct", "total_scorable", "present_correct", "present_scorable", "absent_correct", "absent_scorable"]
+    rows = ranked.select(*cells).orderBy(F.col("rank").asc_nulls_last(), F.desc("present_correct"), "engine_id").collect()
+    part = lambda r, side: f"{r[side + '_correct']}/{r[side + '_scorable']}" if r["rank"] is not None else r["status"]
+    lines = [title, "", f"{'place':<6}{'engine':<30}{'all':>16}{'present':>16}{'absent':>16}"]
+    lines += [f"{r['shown_rank'] or '=':<6}{r['engine_id']:<30}{part(r, 'total'):>16}{part(r, 'present'):>16}{part(r, 'absent'):>16}" for r in rows]
+    scratch.write_bytes(spark, path, pdf.text_pdf(lines))
+
+
+def write_detail_pdf(spark: SparkSession, comparison: DataFrame, path: str, title: str = "Details") -> None:
+    """Truth, prediction and judgement of every field as a PDF of text, by document and engine; for the documents someone wants to read."""
+    lines, at = [title], None
+    for r in comparison.orderBy("document_id", "engine_id", "field").toLocalIterator():
+        if (r["document_id"], r["engine_id"]) != at:
+            at = (r["document_id"], r["engine_id"])
+            lines += ["", f"{at[0]} | {at[1]}"]
+        mark = {None: "-", True: "ok"}.get(r["correct"], r["error_label"] or "not scored")
+        lines.append(f"  {r['field']}: {r['expected'] if r['expected'] is not None else 'null'} | {r['predicted'] if r['predicted'] is not None else 'null'} | {mark}")
+    scratch.write_bytes(spark, path, pdf.text_pdf(lines))
+
+
 def module_map(counts: DataFrame, files: int, tests: list[str]) -> str:
     """Hits by category and the test files, as Markdown."""
     rows = [f"| {r['category']} | {r['hits']} |" for r in counts.orderBy("category").collect()]
     return "\n".join(["# Module map", "", f"{files} files", "", "| Category | Hits |", "|---|---:|", *rows, "", "## Tests", "", *[f"- `{t}`" for t in sorted(tests)], ""])
 
 
-def write_run_manifest(path: str, run: dict, engines: DataFrame, load_errors: dict[str, str], load_ms: dict[str, float]) -> None:
+def write_run_manifest(spark: SparkSession, path: str, run: dict, engines: DataFrame, load_errors: dict[str, str], load_ms: dict[str, float]) -> None:
+    """The settings, engines (a small, fixed set) and load results of a run, as one JSON object."""
     spec = [r.asDict() for r in engines.orderBy("ordinal").collect()]
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(run | {"engines": spec, "load_errors": load_errors, "load_ms": load_ms}, file, ensure_ascii=False, indent=2)
+    scratch.write_bytes(spark, path, json.dumps(run | {"engines": spec, "load_errors": load_errors, "load_ms": load_ms}, ensure_ascii=False, indent=2).encode())

@@ -115,26 +115,29 @@ def test_reports(spark, tmp_path):
 
     sf = "/root/testdata/sf0.001"
     scores = P.scores(spark, sf).cache()
-    report, pivot, labels = A.engine_report(P.engines(spark), scores), A.field_pivot(C.outcomes_long(scores)), A.error_labels(scores)
+    report, pivot, labels = A.engine_report(P.engines(spark), scores), A.field_pivot(scores), A.error_labels(scores)
     text = writers.markdown_report(report, pivot, A.top_labels(labels), "Report", "run", 3, {"blocked": "no engine"})
     assert "NOT RUN" in text and "| 3. Tesseract + tessdata_fast | `truncated` | OK |" in text and "- **`blocked`** — no engine" in text
     flat = writers.csv_report(report, pivot)
     assert flat.count() == 8 and sum(c.startswith(("present_", "absent_")) for c in flat.columns) == 32
     writers.write_csv(flat, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 8
-    one = json.loads(writers.aggregate_json(report, A.field_counters(C.outcomes_long(scores)), labels).where("engine_id = 'exact'").first()["json"])
+    one = json.loads(writers.aggregate_json(report, A.field_counts(scores), labels).where("engine_id = 'exact'").first()["json"])
     assert one["engine_id"] == "exact" and len(one["per_field"]) == 8
     writers.write_results(writers.per_document(scores), str(tmp_path / "docs"))
     assert spark.read.json(str(tmp_path / "docs")).count() == scores.count()
-    side = spark.createDataFrame([("d", "e", None, "text"), ("d", "f", "BLOCKED", None)], "document_id string, engine_id string, error_label string, assembled_text string")
+    side = spark.createDataFrame([("d", "e", None, None, "text\n"), ("d 1", "f", "BLOCKED", "no licence", None), ("d+%", "f_2", None, None, None)], "document_id string, engine_id string, error_label string, error_message string, assembled_text string")
+    want = {("d", "e"): "text\n", ("d 1", "f"): "[BLOCKED] no licence", ("d+%", "f_2"): "[NO_TEXT] "}
     writers.write_sidecars(side, str(tmp_path / "side"))
-    assert {r["engine_id"]: r["value"] for r in spark.read.text(str(tmp_path / "side")).collect()} == {"e": "text", "f": "[BLOCKED]"}
+    writers.write_packed_sidecars(side, str(tmp_path / "packed"))
+    for rows in (readers.read_sidecars(spark, str(tmp_path / "side")), readers.read_packed_sidecars(spark, str(tmp_path / "packed"))):
+        assert {(r["document_id"], r["engine_id"]): r["text"] for r in rows.collect()} == want
 
 
 def test_spreadsheet_and_seeding(spark, tmp_path):
     docs = spark.createDataFrame([("d", "s.png", "dev", "he", ["p"], None, "first\n\nsecond")], "document_id string, source_file string, split string, language string, pages array<string>, tags array<string>, text string")
     extracted = E.format_first(docs)
-    writers.write_spreadsheet(extracted.collect(), str(tmp_path / "x.csv"))
+    writers.write_spreadsheet(spark, extracted, str(tmp_path / "x.csv"))
     assert (tmp_path / "x.csv").read_bytes().startswith(b"\xef\xbb\xbfsource_file,")
     entry = D.seeded_entries(docs.drop("text"), extracted, "engine-a").first()
     assert set(entry["annotation"]["field_presence"].values()) == {"UNREADABLE"} and set(entry["annotation"]["field_presence"]) == set(S.BUSINESS_FIELDS)
@@ -163,3 +166,42 @@ def test_score_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == 50
+
+
+def test_numbered_lines(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 70) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        assert sorted((r["line"], r["raw"]) for r in readers.numbered_lines(spark, str(tmp_path / "a.txt")).collect()) == [(k + 1, x) for k, x in enumerate(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_image_sizes(spark, tmp_path):
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest"
+    bmp = b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 31, -17) + b"\0" * 20
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"J" * 14 + b"\xff\xff\xc2" + struct.pack(">HBHH", 17, 8, 200, 300) + b"\0" * 20
+    tiff = b"II*\0" + struct.pack("<I", 40) + b"\0" * 32 + struct.pack("<HHHIIHHIHH", 2, 256, 3, 1, 77, 257, 4, 1, 99, 0) + b"\0" * 4
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (511).to_bytes(3, "little") + (255).to_bytes(3, "little")
+    lossless = b"RIFF\0\0\0\0WEBPVP8L" + b"\0" * 4 + b"\x2f" + (99 | 49 << 14).to_bytes(4, "little") + b"\0" * 9
+    files = {"a.PNG": png, "b.bmp": bmp, "c.jpeg": jpeg, "d.tif": tiff, "e.webp": webp, "f.webp": lossless, "g.jpg": b"\xff\xd8", "h.png": b"no image", "i.txt": png}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["width"], r["height"]) for r in readers.image_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a.PNG": (640, 480), "b.bmp": (31, 17), "c.jpeg": (300, 200), "d.tif": (77, 99), "e.webp": (512, 256), "f.webp": (100, 50), "g.jpg": (None, None), "h.png": (None, None)}
+
+
+def test_batch_files(spark, tmp_path):
+    texts = spark.createDataFrame([("a.pdf", "id 123456782"), ("b.pdf", None), ("c.pdf", "")], "source_file string, text string")
+    records = writers.batch_records(E.format_first(texts))
+    writers.write_batch(records, str(tmp_path / "out"))
+    writers.write_batch_summary(records, str(tmp_path / "out" / "summary.json"))
+    rows = {r["pdf"]: r for r in readers.read_batch_summary(spark, str(tmp_path / "out" / "summary.json")).collect()}
+    assert {k: (r["hits"], r["business_tax_id"], r["error"]) for k, r in rows.items()} == {"a.pdf": (1, "123456782", None), "b.pdf": (None, None, "text extraction failed"), "c.pdf": (0, None, None)}
+    head = json.loads((tmp_path / "out" / "summary.json").read_text())
+    assert head["pdf_count"] == 3 and head["field_hit_rate"]["business_tax_id"] == "1/3 (33%)"
+    assert {r["pdf"] for r in spark.read.json(str(tmp_path / "out" / "raw")).collect()} == {"a.pdf", "c.pdf"}

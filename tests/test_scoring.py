@@ -86,16 +86,40 @@ def test_statuses_and_candidates(spark):
 
 
 def test_ranking_ties_and_winners(spark):
-    totals = spark.createDataFrame([("a", 5, 4), ("b", 5, 5), ("c", 3, 3), ("d", 7, 1)], "engine_id string, total_correct long, present_correct long")
-    blocked = spark.createDataFrame([("z",), ("a",)], "engine_id string")
-    got = {r["engine_id"]: (r["rank"], r["shown_rank"]) for r in K.ranking(totals, blocked=blocked).collect()}
+    totals = spark.createDataFrame([("a", 5, 4, 9, 1), ("b", 5, 5, 9, 0), ("c", 3, 3, 9, 0), ("d", 7, 1, 9, 0), ("z", 0, 0, 0, 2), ("y", 0, 0, 0, 0)], "engine_id string, total_correct long, present_correct long, judged long, blocked long")
+    got = {r["engine_id"]: (r["rank"], r["shown_rank"]) for r in K.ranking(totals).collect()}
     assert got == {"d": (1, "1"), "b": (2, "2"), "a": (2, ""), "c": (4, "4"), "z": (None, "—")}
-    o = spark.createDataFrame([("1", "a", True, True), ("1", "b", True, True), ("2", "a", True, False), ("2", "b", True, False), ("3", "a", True, True), ("3", "b", False, True)], "document_id string, engine_id string, scorable boolean, correct boolean")
-    w = K.document_winners(o)
+    o = [("1", "a", [(True, True)]), ("1", "b", [(True, True)]), ("2", "a", [(True, False)]), ("2", "b", [(True, False)]), ("3", "a", [(True, True)]), ("3", "b", [(False, True)]), ("3", "c", [])]
+    rows = [(*r, "ok" if r[2] else "BLOCKED", True) for r in o]
+    w = K.document_winners(spark.createDataFrame(rows, "document_id string, engine_id string, outcomes array<struct<scorable boolean, correct boolean>>, status string, has_truth boolean"))
     assert {r["document_id"]: r["winners"] for r in w.collect()} == {"1": ["a", "b"], "2": ["a", "b"], "3": ["a"]}
     assert {r["engine_id"]: r["docs_won"] for r in K.win_credit(w).collect()} == {"a": 2.0, "b": 1.0}
 
 
+def test_counts_of_fields_match_the_long_form(spark):
+    from docscore.plans import facts as P
+
+    scores = P.scores(spark, "/root/testdata/sf0.001").cache()
+    rows = lambda df: sorted(tuple(r[c] for c in ("engine_id", "field", "present_correct", "present_total", "absent_correct", "absent_total", "excluded")) for r in df.collect())
+    assert rows(A.field_counts(scores)) == rows(A.field_counters(C.outcomes_long(scores)))
+
+
+@pytest.mark.parametrize("bins", [1, 4, 1024])
+def test_latency_is_exact(spark, bins):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    values = {"a": [rnd.lognormvariate(0, 2) for _ in range(301)], "b": [7.0] * 50, "c": [1.0], None: [float(rnd.randrange(5)) for _ in range(40)], "d": [1.0, 1e9] + [2.0] * 9}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("b", float("nan")), ("e", None)]
+    got = {r["k"]: r for r in A.latency(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", bins).collect()}
+    assert set(got) == {*values, "e"} and (got["e"]["n"], got["e"]["p50"]) == (0, None)
+    for k, vs in values.items():
+        assert got[k]["n"] == len(vs)
+        assert got[k]["p50"] == pytest.approx(np.quantile(vs, 0.5)) and got[k]["p95"] == pytest.approx(np.quantile(vs, 0.95))
+
+
 def test_bootstrap_holds_the_mean(spark):
     pairs = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("a"), F.lit(0.0).alias("b"))
     r = A.paired_bootstrap(pairs, "a", "b", "id", rounds=100).collect()[0]
@@ -125,3 +149,20 @@ def test_word_and_character_error(spark):
     got = {r["k"]: (r["edits"], r["reference_words"], r["wer"]) for r in A.word_error(pairs, ["k"]).collect()}
     assert got == {"x": (2, 5, 0.4), "y": (1, 1, 1.0)}
     assert A.character_error(pairs.where("k = 'y'"), ["k"]).first()["cer_micro"] == pytest.approx(1 / 3)
+
+
+def test_word_error_matches_the_full_table(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rnd = random.Random(3)
+    rows = [(str(k), " ".join(rnd.choices("abcd", k=rnd.randrange(12))), " ".join(rnd.choices("abcd", k=rnd.randrange(12)))) for k in range(80)]
+    got = {r["k"]: r["edits"] for r in A.word_error(spark.createDataFrame(rows, "k string, predicted string, expected string"), ["k"]).collect()}
+    assert got == {k: edits(p.split(), e.split()) for k, p, e in rows}
