@@ -35,7 +35,7 @@ LATIN = {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɑ":
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 TRAIN_ROWS = 20_000
-COUNTED_AT_ONCE = 150_000
+COUNTED_AT_ONCE = 100_000
 SHORTEST, LONGEST = 3, 9
 LEAST_DOCS = 3
 LEAST_ODDS = 2.0
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [sketch(t) for t in batch.column(2).to_pylist()]
+            marks = [sketch(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["doc_id", "toxic", "mark"])
 
     marks = texts.join(labelled, "doc_id").select("doc_id", "toxic", "text").mapInArrow(mark, f"doc_id {kind}, toxic int, mark long")
@@ -275,8 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[t].update(_beginnings(fold(text)))
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found[t].update(_beginnings(fold(text.as_py())))
                 if len(found[0]) + len(found[1]) > COUNTED_AT_ONCE:
                     yield _counted(found)
                     found = (Counter(), Counter())
@@ -304,7 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
 
     def phrase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(p, e, t) for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, e in _phrases(fold(text), entries.value).items()]
+            each = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+            found = [(p, e, t) for t, text in each for p, e in _phrases(fold(text.as_py()), entries.value).items()]
             columns = list(zip(*found, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], ["phrase", "entry", "toxic"])
 
@@ -318,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value.automaton()
         for batch in batches:
-            x = [weight_in(automaton, fold(t)) for t in batch.column(1).to_pylist()]
+            x = [weight_in(automaton, fold(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["toxic", "x"])
 
     points = texts.mapInArrow(weigh, "toxic int, x double").collect()  # bounded by train_rows
