@@ -34,6 +34,7 @@ CACHE_LETTERS = 64
 SLICE_CHARS = 1_000_000
 STREAM_CHARS = 4_000_000
 STREAM_WORDS = 200_000
+BATCH_ROWS = 1_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -359,7 +360,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
         numbers = list(map(str, range(encoder.tables.size)))
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             counts, digests, decoded, same = [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for text, slices in zip(texts, encoder.encode_many(texts), strict=True):

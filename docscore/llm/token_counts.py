@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _worker_counter(shared)
-        for batch in batches:
+        for batch in (b.slice(k, bpe.BATCH_ROWS) for b in batches for k in range(0, b.num_rows, bpe.BATCH_ROWS)):
             counts = list(counter.count_many([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
         counter.forget()
