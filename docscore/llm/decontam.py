@@ -295,10 +295,13 @@ def contaminated(
         wanted = spark.sparkContext.broadcast(np.sort(np.array(hashes, np.int64).view(np.uint64)))
         found = window_rows(docs if hashes else docs.limit(0), id_col, text_col, widths, wanted)
     else:
-        found = window_rows(docs, id_col, text_col, widths).join(asked.select("window").distinct(), "window", "left_semi")
+        known = work.write(asked.select("window").distinct(), "windows")
+        found = window_rows(docs, id_col, text_col, widths).join(known, "window", "left_semi")
     # documents are read once: what they share with any item is written
     found = work.write(found.drop("way", "width"), "found")
-    maybe = found.select("row", "window").join(asked.where("key").select("item", "way", "window").distinct(), "window")
+    # written, so that Spark splits a window that a third of all documents have
+    keys = work.write(asked.where("key").select("item", "way", "window").distinct(), "keys")
+    maybe = found.select("row", "window").join(keys, "window")
     maybe = work.write(maybe.select("row", "item", "way").distinct(), "maybe")
     hits = maybe.join(asked.drop("key"), ["item", "way"]).join(found, ["row", "window"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     hits = work.write(hits, "hits")
