@@ -55,3 +55,17 @@ def test_empty_and_null_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
         assert now.count() <= most
+
+
+def test_long_texts_null_ids_and_clashing_columns_go_through(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    long = " ".join(f"w{k * k % 9973}" for k in range(200_000))
+    rows = [(None, f"leaked {item} here", 1, 2), (None, "a clean text without an id", 3, 4), (7, long, 5, 6), (8, long.upper(), 7, 8), (9, "one more clean text that stays", 9, 10)]
+    now = spark.createDataFrame(rows, "doc_id long, text string, __row long, __text long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == ["doc_id", "text", "__row", "__text"]
+    kept = sorted((tuple(r) for r in now.collect()), key=lambda r: r[2])
+    # of the two long texts, equal but for case, the larger id stays
+    assert kept == [rows[1], rows[3], rows[4]]
+    assert sorted(r["n_tokens"] > 0 for r in corpus_pipeline.encode(spark, now, SF).collect()) == [True] * 3

@@ -65,7 +65,7 @@ def test_empty_table_and_clashing_columns(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_tiles_find_every_link(spark, monkeypatch, split):
     if split:
-        monkeypatch.setattr(simhash, "LARGE", 4)
+        monkeypatch.setattr(simhash, "LARGE", 12)
         monkeypatch.setattr(simhash, "TILE", 8)
     rnd = random.Random(5)
     values = {rnd.getrandbits(64) for _ in range(60)}
