@@ -17,37 +17,42 @@ def key_differences(keys: Column, wanted: list[str]) -> tuple[Column, Column]:
 
 
 def _kind(json: Column, path: str) -> Column:
-    """The JSON type at a path of an object in text: string, number, boolean, object, array, null or missing."""
+    """The type at a path of an object in JSON text: str, int, float, bool, list, dict, null or missing."""
     v = F.try_parse_json(json)
     found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     return (
-        F.when(found.isNull(), "missing").when(found == "VOID", "null").when(found == "STRING", "string").when(found == "BOOLEAN", "boolean")
-        .when(F.startswith(found, F.lit("ARRAY")), "array").when(F.startswith(found, F.lit("OBJECT")), "object").otherwise("number")
+        F.when(found.isNull(), "missing").when(found == "VOID", "null").when(found == "STRING", "str").when(found == "BOOLEAN", "bool").when(found == "BIGINT", "int")
+        .when(F.startswith(found, F.lit("ARRAY")), "list").when(F.startswith(found, F.lit("OBJECT")), "dict").otherwise("float")
     )
 
 
+def _quoted(names: Column) -> Column:
+    """A list of names as ``['a', 'b']``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "), F.lit("]"))
+
+
 def canonical_violations(record: Column, document: Column) -> Column:
     """Messages of a record in JSON text that does not have exactly the canonical keys and types."""
     extra, missing = key_differences(F.json_object_keys(record), S.CANONICAL_KEYS)
     say = lambda when, *parts: F.when(when, F.concat(document, *[F.lit(p) if isinstance(p, str) else p for p in parts]))
     out = [
-        say(F.size(extra) > 0, ": ground_truth has extra keys: ", F.array_join(extra, ", ")),
-        say(F.size(missing) > 0, ": ground_truth missing keys: ", F.array_join(missing, ", ")),
+        say(F.size(extra) > 0, ": ground_truth has extra keys: ", _quoted(extra)),
+        say(F.size(missing) > 0, ": ground_truth missing keys: ", _quoted(missing)),
     ]
     for f in S.STRING_FIELDS:
         kind = _kind(record, f"$.{f}")
-        out.append(say(~kind.isin("string", "null", "missing"), f": '{f}' must be string or null, got ", kind))
+        out.append(say(~kind.isin("str", "null", "missing"), f": '{f}' must be string or null, got ", kind))
     for f in S.AMOUNT_FIELDS:
         kind = _kind(record, f"$.{f}")
-        out.append(say(~kind.isin("number", "null", "missing"), f": '{f}' must be number or null, got ", kind))
+        out.append(say(~kind.isin("int", "float", "null", "missing"), f": '{f}' must be number or null, got ", kind))
         value = F.get_json_object(record, f"$.{f}").try_cast("double")
-        out.append(say((kind == "number") & (F.isnan(value) | (F.abs(value) == float("inf"))), f": '{f}' must be a finite number"))
+        out.append(say(kind.isin("int", "float") & (F.isnan(value) | (F.abs(value) == float("inf"))), f": '{f}' must be a finite number"))
     kind = _kind(record, "$.business_tax_id_valid")
-    out.append(say(~kind.isin("boolean", "null", "missing"), ": business_tax_id_valid must be bool or null, got ", kind))
+    out.append(say(~kind.isin("bool", "null", "missing"), ": business_tax_id_valid must be bool or null, got ", kind))
     notes = _kind(record, "$.extraction_notes")
     bad = F.exists(F.coalesce(F.from_json(F.get_json_object(record, "$.extraction_notes"), "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda v: F.schema_of_variant(v) != "STRING")
     out.append(say(notes.isin("null", "missing"), ": extraction_notes must be a list (empty when no notes), not null"))
-    out.append(say(~notes.isin("null", "missing") & ((notes != "array") | bad), ": extraction_notes must be list[str]"))
+    out.append(say(~notes.isin("null", "missing") & ((notes != "list") | bad), ": extraction_notes must be list[str]"))
     return F.array_compact(F.array(*out))
 
 
@@ -58,7 +63,7 @@ def annotation_violations(presence: Column, document: Column) -> Column:
     unknown = F.transform(F.filter(entries, lambda e: ~F.array_contains(known, e["key"])), lambda e: F.concat(document, F.lit(": annotation.field_presence has unknown field '"), e["key"], F.lit("'")))
     wrong = F.transform(
         F.filter(entries, lambda e: e["value"].isNull() | ~F.array_contains(values, e["value"])),
-        lambda e: F.concat(document, F.lit(": annotation.field_presence['"), e["key"], F.lit("'] must be one of "), F.array_join(values, ", ")),
+        lambda e: F.concat(document, F.lit(": annotation.field_presence['"), e["key"], F.lit("'] must be one of "), _quoted(values)),
     )
     return F.coalesce(F.concat(unknown, wrong), F.expr("cast(array() as array<string>)"))
 
@@ -77,7 +82,8 @@ def manifest_violations(lines: DataFrame, pages_exist: DataFrame | None = None)
     keys = F.json_object_keys("raw")
     needed = [F.when(F.col("v").isNotNull() & ~F.array_contains(keys, k), F.concat(document, F.lit(f": missing required manifest key '{k}'"))) for k in S.MANIFEST_KEYS]
     truth = get("$.ground_truth")
-    is_object = _kind(F.col("raw"), "$.ground_truth") == "object"
+    is_object = _kind(F.col("raw"), "$.ground_truth") == "dict"
+    noted, presence = _kind(F.col("raw"), "$.annotation"), _kind(F.col("raw"), "$.annotation.field_presence")
     source, own = F.get_json_object(truth, "$.source_file"), get("$.source_file")
     none = F.expr("cast(array() as array<string>)")
     messages = F.concat(
@@ -85,10 +91,12 @@ def manifest_violations(lines: DataFrame, pages_exist: DataFrame | None = None)
             F.when(F.col("v").isNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": invalid JSON"))),
             *needed,
             F.when(truth.isNotNull() & ~is_object, F.concat(document, F.lit(": ground_truth must be an object"))),
+            F.when(~noted.isin("dict", "null", "missing"), F.concat(document, F.lit(": annotation must be an object"))),
+            F.when((noted == "dict") & ~presence.isin("dict", "null", "missing"), F.concat(document, F.lit(": annotation.field_presence must be an object"))),
             F.when(is_object & (source != own), F.concat(document, F.lit(": ground_truth.source_file ('"), source, F.lit("') != manifest source_file ('"), own, F.lit("')"))),
         )),
         F.when(is_object, canonical_violations(truth, document)).otherwise(none),
-        F.when(get("$.annotation.field_presence").isNotNull(), annotation_violations(F.from_json(get("$.annotation.field_presence"), "map<string,string>"), document)).otherwise(none),
+        F.when(presence == "dict", annotation_violations(F.from_json(get("$.annotation.field_presence"), "map<string,string>"), document)).otherwise(none),
     )
     found = rows.select("line", document.alias("document_id"), F.explode(messages).alias("message"))
     if pages_exist is not None:

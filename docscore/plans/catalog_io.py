@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docscore import schema as S
+from docscore.functions import numbers as N
 from docscore.operators import aggregate as A
 from docscore.operators import inspect as I
 from docscore.operators import rank as K
@@ -15,7 +18,7 @@ from docscore.operators import regions as G
 from docscore.operators import score as C
 from docscore.operators import seeding as D
 from docscore.plans import facts as P
-from docscore.plans.catalog import _CANDIDATE, _COUNTERS, _FIELD_COUNTS, _STATUS, _TOTALS, _word_regions, _WORDS
+from docscore.plans.catalog import _CANDIDATE, _COUNTERS, _FIELD_COUNTS, _STATUS, _TOTALS, _wilson_sql, _word_regions, _WORDS
 from docscore.plans.registry import register
 from docscore.sources import pdf, readers, scratch, writers
 
@@ -292,3 +295,42 @@ def readers_lines(texts: DataFrame) -> DataFrame:
     # one report: a few documents
     told = heads.withColumn("head", F.last(head, ignorenulls=True).over(Window.orderBy("i"))).where((F.col("i") > 0) & F.col("line").contains(": "))
     return told.select(F.col("head")[0].alias("document_id"), F.col("head")[1].alias("engine_id"), F.trim("line").alias("line"))
+
+
+_SETTINGS = "# note\nA='one'\nexport B=\"two words\"\nbad line\n=3\nC = 4\n2D=5\n"
+
+
+@register("SELECT * FROM (VALUES ('A', 'one'), ('B', 'two words'), ('C', '4')) t(key, value)")
+def env_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of a ``.env`` file in a folder above the one asked for; a file of the driver."""
+    with tempfile.TemporaryDirectory() as top:
+        deep = os.path.join(top, "a", "b")
+        os.makedirs(deep)
+        with open(os.path.join(top, ".env"), "w", encoding="utf-8") as file:
+            file.write(_SETTINGS)
+        found = readers.read_env(readers.find_env(deep))
+    return spark.createDataFrame(sorted(found.items()), "key string, value string")
+
+
+@register("SELECT * FROM (VALUES ('model', '/conf/m/x.bin'), ('data_dir', '/abs'), ('psm', '6'), ('tess_path', '/conf/t')) t(key, value)")
+def engine_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of an engine with paths expanded from the configuration's folder."""
+    params = G.engine_params({"model": "m/x.bin", "data_dir": "/abs", "psm": "6", "tess_path": "t"}, "/conf")
+    return spark.createDataFrame(list(params.items()), "key string, value string")
+
+
+@register(rf"SELECT conv_id, round(avg((i % 100) / 100.0::DOUBLE), 6) AS mean_confidence FROM ({_WORDS}) GROUP BY 1")
+def mean_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean confidence of the words of each document."""
+    docs = G.collect_regions(_word_regions(spark, sf), ["conv_id"])
+    return docs.select("conv_id", F.round(N.mean_of(F.transform("regions", lambda r: r["confidence"])), 6).alias("mean_confidence"))
+
+
+_LOW, _HIGH = (x.removeprefix("round(").removesuffix(", 6)") for x in _wilson_sql("critical_complete_ok", "critical_complete_total"))
+
+
+@register(P.SQL + f"""SELECT engine_id, CASE WHEN critical_complete_total = 0 THEN 'n/a' ELSE printf('%5.1f%%  [%4.1f%%, %4.1f%%]  (%d/%d)', critical_complete_ok * 100.0::DOUBLE / critical_complete_total, {_LOW} * 100, {_HIGH} * 100, critical_complete_ok, critical_complete_total) END AS cell FROM ({_COUNTERS})""")
+def percent_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates with their bounds and counts as the reports print them."""
+    counts = A.engine_counters(P.scores(spark, sf))
+    return counts.select("engine_id", N.percent_text(F.col("critical_complete_ok"), F.col("critical_complete_total")).alias("cell"))

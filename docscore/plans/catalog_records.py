@@ -147,12 +147,12 @@ def _manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _messages_sql() -> str:
-    values = ", ".join(sorted(S.PRESENCE_VALUES))
+    values = ", ".join(f"''{v}''" for v in sorted(S.PRESENCE_VALUES))
     said = {
-        4: ["d || ': ground_truth has extra keys: colour'"], 5: ["d || ': ground_truth missing keys: total_amount'"], 6: ["d || ': ''vendor_name'' must be string or null, got number'"],
-        7: ["d || ': ''vat_amount'' must be number or null, got string'"], 8: ["d || ': extraction_notes must be a list (empty when no notes), not null'"],
-        9: ["d || ': annotation.field_presence has unknown field ''colour'''", f"d || ': annotation.field_presence[''vat_amount''] must be one of {values}'"],
-        10: ["d || ': missing required manifest key ''split'''"], 11: ["d || ': business_tax_id_valid must be bool or null, got string'"],
+        4: ["d || ': ground_truth has extra keys: [''colour'']'"], 5: ["d || ': ground_truth missing keys: [''total_amount'']'"], 6: ["d || ': ''vendor_name'' must be string or null, got int'"],
+        7: ["d || ': ''vat_amount'' must be number or null, got str'"], 8: ["d || ': extraction_notes must be a list (empty when no notes), not null'"],
+        9: ["d || ': annotation.field_presence has unknown field ''colour'''", f"d || ': annotation.field_presence[''vat_amount''] must be one of [{values}]'"],
+        10: ["d || ': missing required manifest key ''split'''"], 11: ["d || ': business_tax_id_valid must be bool or null, got str'"],
         12: ["d || ': ground_truth.source_file (''other.png'') != manifest source_file (''' || d || '.png'')'"], 13: ["d || ': extraction_notes must be list[str]'"],
     }
     parts = [f"SELECT key AS line, d AS document_id, {m} AS message FROM lines WHERE kind = 'entry' AND key % 14 = {k}" for k, ms in said.items() for m in ms]

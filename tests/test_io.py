@@ -59,8 +59,11 @@ def test_violations(spark, tmp_path):
         got.setdefault(r["line"], []).append(r["message"])
     assert 1 not in got
     text = "\n".join(got[2])
-    for part in ("extra keys: extra", "missing keys: total_amount", "'vendor_name' must be string", "'vat_amount' must be number", "extraction_notes must be a list", "unknown field 'colour'", "['vat_amount'] must be one of", "('b.png') != manifest source_file ('a.png')"):
+    for part in ("extra keys: ['extra']", "missing keys: ['total_amount']", "string or null, got int", "'vendor_name' must be string", "'vat_amount' must be number", "extraction_notes must be a list", "unknown field 'colour'", "['vat_amount'] must be one of", "('b.png') != manifest source_file ('a.png')"):
         assert part in text, part
+    odd = manifest(tmp_path, ENTRY | {"annotation": 5}, ENTRY | {"annotation": {"field_presence": [1]}}, ENTRY | {"annotation": {}})
+    said = {r["line"]: r["message"] for r in V.manifest_violations(readers.numbered_lines(spark, odd)).collect()}
+    assert said == {1: "d1: annotation must be an object", 2: "d1: annotation.field_presence must be an object"}
     assert got[3] == ["line 3: invalid JSON"] and len(got[4]) == 4 and got[5] == ["d1: ground_truth must be an object"]
     entries = lines.select("line", F.get_json_object("raw", "$.ground_truth").isNotNull().alias("has_truth"))
     totals = V.validation_totals(entries, V.manifest_violations(lines)).first()
