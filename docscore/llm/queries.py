@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docscore.llm import bpe, decontam, exact_dedup, licenses, quality, secrets, simhash, substrings, token_counts, toxicity
+from docscore.llm import bpe, decontam, exact_dedup, licenses, quality, secrets, simhash, substrings, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substrings.query,
         "op9_token_counts": token_counts.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_embedding_whitening": whitening.query,
     }
 
 
