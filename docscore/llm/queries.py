@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docscore.llm import bpe, decontam, exact_dedup, licenses, quality, secrets, simhash, substrings, token_counts, toxicity, whitening
+from docscore.llm import bpe, decontam, embedding_dedup, exact_dedup, importance, licenses, quality, secrets, simhash, substrings, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_token_counts": token_counts.query,
         "op10_exact_dedup": exact_dedup.query,
         "op11_embedding_whitening": whitening.query,
+        "op12_importance_resampling": importance.query,
+        "op13_embedding_near_dedup": embedding_dedup.query,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict:
     return {
         "op8_substring_dedup": substrings.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
+        "op12_importance_resampling": importance.ORACLE,
     }
