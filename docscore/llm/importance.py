@@ -4,9 +4,9 @@ Texts are read once, in packs of a bounded number of words. A pack has its own w
 list, its distinct runs of words as tuples of places in that list, and for each piece
 of a document which of those runs it has, and how often. Everything after that is
 joins: word lists are joined with one dictionary of distinct words and ids, runs become
-tuples of ids, each distinct tuple is spelled out and hashed once, the counts of both
-corpora are summed by bucket, and the gain of a tuple's bucket is joined back to the
-packs that hold it. Strings travel once per pack, not once per occurrence, and no table
+tuples of ids (a word is the tuple of its own), each distinct tuple is spelled out and
+hashed once, the counts of both corpora are summed by bucket, and the gain of a tuple's
+bucket is joined back to the packs that hold it. Strings travel once per pack, not once per occurrence, and no table
 but the gains, one number per bucket, leaves the executors.
 
 The score is the floored mean gain of a document's features plus Gumbel noise from its
@@ -32,7 +32,7 @@ BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
-PACK_WORDS = 400_000
+PACK_WORDS = 1_000_000
 SLICE_BYTES = 1_000_000
 BATCH_ROWS = 1000
 WORD_BYTES = [b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80]
@@ -76,10 +76,10 @@ class Pack:
         self.words += len(words)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """``(piece, places)`` of every run of 1 to ``order`` words; places after a run's end are -1."""
+        """``(piece, places)`` of every run of 2 to ``order`` words; places after a run's end are -1."""
         pieces, runs = [np.empty(0, np.int64)], [np.empty((0, self.order), np.int32)]
         for piece, (sequence, fresh) in enumerate(zip(self.sequences, self.starts, strict=True)):
-            for size in range(1, self.order + 1):
+            for size in range(2, self.order + 1):
                 count = min(fresh, len(sequence) - size + 1)
                 if count > 0:
                     found = np.full((count, self.order), -1, np.int32)
@@ -90,17 +90,18 @@ class Pack:
         return np.concatenate(pieces), np.concatenate(runs)
 
     def rows(self, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """The pack's words (``place, word``), its distinct runs (``place, run, times``) and its
-        pieces (``row, key, words, n, uses, counts``: places of runs and how often)."""
-        pieces, runs = self.runs()
-        if self.order == 1:
-            every, which = np.arange(len(self.places), dtype=np.int32).reshape(-1, 1), runs[:, 0].astype(np.int64)
-        else:
-            every, which = np.unique(runs, axis=0, return_inverse=True)
-            which = which.ravel()
-        totals = np.bincount(which, minlength=len(every))
-        size = max(1, len(every))
-        pairs, times = np.unique(pieces * size + which, return_counts=True)
+        """The pack's features (``place, times`` with a ``word``, or with a ``run`` of places of words) and its
+        pieces (``row, key, words, n, uses, counts``: places of features and how often). A word is a run of one."""
+        owner = np.repeat(np.arange(len(self.owners)), self.starts)
+        which = np.concatenate([np.empty(0, np.int64), *(s[:fresh] for s, fresh in zip(self.sequences, self.starts, strict=True))])
+        every = np.empty((0, self.order), np.int32)
+        if self.order > 1:
+            pieces, runs = self.runs()
+            every, longer = np.unique(runs, axis=0, return_inverse=True)
+            owner, which = np.concatenate([owner, pieces]), np.concatenate([which, len(self.places) + longer.ravel()])
+        size = max(1, len(self.places) + len(every))
+        totals = np.bincount(which, minlength=size)
+        pairs, times = np.unique(owner * size + which, return_counts=True)
         owner, uses = np.divmod(pairs, size)
         cuts = np.searchsorted(owner, np.arange(len(self.owners) + 1))
         sums = np.diff(np.r_[0, np.cumsum(times)][cuts])
@@ -116,12 +117,12 @@ class Pack:
 
         words = list(self.places)
         for a in range(0, len(words), BATCH_ROWS):
-            part = words[a : a + BATCH_ROWS]
-            yield batch(len(part), place=pa.array(range(a, a + len(part)), pa.int32()), word=pa.array(part, pa.binary()))
+            b = min(a + BATCH_ROWS, len(words))
+            yield batch(b - a, place=pa.array(range(a, b), pa.int32()), times=pa.array(totals[a:b], pa.int64()), word=pa.array(words[a:b], pa.binary()))
         for a in range(0, len(every), BATCH_ROWS):
-            part = every[a : a + BATCH_ROWS]
+            part, base = every[a : a + BATCH_ROWS], len(words) + a
             run = lists(np.cumsum(np.r_[0, (part >= 0).sum(axis=1)]), part[part >= 0])
-            yield batch(len(part), place=pa.array(range(a, a + len(part)), pa.int32()), run=run, times=pa.array(totals[a : a + len(part)], pa.int64()))
+            yield batch(len(part), place=pa.array(range(base, base + len(part)), pa.int32()), times=pa.array(totals[base : base + len(part)], pa.int64()), run=run)
         for a in range(0, len(self.owners), BATCH_ROWS):
             b = min(a + BATCH_ROWS, len(self.owners))
             row, key = zip(*self.owners[a:b], strict=True)
@@ -166,38 +167,75 @@ def gains_of(own: np.ndarray, target: np.ndarray) -> list[int]:
     return [math.floor(1000 * math.log((int(b) + 1) * (s + size) / ((int(a) + 1) * (t + size)))) for a, b in zip(own, target, strict=True)]
 
 
-def gathered(column: str, kind: str) -> Column:
-    """Values of a pack in the order of their places."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("place", column))), lambda x: x[column]).cast(f"array<{kind}>")
+def named_runs(features: DataFrame, dictionary: DataFrame, work: Workspace) -> DataFrame:
+    """``side, pack, place, run, times``: runs of two or more words as tuples of dictionary ids, written."""
+    ids = features.where("word IS NOT NULL").join(dictionary.hint("merge"), "word").select("side", "pack", F.col("place").alias("at"), "id")
+    ids = work.write(ids, "ids")
+    each = features.where("run IS NOT NULL").select("side", "pack", "place", "times", F.posexplode("run").alias("k", "at"))
+    joined = each.join(ids.hint("merge"), ["side", "pack", "at"]).groupBy("side", "pack", "place", "times")
+    return work.write(joined.agg(_in_order("k", "id").alias("run")), "runs")
+
+
+def _in_order(place: str, column: str) -> Column:
+    """The values of a short group in the order of their places."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(place, column))), lambda x: x[column])
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    side = lambda k: F.sum(F.when(F.col("side") == k, F.col("times")).otherwise(0))
+    return rows.groupBy(*keys).agg(side(0).alias("own"), side(1).alias("target"))
 
 
-def feature_gains(own: DataFrame, target: DataFrame, buckets: int, work: Workspace) -> DataFrame:
-    """``pack, gains``: for each pack of ``own`` the gains of its runs, by place.
+def feature_gains(own: DataFrame, target: DataFrame, order: int, buckets: int, work: Workspace) -> DataFrame:
+    """``pack, place, gain``: the gain of each feature of each pack of ``own``.
 
-    ``own`` and ``target`` are written tables of packs. The only thing collected is the
+    ``own`` and ``target`` are written tables of packs. All that is collected is the
     counts of the buckets.
     """
-    sides = own.withColumn("side", F.lit(0)).unionByName(target.withColumn("side", F.lit(1)))
-    words = sides.where("word IS NOT NULL").select("side", "pack", "place", "word")
-    dictionary = work.write(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    ids = words.join(dictionary.hint("merge"), "word").groupBy("side", "pack").agg(gathered("id", "long").alias("ids"))
-    ids = work.write(ids, "ids")
-    runs = sides.where("run IS NOT NULL").select("side", "pack", "place", "run", "times").join(ids.hint("merge"), ["side", "pack"])
-    runs = work.write(runs.select("side", "pack", "place", F.expr("transform(run, k -> ids[k])").alias("run"), "times"), "runs")
-    amount = lambda side: F.sum(F.when(F.col("side") == side, F.col("times")).otherwise(0))
-    distinct = work.write(runs.groupBy("run").agg(amount(0).alias("own"), amount(1).alias("target")).withColumn("feature", F.monotonically_increasing_id()), "distinct")
-    spelled = distinct.select("feature", F.posexplode("run").alias("place", "id")).join(dictionary.hint("merge"), "id")
-    bytes_of = F.expr("aggregate(word, CAST(NULL AS BINARY), (a, w) -> CASE WHEN a IS NULL THEN w ELSE a || X'20' || w END)")
-    hashed = spelled.groupBy("feature").agg(gathered("word", "binary").alias("word")).select("feature", F.pmod(F.crc32(bytes_of), F.lit(buckets)).alias("bucket"))
-    features = work.write(distinct.join(hashed.hint("merge"), "feature").select("run", "own", "target", "bucket"), "features")
+    kept = ["pack", "place", "times", "word", "run"]
+    features = own.where("place IS NOT NULL").select(F.lit(0).alias("side"), *kept).unionByName(target.where("place IS NOT NULL").select(F.lit(1).alias("side"), *kept))
+    bucket = lambda spelled: F.pmod(F.crc32(spelled), F.lit(buckets)).alias("bucket")
+    dictionary = _summed(features.where("word IS NOT NULL"), "word").select(F.monotonically_increasing_id().alias("id"), "word", "own", "target", bucket(F.col("word")))
+    dictionary = work.write(dictionary, "dictionary")
+    counted = dictionary.select("own", "target", "bucket")
+    if order > 1:
+        runs = named_runs(features, dictionary.select("word", "id"), work)
+        distinct = work.write(_summed(runs, "run").withColumn("feature", F.monotonically_increasing_id()), "distinct")
+        spelled = distinct.select("feature", F.posexplode("run").alias("k", "id")).join(dictionary.select("id", "word").hint("merge"), "id").groupBy("feature").agg(_in_order("k", "word").alias("words"))
+        bytes_of = F.expr("aggregate(slice(words, 2, size(words)), words[0], (a, w) -> a || X'20' || w)")
+        tuples = distinct.join(spelled.select("feature", bucket(bytes_of)).hint("merge"), "feature")
+        tuples = work.write(tuples.select("run", "own", "target", "bucket"), "tuples")
+        counted = counted.unionByName(tuples.select("own", "target", "bucket"))
     own_counts, target_counts = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for r in features.groupBy("bucket").agg(F.sum("own").alias("own"), F.sum("target").alias("target")).collect():  # a row per bucket at most
+    for r in counted.groupBy("bucket").agg(F.sum("own").alias("own"), F.sum("target").alias("target")).collect():  # a row per bucket at most
         own_counts[r["bucket"]], target_counts[r["bucket"]] = r["own"], r["target"]
     table = list(enumerate(gains_of(own_counts, target_counts)))
     gains = F.broadcast(own.sparkSession.createDataFrame(table, "bucket long, gain long"))  # a row per bucket
-    gained = work.write(features.join(gains, "bucket").select("run", "gain"), "gained")
-    back = runs.where("side = 0").join(gained.hint("merge"), "run")
-    return back.groupBy("pack").agg(gathered("gain", "long").alias("gains"))
+    # one row per word or tuple on the written side, so Spark splits the rows of a frequent one
+    gained = work.write(dictionary.join(gains, "bucket").select("word", "gain"), "gained-words")
+    back = features.where("side = 0 AND word IS NOT NULL").join(gained.hint("merge"), "word").select("pack", "place", "gain")
+    if order > 1:
+        gained = work.write(tuples.join(gains, "bucket").select("run", "gain"), "gained-runs")
+        back = back.unionByName(runs.where("side = 0").join(gained.hint("merge"), "run").select("pack", "place", "gain"))
+    return back
+
+
+def weigh(pieces: DataFrame, gains: DataFrame) -> DataFrame:
+    """``row, doc_id, n, words, total``: the summed gains of every piece; a task holds one pack at a time."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place, gain = right.column("place").to_numpy(), right.column("gain").to_numpy()
+        table = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
+        table[place] = gain
+        left = left.combine_chunks()
+        uses, counts = (left.column(c).combine_chunks() for c in ("uses", "counts"))
+        sums = np.r_[0, np.cumsum(table[uses.flatten().to_numpy()] * counts.flatten().to_numpy())]
+        ends = np.cumsum(np.r_[0, uses.value_lengths().to_numpy()])
+        return left.select(["row", "doc_id", "n", "words"]).append_column("total", pa.array(np.diff(sums[ends]), pa.int64()))
+
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    home = gains.select(F.col("pack").alias("home"), "place", "gain")
+    return pieces.groupBy("pack").cogroup(home.groupBy("home")).applyInArrow(run, f"row long, doc_id {kind}, n long, words long, total long")
 
 
 def noise(key: Column, seed: int) -> Column:
@@ -226,10 +264,9 @@ def resample(
     own = work.write(packs(numbered, order, pack_words), "packs")
     other = target.select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("key"), F.col(target_text_col).alias("text"))
     other = work.write(packs(other, order, pack_words), "target")
-    gains = work.write(feature_gains(own.drop("key"), other.drop("key"), buckets, work), "gains")
+    gains = feature_gains(own, other, order, buckets, work)
     pieces = own.where("row IS NOT NULL").select("pack", "row", F.col("key").alias("doc_id"), "n", "words", "uses", "counts")
-    total = F.expr("aggregate(zip_with(uses, counts, (u, c) -> gains[u] * c), 0L, (a, x) -> a + x)")
-    weighed = pieces.join(gains.hint("merge"), "pack", "left").select("row", "doc_id", "n", "words", F.coalesce(total, F.lit(0)).alias("total"))
+    weighed = weigh(pieces, gains)
     each = weighed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_features"), F.sum("words").alias("n_words"), F.sum("total").alias("total"))
     weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))
     scored = each.withColumn("weight", weight).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("short", F.col("n_words") < least_words)
