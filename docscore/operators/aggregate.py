@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docscore import schema as S
 from docscore.functions import numbers as N
@@ -151,52 +148,12 @@ def presence_totals(scores: DataFrame) -> DataFrame:
     )
 
 
-def digit_confusion(pairs: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
-    """``expected_digit, predicted_digit, n`` over pairs of digit strings of one length, place by place."""
-    same = pairs.where((F.length(predicted) == F.length(expected)) & (F.length(expected) > 0))
-    digits = lambda c: F.split(F.col(c), "")
-    each = same.select(F.explode(F.arrays_zip(F.slice(digits(expected), F.lit(1), F.length(expected)).alias("e"), F.slice(digits(predicted), F.lit(1), F.length(predicted)).alias("p"))).alias("d"))
-    return each.groupBy(F.col("d.e").alias("expected_digit"), F.col("d.p").alias("predicted_digit")).agg(F.count("*").alias("n"))
-
-
 def character_error(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Edits by reference length, pooled (micro) and as a mean of rows (macro)."""
     d, n = F.levenshtein("predicted", "expected"), F.length("expected")
     return pairs.where(n > 0).groupBy(*by).agg(F.sum(d).alias("edits"), F.sum(n).alias("reference_chars"), (F.sum(d) / F.sum(n)).alias("cer_micro"), F.avg(d / n).alias("cer_macro"))
 
 
-@F.pandas_udf(T.IntegerType())
-def _word_edits(predicted: pd.Series, expected: pd.Series) -> pd.Series:
-    def edits(a: str | None, b: str | None) -> int:
-        # words to numbers, then one row of the table at a time; numpy does the work of a row
-        number: dict[str, int] = {}
-        x, y = (np.array([number.setdefault(w, len(number)) for w in (t or "").split()], np.int64) for t in (a, b))
-        if len(x) < len(y):
-            x, y = y, x
-        place = np.arange(len(y) + 1)
-        row = place.copy()
-        for i, word in enumerate(x, 1):
-            least = np.minimum(row[1:] + 1, row[:-1] + (y != word))
-            # insertions: the smallest of all to the left plus the way to here
-            row = np.minimum.accumulate(np.concatenate([[i], least]) - place) + place
-        return int(row[-1])
-
-    return pd.Series([edits(a, b) for a, b in zip(predicted, expected, strict=True)], dtype="int32")
-
-
-def word_error(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Word edits by reference words, pooled; edit distance over words has no built-in. Null text has no words.
-
-    Equal texts need none, so only the others go to Python.
-    """
-    n = F.size(F.filter(F.split(F.coalesce("expected", F.lit("")), r"\s+"), lambda w: w != ""))
-    differ = ~F.col("predicted").eqNullSafe(F.col("expected"))
-    # nulls where nothing has to be compared: short rows for Python
-    d = F.when(differ, _word_edits(F.when(differ, F.col("predicted")), F.when(differ, F.col("expected")))).otherwise(0)
-    each = pairs.select(*by, d.alias("d"), n.alias("n"))
-    return each.groupBy(*by).agg(F.sum("d").alias("edits"), F.sum("n").alias("reference_words"), N.ratio(F.sum("d"), F.sum("n")).alias("wer"))
-
-
 def slice_rollup(df: DataFrame, dims: list[str], correct: str) -> DataFrame:
     """Accuracy for every prefix of the dimensions; ``(all)`` where one is rolled up."""
     cube = df.rollup(*dims).agg(F.count("*").alias("total"), F.sum(correct).alias("correct"), F.grouping_id().alias("level"))

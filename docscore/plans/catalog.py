@@ -12,6 +12,7 @@ from docscore.functions import numbers as N
 from docscore.functions import regex as R
 from docscore.functions import text as X
 from docscore.operators import aggregate as A
+from docscore.operators import align as L
 from docscore.operators import extract as E
 from docscore.operators import inspect as I
 from docscore.operators import rank as K
@@ -317,11 +318,12 @@ def digit_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_register(P.SQL + """, pairs AS (SELECT engine_id, regexp_replace(coalesce(predicted, ''), '[^0-9]', '', 'g') AS p, regexp_replace(expected, '[^0-9]', '', 'g') AS e FROM outcomes WHERE presence = 'PRESENT' AND place IS NOT NULL)
-SELECT substr(e, i, 1) AS expected_digit, substr(p, i, 1) AS predicted_digit, count(*) AS n FROM (SELECT e, p, CAST(unnest(range(1, length(e) + 1)) AS INTEGER) AS i FROM pairs WHERE length(p) = length(e) AND length(e) > 0) GROUP BY 1, 2""")
+SELECT substr(e, i, 1) AS expected_digit, substr(p, i, 1) AS predicted_digit, count(*) AS n FROM (SELECT e, p, CAST(unnest(range(1, greatest(length(e), length(p)) + 1)) AS INTEGER) AS i FROM pairs) GROUP BY 1, 2""")
 def digit_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Which digit was read for which; where digits are cut off, added or missing, one side is a beginning of the other."""
     numeric = S.ID_FIELDS + ["invoice_date"] + S.AMOUNT_FIELDS
     pairs = P.outcomes(spark, sf).where((F.col("presence") == "PRESENT") & F.col("field").isin(*numeric))
-    return A.digit_confusion(pairs.select(N.digits_of(F.col("predicted")).alias("predicted"), N.digits_of(F.col("expected")).alias("expected")))
+    return L.digit_confusion(pairs.select(N.digits_of(F.col("predicted")).alias("predicted"), N.digits_of(F.col("expected")).alias("expected")))
 
 
 @_register("""SELECT lang, CAST(sum(d) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS reference_chars, round(sum(d) / CAST(sum(n) AS DOUBLE), 6) AS cer_micro, round(avg(d / CAST(n AS DOUBLE)), 6) AS cer_macro FROM (

@@ -9,6 +9,7 @@ from docscore import schema as S
 from docscore.functions import numbers as N
 from docscore.functions import text as X
 from docscore.operators import aggregate as A
+from docscore.operators import align as L
 from docscore.operators import extract as E
 from docscore.operators import inspect as I
 from docscore.operators import regions as G
@@ -249,17 +250,38 @@ def confident_boxes(spark: SparkSession, sf: str) -> DataFrame:
 # --- comparisons ---------------------------------------------------------------------
 
 
-@register("""SELECT lang, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS reference_words, round(sum(e) / CAST(sum(n) AS DOUBLE), 6) AS wer FROM (
-  SELECT lang, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 ELSE (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END) END AS e
-  FROM (SELECT doc_id, lang, list_filter(string_split_regex(left(text, 400), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS w FROM documents WHERE regexp_matches(left(text, 400), '^[\\x20-\\x7e\\n]*$'))) GROUP BY 1""")
+_SPACES = r"[ \t\n\r\x0b\x0c]+"
+_RATES = """SELECT lang, CAST(sum(s) AS BIGINT) AS substitutions, CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(i) AS BIGINT) AS insertions, CAST(sum(s + d + i) AS BIGINT) AS edits, CAST(sum(n + d) AS BIGINT) AS reference,
+  round(sum(s + d + i) / nullif(CAST(sum(n + d) AS DOUBLE), 0), 6) AS rate, round(avg((s + d + i) / nullif(CAST(n + d AS DOUBLE), 0)), 6) AS macro FROM ({each}) GROUP BY 1"""
+
+
+def _rates(pairs: DataFrame, unit: str) -> DataFrame:
+    counts = ["substitutions", "deletions", "insertions", "edits", "reference"]
+    out = L.error_rates(pairs, ["lang"], unit)
+    return out.select("lang", *[F.col(c).cast("long").alias(c) for c in counts], F.round("rate", 6).alias("rate"), F.round("macro", 6).alias("macro"))
+
+
+# a word that the other side never has costs an edit of its own, so the fewest edits and their kinds are known
+@register(_RATES.format(each="""SELECT lang, n, CASE WHEN k = 0 THEN (n + 32) // 40 ELSE 0 END AS s, CASE WHEN k = 1 THEN (n + 48) // 60 ELSE 0 END AS d, CASE WHEN k = 0 THEN 2 ELSE 0 END AS i FROM (
+  SELECT lang, doc_id % 3 AS k, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS n FROM documents)"""))
 def wer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    """Word edits where a known number of words was dropped and added: the first word goes, two new ones come at the end."""
-    d = P.read(spark, sf, "documents").select("doc_id", "lang", F.left("text", F.lit(400)).alias("expected")).where(F.col("expected").rlike(r"^[\x20-\x7e\n]*\z"))
-    words = F.filter(F.split("expected", r"\s+"), lambda w: w != "")
-    kept = F.when(F.col("doc_id") % 2 == 0, F.slice(words, 2, 1 << 20)).otherwise(words)
-    said = F.when(F.size(words) == 0, F.col("expected")).otherwise(F.concat(F.array_join(kept, " "), F.when(F.col("doc_id") % 3 == 0, " \u0001q \u0001r").otherwise("")))
-    out = A.word_error(d.withColumn("predicted", said), ["lang"])
-    return out.select("lang", F.col("edits").cast("long").alias("edits"), F.col("reference_words").cast("long").alias("reference_words"), F.round("wer", 6).alias("wer"))
+    """Word edits of whole texts: of a third of them some words were misread and two added at the end, of a third some were lost."""
+    d = P.read(spark, sf, "documents").select("lang", (F.col("doc_id") % 3).alias("k"), F.filter(F.split(F.coalesce("text", F.lit("")), _SPACES), lambda w: w != "").alias("w"))
+    misread = F.transform("w", lambda w, i: F.when(i % 40 == 7, "\u0001s").otherwise(w))
+    kept = F.transform("w", lambda w, i: F.when(i % 60 == 11, F.concat(w, F.lit(" \u0001x"))).otherwise(w))
+    expected = F.array_join(F.when(F.col("k") == 1, kept).otherwise(F.col("w")), " ")
+    predicted = F.when(F.col("k") == 0, F.concat(F.array_join(misread, " "), F.lit(" \u0001q \u0001r"))).otherwise(F.array_join("w", " "))
+    return _rates(d.select("lang", expected.alias("expected"), predicted.alias("predicted")), "word")
+
+
+@register(_RATES.format(each="""SELECT lang, n, CASE WHEN k = 0 THEN n // 100 ELSE 0 END AS s, CASE WHEN k = 1 THEN n // 150 ELSE 0 END AS d, CASE WHEN k = 0 THEN 3 ELSE 0 END AS i FROM (
+  SELECT lang, doc_id % 3 AS k, length(coalesce(text, '')) AS n FROM documents)"""))
+def cer_of_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Character edits of whole texts: of a third of them every hundredth character was misread and three added at the end, of a third some were lost."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    expected = F.when(k == 1, F.regexp_replace(text, "(?s)(.{150})", "$1\u0003")).otherwise(text)
+    predicted = F.when(k == 0, F.concat(F.regexp_replace(text, "(?s)(.{99}).", "$1\u0001"), F.lit("\u0002\u0002\u0002"))).otherwise(text)
+    return _rates(P.read(spark, sf, "documents").select("lang", expected.alias("expected"), predicted.alias("predicted")), "character")
 
 
 @register(P.SQL + """SELECT r.document_id, r.engine_id, f.field, f.v AS expected, o.predicted, o.presence, o.correct, o.error_label FROM (SELECT * FROM rows_ WHERE engine_id IN ('truncated', 'blocked')) r JOIN fields f ON f.key = r.key

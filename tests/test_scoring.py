@@ -144,25 +144,6 @@ def test_costs(spark, confidence):
     assert round(r["elastic_cost"], 2) == 18.50 and round(r["warm_cost"], 2) == 167.80 and round(r["c"], 2) == 8333.33 and round(r["k"], 8) == 0.00044745
 
 
-def test_word_and_character_error(spark):
-    pairs = spark.createDataFrame([("x", "a b c", "a c"), ("x", None, "q"), ("x", "a  b", "a b"), ("y", "abc", "abd")], "k string, predicted string, expected string")
-    got = {r["k"]: (r["edits"], r["reference_words"], r["wer"]) for r in A.word_error(pairs, ["k"]).collect()}
-    assert got == {"x": (2, 5, 0.4), "y": (1, 1, 1.0)}
-    assert A.character_error(pairs.where("k = 'y'"), ["k"]).first()["cer_micro"] == pytest.approx(1 / 3)
-
-
-def test_word_error_matches_the_full_table(spark):
-    import random
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
-        return row[-1]
-
-    rnd = random.Random(3)
-    rows = [(str(k), " ".join(rnd.choices("abcd", k=rnd.randrange(12))), " ".join(rnd.choices("abcd", k=rnd.randrange(12)))) for k in range(80)]
-    got = {r["k"]: r["edits"] for r in A.word_error(spark.createDataFrame(rows, "k string, predicted string, expected string"), ["k"]).collect()}
-    assert got == {k: edits(p.split(), e.split()) for k, p, e in rows}
+def test_character_error(spark):
+    pairs = spark.createDataFrame([("y", "abc", "abd"), ("y", "x", None)], "k string, predicted string, expected string")
+    assert A.character_error(pairs, ["k"]).first()["cer_micro"] == pytest.approx(1 / 3)
