@@ -32,7 +32,8 @@ BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
-PACK_WORDS = 1_000_000
+PACK_WORDS = 2_500_000
+SPAN = 1 << 20  # more than twice the size of any gain
 SLICE_BYTES = 1_000_000
 BATCH_ROWS = 1000
 WORD_BYTES = [b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80]
@@ -187,7 +188,7 @@ def _summed(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def feature_gains(own: DataFrame, target: DataFrame, order: int, buckets: int, work: Workspace) -> DataFrame:
-    """``pack, place, gain``: the gain of each feature of each pack of ``own``.
+    """``pack, cell``: the gain of each feature of each pack of ``own``; place and gain share a number, as rows are many and small.
 
     ``own`` and ``target`` are written tables of packs. All that is collected is the
     counts of the buckets.
@@ -213,10 +214,11 @@ def feature_gains(own: DataFrame, target: DataFrame, order: int, buckets: int, w
     gains = F.broadcast(own.sparkSession.createDataFrame(table, "bucket long, gain long"))  # a row per bucket
     # one row per word or tuple on the written side, so Spark splits the rows of a frequent one
     gained = work.write(dictionary.join(gains, "bucket").select("word", "gain"), "gained-words")
-    back = features.where("side = 0 AND word IS NOT NULL").join(gained.hint("merge"), "word").select("pack", "place", "gain")
+    cell = ["pack", (F.col("place").cast("long") * SPAN + F.col("gain") + SPAN // 2).alias("cell")]
+    back = features.where("side = 0 AND word IS NOT NULL").join(gained.hint("merge"), "word").select(*cell)
     if order > 1:
         gained = work.write(tuples.join(gains, "bucket").select("run", "gain"), "gained-runs")
-        back = back.unionByName(runs.where("side = 0").join(gained.hint("merge"), "run").select("pack", "place", "gain"))
+        back = back.unionByName(runs.where("side = 0").join(gained.hint("merge"), "run").select(*cell))
     return back
 
 
@@ -224,9 +226,9 @@ def weigh(pieces: DataFrame, gains: DataFrame) -> DataFrame:
     """``row, doc_id, n, words, total``: the summed gains of every piece; a task holds one pack at a time."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place, gain = right.column("place").to_numpy(), right.column("gain").to_numpy()
+        place, gain = np.divmod(right.column("cell").to_numpy(), SPAN)
         table = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
-        table[place] = gain
+        table[place] = gain - SPAN // 2
         left = left.combine_chunks()
         uses, counts = (left.column(c).combine_chunks() for c in ("uses", "counts"))
         sums = np.r_[0, np.cumsum(table[uses.flatten().to_numpy()] * counts.flatten().to_numpy())]
@@ -234,7 +236,7 @@ def weigh(pieces: DataFrame, gains: DataFrame) -> DataFrame:
         return left.select(["row", "doc_id", "n", "words"]).append_column("total", pa.array(np.diff(sums[ends]), pa.int64()))
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    home = gains.select(F.col("pack").alias("home"), "place", "gain")
+    home = gains.select(F.col("pack").alias("home"), "cell")
     return pieces.groupBy("pack").cogroup(home.groupBy("home")).applyInArrow(run, f"row long, doc_id {kind}, n long, words long, total long")
 
 
