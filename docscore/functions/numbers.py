@@ -44,7 +44,19 @@ def parse_tolerant(text: Column) -> Column:
     last is the decimal point if one or two digits follow, else all group thousands. A
     single dot is always the decimal point, a single comma if one or two digits follow.
     """
-    s = F.regexp_replace(F.translate(strip(text), " \u00a0₪$€", ""), r"^\++", "")
+    return _by_separators(_bare(text))
+
+
+def parse_each(values: Column, tolerant: bool = True) -> Column:
+    """The numbers of an array of texts; each text is cleaned once, then parsed."""
+    return F.transform(F.transform(values, _bare), _by_separators) if tolerant else F.transform(values, parse_strict)
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.translate(strip(text), " \u00a0₪$€", ""), r"^\++", "")
+
+
+def _by_separators(s: Column) -> Column:
     dots, commas = F.split(s, r"\.", -1), F.split(s, ",", -1)
 
     def joined(parts: Column) -> Column:

@@ -128,7 +128,6 @@ def label_anchored(df: DataFrame, text_col: str = "text", reverse_tokens: bool =
     df = df.withColumn("invoice_date", N.date_loose(F.coalesce("_d1", "_d2")))
 
     number = NUMBER_TOLERANT if tolerant else NUMBER
-    parse = N.parse_tolerant if tolerant else N.parse_strict
     total = F.coalesce(
         first_group(t, rf"{SUM}[^\d\n]{{0,10}}({number})[^\n]*לתשלום"),
         first_group(t, rf"(?:לתשלום\s*{SUM}|{SUM}\s*(?:כולל|אחרי)\s*{VAT}|לתשלום)[^\d\-+\n]{{0,15}}({number})"),
@@ -148,9 +147,10 @@ def label_anchored(df: DataFrame, text_col: str = "text", reverse_tokens: bool =
     none = F.lit(None).cast("string")
     positional = first_group(t, rf"({number})\s*\(?\s*18(?:[.,]\d{{1,2}})?\s*%\s*\)?") if tolerant else none
     df = df.withColumn("_vat18", F.when(F.col("_vat").isNull(), positional))
-    df = df.withColumns({"_b": parse(F.col("_before")), "_v": parse(F.coalesce("_vat", "_vat18")), "_s": parse(F.col("_total"))})
+    df = df.withColumn("_read", N.parse_each(F.array("_before", F.coalesce("_vat", "_vat18"), "_total"), tolerant))
+    df = df.withColumns({c: F.get("_read", F.lit(k)) for k, c in enumerate(("_b", "_v", "_s"))})
     if tolerant:
-        values = F.filter(F.transform(all_groups(t, f"({number})"), parse), lambda v: (v > 0) & (v < 10_000_000))
+        values = F.filter(N.parse_each(all_groups(t, f"({number})")), lambda v: (v > 0) & (v < 10_000_000))
         infer = (F.col("_b").isNull() | F.col("_s").isNull()) & (F.col("_v") > 0) & (F.col("_v") < 1_000_000)
         df = df.withColumn("_values", F.when(infer, values))
         df = df.withColumns({"_near_b": _closest(F.col("_values"), F.col("_v") / vat_rate), "_near_s": _closest(F.col("_values"), F.col("_v") / vat_rate + F.col("_v"))})
@@ -219,7 +219,8 @@ def nearest_date(text: Column) -> Column:
 
 def amount_candidates(text: Column) -> Column:
     """``array<struct<pos, v>>`` of amounts above 0 and below ten million."""
-    found = F.transform(matches(text, AMOUNT, 1), lambda m: F.struct(m["pos"].alias("pos"), N.parse_tolerant(m["value"]).alias("v")))
+    placed = lambda found: F.arrays_zip(F.transform(found, lambda m: m["pos"]).alias("pos"), N.parse_each(F.transform(found, lambda m: m["value"])).alias("v"))
+    found = let(matches(text, AMOUNT, 1), placed)
     return F.filter(found, lambda a: (a["v"] > 0) & (a["v"] < 10_000_000))
 
 

@@ -33,15 +33,13 @@ def with_fields(results: DataFrame, compose: bool = True) -> DataFrame:
     return results.withColumns({"prediction": side("prediction"), "truth": side("truth")}).withColumn("fields", fields_of(F.col("prediction"), F.col("truth"), F.col("presence")))
 
 
-def field_matches(field: str, predicted: Column, expected: Column) -> Column:
+def field_matches(field: Column, predicted: Column, expected: Column) -> Column:
     """Null-safe equality after the normalisation of the field's kind; two values that do not parse are equal."""
-    if field in S.AMOUNT_FIELDS:
-        norm = N.norm_amount
-    elif field == "invoice_date":
-        norm = N.norm_date
-    else:
-        norm = lambda c: (X.norm_vendor if field == "vendor_name" else X.norm_string)(c, compose=False)
-    return norm(predicted).eqNullSafe(norm(expected))
+    by = lambda norm: norm(predicted).eqNullSafe(norm(expected))
+    return (
+        F.when(field.isin(S.AMOUNT_FIELDS), by(N.norm_amount)).when(field == "invoice_date", by(N.norm_date))
+        .when(field == "vendor_name", by(lambda c: X.norm_vendor(c, compose=False))).otherwise(by(lambda c: X.norm_string(c, compose=False)))
+    )
 
 
 def presence_of(noted: Column, expected: Column) -> Column:
@@ -49,22 +47,21 @@ def presence_of(noted: Column, expected: Column) -> Column:
     return F.coalesce(noted, F.when(expected.isNull(), "ABSENT").otherwise("PRESENT"))
 
 
-def _judged(field: str, e: Column) -> Column:
+def _judged(e: Column) -> Column:
     """The outcome of one field. Equal raw tokens are equal under any normalisation, so few are normalised."""
     presence = presence_of(e["noted"], e["expected"])
     scorable = ~presence.isin("UNREADABLE", "AMBIGUOUS")
-    same = F.when(e["predicted"].eqNullSafe(e["expected"]), True).otherwise(field_matches(field, e["predicted"], e["expected"]))
+    same = F.when(e["predicted"].eqNullSafe(e["expected"]), True).otherwise(field_matches(e["field"], e["predicted"], e["expected"]))
     correct = F.when(~scorable, False).when(presence == "ABSENT", e["predicted"].isNull()).otherwise(same)
-    return F.struct(
-        F.lit(field).alias("field"), presence.alias("presence"), scorable.alias("scorable"), e["predicted"].alias("predicted"),
-        F.when(presence != "ABSENT", e["expected"]).alias("expected"), correct.alias("correct"),
-    )
+    return F.struct(e["field"].alias("field"), presence.alias("presence"), scorable.alias("scorable"), e["predicted"].alias("predicted"), e["expected"].alias("expected"), correct.alias("correct"))
 
 
-def _labelled(field: str, o: Column) -> Column:
-    wrong = "OCR_DIGIT_ERROR" if field in (*S.AMOUNT_FIELDS, *S.ID_FIELDS) else "OCR_TEXT_ERROR"
+def _labelled(o: Column) -> Column:
+    wrong = F.when(o["field"].isin(*S.AMOUNT_FIELDS, *S.ID_FIELDS), "OCR_DIGIT_ERROR").otherwise("OCR_TEXT_ERROR")
     label = F.when(~o["scorable"] | o["correct"], None).when(o["presence"] == "ABSENT", "FIELD_SELECTION_ERROR").when(o["predicted"].isNull(), "OCR_DETECTION_ERROR").otherwise(wrong)
-    return F.struct(*[o[c].alias(c) for c in ("field", "presence", "scorable", "predicted", "expected", "correct")], label.alias("error_label"))
+    expected = F.when(o["presence"] != "ABSENT", o["expected"])
+    names = ("field", "presence", "scorable", "predicted", "expected", "correct")
+    return F.struct(*[(expected if c == "expected" else o[c]).alias(c) for c in names], label.alias("error_label"))
 
 
 def status_of(error_label: Column, has_error: Column | None = None) -> Column:
@@ -77,38 +74,36 @@ def status_of(error_label: Column, has_error: Column | None = None) -> Column:
 def scored(facts: DataFrame, critical: list[str] | None = None) -> DataFrame:
     """Facts with ``status, has_truth, outcomes, critical_complete, all_fields_complete, digit_accuracy, reference_digit_count``.
 
-    ``fields`` has the business fields in their fixed order, so each is judged by plain
-    expressions of its own. Rows with an error or without truth have no outcomes and
-    null measures.
+    ``fields`` has the business fields in their fixed order. All of a row's fields go
+    through one expression, so the plan and its code stay small. Rows with an error or
+    without truth have no outcomes and null measures.
     """
     critical = critical or S.CRITICAL_FIELDS
-    cells = {f: F.col("_o")[f] for f in S.BUSINESS_FIELDS}
     status = status_of(F.col("error_label"))
-    judged = (status == "ok") & F.col("fields").isNotNull()
-    each = F.struct(*[_judged(f, F.col("fields")[k]).alias(f) for k, f in enumerate(S.BUSINESS_FIELDS)])
-    df = facts.withColumns({"status": status, "has_truth": F.col("fields").isNotNull(), "_o": F.when(judged, each)})
-    found = F.array(*[_labelled(f, cells[f]) for f in S.BUSINESS_FIELDS])
-    df = df.withColumn("outcomes", F.when(F.col("_o").isNotNull(), found).otherwise(F.array().cast(OUTCOME)))
+    known = (status == "ok") & F.col("fields").isNotNull()
+    # two columns, so that a verdict is reached once and then used for all that follows from it
+    df = facts.withColumns({"status": status, "has_truth": F.col("fields").isNotNull(), "_o": F.when(known, F.transform("fields", _judged))})
+    df = df.withColumn("outcomes", F.coalesce(F.transform("_o", _labelled), F.array().cast(OUTCOME)))
+
+    place = S.BUSINESS_FIELDS.index
 
     def all_of(fields: list[str], what: str) -> Column:
-        return reduce(lambda a, b: a & b, (cells[f][what] for f in fields))
+        return reduce(lambda a, b: a & b, (F.get("_o", F.lit(place(f)))[what] for f in fields))
 
     def complete(fields: list[str]) -> Column:
         return F.when(all_of(fields, "scorable"), all_of(fields, "correct"))
 
-    def digits(side: str) -> Column:
-        order = [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]
-        counted = lambda o: (o["presence"] == "PRESENT") & o["expected"].isNotNull()
-        return F.concat(*[F.when(counted(cells[f]), N.digits_of(cells[f][side])).otherwise("") for f in order])
-
-    known = F.col("_o").isNotNull()
-    df = df.withColumns({"_p": F.when(known, digits("predicted")), "_e": F.when(known, digits("expected"))})
+    order = [place(f) for f in [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]]
+    counted = F.filter(F.array(*[F.get("_o", F.lit(k)) for k in order]), lambda o: (o["presence"] == "PRESENT") & o["expected"].isNotNull())
+    # the digits of values in a row are those of the values joined; nulls have none
+    digits = lambda side: N.digits_of(F.array_join(F.transform("_c", lambda o: o[side]), ""))
+    df = df.withColumn("_c", counted).withColumns({"_p": F.when(known, digits("predicted")), "_e": F.when(known, digits("expected"))})
     return df.withColumns({
-        "critical_complete": F.when(known, complete(critical)),
-        "all_fields_complete": F.when(known, complete(S.BUSINESS_FIELDS)),
+        "critical_complete": complete(critical),
+        "all_fields_complete": complete(S.BUSINESS_FIELDS),
         "digit_accuracy": N.digit_accuracy(F.col("_p"), F.col("_e")),
         "reference_digit_count": F.coalesce(F.length("_e"), F.lit(0)),
-    }).drop("_o", "_p", "_e")
+    }).drop("_o", "_c", "_p", "_e")
 
 
 def judged(scores: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.fallback", "false")  # generated code that does not compile fails the query
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
