@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docscore import schema as S
+from docscore.functions.regex import let
 
 
 def key_differences(keys: Column, wanted: list[str]) -> tuple[Column, Column]:
@@ -16,14 +17,18 @@ def key_differences(keys: Column, wanted: list[str]) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(keys, want)), F.array_sort(F.array_except(want, keys))
 
 
-def _kind(json: Column, path: str) -> Column:
-    """The type at a path of an object in JSON text: str, int, float, bool, list, dict, null or missing."""
-    v = F.try_parse_json(json)
-    found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return (
-        F.when(found.isNull(), "missing").when(found == "VOID", "null").when(found == "STRING", "str").when(found == "BOOLEAN", "bool").when(found == "BIGINT", "int")
-        .when(F.startswith(found, F.lit("ARRAY")), "list").when(F.startswith(found, F.lit("OBJECT")), "dict").otherwise("float")
-    )
+def _kinds(json: Column) -> Column:
+    """The types of an object's values in JSON text by key: str, int, float, bool, list, dict or null; null if it is no object."""
+    name = lambda t: (
+        F.when(t == "VOID", "null").when(t == "STRING", "str").when(t == "BOOLEAN", "bool").when(t == "BIGINT", "int")
+        .when(F.startswith(t, F.lit("ARRAY")), "list").when(F.startswith(t, F.lit("OBJECT")), "dict").otherwise("float")
+    )
+    values = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+    return F.transform_values(F.transform_values(values, lambda _, v: F.schema_of_variant(v)), lambda _, t: name(t))
+
+
+def _of(kinds: Column, key: str) -> Column:
+    return F.coalesce(F.try_element_at(kinds, F.lit(key)), F.lit("missing"))
 
 
 def _quoted(names: Column) -> Column:
@@ -33,23 +38,28 @@ def _quoted(names: Column) -> Column:
 
 def canonical_violations(record: Column, document: Column) -> Column:
     """Messages of a record in JSON text that does not have exactly the canonical keys and types."""
-    extra, missing = key_differences(F.json_object_keys(record), S.CANONICAL_KEYS)
+    return let(F.struct(record.alias("json"), _kinds(record).alias("kinds"), document.alias("document")), _shape_messages)
+
+
+def _shape_messages(r: Column) -> Column:
+    record, kinds, document = r["json"], r["kinds"], r["document"]
+    extra, missing = key_differences(F.map_keys(kinds), S.CANONICAL_KEYS)
     say = lambda when, *parts: F.when(when, F.concat(document, *[F.lit(p) if isinstance(p, str) else p for p in parts]))
     out = [
         say(F.size(extra) > 0, ": ground_truth has extra keys: ", _quoted(extra)),
         say(F.size(missing) > 0, ": ground_truth missing keys: ", _quoted(missing)),
     ]
     for f in S.STRING_FIELDS:
-        kind = _kind(record, f"$.{f}")
+        kind = _of(kinds, f)
         out.append(say(~kind.isin("str", "null", "missing"), f": '{f}' must be string or null, got ", kind))
     for f in S.AMOUNT_FIELDS:
-        kind = _kind(record, f"$.{f}")
+        kind = _of(kinds, f)
         out.append(say(~kind.isin("int", "float", "null", "missing"), f": '{f}' must be number or null, got ", kind))
         value = F.get_json_object(record, f"$.{f}").try_cast("double")
         out.append(say(kind.isin("int", "float") & (F.isnan(value) | (F.abs(value) == float("inf"))), f": '{f}' must be a finite number"))
-    kind = _kind(record, "$.business_tax_id_valid")
+    kind = _of(kinds, "business_tax_id_valid")
     out.append(say(~kind.isin("bool", "null", "missing"), ": business_tax_id_valid must be bool or null, got ", kind))
-    notes = _kind(record, "$.extraction_notes")
+    notes = _of(kinds, "extraction_notes")
     bad = F.exists(F.coalesce(F.from_json(F.get_json_object(record, "$.extraction_notes"), "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda v: F.schema_of_variant(v) != "STRING")
     out.append(say(notes.isin("null", "missing"), ": extraction_notes must be a list (empty when no notes), not null"))
     out.append(say(~notes.isin("null", "missing") & ((notes != "list") | bad), ": extraction_notes must be list[str]"))
@@ -79,28 +89,32 @@ def manifest_violations(lines: DataFrame, pages_exist: DataFrame | None = None)
     rows = rows.withColumn("v", F.try_parse_json("raw"))
     get = lambda path: F.get_json_object("raw", path)
     document = F.coalesce(F.nullif(get("$.document_id"), F.lit("")), F.concat(F.lit("<line "), F.col("line").cast("string"), F.lit(">")))
-    keys = F.json_object_keys("raw")
-    needed = [F.when(F.col("v").isNotNull() & ~F.array_contains(keys, k), F.concat(document, F.lit(f": missing required manifest key '{k}'"))) for k in S.MANIFEST_KEYS]
-    truth = get("$.ground_truth")
-    is_object = _kind(F.col("raw"), "$.ground_truth") == "dict"
-    noted, presence = _kind(F.col("raw"), "$.annotation"), _kind(F.col("raw"), "$.annotation.field_presence")
-    source, own = F.get_json_object(truth, "$.source_file"), get("$.source_file")
+    rows = rows.withColumns({"document_id": document, "truth": get("$.ground_truth"), "own": get("$.source_file"), "annotation": get("$.annotation"), "noted": get("$.annotation.field_presence")})
     none = F.expr("cast(array() as array<string>)")
-    messages = F.concat(
-        F.array_compact(F.array(
-            F.when(F.col("v").isNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": invalid JSON"))),
-            *needed,
-            F.when(truth.isNotNull() & ~is_object, F.concat(document, F.lit(": ground_truth must be an object"))),
-            F.when(~noted.isin("dict", "null", "missing"), F.concat(document, F.lit(": annotation must be an object"))),
-            F.when((noted == "dict") & ~presence.isin("dict", "null", "missing"), F.concat(document, F.lit(": annotation.field_presence must be an object"))),
-            F.when(is_object & (source != own), F.concat(document, F.lit(": ground_truth.source_file ('"), source, F.lit("') != manifest source_file ('"), own, F.lit("')"))),
-        )),
-        F.when(is_object, canonical_violations(truth, document)).otherwise(none),
-        F.when(presence == "dict", annotation_violations(F.from_json(get("$.annotation.field_presence"), "map<string,string>"), document)).otherwise(none),
-    )
-    found = rows.select("line", document.alias("document_id"), F.explode(messages).alias("message"))
+    said = F.col("document_id")
+
+    def entry_messages(kinds: Column) -> Column:
+        needed = [F.when(F.col("v").isNotNull() & (_of(kinds, k) == "missing"), F.concat(said, F.lit(f": missing required manifest key '{k}'"))) for k in S.MANIFEST_KEYS]
+        is_object, annotated = _of(kinds, "ground_truth") == "dict", _of(kinds, "annotation")
+        presence = F.when(annotated == "dict", _of(_kinds(F.col("annotation")), "field_presence")).otherwise("missing")
+        source = F.get_json_object("truth", "$.source_file")
+        return F.concat(
+            F.array_compact(F.array(
+                F.when(F.col("v").isNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": invalid JSON"))),
+                *needed,
+                F.when(F.col("truth").isNotNull() & ~is_object, F.concat(said, F.lit(": ground_truth must be an object"))),
+                F.when(~annotated.isin("dict", "null", "missing"), F.concat(said, F.lit(": annotation must be an object"))),
+                F.when(~presence.isin("dict", "null", "missing"), F.concat(said, F.lit(": annotation.field_presence must be an object"))),
+                F.when(is_object & (source != F.col("own")), F.concat(said, F.lit(": ground_truth.source_file ('"), source, F.lit("') != manifest source_file ('"), F.col("own"), F.lit("')"))),
+            )),
+            F.when(is_object, canonical_violations(F.col("truth"), said)).otherwise(none),
+            F.when(presence == "dict", annotation_violations(F.from_json(F.col("noted"), "map<string,string>"), said)).otherwise(none),
+        )
+
+    messages = let(_kinds(F.col("raw")), entry_messages)
+    found = rows.select("line", "document_id", F.explode(messages).alias("message"))
     if pages_exist is not None:
-        pages = rows.select("line", document.alias("document_id"), F.explode(F.from_json(get("$.pages"), "array<string>")).alias("path"))
+        pages = rows.select("line", "document_id", F.explode(F.from_json(get("$.pages"), "array<string>")).alias("path"))
         gone = pages.join(pages_exist.select("path"), "path", "left_anti")
         found = found.unionByName(gone.select("line", "document_id", F.concat("document_id", F.lit(": page path does not exist: "), "path").alias("message")))
     return found

@@ -20,6 +20,7 @@ from docscore.plans import facts as P
 from docscore.plans import invoices as M
 from docscore.plans.catalog import _CHECKSUM
 from docscore.plans.registry import register
+from docscore.sources import scratch
 
 # --- extraction ----------------------------------------------------------------
 
@@ -125,7 +126,7 @@ _GOOD = 4
 
 
 def _manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """``line, raw``: a manifest line for every order, most of them broken in a way that depends on the key."""
+    """``line, raw``: a stored manifest line for every order, most of them broken in a way that depends on the key."""
     t = P.truths(spark, sf)
     k = F.col("key") % 14
     record = {
@@ -133,18 +134,21 @@ def _manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
         "invoice_number": F.col("invoice_number"), "invoice_date": F.col("invoice_date"), "amount_before_vat": F.col("amount_before_vat").cast("double"), "vat_amount": F.col("vat_amount").cast("double"),
         "total_amount": F.col("total_amount").cast("double"), "allocation_number": F.col("allocation_number"), "extraction_notes": F.array().cast("array<string>"),
     }
-    truth = F.to_json(F.struct(*[v.alias(n) for n, v in record.items()]), {"ignoreNullFields": "false"})
+    t = t.withColumn("truth", F.to_json(F.struct(*[v.alias(n) for n, v in record.items()]), {"ignoreNullFields": "false"}))
+    truth = F.col("truth")
     swap = lambda at, old, new: F.when(k == at, F.regexp_replace(truth, old, new))
-    truth = F.coalesce(
+    swapped = F.coalesce(
         swap(4, r"^\{", '{"colour":1,'), swap(5, r',"total_amount":[^,]*', ""), swap(6, r'"vendor_name":"[^"]*"', '"vendor_name":5'), swap(7, r'"vat_amount":[^,]*', '"vat_amount":"x"'),
         swap(8, r'"extraction_notes":\[\]', '"extraction_notes":null'), swap(11, r'"business_tax_id_valid":true', '"business_tax_id_valid":"yes"'), swap(13, r'"extraction_notes":\[\]', '"extraction_notes":[1]'), truth,
     )
     entry = F.concat(
-        F.lit('{"document_id":"'), "document_id", F.lit('","source_file":"'), "document_id", F.lit('.png",'), F.when(k == 10, "").otherwise('"split":"dev",'), F.lit('"language":"he","pages":["p.png"],"ground_truth":'), truth,
+        F.lit('{"document_id":"'), "document_id", F.lit('","source_file":"'), "document_id", F.lit('.png",'), F.when(k == 10, "").otherwise('"split":"dev",'), F.lit('"language":"he","pages":["p.png"],"ground_truth":'), "swapped",
         F.when(k == 9, ',"annotation":{"field_presence":{"vat_amount":"MAYBE","colour":"PRESENT"}}').otherwise(""), F.lit("}"),
     )
     raw = F.when(F.col("key") % 101 == 0, F.lit("# a comment")).when(F.col("key") % 103 == 0, F.lit("  ")).when(F.col("key") % 107 == 0, F.lit("{oops")).otherwise(entry)
-    return t.select(F.col("key").alias("line"), raw.alias("raw"))
+    path = scratch.folder(spark, "manifest-lines")
+    t.withColumn("swapped", swapped).select(F.col("key").alias("line"), raw.alias("raw")).write.parquet(path)
+    return spark.read.schema("line long, raw string").parquet(path)
 
 
 def _messages_sql() -> str:
