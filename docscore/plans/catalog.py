@@ -15,6 +15,7 @@ from docscore.operators import aggregate as A
 from docscore.operators import align as L
 from docscore.operators import extract as E
 from docscore.operators import inspect as I
+from docscore.operators import near as B
 from docscore.operators import rank as K
 from docscore.operators import regions as G
 from docscore.operators import score as C
@@ -110,16 +111,48 @@ def amount_parse(spark: SparkSession, sf: str) -> DataFrame:
   FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.o_totalprice > a.o_totalprice
    AND abs(b.o_totalprice - a.o_totalprice * 1.18e0) <= greatest(0.5e0, a.o_totalprice * 1.18e0 * 0.005e0)""")
 def amount_vat_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a customer's orders that differ by the tax rate; prices are banded so that only near ones meet."""
-    o = P.read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    width = 0.01  # of the logarithm; the tolerance of small amounts reaches further and looks in more bands
-    band = lambda v: F.floor(F.log(v) / width).cast("long")
+    """Pairs of a customer's orders that differ by the tax rate: an interval join over bands of the logarithm."""
+    o = P.read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice").where("o_totalprice > 0")
     want = F.col("price_a") * 1.18
     tol = F.greatest(F.lit(0.5), want * 0.005)
-    a = o.where("o_totalprice > 0").toDF("custkey", "key_a", "price_a").withColumn("band", F.explode(F.sequence(band(F.greatest(want - tol, F.lit(0.01))), band(want + tol))))
-    b = o.where("o_totalprice > 0").toDF("custkey", "key_b", "price_b").withColumn("band", band(F.col("price_b")))
+    # the intervals are a little wider than the tolerance, which decides
+    a = o.toDF("custkey", "key_a", "price_a").withColumns({"low": F.log(F.greatest(want - tol, F.lit(0.01))) - 1e-6, "high": F.log(want + tol) + 1e-6})
+    b = o.toDF("custkey", "key_b", "price_b").withColumn("at", F.log("price_b"))
     near = (F.col("key_a") != F.col("key_b")) & (F.col("price_b") > F.col("price_a")) & (F.abs(F.col("price_b") - want) <= tol)
-    return a.join(b, ["custkey", "band"]).where(near).select("custkey", "key_a", "key_b", F.round(F.col("price_b") - F.col("price_a"), 2).alias("vat_amount"))
+    return B.within(a, b, ["custkey"], "low", "high", "at", 0.01).where(near).select("custkey", "key_a", "key_b", F.round(F.col("price_b") - F.col("price_a"), 2).alias("vat_amount"))
+
+
+def _starts_sql(pattern: str, alias: str) -> str:
+    """Rows ``doc_id, n, at, value`` of all matches in the documents."""
+    starts = _STARTS.replace("runs", "m").replace("pieces", "p")
+    return f"""{alias} AS (SELECT doc_id, unnest(range(0, len(m))) AS n, unnest(s) AS at, unnest(m) AS value FROM (SELECT doc_id, m, {starts} AS s FROM (
+  SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents) WHERE len(m) > 0))"""
+
+
+_MARK = "[@:=]"
+
+
+def _places(spark: SparkSession, sf: str, pattern: str) -> DataFrame:
+    """``doc_id, n, at, value``: a row for every match in the documents."""
+    return _docs(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(R.matches(F.col("text"), pattern)).alias("n", "m")).select("doc_id", "n", F.col("m.pos").cast("long").alias("at"), F.col("m.value").alias("value"))
+
+
+@_register(f"""WITH {_starts_sql("[0-9]+", "numbers")}, {_starts_sql(_MARK, "marks")}
+SELECT n.doc_id, n.at::BIGINT AS at, n.value AS number, m.at::BIGINT AS mark_at, m.value AS mark, abs(n.at - m.at)::BIGINT AS distance FROM numbers n LEFT JOIN marks m ON m.doc_id = n.doc_id
+QUALIFY row_number() OVER (PARTITION BY n.doc_id, n.n ORDER BY abs(n.at - m.at), m.at) = 1""")
+def nearest_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """For each number of each document the label mark nearest to it, both as tables of places."""
+    out = B.nearest(_places(spark, sf, "[0-9]+"), _places(spark, sf, _MARK), ["doc_id"], "at", "n", ["value"])
+    return out.select("doc_id", "at", F.col("value").alias("number"), F.col("near.at").alias("mark_at"), F.col("near.value").alias("mark"), "distance")
+
+
+@_register(f"""WITH {_starts_sql("[0-9]+", "numbers")}, {_starts_sql(_MARK, "marks")}
+SELECT m.doc_id, m.at::BIGINT AS mark_at, m.value AS mark, n.at::BIGINT AS at, n.value AS number FROM marks m JOIN numbers n ON n.doc_id = m.doc_id AND n.at BETWEEN m.at + 1 AND m.at + 60""")
+def numbers_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """All numbers within sixty characters after a label mark, both as tables of places."""
+    marks = _places(spark, sf, _MARK).select("doc_id", F.col("at").alias("mark_at"), F.col("value").alias("mark"), (F.col("at") + 1).alias("low"), (F.col("at") + 60).alias("high"))
+    numbers = _places(spark, sf, "[0-9]+").select("doc_id", "at", F.col("value").alias("number"))
+    return B.within(marks, numbers, ["doc_id"], "low", "high", "at", 60).select("doc_id", "mark_at", "mark", "at", "number")
 
 
 @_register(f"""SELECT doc_id, a AS amount_before_vat, b AS total_amount FROM (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from docscore.operators import aggregate as A
 from docscore.operators import align as L
 from docscore.operators import extract as E
 from docscore.operators import inspect as I
+from docscore.operators import isolate as Q
 from docscore.operators import regions as G
 from docscore.operators import score as C
 from docscore.operators import seeding as D
@@ -251,6 +255,43 @@ def confident_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return G.confident_boxes(P.read(spark, sf, "events").withColumn("conf", F.col("value"))).select("event_id", "value")
 
 
+# --- stages ----------------------------------------------------------------------------
+
+
+def _load_page(page: str) -> str:
+    return base64.b64decode(page, validate=True).decode()
+
+
+def _recognise(page: str) -> str:
+    response = json.loads(page)
+    if "error" in response:
+        raise RuntimeError(response["error"])
+    return response["text"]
+
+
+def _read_total(text: str) -> float:
+    return float(text.partition(" ")[2])
+
+
+@register("""SELECT key, label, CASE WHEN label IS NULL THEN total END AS total, label IS NOT NULL AS has_message, label IN ('PAGE_LOAD_ERROR', 'OCR_FAILURE', 'EXTRACT_FAILURE') AS has_traceback,
+  CASE label WHEN 'PAGE_LOAD_ERROR' THEN 1 WHEN 'OCR_FAILURE' THEN 2 WHEN 'BLOCKED' THEN CASE WHEN key % 13 = 0 THEN 0 ELSE 2 END ELSE 3 END AS stages
+  FROM (SELECT o_orderkey AS key, o_totalprice AS total, CASE WHEN o_orderkey % 13 = 0 THEN 'BLOCKED' ELSE CASE o_orderkey % 11 WHEN 1 THEN 'PAGE_LOAD_ERROR' WHEN 2 THEN 'PAGE_LOAD_ERROR' WHEN 3 THEN 'OCR_FAILURE' WHEN 4 THEN 'BLOCKED' WHEN 5 THEN 'OCR_FAILURE' WHEN 6 THEN 'EXTRACT_FAILURE' END END AS label FROM orders)""")
+def error_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over a page for each order, many of them poison: lost, broken, blocked or without an amount. Each is labelled, the rest goes through."""
+    k = F.col("o_orderkey")
+    amount = F.when(k % 11 == 6, "none").otherwise(F.col("o_totalprice").cast("string"))
+    body = F.when(k % 11 == 3, '{"text": "cut').when(k % 11 == 4, '{"error": "BLOCKED: no licence"}').when(k % 11 == 5, '{"error": "late"}').otherwise(F.concat(F.lit('{"text": "total '), amount, F.lit('"}')))
+    page = F.when(k % 11 == 1, None).when(k % 11 == 2, "*not base64*").otherwise(F.base64(F.encode(body, "UTF-8")))
+    failed = F.struct(F.lit(Q.BLOCKED).alias("label"), F.lit("no engine").alias("message"), F.lit(None).cast("string").alias("traceback"))
+    pages = P.read(spark, sf, "orders").select(k.alias("key"), page.alias("raw"), F.when(k % 13 == 0, failed).alias("error"))
+    out = Q.run_documents(pages, _load_page, _recognise, _read_total, ["raw"], "string", "string", "double")
+    label = F.col("error.label")
+    return out.select(
+        "key", label.alias("label"), F.col("prediction").alias("total"), F.col("error.message").isNotNull().alias("has_message"),
+        F.when(label.isNotNull(), F.col("error.traceback").isNotNull()).alias("has_traceback"), F.size("timings_ms").alias("stages"),
+    )
+
+
 # --- comparisons ---------------------------------------------------------------------
 
 
