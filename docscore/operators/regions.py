@@ -7,8 +7,10 @@ five shapes, becomes ``array<struct>`` or rows of the one region type.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +193,73 @@ def assemble(df: DataFrame, regions: str = "regions", gap_pixels: float | None =
     return df.withColumn(into, F.coalesce(text, F.lit(""))).drop("_r", "_pages")
 
 
+def assembled_lines(regions: DataFrame, keys: list[str], gap_pixels: float | None = None) -> DataFrame:
+    """``keys..., page, line, text``: the lines of each page, from rows of regions (see ``assemble`` for the rules).
+
+    No document and no page is ever an array: rows are dealt by page, sorted inside
+    their partitions and read one after the other with the line at hand carried along.
+    The height that sets the gap is a percentile of the page, found by an aggregation.
+    Regions of one place in the reading order go by text, polygon, granularity and
+    confidence. Null keys and pages are groups like any other.
+    """
+    rows = regions.withColumns({"_o": F.coalesce("reading_order", F.lit(0)), "_y": N.center_y(F.col("polygon")), "_h": N.extent_y(F.col("polygon")), "_placed": F.col("polygon").isNotNull()})
+    spot = [*keys, "page"]
+    if gap_pixels is None:
+        # of two middle heights the larger
+        middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY IF(_h > 0, _h, NULL) DESC)")
+        pages = rows.groupBy(*spot).agg((0.6 * F.coalesce(middle, F.lit(20.0))).alias("_gap")).withColumnsRenamed({c: f"_{c}" for c in spot})
+        rows = rows.join(pages, reduce(lambda a, b: a & b, (rows[c].eqNullSafe(pages[f"_{c}"]) for c in spot)))
+    else:
+        rows = rows.withColumn("_gap", F.lit(float(gap_pixels)))
+    tail = ["reading_order", "text", "polygon", "granularity", "confidence"]
+    ordered = rows.repartition(*spot).sortWithinPartitions(*[F.asc_nulls_first(c) for c in [*spot, "_o", *tail]]).select(*spot, "text", "_y", "_gap", "_placed")
+    width, free_joins = len(spot), gap_pixels is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, height, line, names = None, [], None, 0, None
+
+        def flush(done: list[tuple]) -> None:
+            if words:
+                done.append((*at, line, " ".join(words)))
+
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.types, strict=True)], names.names)
+
+        for batch in batches:
+            names = names or pa.schema([*(batch.schema.field(k) for k in range(width)), ("line", pa.int64()), ("text", pa.string())])
+            done: list[tuple] = []
+            for *spot_now, text, y, gap, placed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = tuple(spot_now)
+                free = free_joins and not placed
+                if now != at:
+                    flush(done)
+                    at, words, height, line = now, [], None, 0
+                joins = height is None or free or abs(y - height) <= gap
+                if words and not joins:
+                    flush(done)
+                    words, line = [], line + 1
+                words.append(text or "")
+                if not free:
+                    height = (height + y) / 2 if height is not None and abs(y - height) <= gap else y
+            yield made(done)
+        if names is not None:
+            done = []
+            flush(done)
+            yield made(done)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:width])
+    return ordered.mapInArrow(run, f"{types}, line long, text string")
+
+
+def joined_pages(lines: DataFrame, keys: list[str], into: str = "assembled_text") -> DataFrame:
+    """One row per key with its lines as one text, an empty line between pages: the text of a document is one value."""
+    each = F.array_sort(F.collect_list(F.struct("page", "line", "text")))
+    border = lambda r, i: F.when(i == 0, "").when(r["line"] == 0, "\n\n").otherwise("\n")
+    whole = F.array_join(F.transform("_l", lambda r, i: F.concat(border(r, i), r["text"])), "")
+    return lines.groupBy(*keys).agg(each.alias("_l")).withColumn(into, whole).drop("_l")
+
+
 def confident_words(regions: DataFrame, k: int = 15, by: list[str] | None = None) -> DataFrame:
     """The ``k`` words with the highest confidence, ties in the order of ``by``; those without one do not count."""
     return regions.where("confidence IS NOT NULL").orderBy(F.desc("confidence"), *(by or ["text"])).limit(k)

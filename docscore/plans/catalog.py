@@ -511,9 +511,10 @@ def _word_regions(spark: SparkSession, sf: str) -> DataFrame:
 @_register(rf"""SELECT conv_id, md5(string_agg(page_text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, CAST(sum(n) AS BIGINT) AS n_words FROM (
   SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY l) AS page_text, sum(n) AS n FROM (SELECT conv_id, turn, i // 5 AS l, string_agg(w, ' ' ORDER BY i) AS line, count(*) AS n FROM ({_WORDS}) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""")
 def region_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    docs = G.collect_regions(_word_regions(spark, sf), ["conv_id"])
-    docs = G.assemble(docs)
-    return docs.select("conv_id", F.md5(F.encode("assembled_text", "UTF-8")).alias("text_md5"), F.size("regions").cast("long").alias("n_words"))
+    """The text of each conversation's pages, folded from sorted rows of words."""
+    lines = G.assembled_lines(_word_regions(spark, sf), ["conv_id"])
+    counts = lines.groupBy("conv_id").agg(F.sum(F.size(F.split("text", " "))).alias("n_words"))
+    return G.joined_pages(lines, ["conv_id"]).join(counts, "conv_id").select("conv_id", F.md5(F.encode("assembled_text", "UTF-8")).alias("text_md5"), "n_words")
 
 
 @_register(rf"SELECT conv_id, turn AS page, max(w) FILTER (WHERE i = 0) AS first_word, CAST(count(*) AS BIGINT) AS n_words, CAST(max(i) AS INTEGER) AS last_order FROM ({_WORDS}) GROUP BY 1, 2")

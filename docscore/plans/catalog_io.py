@@ -245,11 +245,16 @@ def failed_engines(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("document_id", "engine_id", "error_label", F.col("prediction").isNotNull().alias("has_prediction"))
 
 
-@register(rf"SELECT conv_id, md5(string_agg(page_text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM (SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS page_text FROM ({_WORDS}) GROUP BY 1, 2) GROUP BY 1")
+@register(rf"""SELECT conv_id, md5(string_agg(page_text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, CAST(sum(lines) AS BIGINT) AS n_lines FROM (
+  SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY l) AS page_text, count(*) AS lines FROM (SELECT conv_id, turn, i // 10 AS l, string_agg(w, ' ' ORDER BY i) AS line FROM ({_WORDS}) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""")
 def fixed_gap_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    """Assembly with a fixed gap: one so large that a page is one line."""
-    docs = G.assemble(G.collect_regions(_word_regions(spark, sf), ["conv_id"]), gap_pixels=1e9)
-    return docs.select("conv_id", F.md5(F.encode("assembled_text", "UTF-8")).alias("text_md5"))
+    """Assembly with a gap of fifteen pixels: rows of five words, the second row of each two only fourteen pixels lower, some words without a place."""
+    i = F.col("reading_order")
+    box = G.rectangle((i % 5) * 50, F.floor(i / 10) * 44 + F.floor(i / 5) % 2 * 14, F.lit(40), F.lit(20))
+    words = _word_regions(spark, sf).withColumn("polygon", F.when(i % 10 != 7, box))
+    lines = G.assembled_lines(words, ["conv_id"], gap_pixels=15)
+    counts = lines.groupBy("conv_id").agg(F.count("*").alias("n_lines"))
+    return G.joined_pages(lines, ["conv_id"]).join(counts, "conv_id").select("conv_id", F.md5(F.encode("assembled_text", "UTF-8")).alias("text_md5"), "n_lines")
 
 
 @register("SELECT upper(n_name) || '.pdf' AS name, 'page one of ' || n_name || chr(10) || 'amount 1' || CAST(n_nationkey AS VARCHAR) || '.50' || chr(10) || 'the end' AS text FROM nation UNION ALL SELECT 'broken.pdf', NULL")

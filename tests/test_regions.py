@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docscore.operators import regions as G
@@ -83,3 +85,20 @@ def test_dispatch():
     with pytest.raises(ValueError, match="unknown adapter"):
         G.regions_of("nope", None)
     assert G.engine_params({"model": "m.bin", "tessdata_dir": "/abs", "n": "1"}, "/conf") == {"model": "/conf/m.bin", "tessdata_dir": "/abs", "n": "1"}
+
+
+@pytest.mark.parametrize("gap", [None, 15, 1e9])
+def test_folded_rows_are_the_text_of_the_array(spark, gap):
+    rnd = random.Random(8)
+    rows = []
+    for doc in ["a", "b", None]:
+        for page in [0, 1, None]:
+            for k in range(rnd.randrange(25)):
+                y, h = rnd.randrange(120), rnd.choice([0, 10, 20, 21])
+                box = None if rnd.random() < 0.2 else [(0.0, float(y)), (5.0, float(y + h))]
+                rows.append((doc, page, rnd.choice([f"w{k}", None, "same"]), box, "word", rnd.choice([None, 0.5]), rnd.choice([None, rnd.randrange(6)])))
+    df = spark.createDataFrame(rows, "document_id string, page int, text string, polygon array<struct<x double, y double>>, granularity string, confidence double, reading_order int")
+    whole = G.assemble(G.collect_regions(df, ["document_id"]), gap_pixels=gap).select("document_id", "assembled_text").collect()
+    folded = G.joined_pages(G.assembled_lines(df.repartition(3), ["document_id"], gap), ["document_id"]).select("document_id", "assembled_text").collect()
+    assert sorted(map(tuple, folded), key=repr) == sorted(map(tuple, whole), key=repr)
+    assert G.assembled_lines(df.limit(0), ["document_id"], gap).count() == 0
