@@ -19,7 +19,7 @@ from docscore.operators import score as C
 from docscore.operators import seeding as D
 from docscore.plans import facts as P
 from docscore.plans.catalog import _CANDIDATE, _COUNTERS, _FIELD_COUNTS, _STATUS, _TOTALS, _wilson_sql, _word_regions, _WORDS
-from docscore.plans.registry import register
+from docscore.plans.registry import ORACLES, register
 from docscore.sources import pdf, readers, scratch, writers
 
 
@@ -111,16 +111,23 @@ def aggregate_json(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("engine_id", F.size(cells).cast("long").alias("n_fields"), F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["present_correct"]).alias("present_correct"))
 
 
-@register(P.SQL + f"""SELECT e.engine_id, CAST(coalesce(submitted, 0) AS BIGINT) AS submitted, CASE WHEN submitted IS NULL THEN 'NOT RUN' ELSE {_STATUS} END AS status, {_CANDIDATE.replace('engine_id', 'e.engine_id')} AS candidate_number, CAST(32 AS BIGINT) AS field_columns
-  FROM eng e LEFT JOIN ({_COUNTERS}) c ON e.engine_id = c.engine_id""")
+_REPORT_COUNTS = ["submitted", "ok", "blocked", "errored", "critical_complete_ok", "critical_complete_total", "all_fields_complete_ok", "all_fields_complete_total", "digit_accuracy_samples"]
+_REPORT_RATES = ["digit_accuracy_mean", "critical_rate", "critical_low", "critical_high", "all_fields_rate", "all_fields_low", "all_fields_high"]
+_FIELD_CELLS = [f"{side}_{f}_{what}" for f in S.BUSINESS_FIELDS for side in ("present", "absent") for what in ("correct", "total")]
+_REPORT = f"SELECT r.*, p.* EXCLUDE (engine_id) FROM ({ORACLES['engine_report']}) r LEFT JOIN ({ORACLES['engine_field_pivot']}) p ON p.engine_id = r.engine_id"
+
+
+@register(f"""SELECT engine_id, status, candidate_number, cell, value FROM (UNPIVOT (
+  SELECT engine_id, status, candidate_number, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*_REPORT_COUNTS, *_REPORT_RATES, *_FIELD_CELLS])} FROM ({_REPORT})) ON COLUMNS(* EXCLUDE (engine_id, status, candidate_number)) INTO NAME cell VALUE value)""")
 def csv_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat report as CSV, read back."""
+    """The flat report as CSV, read back: a row for every cell that holds a number."""
     path = scratch.folder(spark, "csv")
     scores = P.scores(spark, sf)
     writers.write_csv(writers.csv_report(A.engine_report(P.engines(spark), scores), A.field_pivot(scores)), path)
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    wide = sum(c.startswith(("present_", "absent_")) for c in rows.columns)
-    return rows.select("engine_id", F.col("submitted").cast("long").alias("submitted"), "status", F.col("candidate_number").cast("int").alias("candidate_number"), F.lit(wide).cast("long").alias("field_columns"))
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in [*_REPORT_COUNTS, *_REPORT_RATES, *_FIELD_CELLS]])
+    each = rows.select("engine_id", "status", F.col("candidate_number").cast("int").alias("candidate_number"), F.explode(cells).alias("c"))
+    return each.select("engine_id", "status", "candidate_number", "c.cell", "c.value").where("value IS NOT NULL")
 
 
 @register(P.SQL + "SELECT document_id, engine_id, CASE WHEN error_label IS NULL THEN 'text of ' || document_id ELSE '[' || error_label || '] no text' END AS text FROM rows_ WHERE engine_id <> 'flaky' UNION ALL SELECT document_id, engine_id, '' FROM rows_ WHERE engine_id = 'flaky'")
@@ -186,17 +193,31 @@ def run_manifest_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "run_id string, engine_id string, adapter string, load_error string")
 
 
-@register(P.SQL + f"""SELECT '| ' || CAST({_CANDIDATE} AS VARCHAR) || '. ' AS head, engine_id, CASE WHEN n IS NULL THEN '—' ELSE 'cells' END AS cells FROM eng LEFT JOIN (SELECT engine_id AS ran, count(*) AS n FROM rows_ GROUP BY 1) ON ran = engine_id""")
+def _percent_sql(ok: str, total: str) -> str:
+    low, high = (x.removeprefix("round(").removesuffix(", 6)") for x in _wilson_sql(ok, total))
+    return f"CASE WHEN coalesce({total}, 0) = 0 THEN 'n/a' ELSE trim(printf('%5.1f%%  [%4.1f%%, %4.1f%%]  (%d/%d)', {ok} * 100.0::DOUBLE / {total}, {low} * 100, {high} * 100, {ok}, {total})) END"
+
+
+_MARKDOWN = {
+    "Status": "status", "Critical Complete": _percent_sql("critical_complete_ok", "critical_complete_total"), "All Fields Complete": _percent_sql("all_fields_complete_ok", "all_fields_complete_total"),
+    "Digit Acc": "coalesce(trim(printf('%5.1f%%', mean * 100)), 'n/a')", **{f: _percent_sql(f"present_{f}_correct", f"present_{f}_total") for f in S.BUSINESS_FIELDS},
+}
+
+
+@register(f"""WITH report AS MATERIALIZED (SELECT r.*, m.digit_accuracy_mean AS mean FROM ({_REPORT}) r LEFT JOIN ({ORACLES['engine_aggregate']}) m ON m.engine_id = r.engine_id)
+""" + " UNION ALL ".join(f"SELECT candidate_number, engine_id, '{name}' AS title, CASE WHEN status = 'NOT RUN' AND '{name}' <> 'Status' THEN '—' ELSE {cell} END AS cell FROM report" for name, cell in _MARKDOWN.items()))
 def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The comparison table of the Markdown report, taken apart: a row per engine."""
+    """The comparison table of the Markdown report, taken apart: a row for every cell."""
     scores = P.scores(spark, sf)
     report, pivot, labels = A.engine_report(P.engines(spark), scores), A.field_pivot(scores), A.top_labels(A.error_labels(scores))
     text = writers.markdown_report(report, pivot, labels, "Report", "run", 1, {"blocked": "no engine"})
     path = scratch.folder(spark, "report")
     scratch.write_bytes(spark, f"{path}/report.md", text.encode())
     rows = readers.numbered_lines(spark, f"{path}/report.md").where(F.col("raw").rlike(r"^\| \d+\. "))
-    cells = F.split("raw", r" \| ")
-    return rows.select(F.regexp_extract("raw", r"^\| \d+\. ", 0).alias("head"), F.translate(cells[1], "`", "").alias("engine_id"), F.when(F.element_at(cells, 4) == "—", "—").otherwise("cells").alias("cells"))
+    cells = F.split(F.regexp_replace("raw", r"^\| | \|$", ""), r" \| ")
+    titled = F.arrays_zip(F.array(*map(F.lit, _MARKDOWN)).alias("title"), F.slice(cells, 3, len(_MARKDOWN)).alias("cell"))
+    each = rows.select(F.regexp_extract(cells[0], r"^\d+", 0).cast("int").alias("candidate_number"), F.translate(cells[1], "`", "").alias("engine_id"), F.explode(titled).alias("c"))
+    return each.select("candidate_number", "engine_id", "c.title", F.trim("c.cell").alias("cell"))
 
 
 _SOURCES = {"a.py": "import cv2\ndef _extract_x(a):\n", "test_b.py": "def to_json():\n    pass\n", "venv/c.py": "import cv2\n"}

@@ -59,6 +59,16 @@ def extract_text_layer(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(E.extract(t, "label_anchored", "layer", tolerant=False))
 
 
+@register(P.SQL + f"""SELECT key, before / 100.0::DOUBLE AS amount_before_vat, vat / 100.0::DOUBLE AS vat_amount, shown / 100.0::DOUBLE AS total_amount,
+  concat_ws('; ', CASE WHEN key % 4 = 2 THEN '{E.NOTE_VAT}' END, CASE WHEN key % 4 = 1 THEN '{E.NOTE_ARITHMETIC}' END,
+    CASE WHEN key % 4 = 0 THEN 'amount check mismatch: ' || CAST(before / 100.0::DOUBLE AS VARCHAR) || ' + ' || CAST(vat / 100.0::DOUBLE AS VARCHAR) || ' != ' || CAST(shown / 100.0::DOUBLE AS VARCHAR) END) AS extraction_notes
+  FROM (SELECT *, o_orderkey AS key, total + CASE WHEN o_orderkey % 4 = 0 THEN 5000 ELSE 0 END AS shown FROM base)""")
+def extract_odd_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts that do not add up are reported as they stand, amounts without their label are found by arithmetic or percentage."""
+    out = E.extract(M.odd_texts(spark, sf), "label_anchored", "text", tolerant=True, reverse_tokens=False, fix_abbreviations=False)
+    return out.select("key", *S.AMOUNT_FIELDS, F.array_join("extraction_notes", "; ").alias("extraction_notes"))
+
+
 @register(P.SQL + f""", made AS (SELECT o_orderkey AS key, o_custkey, lpad(CAST(o_custkey * 7919 AS VARCHAR), 9, '0') AS tax, strftime(o_orderdate, '%Y-%m-%d') AS day, total, before, vat FROM base)
 SELECT key, tax || ':' || CAST({_VALID} AS VARCHAR) AS nearest_id, lpad(CAST(key AS VARCHAR), 7, '0') AS windowed_number, day AS nearest_date, CAST(3 AS BIGINT) + CASE WHEN key % 7 = 0 THEN 0 ELSE 1 END AS n_amounts,
   before / 100.0::DOUBLE AS pair_low, total / 100.0::DOUBLE AS pair_high FROM made""")
@@ -178,6 +188,14 @@ def manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
     return V.manifest_violations(_manifest_lines(spark, sf))
 
 
+@register(_LINES + """SELECT key AS line, d AS document_id, d || ': page path does not exist: p/' || d || '.png' AS message FROM lines WHERE kind = 'entry' AND key % 3 = 0""")
+def missing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries whose page files are not in the list of files that exist: two of three pages do."""
+    lines = _manifest_lines(spark, sf).withColumn("raw", F.replace("raw", F.lit('"pages":["p.png"]'), F.concat(F.lit('"pages":["p/'), F.col("line").cast("string"), F.lit('.png"]'))))
+    files = P.read(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("p/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"))
+    return V.manifest_violations(lines, files).where(F.contains("message", F.lit("page path")))
+
+
 @register(_LINES + f""", bad AS ({_messages_sql()}) SELECT (SELECT count(*) FROM lines WHERE kind <> 'skipped') AS total, (SELECT count(*) FROM lines WHERE kind <> 'skipped' AND key NOT IN (SELECT line FROM bad)) AS ok,
   (SELECT count(*) FROM lines WHERE kind = 'entry') AS with_truth, (SELECT count(*) FROM bad) AS errors""")
 def validation_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,4 +55,19 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("key", labelled(key % 3).alias("label_text"), labelled(F.lit(1)).alias("strict_text"), free.alias("format_text"))
 
 
+def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, text``: recognised texts whose amounts do not add up, or where one is found without its label.
+
+    By the key modulo 4: a total that is fifty too much, a net amount on a line of its
+    own, a tax amount known by its percentage only, and a text that is as it should be.
+    """
+    t = P.truths(spark, sf_dir)
+    kind = F.col("key") % 4
+    total = F.when(kind == 0, (F.col("total_amount").cast("decimal(20,2)") + 50).cast("string")).otherwise(F.col("total_amount"))
+    net = F.when(kind == 1, F.concat(F.lit("שורה "), "amount_before_vat")).otherwise(F.concat(F.lit('סה"כ '), "amount_before_vat"))
+    tax = F.when(kind == 2, F.concat("vat_amount", F.lit(" ( 18.00 % )"))).otherwise(F.concat(F.lit('מע"מ '), "vat_amount"))
+    text = _lines(F.concat(F.lit("חשבונית מס "), "invoice_number"), net, tax, F.concat(F.lit("לתשלום "), total))
+    return t.select("key", text.alias("text"))
+
+
 VENDOR_SQL = f"'חברת ' || translate(CAST(o_custkey AS VARCHAR), '0123456789', '{LETTERS}')"

@@ -98,7 +98,8 @@ def markdown_report(report: DataFrame, pivot: DataFrame, labels: DataFrame, titl
     """The comparison table, the status summary and the list of blocked engines."""
     cells = [N.percent_text(F.col(f"{x}_ok"), F.col(f"{x}_total")).alias(x) for x in ("critical_complete", "all_fields_complete")]
     fields = [N.percent_text(F.coalesce(f"present_{f}_correct", F.lit(0)), F.coalesce(f"present_{f}_total", F.lit(0))).alias(f"cell_{f}") for f in S.BUSINESS_FIELDS]
-    digit = F.coalesce(F.format_string("%5.1f%%", F.col("digit_accuracy_mean") * 100), F.lit("n/a")).alias("digits")
+    mean = F.col("digit_accuracy_mean")
+    digit = F.when(mean.isNotNull(), F.format_string("%5.1f%%", mean * 100)).otherwise("n/a").alias("digits")
     df = csv_report(report, pivot).join(labels, "engine_id", "left")
     rows = df.select("candidate_number", "candidate_name", "engine_id", "status", "submitted", "ok", "blocked", "errored", "labels", *cells, digit, *fields).orderBy("candidate_number", "engine_id").collect()
     head = ["Candidate", "Engine config", "Status", "Critical Complete", "All Fields Complete", "Digit Acc", *S.BUSINESS_FIELDS]
