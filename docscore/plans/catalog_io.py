@@ -20,7 +20,7 @@ from docscore.operators import seeding as D
 from docscore.plans import facts as P
 from docscore.plans.catalog import _CANDIDATE, _COUNTERS, _FIELD_COUNTS, _STATUS, _TOTALS, _wilson_sql, _word_regions, _WORDS
 from docscore.plans.registry import ORACLES, register
-from docscore.sources import pdf, readers, scratch, writers
+from docscore.sources import ledger, pdf, readers, scratch, writers
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +61,16 @@ def append_and_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+@register("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS batch, CAST(o_orderkey AS VARCHAR) AS document_id FROM orders")
+def append_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches appended to a manifest and then delivered again, both the second time in another order: each document is there once."""
+    path = scratch.folder(spark, "ledger")
+    entries = _entries(spark, sf)
+    for batch in (0, 1, 1, 0):
+        ledger.append_new(entries.where("split = 'dev'") if batch == 0 else entries, path, batch)
+    return ledger.read_batches(spark, path, "document_id string").select("batch", "document_id")
+
+
 @register("SELECT n.line, md5(n.raw) AS raw_md5 FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, 'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority AS raw FROM orders) n")
 def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of one text file with their numbers, whatever the splits of the file."""

@@ -12,6 +12,7 @@ from docscore import schema as S
 from docscore.functions import numbers as N
 from docscore.functions import text as X
 from docscore.operators import aggregate as A
+from docscore.operators import adapters
 from docscore.operators import align as L
 from docscore.operators import extract as E
 from docscore.operators import inspect as I
@@ -250,6 +251,27 @@ def cloud_adapter(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("document_id").cast("long").alias("key"), "text", "reading_order", "confidence", F.col("polygon")[0]["x"].alias("first_x"), "page")
 
 
+def _boxes(response: str):
+    """An engine that answers with lines ``left,top,width,height text``."""
+    if response.startswith("no licence"):
+        raise RuntimeError(f"BLOCKED: {response}")
+    for row in response.split("\n"):
+        place, _, text = row.partition(" ")
+        x, y, w, h = map(float, place.split(","))
+        yield {"text": text, "polygon": [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], "granularity": "line"}
+
+
+@register("""SELECT o_orderkey AS key, i AS reading_order, CASE WHEN e IS NULL THEN CASE i WHEN 0 THEN 'order' ELSE CAST(o_orderkey AS VARCHAR) END END AS text, CASE WHEN e IS NULL THEN i * 10 + 4.5::DOUBLE END AS lower, e AS error_label FROM (
+  SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'OCR_FAILURE' WHEN 2 THEN 'BLOCKED' END AS e, unnest(CASE WHEN o_orderkey % 7 = 3 THEN [] WHEN o_orderkey % 7 IN (1, 2) THEN [NULL] ELSE [0, 1] END)::INTEGER AS i FROM orders)""")
+def lateral_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """An adapter of one's own, registered as a table function and used from SQL."""
+    adapters.register(spark, "boxes_of", _boxes)
+    k = F.col("o_orderkey")
+    body = F.when(k % 7 == 1, "1,2 broken").when(k % 7 == 2, "no licence here").when(k % 7 != 3, F.concat(F.lit("0,0,9,4.5 order\n0,10,9,4.5 "), k.cast("string")))
+    out = adapters.regions_by(spark, "boxes_of", P.read(spark, sf, "orders").select(k.alias("key"), body.alias("response")))
+    return out.select("key", "reading_order", "text", F.array_max(F.transform("polygon", lambda p: p["y"])).alias("lower"), "error_label")
+
+
 @register("SELECT c_custkey AS custkey, CASE WHEN c_custkey % 3 = 0 THEN 'L1' ELSE 'w|x' END AS text FROM customer")
 def words_or_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Words where any has text, else the lines."""

@@ -8,7 +8,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docscore import schema as S
@@ -39,10 +39,21 @@ def _entries(lines: DataFrame) -> DataFrame:
     return lines.where((raw != "") & ~F.startswith(raw, F.lit("#")))
 
 
+def _may_be_of(split: str) -> Column:
+    """False for lines that name other splits only. Lines with escapes, or without a split, may be of any."""
+    said = F.col("raw").rlike(r'"split"\s*:\s*"')
+    named = F.col("raw").rlike(rf'"split"\s*:\s*"\Q{split}\E"')
+    return ~said | named | F.contains("raw", F.lit("\\"))
+
+
 def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Manifest entries with their line. Blank lines and comments are skipped; a line that is no
-    object or lacks a required key fails the read with its place; optional keys default to null."""
+    object or lacks a required key fails the read with its place; optional keys default to null.
+    With ``split``, lines that name another one are passed over before anything is parsed, so what
+    is wrong with them is not seen."""
     rows = _entries(numbered_lines(spark, path))
+    if split is not None:
+        rows = rows.where(_may_be_of(split))
     keys = F.json_object_keys("raw")
     where = F.concat(F.lit(f"{path}:"), F.col("line").cast("string"))
     missing = F.array_except(F.array(*map(F.lit, S.MANIFEST_KEYS)), keys)
