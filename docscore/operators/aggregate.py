@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,20 +216,48 @@ def miss_rates(outcomes: DataFrame) -> DataFrame:
     )
 
 
+POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183])
+
+
+def bootstrap_weights(keys: list[str], rounds: int, seed: int) -> np.ndarray:
+    """Poisson weights of keys (rows) in rounds 1, 2, ... (columns), up to 6.
+
+    From the first 13 hexadecimal digits of the MD5 of seed, key and round, which other
+    systems can compute too.
+    """
+    ends = [f":{r}".encode() for r in range(1, rounds + 1)]
+    heads = [hashlib.md5(f"{seed}:{key}".encode()) for key in keys]
+
+    def digest(head, end: bytes) -> bytes:
+        mine = head.copy()
+        mine.update(end)
+        return mine.digest()[:8]
+
+    first = np.frombuffer(b"".join(digest(h, e) for h in heads for e in ends), ">u8").reshape(len(keys), rounds)
+    return np.searchsorted(POISSON, (first >> np.uint64(12)) / float(1 << 52), side="right")
+
+
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, key: str, rounds: int = 200, seed: int = 42) -> DataFrame:
     """Interval of the mean difference of two engines on the same documents.
 
     Each document has a Poisson weight per round that depends on its key, the round and
-    the seed only: from the first 13 hexadecimal digits of an MD5, which other systems
-    can compute too. So rounds are one aggregation and need no resampled copies.
+    the seed only, so rounds need no resampled copies: a task adds up a vector of sums
+    per round, and only these are shuffled. Documents without both values do not count.
     """
-    r = F.explode(F.sequence(F.lit(1), F.lit(rounds)))
-    digest = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("round").cast("string")), "UTF-8"))
-    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d")).withColumn("round", r).withColumn("u", u).withColumn("w", weight)
-    means = each.groupBy("round").agg((F.sum(F.col("d") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                drawn = bootstrap_weights(part.column(0).to_pylist(), rounds, seed)
+                sums += part.column(1).to_numpy() @ drawn
+                weights += drawn.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, rounds + 1), pa.int32()), pa.array(sums), pa.array(weights)], ["round", "sums", "weights"])
+
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    each = known.select(F.coalesce(F.col(key).cast("string"), F.lit("")), (F.col(a) - F.col(b)).cast("double")).mapInArrow(run, "round int, sums double, weights double")
+    means = each.groupBy("round").agg((F.sum("sums") / F.nullif(F.sum("weights"), F.lit(0.0))).alias("m"))
     # one row per round
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("rounds"))
 
