@@ -419,15 +419,30 @@ def validation_violations(spark: SparkSession, sf: str) -> DataFrame:
     return V.violations(_docs(spark, sf, "doc_id", "text", "lang", "n_chars"), ["doc_id"], rules)
 
 
-@_register(P.SQL + f"SELECT engine_id, adapter, {_CANDIDATE} AS candidate_number FROM eng")
+_KEYS = [e[1] for e in P.ENGINES]
+_CONFIGURED = f"""SELECT s_name || CASE WHEN s_suppkey % 5 = 0 THEN '-Fast' ELSE '' END AS engine_id, [{", ".join(f"'{k}'" for k in _KEYS)}][s_suppkey % {len(_KEYS)} + 1] AS adapter,
+  CASE WHEN s_suppkey % 3 = 0 THEN '/data/tessdata_fast' WHEN s_suppkey % 3 = 1 THEN '/data/tessdata_best' END AS tessdata FROM supplier"""
+
+
+def _configured(spark: SparkSession, sf: str) -> DataFrame:
+    """An engine configuration for every supplier."""
+    k = F.col("s_suppkey")
+    adapter = F.element_at(F.array(*map(F.lit, _KEYS)), (k % len(_KEYS) + 1).cast("int"))
+    tessdata = F.when(k % 3 == 0, "/data/tessdata_fast").when(k % 3 == 1, "/data/tessdata_best")
+    return P.read(spark, sf, "supplier").select(F.concat("s_name", F.when(k % 5 == 0, "-Fast").otherwise("")).alias("engine_id"), adapter.alias("adapter"), tessdata.alias("tessdata"))
+
+
+@_register(f"SELECT engine_id, adapter, {_CANDIDATE} AS candidate_number FROM ({_CONFIGURED})")
 def candidate_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidate number of every configured engine."""
     c = A.candidate(F.col("adapter"), F.col("engine_id"), F.col("tessdata"))
-    return P.engines(spark).select("engine_id", "adapter", c["number"].alias("candidate_number"))
+    return _configured(spark, sf).select("engine_id", "adapter", c["number"].alias("candidate_number"))
 
 
-@_register(P.SQL + f"SELECT candidate_number, string_agg(engine_id, ',' ORDER BY engine_id) AS engine_ids FROM (SELECT engine_id, {_CANDIDATE} AS candidate_number FROM eng) GROUP BY 1")
+@_register(f"SELECT candidate_number, string_agg(engine_id, ',' ORDER BY engine_id) AS engine_ids FROM (SELECT engine_id, {_CANDIDATE} AS candidate_number FROM ({_CONFIGURED})) GROUP BY 1")
 def candidate_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return A.candidate_groups(P.engines(spark))
+    """The configured engines of each candidate number."""
+    return A.candidate_groups(_configured(spark, sf))
 
 
 _LINE_RULES = {"list": r"\|", "digits": "[0-9]", "contact": "@|http", "license": "(?i)licen[sc]e", "never": "qqqqqq"}
@@ -446,16 +461,19 @@ def bag_union_sources(spark: SparkSession, sf: str) -> DataFrame:
     return G.bag_union({"documents": a, "pages": b})
 
 
-@_register("""SELECT docs, pages, kind, round(busy * rate, 4) AS elastic_cost, round(ceil(docs * pages / (speed * 3600 * 0.7e0 * 720)) * 720 * rate, 4) AS warm_cost, round(busy * rate / docs * 1000, 6) AS cost_per_1000,
+@_register("""SELECT source, docs, pages, kind, round(busy * rate, 4) AS elastic_cost, round(ceil(busy / 720) * 720 * rate, 4) AS warm_cost, round(busy * rate / docs * 1000, 6) AS cost_per_1000,
   round(busy * rate / (docs * 0.75e0), 9) AS cost_per_correct, round(docs * 0.1e0 * 30 / 3600 * 10, 4) AS correction_cost FROM (SELECT *, docs * pages / (speed * 3600 * 0.7e0) AS busy FROM (
-  SELECT d.v AS docs, p.v AS pages, k.kind, k.rate, k.speed FROM (VALUES (100000), (1000000)) d(v), (VALUES (1), (2), (3)) p(v), (VALUES ('cpu', 0.2330496e0, 0.5e0), ('gpu', 1.0e0, 2.0e0)) k(kind, rate, speed)))""")
+  SELECT source, docs, pages, k.kind, k.rate, k.speed FROM (SELECT source, count(*) * 10000 AS docs, CAST(ceil(avg(length(text)) / 2000.0e0) AS BIGINT) AS pages FROM documents WHERE text <> '' GROUP BY 1), (VALUES ('cpu', 0.2330496e0, 0.5e0), ('gpu', 1.0e0, 2.0e0)) k(kind, rate, speed)))""")
 def cost_model(spark: SparkSession, sf: str) -> DataFrame:
-    docs, pages = P.literal_table(spark, [(100_000,), (1_000_000,)], ["docs"]), P.literal_table(spark, [(1,), (2,), (3,)], ["pages"])
+    """Monthly cost of reading ten thousand times the documents of each source, at their mean number of pages, on two kinds of machines."""
+    per_page = 2000  # characters
+    pages = F.ceil(F.avg(F.length("text")) / float(per_page)).cast("long")
+    docs = _docs(spark, sf, "source", "text").where("text <> ''").groupBy("source").agg((F.count("*") * 10_000).alias("docs"), pages.alias("pages"))
     kinds = P.literal_table(spark, [("cpu", 0.2330496, 0.5), ("gpu", 1.0, 2.0)], ["kind", "rate", "speed"])
-    df = docs.crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(kinds))  # twelve scenarios
+    df = docs.crossJoin(F.broadcast(kinds))  # two kinds
     m = N.cost_model(F.col("docs"), F.col("pages"), F.col("rate"), F.col("speed"))
     return df.select(
-        "docs", "pages", "kind", F.round(m["elastic_cost"], 4).alias("elastic_cost"), F.round(m["warm_cost"], 4).alias("warm_cost"), F.round(m["cost_per_1000"], 6).alias("cost_per_1000"),
+        "source", "docs", "pages", "kind", F.round(m["elastic_cost"], 4).alias("elastic_cost"), F.round(m["warm_cost"], 4).alias("warm_cost"), F.round(m["cost_per_1000"], 6).alias("cost_per_1000"),
         F.round(N.cost_per_correct(m["elastic_cost"], F.col("docs"), F.lit(0.75)), 9).alias("cost_per_correct"), F.round(N.correction_cost(F.col("docs") * 0.1, F.lit(30), F.lit(10)), 4).alias("correction_cost"),
     )
 

@@ -153,26 +153,28 @@ def sidecar_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.with_sidecar_text(facts.drop("error_label"), sidecars)
 
 
-@register("""SELECT lpad(CAST(r_regionkey AS VARCHAR), 4, '0') || '.pdf' AS pdf, CASE WHEN r_regionkey = 1 THEN NULL WHEN r_regionkey = 2 THEN 0 ELSE 2 END AS hits, CASE WHEN r_regionkey IN (1, 2) THEN NULL ELSE '123456782' END AS business_tax_id,
-  CASE WHEN r_regionkey IN (1, 2) THEN NULL ELSE lpad(CAST(r_regionkey + 100 AS VARCHAR), 4, '0') END AS invoice_number, CASE WHEN r_regionkey = 1 THEN 'text extraction failed' END AS error FROM region""")
+@register("""SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.pdf' AS pdf, CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 5 = 2 THEN 0 ELSE 2 END AS hits, CASE WHEN c_custkey % 5 IN (1, 2) THEN NULL ELSE '123456782' END AS business_tax_id,
+  CASE WHEN c_custkey % 5 IN (1, 2) THEN NULL ELSE lpad(CAST(c_custkey % 9000 + 100 AS VARCHAR), 4, '0') END AS invoice_number, CASE WHEN c_custkey % 5 = 1 THEN 'text extraction failed' END AS error FROM customer""")
 def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-document outputs of a batch and its summary file, read back; the batch is five texts."""
+    """Per-document outputs of a batch and its summary file, read back: a text for every customer."""
     from docscore.operators import extract as E
 
-    k = F.col("r_regionkey")
-    text = F.when(k == 1, None).when(k == 2, "nothing").otherwise(F.concat(F.lit("ח.פ. 123456782 חשבונית "), F.lpad((k + 100).cast("string"), 4, "0")))
-    texts = P.read(spark, sf, "region").select(F.concat(F.lpad(k.cast("string"), 4, "0"), F.lit(".pdf")).alias("source_file"), text.alias("text"))
-    records = writers.batch_records(E.format_first(texts))
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 1, None).when(k % 5 == 2, "nothing").otherwise(F.concat(F.lit("ח.פ. 123456782 חשבונית "), F.lpad((k % 9000 + 100).cast("string"), 4, "0")))
+    texts = P.read(spark, sf, "customer").select(F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".pdf")).alias("source_file"), text.alias("text"))
     path = scratch.folder(spark, "batch")
+    # extracted once: the outputs below are several reads of it
+    writers.batch_records(E.format_first(texts)).write.parquet(f"{path}/records")
+    records = spark.read.parquet(f"{path}/records")
     writers.write_batch(records, path)
     writers.write_batch_summary(records, f"{path}/summary.json")
     return readers.read_batch_summary(spark, f"{path}/summary.json").select("pdf", "hits", "business_tax_id", "invoice_number", "error")
 
 
-@register("SELECT n_name AS source_file, upper(n_name) AS vendor_name, 'a \"b\" | c, d' AS extraction_notes FROM nation")
+@register("SELECT c_name AS source_file, upper(c_name) AS vendor_name, 'a \"b\" | c, d' AS extraction_notes FROM customer")
 def spreadsheet_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """The spreadsheet export of twenty-five records: byte order mark, quotes, notes joined with bars; read back."""
-    rows = P.read(spark, sf, "nation").select(F.col("n_name").alias("source_file"), F.upper("n_name").alias("vendor_name"), F.array(F.lit('a "b"'), F.lit("c, d")).alias("extraction_notes"))
+    """The spreadsheet export of a record per customer: byte order mark, quotes, notes joined with bars; read back."""
+    rows = P.read(spark, sf, "customer").select(F.col("c_name").alias("source_file"), F.upper("c_name").alias("vendor_name"), F.array(F.lit('a "b"'), F.lit("c, d")).alias("extraction_notes"))
     path = f"{scratch.folder(spark, 'sheet')}/out.csv"
     writers.write_spreadsheet(spark, rows, path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -41,9 +42,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One file by Spark's own file systems, so that any path Spark reads can be written."""
+    write_parts(spark, path, [data])
+
+
+def write_parts(spark: SparkSession, path: str, parts: Iterable[bytes], chunk: int = 1 << 20) -> None:
+    """One file of parts that come one after the other; about ``chunk`` bytes are held at a time."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    held = bytearray()
     try:
-        out.write(bytearray(data))
+        for part in parts:
+            held += part
+            if len(held) >= chunk:
+                out.write(held)
+                held = bytearray()
+        out.write(held)
     finally:
         out.close()

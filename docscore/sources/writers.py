@@ -6,9 +6,11 @@ with one row per engine, a small and fixed set.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +87,19 @@ def write_spreadsheet(spark: SparkSession, rows: DataFrame, path: str) -> None:
     Written by the driver a row at a time, as no Spark writer makes the mark; for
     tables that a spreadsheet can hold.
     """
-    text = io.StringIO(newline="")
-    writer = csv.DictWriter(text, SPREADSHEET, extrasaction="ignore")
-    writer.writeheader()
-    for r in rows.toLocalIterator():
-        row = r.asDict()
-        writer.writerow(row | {"extraction_notes": " | ".join(row.get("extraction_notes") or [])})
-    scratch.write_bytes(spark, path, text.getvalue().encode("utf-8-sig"))
+
+    def parts() -> Iterator[bytes]:
+        line = io.StringIO(newline="")
+        writer = csv.DictWriter(line, SPREADSHEET, extrasaction="ignore")
+        writer.writeheader()
+        yield codecs.BOM_UTF8 + line.getvalue().encode()
+        for r in rows.toLocalIterator():
+            row = r.asDict()
+            line.seek(line.truncate(0))
+            writer.writerow(row | {"extraction_notes": " | ".join(row.get("extraction_notes") or [])})
+            yield line.getvalue().encode()
+
+    scratch.write_parts(spark, path, parts())
 
 
 def markdown_report(report: DataFrame, pivot: DataFrame, labels: DataFrame, title: str, run_id: str, documents: int, load_errors: dict[str, str] | None = None) -> str:
@@ -146,9 +154,14 @@ def write_batch_summary(records: DataFrame, path: str) -> None:
     rates = {r["field"]: (r["n"], r["rate"]) for r in hit_rate(wide, S.BUSINESS_FIELDS).collect()}
     head = {"pdf_count": max((n for n, _ in rates.values()), default=0), "field_hit_rate": {f: rates[f][1] for f in S.BUSINESS_FIELDS if f in rates}}
     cell = F.to_json(F.struct("pdf", "hits", "error", "parsed"), {"ignoreNullFields": "false"})
-    rows = (r["j"] for r in records.orderBy("pdf").select(cell.alias("j")).toLocalIterator())
-    text = json.dumps(head, ensure_ascii=False)[:-1] + ', "per_pdf": [' + ",\n".join(rows) + "]}"
-    scratch.write_bytes(spark, path, text.encode())
+
+    def parts() -> Iterator[bytes]:
+        yield (json.dumps(head, ensure_ascii=False)[:-1] + ', "per_pdf": [').encode()
+        for k, r in enumerate(records.orderBy("pdf").select(cell.alias("j")).toLocalIterator()):
+            yield ((",\n" if k else "") + r["j"]).encode()
+        yield b"]}"
+
+    scratch.write_parts(spark, path, parts())
 
 
 def word_rows(regions: DataFrame) -> DataFrame:
