@@ -45,56 +45,53 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _CHUNK = 64
 
 
-def _chunks(values: Column) -> Column:
-    """An array that is not empty, cut into arrays of at most ``_CHUNK``."""
-    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda k: F.slice(v, k * _CHUNK + 1, F.lit(_CHUNK))))
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _added(values: Column, start: Column) -> Column:
+def _sql_let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _added(values: str, start: str) -> str:
     """``start`` plus the sum of all values before, for every value."""
-    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+    zero = f"named_struct('at', {start}, 'out', CAST(array() AS array<int>))"
+    return f"aggregate({values}, {zero}, (acc, v) -> named_struct('at', acc.at + v, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
 
 
-def running(values: Column, levels: int = 2) -> Column:
-    """For every int of an array the sum of those before it.
+def running(values: str, levels: int = 2) -> str:
+    """SQL for the sum of those before it, for every int of an array (also SQL).
 
     An array grows by copying, so sums are made in chunks, from the sums of the chunks,
     and these likewise: the cost stays near the size of the array.
     """
     if not levels:
-        return _added(values, F.lit(0))
-
-    def whole(chunks: Column) -> Column:
-        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
-        return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), running(sums, levels - 1).alias("s")), lambda z: _added(z["c"], z["s"])))
-
-    return F.when(F.size(values) > 0, let(_chunks(values), whole)).otherwise(F.array().cast("array<int>"))
+        return _added(values, "0")
+    all_, chunks = f"n{levels}", f"c{levels}"
+    cut = f"transform(sequence(0, CAST(floor((size({all_}) - 1) / {_CHUNK}) AS INT)), k -> slice({all_}, k * {_CHUNK} + 1, {_CHUNK}))"
+    sums = running(f"transform({chunks}, c -> aggregate(c, 0, (a, v) -> a + v))", levels - 1)
+    whole = _sql_let(chunks, cut, f"flatten(zip_with({chunks}, {sums}, (c, s) -> {_added('c', 's')}))")
+    return _sql_let(all_, values, f"if(size({all_}) > 0, {whole}, CAST(array() AS array<int>))")
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """``array<struct<pos, value>>`` of all matches in order; the pattern never matches the empty string.
+def matches(column: str, pattern: str, group: int = 0) -> Column:
+    """``array<struct<pos, value>>`` of all matches in a column in order; the pattern never matches the empty string.
 
     Offsets are running sums over the pieces between the matches and the matches
-    themselves. Null text gives null.
+    themselves. Null text gives null. Written as SQL text, which Spark parses at once:
+    hundreds of calls for one expression take longer than many a query.
     """
-
-    def placed(whole: Column) -> Column:
-        value = whole if group == 0 else all_groups(text, pattern, group)
-        rows = F.arrays_zip(F.slice(F.split(text, rx(pattern), -1), 1, F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value"))
-
-        def found(rows: Column) -> Column:
-            before = running(F.transform(rows, lambda r: F.length(r["piece"]) + F.length(r["whole"])))
-            return F.transform(F.arrays_zip(rows.alias("r"), before.alias("b")), lambda z: F.struct((z["b"] + F.length(z["r"]["piece"])).alias("pos"), z["r"]["value"].alias("value")))
-
-        return let(rows, found)
-
-    return F.when(text.isNotNull(), let(all_groups(text, pattern, 0), placed))
+    text, rule = f"`{column}`", _sql_text(rx(pattern))
+    value = "w" if group == 0 else f"regexp_extract_all({text}, {rule}, {group})"
+    lengths = "zip_with(p, w, (a, b) -> length(a) + length(b))"
+    starts = f"zip_with({running(lengths)}, p, (at, a) -> at + length(a))"
+    placed = f"zip_with({starts}, {value}, (pos, value) -> named_struct('pos', pos, 'value', value))"
+    pieces = _sql_let("p", f"slice(split({text}, {rule}, -1), 1, size(w))", placed)
+    return F.expr(f"if({text} IS NULL, NULL, {_sql_let('w', f'regexp_extract_all({text}, {rule}, 0)', pieces)})")
 
 
-def positions(text: Column, pattern: str) -> Column:
-    return F.transform(matches(text, pattern), lambda m: m["pos"])
+def positions(column: str, pattern: str) -> Column:
+    return F.transform(matches(column, pattern), lambda m: m["pos"])
 
 
 def nearest(positions: Column, target: Column) -> Column:

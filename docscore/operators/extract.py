@@ -66,7 +66,7 @@ NOTE_ARITHMETIC = "amount_before_vat / total via 18% arithmetic fallback"
 NOTE_ALLOCATION = "allocation_number via long-digit positional fallback"
 
 
-def digit_runs(text: Column, least: int, most: int | None = None) -> Column:
+def digit_runs(text: str, least: int, most: int | None = None) -> Column:
     """``array<struct<pos, value>>`` of maximal digit runs with a length in the range."""
     return F.filter(matches(text, r"\d+"), lambda m: (F.length(m["value"]) >= least) & (F.lit(True) if most is None else F.length(m["value"]) <= most))
 
@@ -181,7 +181,7 @@ def label_anchored(df: DataFrame, text_col: str = "text", reverse_tokens: bool =
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def nearest_id(text: Column) -> Column:
+def nearest_id(text: str) -> Column:
     """The nine-digit run that ranks first: valid, near the addressee, near a tax label, early."""
     hints = F.struct(
         positions(text, HINTS["addressee"]).alias("addressee"), F.concat(positions(text, HINTS["dealer"]), positions(text, HINTS["party"])).alias("tax")
@@ -193,16 +193,16 @@ def nearest_id(text: Column) -> Column:
     return F.array_min(let(hints, ranked))
 
 
-def windowed_number(text: Column) -> Column:
+def windowed_number(text: str) -> Column:
     """A run of 3 to 7 digits within 60 characters of an invoice label, else the first not beside a dot, slash or hyphen."""
-    by_label = F.transform(positions(text, HINTS["invoice"]), lambda p: F.regexp_extract(F.substring(text, p + 1, F.lit(60)), rx(r"(?<!\d)(\d{3,7})(?!\d)"), 1))
+    by_label = F.transform(positions(text, HINTS["invoice"]), lambda p: F.regexp_extract(F.substring(F.col(text), p + 1, F.lit(60)), rx(r"(?<!\d)(\d{3,7})(?!\d)"), 1))
     alone = F.filter(digit_runs(text, 3, 7), lambda m: ~F.concat(
-        F.substring(text, F.greatest(m["pos"] - 1, F.lit(1)), F.least(m["pos"], F.lit(2))), F.substring(text, m["pos"] + F.length(m["value"]) + 1, F.lit(2))
+        F.substring(F.col(text), F.greatest(m["pos"] - 1, F.lit(1)), F.least(m["pos"], F.lit(2))), F.substring(F.col(text), m["pos"] + F.length(m["value"]) + 1, F.lit(2))
     ).rlike("[./-]"))
     return F.coalesce(_first(F.filter(by_label, lambda v: v != "")), _first(alone)["value"])
 
 
-def nearest_date(text: Column) -> Column:
+def nearest_date(text: str) -> Column:
     """The checked date nearest to a source mark, then to a date label, then the first; day-first forms rank before year-first ones."""
     hints = F.struct(positions(text, HINTS["source"]).alias("source"), positions(text, HINTS["date"]).alias("label"))
 
@@ -217,7 +217,7 @@ def nearest_date(text: Column) -> Column:
     return F.array_min(F.filter(every, lambda r: r["iso"].isNotNull()))["iso"]
 
 
-def amount_candidates(text: Column) -> Column:
+def amount_candidates(text: str) -> Column:
     """``array<struct<pos, v>>`` of amounts above 0 and below ten million."""
     placed = lambda found: F.arrays_zip(F.transform(found, lambda m: m["pos"]).alias("pos"), N.parse_each(F.transform(found, lambda m: m["value"])).alias("v"))
     found = let(matches(text, AMOUNT, 1), placed)
@@ -239,10 +239,10 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
     """Add the record fields found by their formats, with labels as hints. Null text gives an empty record."""
     df = df.withColumn("_t", X.preprocess(F.coalesce(F.col(text_col), F.lit(""))))
     t = F.col("_t")
-    df = df.withColumn("_id", nearest_id(t))
+    df = df.withColumn("_id", nearest_id("_t"))
     df = df.withColumns({
-        "business_tax_id": F.col("_id.value"), "business_tax_id_valid": ~F.col("_id.invalid"), "invoice_number": windowed_number(t),
-        "invoice_date": nearest_date(t), "allocation_number": _first(digit_runs(t, 15))["value"],
+        "business_tax_id": F.col("_id.value"), "business_tax_id_valid": ~F.col("_id.invalid"), "invoice_number": windowed_number("_t"),
+        "invoice_date": nearest_date("_t"), "allocation_number": _first(digit_runs("_t", 15))["value"],
     })
 
     def phrase(p: Column) -> Column:
@@ -253,8 +253,8 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
         found = F.transform(good, lambda s: strip(F.regexp_extract(s, rx("([א-ת][א-ת\\s\"'״׳.]*[א-ת])"), 1)))
         return _first(F.filter(found, lambda s: (F.length(s) >= 3) & ~s.isin(*ADDRESSEE_WORDS)))
 
-    df = df.withColumn("vendor_name", _first(F.filter(F.transform(positions(t, HINTS["addressee"]), phrase), lambda s: s.isNotNull())))
-    df = df.withColumns({"_amounts": amount_candidates(t), "_pct": _first(matches(t, PERCENT))})
+    df = df.withColumn("vendor_name", _first(F.filter(F.transform(positions("_t", HINTS["addressee"]), phrase), lambda s: s.isNotNull())))
+    df = df.withColumns({"_amounts": amount_candidates("_t"), "_pct": _first(matches("_t", PERCENT))})
     amounts, start = F.col("_amounts"), F.col("_pct.pos")
     end = start + F.length("_pct.value")
     df = df.withColumn("_pair", vat_pair(amounts, start, vat_rate))
@@ -266,7 +266,7 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
     gap = lambda a: F.least(F.abs(a["pos"] - start), F.abs(a["pos"] - end))
     outside = F.filter(amounts, lambda a: ~((a["pos"] >= start) & (a["pos"] < end)))
     beside = F.array_min(F.transform(outside, lambda a, i: F.struct(gap(a).alias("d"), i.alias("i"), a["v"].alias("v"))))
-    by_label = _first(F.filter(F.transform(positions(t, HINTS["vat"]), lambda p: near(p, 30, 30)), lambda v: v.isNotNull()))
+    by_label = _first(F.filter(F.transform(positions("_t", HINTS["vat"]), lambda p: near(p, 30, 30)), lambda v: v.isNotNull()))
     df = df.withColumns({"_beside": F.when(start.isNotNull(), beside), "_labelled": by_label})
     df = df.withColumn("vat_amount", F.when(F.size("_amounts") > 0, F.coalesce(F.round(F.col("_pair.b") - F.col("_pair.a"), 2), F.when(F.col("_beside.d") <= 60, F.col("_beside.v")), F.col("_labelled"))))
     v, values = F.col("vat_amount"), F.transform(amounts, lambda a: a["v"])
@@ -275,7 +275,7 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
         "_b": F.coalesce(F.col("_pair.a"), F.when(real, _closest(values, v / vat_rate))),
         "_s": F.coalesce(F.col("_pair.b"), F.when(real, _closest(values, v / vat_rate + v))),
     })
-    to_pay = _first(F.filter(F.transform(positions(t, HINTS["to_pay"]), lambda p: near(p, 30, 60)), lambda x: x.isNotNull()))
+    to_pay = _first(F.filter(F.transform(positions("_t", HINTS["to_pay"]), lambda p: near(p, 30, 60)), lambda x: x.isNotNull()))
     df = df.withColumn("total_amount", F.coalesce(F.col("_s"), to_pay))
     rest = F.col("total_amount") - v
     derived = F.when(rest > 0, _first(F.filter(values, lambda x: F.abs(x - rest) <= _tolerance(rest, 1.0))))

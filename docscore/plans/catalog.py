@@ -59,7 +59,7 @@ _STARTS = """list_transform(range(1, len(runs) + 1), lambda k: coalesce(list_sum
     SELECT doc_id, runs, {_STARTS} AS starts FROM (
       SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS runs, string_split_regex(text, '[0-9]+') AS pieces FROM documents) WHERE len(runs) > 0))""")
 def match_positions(spark: SparkSession, sf: str) -> DataFrame:
-    found = _docs(spark, sf, "doc_id", "text").withColumn("p", F.transform(R.matches(F.col("text"), "[0-9]+"), lambda m: m["pos"])).where(F.size("p") > 0)
+    found = _docs(spark, sf, "doc_id", "text").withColumn("p", F.transform(R.matches("text", "[0-9]+"), lambda m: m["pos"])).where(F.size("p") > 0)
     return found.select("doc_id", F.size("p").cast("long").alias("n_runs"), F.element_at("p", 1).cast("long").alias("first_pos"), F.element_at("p", -1).cast("long").alias("last_pos"))
 
 
@@ -70,7 +70,7 @@ _CHECKSUM = """(list_sum(list_transform(range(1, 10), lambda i: CASE WHEN CAST(s
 @_register(f"""SELECT doc_id, r AS tax_id, {_CHECKSUM.format(x='r')} AS valid FROM (
   SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 9)) AS r FROM documents)""")
 def tax_id_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _docs(spark, sf, "doc_id", "text").select("doc_id", F.explode(E.digit_runs(F.col("text"), 9, 9)).alias("m"))
+    runs = _docs(spark, sf, "doc_id", "text").select("doc_id", F.explode(E.digit_runs("text", 9, 9)).alias("m"))
     return runs.select("doc_id", F.col("m.value").alias("tax_id"), N.checksum_valid(F.col("m.value")).alias("valid"))
 
 
@@ -82,13 +82,13 @@ def tax_id_checksum(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("SELECT doc_id, r[1] AS allocation_number FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) >= 15) AS r FROM documents) WHERE len(r) > 0")
 def allocation_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.try_element_at(E.digit_runs(F.col("text"), 15), F.lit(1))["value"]
+    first = F.try_element_at(E.digit_runs("text", 15), F.lit(1))["value"]
     return _docs(spark, sf, "doc_id", "text").select("doc_id", first.alias("allocation_number")).where("allocation_number IS NOT NULL")
 
 
 @_register("SELECT doc_id, r[1] AS invoice_number, CAST(len(r) AS BIGINT) AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 3 AND 7) AS r FROM documents) WHERE len(r) > 0")
 def invoice_number_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _docs(spark, sf, "doc_id", "text").withColumn("r", E.digit_runs(F.col("text"), 3, 7)).where(F.size("r") > 0)
+    runs = _docs(spark, sf, "doc_id", "text").withColumn("r", E.digit_runs("text", 3, 7)).where(F.size("r") > 0)
     return runs.select("doc_id", F.col("r")[0]["value"].alias("invoice_number"), F.size("r").cast("long").alias("n"))
 
 
@@ -134,7 +134,7 @@ _MARK = "[@:=]"
 
 def _places(spark: SparkSession, sf: str, pattern: str) -> DataFrame:
     """``doc_id, n, at, value``: a row for every match in the documents."""
-    return _docs(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(R.matches(F.col("text"), pattern)).alias("n", "m")).select("doc_id", "n", F.col("m.pos").cast("long").alias("at"), F.col("m.value").alias("value"))
+    return _docs(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(R.matches("text", pattern)).alias("n", "m")).select("doc_id", "n", F.col("m.pos").cast("long").alias("at"), F.col("m.value").alias("value"))
 
 
 @_register(f"""WITH {_starts_sql("[0-9]+", "numbers")}, {_starts_sql(_MARK, "marks")}

@@ -31,8 +31,8 @@ def test_nearest_is_that_in_the_row(spark):
     from docscore.functions import regex as R
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    row = docs.select("doc_id", F.explode(R.matches(F.col("text"), "[0-9]+")).alias("m"), R.positions(F.col("text"), "[.]").alias("p")).select("doc_id", F.col("m.pos").alias("at"), R.nearest(F.col("p"), F.col("m.pos")).alias("d"))
-    spots = lambda pattern: docs.select("doc_id", F.posexplode(R.matches(F.col("text"), pattern)).alias("n", "m")).select("doc_id", "n", F.col("m.pos").alias("at"))
+    row = docs.select("doc_id", F.explode(R.matches("text", "[0-9]+")).alias("m"), R.positions("text", "[.]").alias("p")).select("doc_id", F.col("m.pos").alias("at"), R.nearest(F.col("p"), F.col("m.pos")).alias("d"))
+    spots = lambda pattern: docs.select("doc_id", F.posexplode(R.matches("text", pattern)).alias("n", "m")).select("doc_id", "n", F.col("m.pos").alias("at"))
     joined = near.nearest(spots("[0-9]+"), spots("[.]"), ["doc_id"], "at", "n", [], 100)
     assert sorted(map(tuple, row.collect())) == sorted(tuple(r) for r in joined.select("doc_id", "at", F.coalesce("distance", F.lit(1_000_000_000))).collect())
 
