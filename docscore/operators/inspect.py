@@ -13,6 +13,7 @@ CATEGORIES = {
     "Israeli ID checksum": r"\bdef\s+validate_israeli_id\b|\bdef\s+\w*israeli_\w*id\w*\b|\bdef\s+\w*checksum\w*\b",
     "Canonical JSON schema": r"\bclass\s+IsraeliInvoice\b|\bdef\s+to_json\b|\bdef\s+extract_from_(?:text|pdf)\b",
 }
+# fixed value: what the name of a test file looks like
 TEST_FILE = r"^test_.+\.py$|^_test\.py$"
 
 
