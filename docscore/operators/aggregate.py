@@ -152,9 +152,15 @@ def presence_totals(scores: DataFrame) -> DataFrame:
     )
 
 
-def character_error(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Edits by reference length, pooled (micro) and as a mean of rows (macro)."""
-    d, n = F.levenshtein("predicted", "expected"), F.length("expected")
+def character_error(pairs: DataFrame, by: list[str], unit: str = "character") -> DataFrame:
+    """Edits by reference length, pooled (micro) and as a mean of rows (macro).
+
+    With ``unit="byte"`` the edits are those of UTF-8 bytes, as some databases count them;
+    the length is that in characters either way.
+    """
+    # a character for each byte
+    side = (lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")) if unit == "byte" else F.col
+    d, n = F.levenshtein(side("predicted"), side("expected")), F.length("expected")
     return pairs.where(n > 0).groupBy(*by).agg(F.sum(d).alias("edits"), F.sum(n).alias("reference_chars"), (F.sum(d) / F.sum(n)).alias("cer_micro"), F.avg(d / n).alias("cer_macro"))
 
 

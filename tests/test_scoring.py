@@ -147,3 +147,10 @@ def test_costs(spark, confidence):
 def test_character_error(spark):
     pairs = spark.createDataFrame([("y", "abc", "abd"), ("y", "x", None)], "k string, predicted string, expected string")
     assert A.character_error(pairs, ["k"]).first()["cer_micro"] == pytest.approx(1 / 3)
+
+
+def test_character_error_in_bytes(spark):
+    pairs = spark.createDataFrame([("k", "a", "é"), ("k", "bc", "bd")], "k string, predicted string, expected string")
+    assert A.character_error(pairs, ["k"]).first()["edits"] == 2
+    got = A.character_error(pairs, ["k"], unit="byte").first()
+    assert (got["edits"], got["reference_chars"]) == (3, 3)
