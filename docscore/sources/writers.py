@@ -174,12 +174,16 @@ def word_rows(regions: DataFrame) -> DataFrame:
 
 
 def write_ranking_pdf(spark: SparkSession, ranked: DataFrame, path: str, title: str = "Ranking") -> None:
-    """The ranking (a row per engine) as a PDF of text: place, engine, correct of all, of present and of absent fields."""
+    """The ranking (a row per engine) as a PDF of text: place, engine, correct of all, of present and of absent fields.
+
+    A blank stands before every cell, however wide its numbers are.
+    """
     cells = ["rank", "shown_rank", "engine_id", "status", "total_correct", "total_scorable", "present_correct", "present_scorable", "absent_correct", "absent_scorable"]
     rows = ranked.select(*cells).orderBy(F.col("rank").asc_nulls_last(), F.desc("present_correct"), "engine_id").collect()
     part = lambda r, side: f"{r[side + '_correct']}/{r[side + '_scorable']}" if r["rank"] is not None else r["status"]
-    lines = [title, "", f"{'place':<6}{'engine':<30}{'all':>16}{'present':>16}{'absent':>16}"]
-    lines += [f"{r['shown_rank'] or '=':<6}{r['engine_id']:<30}{part(r, 'total'):>16}{part(r, 'present'):>16}{part(r, 'absent'):>16}" for r in rows]
+    line = lambda place, engine, *cells: f"{place:<5} {engine:<30}" + "".join(f" {c:>15}" for c in cells)
+    lines = [title, "", line("place", "engine", "all", "present", "absent")]
+    lines += [line(r["shown_rank"] or "=", r["engine_id"], *(part(r, side) for side in ("total", "present", "absent"))) for r in rows]
     scratch.write_bytes(spark, path, pdf.text_pdf(lines))
 
 

@@ -64,3 +64,15 @@ def test_reader(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"no")
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in pdf.read_texts(spark, str(tmp_path)).collect()}
     assert got == {"a.PDF": "one\ntwo", "b.pdf": None}
+
+
+def test_ranking_keeps_wide_cells_apart(spark, tmp_path):
+    from docscore.sources import writers
+
+    cells = ["total_correct", "total_scorable", "present_correct", "present_scorable", "absent_correct", "absent_scorable"]
+    counts = [57_600_000, 70_200_000, 57_600_001, 70_200_001, 1, 2]
+    ranked = spark.createDataFrame([(1, "1", "e" * 30, "RANKED", *counts), (None, "—", "blocked", "BLOCKED", *[None] * 6)], "rank int, shown_rank string, engine_id string, status string, " + ", ".join(f"{c} long" for c in cells))
+    writers.write_ranking_pdf(spark, ranked, f"file://{tmp_path}/ranking.pdf")
+    lines = pdf.text_layer((tmp_path / "ranking.pdf").read_bytes()).split("\n")
+    assert lines[3].split() == ["1", "e" * 30, "57600000/70200000", "57600001/70200001", "1/2"]
+    assert lines[4].split()[1:] == ["blocked", "BLOCKED", "BLOCKED", "BLOCKED"]
