@@ -37,7 +37,7 @@ def _money(cents: Column) -> Column:
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key, document_id, split, language`` and the true value of every field, one row per order."""
+    """``key, document_id, split, language``, the true value of every field and ``custkey``, one row per order."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -56,7 +56,7 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return df.select(
         key.alias("key"), key.cast("string").alias("document_id"), F.col("o_orderpriority").alias("split"), F.col("c_mktsegment").alias("language"),
-        *[v.alias(f) for f, v in values.items()],
+        *[v.alias(f) for f, v in values.items()], cust.alias("custkey"),
     )
 
 

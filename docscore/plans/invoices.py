@@ -29,8 +29,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``key, label_text, strict_text, format_text``; a row per order."""
     t = P.truths(spark, sf_dir)
     key = F.col("key")
-    custkey = F.regexp_replace((F.col("business_tax_id").cast("long") / 7919).cast("long").cast("string"), "^$", "0")
-    name = F.concat(F.lit("חברת "), F.translate(custkey, "0123456789", LETTERS))
+    # not from the tax id: that is cut to nine digits
+    name = F.concat(F.lit("חברת "), F.translate("custkey", "0123456789", LETTERS))
     day = lambda sep: F.concat_ws(sep, F.substring("invoice_date", 9, 2), F.substring("invoice_date", 6, 2), F.substring("invoice_date", 1, 4))
     date = F.when(key % 3 == 0, day("/")).when(key % 3 == 1, day(".")).otherwise(day("-"))
     said = lambda label, value: F.concat(F.lit(label), value)
