@@ -74,5 +74,5 @@ def test_ranking_keeps_wide_cells_apart(spark, tmp_path):
     ranked = spark.createDataFrame([(1, "1", "e" * 30, "RANKED", *counts), (None, "—", "blocked", "BLOCKED", *[None] * 6)], "rank int, shown_rank string, engine_id string, status string, " + ", ".join(f"{c} long" for c in cells))
     writers.write_ranking_pdf(spark, ranked, f"file://{tmp_path}/ranking.pdf")
     lines = pdf.text_layer((tmp_path / "ranking.pdf").read_bytes()).split("\n")
-    assert lines[3].split() == ["1", "e" * 30, "57600000/70200000", "57600001/70200001", "1/2"]
-    assert lines[4].split()[1:] == ["blocked", "BLOCKED", "BLOCKED", "BLOCKED"]
+    assert lines[2].split() == ["1", "e" * 30, "57600000/70200000", "57600001/70200001", "1/2"]
+    assert lines[3].split()[1:] == ["blocked", "BLOCKED", "BLOCKED", "BLOCKED"]
