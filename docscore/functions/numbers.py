@@ -80,12 +80,13 @@ def _by_separators(s: Column) -> Column:
 def norm_amount(raw: Column) -> Column:
     """Decimal of a raw token for comparison; no grouping is understood; true and false are 1 and 0."""
     s = strip(raw)
-    return F.when(s == "true", F.lit("1")).when(s == "false", F.lit("0")).otherwise(_decimal_text(s)).try_cast("decimal(38,10)")
+    # plain numbers, most of them, need no stripping
+    return F.when(raw.rlike(r"^[0-9]+(\.[0-9]+)?\z"), raw).when(s == "true", F.lit("1")).when(s == "false", F.lit("0")).otherwise(_decimal_text(s)).try_cast("decimal(38,10)")
 
 
 def norm_date(raw: Column) -> Column:
     s = strip(raw)
-    return F.when(s.rlike(rx(r"^\d{4}-\d{2}-\d{2}\z")), s)
+    return F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), raw).when(s.rlike(rx(r"^\d{4}-\d{2}-\d{2}\z")), s)
 
 
 def date_loose(text: Column) -> Column:
@@ -107,14 +108,30 @@ def date_checked(day: Column, month: Column, year: Column) -> Column:
 
 
 def digits_of(text: Column) -> Column:
-    bare = F.when(text.rlike("^[0-9]*\\z"), text).otherwise(F.regexp_replace(text, rx(r"\D"), ""))
+    """The digits of a text. What stands between those of dates and amounts goes first, then few texts need the regular expression."""
+    short = F.replace(F.replace(text, F.lit("-"), F.lit("")), F.lit("."), F.lit(""))
+    bare = F.when(short.rlike("^[0-9]*\\z"), short).otherwise(F.regexp_replace(text, rx(r"\D"), ""))
     return F.coalesce(bare, F.lit(""))
 
 
-def digit_accuracy(predicted: Column, expected: Column) -> Column:
-    """One minus edit distance by reference length, at least 0; null without reference digits."""
+_FEW = 8
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Exact edit distance. Up to a few edits are found in a narrow band of the table; the whole table is for the others."""
+    few = F.get(F.array(*[F.lit(k) for k in range(_FEW + 1)]), F.levenshtein(a, b, _FEW))  # null where there are more
+    return F.when(a == b, 0).otherwise(F.coalesce(few, F.levenshtein(a, b)))
+
+
+def digit_accuracy(predicted: Column, expected: Column, nested: Column | None = None) -> Column:
+    """One minus edit distance by reference length, at least 0; null without reference digits.
+
+    ``nested`` is true where one side is known to be the other with letters left out.
+    """
     n = F.length(expected)
-    edits = F.when(predicted == expected, 0).otherwise(F.levenshtein(predicted, expected))
+    edits = edit_distance(predicted, expected)
+    if nested is not None:
+        edits = F.when(nested, F.abs(n - F.length(predicted))).otherwise(edits)
     return F.when(n > 0, F.greatest(F.lit(0.0), 1 - edits / n))
 
 

@@ -58,12 +58,14 @@ def nfc_values(values: Column) -> Column:
 
 
 def norm_string(text: Column, compose: bool = True) -> Column:
-    """Composed and stripped; null if nothing is left."""
-    return F.nullif(strip(nfc(text) if compose else text), F.lit(""))
+    """Composed and stripped; null if nothing is left. Printable ASCII without blanks is both already."""
+    stripped = F.nullif(strip(nfc(text) if compose else text), F.lit(""))
+    return stripped if compose else F.when(text.rlike(r"^[!-~]+\z"), text).otherwise(stripped)
 
 
 def norm_vendor(text: Column, compose: bool = True) -> Column:
-    return replace(norm_string(text, compose), f"{SPACE}+", " ")
+    joined = replace(norm_string(text, compose), f"{SPACE}+", " ")
+    return joined if compose else F.when(text.rlike(r"^[!-~]+\z"), text).otherwise(joined)
 
 
 def strip_bidi_controls(text: Column) -> Column:

@@ -154,3 +154,39 @@ def test_character_error_in_bytes(spark):
     assert A.character_error(pairs, ["k"]).first()["edits"] == 2
     got = A.character_error(pairs, ["k"], unit="byte").first()
     assert (got["edits"], got["reference_chars"]) == (3, 3)
+
+
+def test_digit_accuracy_by_band_and_by_length(spark):
+    from docscore.functions import numbers as N
+
+    pairs = [("123", "123"), ("1234", "123"), ("", "12"), ("12" * 30, "21" * 30), ("9" * 20 + "1" * 20, "1" * 20), ("5" * 12, "6" * 12)]
+    rows = spark.createDataFrame(pairs, "p string, e string")
+    got = rows.select(N.edit_distance(F.col("p"), F.col("e")).alias("d"), F.levenshtein("p", "e").alias("want")).collect()
+    assert all(r["d"] == r["want"] for r in got)
+    assert rows.select(N.digit_accuracy(F.col("p"), F.col("e"), F.lit(True))).collect()[1][0] == pytest.approx(1 - 1 / 3)
+
+
+def test_lost_and_moved_digits_keep_their_edits(spark):
+    """Digits that are only lost are told by their number; where some are lost and others added, by the edit distance."""
+    cut = {k: v[:-1] if k in S.ID_FIELDS + S.AMOUNT_FIELDS else v for k, v in TRUTH.items()}
+    mixed = cut | {"invoice_number": "771"}
+    got = score(spark, [("a", "e", None, cut, TRUTH, {}), ("b", "e", None, mixed, TRUTH, {})])
+    digits = {r["document_id"]: r for r in got.collect()}
+    n = digits["a"]["reference_digit_count"]
+    assert digits["a"]["digit_accuracy"] == pytest.approx(1 - 6 / n)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    joined = lambda v: "".join(c for f in [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS] for c in v[f] if c.isdigit())
+    assert digits["b"]["digit_accuracy"] == pytest.approx(1 - edits(joined(mixed), joined(TRUTH)) / n)
+
+
+def test_fields_are_judged_without_lambdas_over_them(spark):
+    plan = score(spark, [("a", "e", None, TRUTH, TRUTH, {})])._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(_o" not in plan and "filter(array(" not in plan
