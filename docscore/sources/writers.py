@@ -25,8 +25,9 @@ from docscore.sources import pdf, scratch
 SPREADSHEET = ["source_file", "vendor_name", "business_tax_id", "business_tax_id_valid", "invoice_number", "invoice_date", "amount_before_vat", "vat_amount", "total_amount", "allocation_number", "extraction_notes"]
 
 
-def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    rows.write.mode(mode).json(path)
+def write_results(rows: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Rows as JSON lines, with ``compression`` (gzip, say) packed: names and values repeat on every line."""
+    rows.write.mode(mode).json(path, compression=compression)
 
 
 def append_manifest(entries: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -208,3 +208,12 @@ def test_batch_files(spark, tmp_path):
     head = json.loads((tmp_path / "out" / "summary.json").read_text())
     assert head["pdf_count"] == 3 and head["field_hit_rate"]["business_tax_id"] == "1/3 (33%)"
     assert {r["pdf"] for r in spark.read.json(str(tmp_path / "out" / "raw")).collect()} == {"a.pdf", "c.pdf"}
+
+
+def test_results_packed(spark, tmp_path):
+    from docscore.sources import readers, writers
+
+    rows = spark.range(50).selectExpr("cast(id as string) document_id", "'e' engine_id", "named_struct('vendor_name', 'same vendor') prediction")
+    writers.write_results(rows, f"file://{tmp_path}/r", compression="gzip")
+    assert list((tmp_path / "r").glob("*.json.gz"))
+    assert readers.read_results(spark, f"file://{tmp_path}/r").count() == 50
