@@ -26,8 +26,8 @@ def _lines(*parts: Column) -> Column:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key, label_text, strict_text, format_text``; a row per order."""
-    t = P.truths(spark, sf_dir)
+    """``key, label_text, strict_text, format_text``; a row per order, dealt over all cores, as reading a text takes long."""
+    t = P.truths(spark, sf_dir).repartition("key")
     key = F.col("key")
     # not from the tax id: that is cut to nine digits
     name = F.concat(F.lit("חברת "), F.translate("custkey", "0123456789", LETTERS))
@@ -61,7 +61,7 @@ def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     By the key modulo 4: a total that is fifty too much, a net amount on a line of its
     own, a tax amount known by its percentage only, and a text that is as it should be.
     """
-    t = P.truths(spark, sf_dir)
+    t = P.truths(spark, sf_dir).repartition("key")
     kind = F.col("key") % 4
     total = F.when(kind == 0, (F.col("total_amount").cast("decimal(20,2)") + 50).cast("string")).otherwise(F.col("total_amount"))
     net = F.when(kind == 1, F.concat(F.lit("שורה "), "amount_before_vat")).otherwise(F.concat(F.lit('סה"כ '), "amount_before_vat"))

@@ -96,3 +96,11 @@ def test_mismatch_note(spark, values):
     text = f'סה"כ {before}\nמע"מ {vat}\nלתשלום {total}'
     r = run(spark, "label_anchored", [text], reverse_tokens=False, fix_abbreviations=False)[0]
     assert r["extraction_notes"] == ["amount check mismatch: 100.0 + 18.0 != 150.0"]
+
+
+@pytest.mark.parametrize("name", ["extract_format_first", "ranked_candidates"])
+def test_made_texts_are_dealt_over_the_cores(spark, name):
+    from docscore.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan
