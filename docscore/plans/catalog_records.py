@@ -75,7 +75,7 @@ SELECT key, tax || ':' || CAST({_VALID} AS VARCHAR) AS nearest_id, lpad(CAST(key
   before / 100.0::DOUBLE AS pair_low, total / 100.0::DOUBLE AS pair_high FROM made""")
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """What the format-first extractor ranks first among decoys that stand further from the labels."""
-    t = P.truths(spark, sf)
+    t = P.truths(spark, sf).repartition("key")  # a few bytes a row, and much work
     far = F.lit(" ".join(["x"] * 60))
     text = F.concat_ws(
         "\n", F.lit("01/02/2003"), far, F.concat(F.lit("לכבוד "), "business_tax_id"), F.concat(F.lit("חשבונית "), "invoice_number"), F.concat(F.lit("תאריך "), "invoice_date"),
