@@ -108,10 +108,9 @@ def date_checked(day: Column, month: Column, year: Column) -> Column:
 
 
 def digits_of(text: Column) -> Column:
-    """The digits of a text. What stands between those of dates and amounts goes first, then few texts need the regular expression."""
-    short = F.replace(F.replace(text, F.lit("-"), F.lit("")), F.lit("."), F.lit(""))
-    bare = F.when(short.rlike("^[0-9]*\\z"), short).otherwise(F.regexp_replace(text, rx(r"\D"), ""))
-    return F.coalesce(bare, F.lit(""))
+    """The digits of a text. Only texts with letters beyond ASCII need the Unicode classes, which are slow."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(ascii_only, F.regexp_replace(text, "[^0-9]+", "")).otherwise(F.regexp_replace(text, rx(r"\D"), "")), F.lit(""))
 
 
 _FEW = 8

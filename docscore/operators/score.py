@@ -20,7 +20,11 @@ from docscore.functions.regex import let
 
 OUTCOME = "array<struct<field string, presence string, scorable boolean, predicted string, expected string, correct boolean, error_label string>>"
 
-MEASURES = ["status", "has_truth", "outcomes", "critical_complete", "all_fields_complete", "digit_accuracy", "reference_digit_count"]
+MEASURES = ["status", "has_truth", "outcomes", "verdicts", "critical_complete", "all_fields_complete", "digit_accuracy", "reference_digit_count"]
+
+# fixed values: the bits that ``verdicts`` has for each field
+PRESENT, OTHER, CORRECT, ABSENT, PREDICTED = (1 << k for k in range(5))
+WIDTH = 5
 
 
 def fields_of(prediction: Column, truth: Column, presence: Column) -> Column:
@@ -57,17 +61,62 @@ def _scorable(presence: Column) -> Column:
     return ~presence.isin("UNREADABLE", "AMBIGUOUS")
 
 
-def _correct(field: str, presence: Column, predicted: Column, expected: Column) -> Column:
-    """The verdict on one field. Equal raw tokens are equal under any normalisation, so few are normalised."""
-    same = F.when(predicted.eqNullSafe(expected), True).otherwise(field_matches(field, predicted, expected))
-    return F.when(~_scorable(presence), False).when(presence == "ABSENT", predicted.isNull()).otherwise(same)
+def _bit(value: Column, bit: int) -> Column:
+    return F.when(value, bit).otherwise(0)
+
+
+def _verdict(field: str, predicted: Column, expected: Column, noted: Column) -> Column:
+    """The bits of one field: ``PRESENT`` or ``OTHER`` if it is scorable (``ABSENT`` too if it should be), ``CORRECT``, ``PREDICTED``.
+
+    Tokens that differ in blanks around them only are equal under any normalisation, so few are normalised.
+    """
+    scorable = F.coalesce(_scorable(noted), F.lit(True))
+    present, absent = (F.when(noted.isNull(), known).otherwise(noted == name) for known, name in ((expected.isNotNull(), "PRESENT"), (expected.isNull(), "ABSENT")))
+    same = F.when(F.trim(predicted).eqNullSafe(F.trim(expected)), True).otherwise(field_matches(field, predicted, expected))
+    kind = F.when(present, F.lit(PRESENT)).when(absent, F.lit(OTHER | ABSENT)).otherwise(F.lit(OTHER))
+    right = F.when(absent, predicted.isNull()).otherwise(same)
+    return F.when(scorable, kind + _bit(right, CORRECT)).otherwise(0) + _bit(predicted.isNotNull(), PREDICTED)
+
+
+def marks(field: int | None, bit: int) -> Column:
+    """``verdicts`` with nothing but one bit of a field (of all fields: null)."""
+    places = range(len(S.BUSINESS_FIELDS)) if field is None else [field]
+    return F.col("verdicts").bitwiseAND(F.lit(sum(bit << (WIDTH * k) for k in places)).cast("long"))
+
+
+def has(field: int, bit: int) -> Column:
+    return marks(field, bit) != 0
+
+
+def how_many(bit: int, other: int | None = None) -> Column:
+    """How many fields of a row have a bit, or two of them."""
+    if other is None:
+        return F.bit_count(marks(None, bit))
+    apart = other.bit_length() - bit.bit_length()
+    moved = F.shiftright(marks(None, other), apart) if apart > 0 else F.shiftleft(marks(None, other), -apart)
+    return F.bit_count(marks(None, bit).bitwiseAND(moved))
+
+
+def correct_fields() -> Column:
+    return how_many(CORRECT)
+
+
+def _wrong(field: str) -> str:
+    return "OCR_DIGIT_ERROR" if field in S.AMOUNT_FIELDS + S.ID_FIELDS else "OCR_TEXT_ERROR"
+
+
+def error_label(field: int) -> Column:
+    """What went wrong with a field; null if nothing did or it is not scorable."""
+    fine = F.col("verdicts").isNull() | (marks(field, PRESENT | OTHER) == 0) | has(field, CORRECT)
+    return F.when(fine, None).when(has(field, ABSENT), "FIELD_SELECTION_ERROR").when(~has(field, PREDICTED), "OCR_DETECTION_ERROR").otherwise(_wrong(S.BUSINESS_FIELDS[field]))
 
 
-def _outcome(field: str, presence: Column, predicted: Column, expected: Column, correct: Column) -> Column:
-    wrong = F.lit("OCR_DIGIT_ERROR" if field in S.AMOUNT_FIELDS + S.ID_FIELDS else "OCR_TEXT_ERROR")
-    scorable = _scorable(presence)
-    label = F.when(~scorable | correct, None).when(presence == "ABSENT", "FIELD_SELECTION_ERROR").when(predicted.isNull(), "OCR_DETECTION_ERROR").otherwise(wrong)
-    made = {"field": F.lit(field), "presence": presence, "scorable": scorable, "predicted": predicted, "expected": F.when(presence != "ABSENT", expected), "correct": correct, "error_label": label}
+def _outcome(k: int, predicted: Column, expected: Column, noted: Column) -> Column:
+    presence = presence_of(noted, expected)
+    made = {
+        "field": F.lit(S.BUSINESS_FIELDS[k]), "presence": presence, "scorable": marks(k, PRESENT | OTHER) != 0, "predicted": predicted,
+        "expected": F.when(presence != "ABSENT", expected), "correct": has(k, CORRECT), "error_label": error_label(k),
+    }
     return F.struct(*[v.alias(n) for n, v in made.items()])
 
 
@@ -88,43 +137,80 @@ def _step(df: DataFrame, made: dict[str, Column]) -> DataFrame:
     return df.withColumns({**made, "_known": let(F.col("_known"), lambda x: x)})
 
 
+def _digit_texts(p: list[Column], e: list[Column], said: list[Column]) -> dict[str, Column]:
+    """What is predicted and true of the PRESENT fields with digits, joined, and whether digits were only lost or only added.
+
+    The digits of values in a row are those of the values joined; nulls have none. Where
+    every value is a beginning of its counterpart, digits were only lost; where every
+    counterpart is one of it, they were only added.
+    """
+    order = [S.BUSINESS_FIELDS.index(f) for f in [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]]
+    counted = [e[k].isNotNull() & F.coalesce(said[k] == "PRESENT", F.lit(True)) for k in range(len(e))]
+    joined = lambda side: F.concat(*[F.coalesce(F.when(counted[k], side[k]), F.lit("")) for k in order])
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    begins = lambda whole, start: reduce(lambda a, b: a & b, (~counted[k] | F.startswith(text(whole[k]), text(start[k])) for k in order))
+    return {"_pd": joined(p), "_ed": joined(e), "_lost": begins(e, p), "_added": begins(p, e)}
+
+
+def _cells(of: str) -> list[list[Column]]:
+    """Columns of what is predicted, true and noted, for each field of an array in the fixed order."""
+    return [[F.get(of, F.lit(k))[side] for k in range(len(S.BUSINESS_FIELDS))] for side in ("predicted", "expected", "noted")]
+
+
+def digit_pairs(facts: DataFrame) -> DataFrame:
+    """``expected, predicted, within`` of all PRESENT fields with digits, as written.
+
+    A row whose fields all lost digits, or all got some, is one pair of joined texts
+    (``within``: one side has the digits of the other and more between them); of other
+    rows every field is a pair.
+    """
+    p, e, said = _cells("fields")
+    df = facts.where(F.col("error_label").isNull() & F.col("fields").isNotNull()).withColumn("_known", F.lit(True))
+    made = _digit_texts(p, e, said)
+    pair = lambda x, y, within: F.struct(x.alias("expected"), y.alias("predicted"), F.lit(within).alias("within"))
+    numeric = [k for k, f in enumerate(S.BUSINESS_FIELDS) if f != "vendor_name"]
+    apart = F.array(*[pair(F.when(presence_of(said[k], e[k]) == "PRESENT", e[k]), F.when(presence_of(said[k], e[k]) == "PRESENT", p[k]), False) for k in numeric])
+    df = _step(df, {**made, "_apart": F.when(~(made["_lost"] | made["_added"]), apart)})
+    whole = F.array(pair(F.col("_ed"), F.col("_pd"), True))
+    return df.select(F.explode(F.coalesce("_apart", whole)).alias("o")).select("o.*")
+
+
 def scored(facts: DataFrame, critical: list[str] | None = None) -> DataFrame:
-    """Facts with ``status, has_truth, outcomes, critical_complete, all_fields_complete, digit_accuracy, reference_digit_count``.
+    """Facts with ``status, has_truth, outcomes, verdicts, critical_complete, all_fields_complete, digit_accuracy, reference_digit_count``.
 
-    ``fields`` has the business fields in their fixed order. Every field has columns of its
-    own, as lambdas over arrays are not compiled; each step is a projection, so that what
-    several later ones need is made once. Rows with an error or without truth have no
+    ``fields`` has the business fields in their fixed order. ``verdicts`` is what the
+    outcomes say in ``WIDTH`` bits for each field, which is all that counters need: texts are
+    copied from step to step where outcomes are asked for, and nowhere else. Each step is a
+    projection, so that what several later ones need is made once; there are no lambdas over
+    the fields, as these are not compiled. Rows with an error or without truth have no
     outcomes and null measures.
     """
     critical = critical or S.CRITICAL_FIELDS
     df = facts.withColumns({"status": status_of(F.col("error_label")), "has_truth": F.col("fields").isNotNull()})
     df = df.withColumn("_known", (F.col("status") == "ok") & F.col("has_truth"))
-    known, each = F.col("_known"), list(enumerate(S.BUSINESS_FIELDS))
-    cell = lambda k, side: F.when(known, F.get("fields", F.lit(k))[side])
-    df = _step(df, {f"_{side[0]}{k}": cell(k, side) for k, _ in each for side in ("predicted", "expected", "noted")})
-    p, e, said, right = ([F.col(f"_{x}{k}") for k, _ in each] for x in "pesc")
-    df = df.withColumns({f"_s{k}": F.when(known, presence_of(F.col(f"_n{k}"), e[k])) for k, _ in each})
-    df = _step(df, {f"_c{k}": F.when(known, _correct(f, said[k], p[k], e[k])) for k, f in each})
-    made = F.array(*[_outcome(f, said[k], p[k], e[k], right[k]) for k, f in each])
-    place = S.BUSINESS_FIELDS.index
+    df = df.withColumn("_f", F.when(F.col("_known"), F.col("fields")))
+    known, each, place = F.col("_known"), list(enumerate(S.BUSINESS_FIELDS)), S.BUSINESS_FIELDS.index
+    p, e, said = _cells("_f")
+    digits = _digit_texts(p, e, said)
+    df = _step(df, {
+        **{f"_v{k}": _verdict(f, p[k], e[k], said[k]) for k, f in each},
+        **digits,
+    })
+    packed = reduce(lambda a, b: a + b, (F.shiftleft(F.col(f"_v{k}").cast("long"), WIDTH * k) for k, _ in each))
+    df = df.withColumn("verdicts", F.when(known, packed))
+    df = _step(df, {
+        "_ed": F.when(known, N.digits_of(F.col("_ed"))), "_pd": F.when(known & (F.col("_pd") != F.col("_ed")), N.digits_of(F.col("_pd"))), "_nested": F.col("_lost") | F.col("_added"),
+        "outcomes": F.coalesce(F.when(known, F.array(*[_outcome(k, p[k], e[k], said[k]) for k, _ in each])), F.array().cast(OUTCOME)),
+    })
 
     def complete(fields: list[str]) -> Column:
-        both = lambda a, b: a & b
-        return F.when(reduce(both, (_scorable(said[place(f)]) for f in fields)), reduce(both, (right[place(f)] for f in fields)))
-
-    order = [place(f) for f in [*S.ID_FIELDS, "invoice_date", *S.AMOUNT_FIELDS]]
-    # the digits of values in a row are those of the values joined; nulls have none
-    joined = lambda side: F.concat(*[F.coalesce(F.when((said[k] == "PRESENT") & e[k].isNotNull(), side[k]), F.lit("")) for k in order])
-    # where every value is a beginning of its counterpart, or every counterpart one of it, digits were only lost or only
-    # added: the edits are the difference of the lengths
-    begins = lambda whole, start: reduce(lambda a, b: a & b, (
-        (said[k] != "PRESENT") | e[k].isNull() | F.startswith(F.trim(F.coalesce(whole[k], F.lit(""))), F.trim(F.coalesce(start[k], F.lit("")))) for k in order))
-    df = _step(df, {
-        "_nested": F.when(known, begins(e, p) | begins(p, e)), "outcomes": F.coalesce(F.when(known, made), F.array().cast(OUTCOME)), "critical_complete": complete(critical), "all_fields_complete": complete(S.BUSINESS_FIELDS),
-        "_pd": F.when(known, joined(p)), "_ed": F.when(known, joined(e)),
+        all_ = lambda bits: reduce(lambda a, b: a & b, (bits(place(f)) for f in fields))
+        return F.when(all_(lambda k: marks(k, PRESENT | OTHER) != 0), all_(lambda k: has(k, CORRECT)))
+
+    df = df.withColumns({
+        "critical_complete": F.when(known, complete(critical)), "all_fields_complete": F.when(known, complete(S.BUSINESS_FIELDS)),
+        "digit_accuracy": F.when(known, N.digit_accuracy(F.coalesce("_pd", "_ed"), F.col("_ed"), F.col("_nested"))), "reference_digit_count": F.coalesce(F.length("_ed"), F.lit(0)),
     })
-    df = _step(df, {"_pd": N.digits_of(F.col("_pd")), "_ed": N.digits_of(F.col("_ed"))})
-    df = df.withColumns({"digit_accuracy": F.when(known, N.digit_accuracy(F.col("_pd"), F.col("_ed"), F.col("_nested"))), "reference_digit_count": F.length("_ed")})
     return df.select(*[c for c in facts.columns if c not in MEASURES], *MEASURES)
 
 
