@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,26 +227,54 @@ def confusion(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
     return total
 
 
-def digit_confusion(pairs: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:
-    """``expected_digit, predicted_digit, n`` over pairs of strings of the digits 0 to 9.
+def _histogram(texts: pa.Array) -> np.ndarray:
+    """How often each digit is in an array of texts: its bytes are counted as they lie in memory."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(NONE, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    found = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.bincount(found, minlength=256)[48 : 48 + NONE].astype(np.int64)
+
+
+def digit_confusion(pairs: DataFrame, predicted: str = "predicted", expected: str = "expected", within: str | None = None) -> DataFrame:
+    """``expected_digit, predicted_digit, n`` over the digits 0 to 9 of pairs of texts.
 
     An empty expected digit is an insertion, an empty predicted one a deletion, so every
     digit of either side is counted once. Null is the empty string; pairs may differ in
-    length and be of any length. Equal strings are counted without alignment; the others
-    become at most 120 counts a task. No pairs give no rows.
+    length and be of any length. Where one text is a beginning of the other, or the
+    column ``within`` says that it has the other's digits and more between them, every
+    best alignment has the digits of the shorter as they are and lacks the rest, so the
+    digits of both sides are counted without alignment. All become at most 120 counts a
+    task, in one pass. No pairs give no rows.
     """
     e, p = F.coalesce(F.col(expected), F.lit("")), F.coalesce(F.col(predicted), F.lit(""))
-    sides = pairs.select(e.alias("e"), p.alias("p"))
-    same = sides.where("e = p AND e <> ''").select(F.explode(F.split("e", "")).alias("d")).where("d <> ''").groupBy("d").agg(F.count("*").alias("n"))
-    same = same.select(F.col("d").alias("expected_digit"), F.col("d").alias("predicted_digit"), "n")
+    told = F.coalesce(F.col(within), F.lit(False)) if within else F.lit(False)
+    sides = pairs.select(e.alias("e"), p.alias("p"), told.alias("told"))
+    sides = sides.select(*[F.when(F.col("told") | (F.col("e") == F.col("p")), F.col(c)).otherwise(N.digits_of(F.col(c))).alias(c) for c in ("e", "p")], "told")
+    sides = sides.select("e", "p", (F.col("told") | F.startswith("e", "p") | F.startswith("p", "e")).alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((NONE + 1, NONE + 1), np.int64)
+        digits = np.arange(NONE)
         for batch in batches:
-            total += confusion(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            e, p, told = batch.columns
+            longer = pc.greater_equal(pc.binary_length(e), pc.binary_length(p))
+            for lost in (True, False):
+                some = pc.and_(told, longer if lost else pc.invert(longer))
+                whole, part = (_histogram(side.filter(some)) for side in ((e, p) if lost else (p, e)))
+                total[digits, digits] += part
+                rest = whole - part
+                if lost:
+                    total[:NONE, NONE] += rest
+                else:
+                    total[NONE, :NONE] += rest
+            other = pc.invert(told)
+            if pc.any(other).as_py():
+                total += confusion(list(zip(e.filter(other).to_pylist(), p.filter(other).to_pylist(), strict=True)))
         i, j = np.nonzero(total)
         name = [*map(str, range(NONE)), ""]
         yield pa.RecordBatch.from_arrays([pa.array([name[k] for k in i], pa.string()), pa.array([name[k] for k in j], pa.string()), pa.array(total[i, j])], ["expected_digit", "predicted_digit", "n"])
 
-    other = sides.where("e <> p").mapInArrow(run, "expected_digit string, predicted_digit string, n long")
-    return same.unionByName(other).groupBy("expected_digit", "predicted_digit").agg(F.sum("n").alias("n"))
+    return sides.mapInArrow(run, "expected_digit string, predicted_digit string, n long").groupBy("expected_digit", "predicted_digit").agg(F.sum("n").alias("n"))
