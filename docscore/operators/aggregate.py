@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -84,7 +85,6 @@ def field_counts(scores: DataFrame) -> DataFrame:
     return wide.select("engine_id", F.explode(F.array(*S.BUSINESS_FIELDS)).alias("c")).select("engine_id", "c.field", *[f"c.{n}" for n in names])
 
 
-def error_labels(scores: DataFrame) -> DataFrame:
 LABELS = ["FIELD_SELECTION_ERROR", "OCR_DETECTION_ERROR", "OCR_DIGIT_ERROR", "OCR_TEXT_ERROR"]
 
 
@@ -101,6 +101,7 @@ def _labels_of(counts: DataFrame) -> DataFrame:
     return each.groupBy("engine_id", "c.label").agg(F.sum("c.n").alias("n"))
 
 
+def error_labels(scores: DataFrame) -> DataFrame:
     """``engine_id, label, n``: failures of rows (BLOCKED aside) and of fields together.
 
     One aggregation by engine and status: fields are counted inside their rows.
@@ -291,22 +292,82 @@ def miss_rates(scores: DataFrame) -> DataFrame:
 POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183])
 
 
+# fixed values of MD5 (RFC 1321)
+_SHIFTS = [s for group in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in group * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_STATE = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+_CUTS = [math.ceil(c * (1 << 52)) for c in POISSON.tolist()]
+_ROUNDS_AT_ONCE, _KEYS_AT_ONCE = 16, 4000
+
+
+def _md5_heads(blocks: list[np.ndarray]) -> np.ndarray:
+    """The first 52 bits of the MD5 of messages of one block each; a block is sixteen arrays of words, of any shapes that fit each other."""
+    a, b, c, d = (np.uint32(x) for x in _STATE)
+    with np.errstate(over="ignore"):
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            # words that are one number for all messages are added to the sine before
+            f = f + (blocks[g] + np.uint32(_SINES[i]))
+            f = f + a
+            a, d, c, b = d, c, b, b + ((f << np.uint32(_SHIFTS[i])) | (f >> np.uint32(32 - _SHIFTS[i])))
+        a, b = a + np.uint32(_STATE[0]), b + np.uint32(_STATE[1])
+    return (a.byteswap().astype(np.uint64) << np.uint64(20)) | (b.byteswap() >> np.uint32(12)).astype(np.uint64)
+
+
+def _first_bits(heads: list[bytes], ends: list[bytes]) -> np.ndarray:
+    """The first 52 bits of the MD5 of every head (rows) with every end (columns) behind it.
+
+    Heads of one length and ends of one length make blocks that differ in few words, so
+    all of them go through the rounds of MD5 together; texts of more than one block go
+    through ``hashlib``.
+    """
+    out = np.empty((len(heads), len(ends)), np.uint64)
+    sizes, tails = np.array([len(h) for h in heads]), np.array([len(e) for e in ends])
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        for tail in np.unique(tails).tolist():
+            all_columns = np.flatnonzero(tails == tail)
+            if size + tail > 55:
+                for r in rows:
+                    out[r, all_columns] = [int.from_bytes(hashlib.md5(heads[r] + ends[k]).digest()[:8], "big") >> 12 for k in all_columns]
+                continue
+            raw = np.zeros((len(rows), 64), np.uint8)
+            raw[:, :size] = np.frombuffer(b"".join(heads[r] for r in rows), np.uint8).reshape(len(rows), size)
+            words = raw.view("<u4")
+            for start in range(0, len(all_columns), _ROUNDS_AT_ONCE):
+                columns = all_columns[start : start + _ROUNDS_AT_ONCE]
+                rest = np.zeros((len(columns), 64), np.uint8)
+                rest[:, size : size + tail] = np.frombuffer(b"".join(ends[k] for k in columns), np.uint8).reshape(len(columns), tail)
+                rest[:, size + tail] = 0x80
+                rest[:, 56:] = np.frombuffer((8 * (size + tail)).to_bytes(8, "little"), np.uint8)
+                added = rest.view("<u4")
+                blocks = []
+                for k in range(16):
+                    one, two = k * 4 < size, k * 4 + 4 > size and k * 4 <= size + tail
+                    mine = np.ascontiguousarray(words[:, k])[None, :] if one else np.uint32(0)
+                    blocks.append(mine | np.ascontiguousarray(added[:, k])[:, None] if two else mine if one else added[0, k])
+                out[np.ix_(rows, columns)] = np.broadcast_to(_md5_heads(blocks), (len(columns), len(rows))).T
+    return out
+
+
 def bootstrap_weights(keys: list[str], rounds: int, seed: int) -> np.ndarray:
     """Poisson weights of keys (rows) in rounds 1, 2, ... (columns), up to 6.
 
     From the first 13 hexadecimal digits of the MD5 of seed, key and round, which other
     systems can compute too.
     """
-    ends = [f":{r}".encode() for r in range(1, rounds + 1)]
-    heads = [hashlib.md5(f"{seed}:{key}".encode()) for key in keys]
-
-    def digest(head, end: bytes) -> bytes:
-        mine = head.copy()
-        mine.update(end)
-        return mine.digest()[:8]
-
-    first = np.frombuffer(b"".join(digest(h, e) for h in heads for e in ends), ">u8").reshape(len(keys), rounds)
-    return np.searchsorted(POISSON, (first >> np.uint64(12)) / float(1 << 52), side="right")
+    first = _first_bits([f"{seed}:{key}".encode() for key in keys], [f":{r}".encode() for r in range(1, rounds + 1)])
+    weights = np.zeros(first.shape, np.uint8)
+    for cut in _CUTS:
+        weights += first >= np.uint64(cut)
+    return weights
 
 
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, key: str, rounds: int = 200, seed: int = 42) -> DataFrame:
@@ -320,11 +381,11 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, key: str, rounds: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, weights = np.zeros(rounds), np.zeros(rounds)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, _KEYS_AT_ONCE):
+                part = batch.slice(k, _KEYS_AT_ONCE)
                 drawn = bootstrap_weights(part.column(0).to_pylist(), rounds, seed)
                 sums += part.column(1).to_numpy() @ drawn
-                weights += drawn.sum(axis=0)
+                weights += drawn.sum(axis=0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(1, rounds + 1), pa.int32()), pa.array(sums), pa.array(weights)], ["round", "sums", "weights"])
 
     known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
