@@ -19,19 +19,22 @@ HEADER_BYTES = 256 << 10
 SKIP_FOLDERS = (".git", ".venv", "venv", "__pycache__", "node_modules")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, raw`` of a text file, numbered from 1 in file order; of several files each from 1.
+def numbered_lines(spark: SparkSession, path: str, one_text: bool = False) -> DataFrame:
+    """``line, raw`` of a text file, numbered from 1 in file order; of several files each from 1,
+    with ``one_text`` through all of them in the order of their names.
 
-    Lines are counted in every split of a file, and the counts of the splits before,
-    one row each, are added: no line leaves the JVM or its split's order.
+    Spark's id of a row counts the rows of its partition, so the place of a line in its
+    split is what its id is above the least of the split. Splits are counted, a row each,
+    and what the splits before hold is added: no line is sorted or leaves its partition.
     """
     rows = spark.read.text(path).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
     )
-    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("f", "b").orderBy("i")))
-    counts = rows.groupBy("f", "b").agg(F.count("*").alias("k"))
-    before = counts.withColumn("before", F.sum("k").over(Window.partitionBy("f").orderBy("b")) - F.col("k")).select(F.col("f").alias("f2"), F.col("b").alias("b2"), "before")
-    return placed.join(before, (F.col("f") == F.col("f2")) & (F.col("b") == F.col("b2"))).select((F.col("before") + F.col("n")).cast("long").alias("line"), "raw")
+    counts = rows.groupBy("f", "b").agg(F.count("*").alias("k"), F.min("i").alias("least"))
+    through = Window.orderBy("f", "b") if one_text else Window.partitionBy("f").orderBy("b")  # a row per split
+    before = counts.select(F.col("f").alias("f2"), F.col("b").alias("b2"), (F.sum("k").over(through) - F.col("k") - F.col("least")).alias("before"))
+    same = (F.col("f") == F.col("f2")) & (F.col("b") == F.col("b2"))
+    return rows.join(F.broadcast(before), same).select((F.col("before") + F.col("i") + 1).cast("long").alias("line"), "raw")
 
 
 def _entries(lines: DataFrame) -> DataFrame:
