@@ -233,6 +233,12 @@ def read_batch_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("per_pdf").alias("r")).select("r.pdf", "r.hits", "r.error", "r.parsed.*")
 
 
+def read_packed_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``read_batch_summary`` of a summary that was written as a table."""
+    rows = spark.read.schema(f"pdf string, hits int, error string, parsed struct<{S.INVOICE}>").json(f"{path}/per_pdf")
+    return rows.select("pdf", "hits", "error", "parsed.*")
+
+
 def resolved_pages(manifest: DataFrame, folder: str) -> DataFrame:
     """Manifest entries with absolute page paths."""
     return manifest.withColumn("pages", F.transform("pages", lambda p: X.resolve_path(p, folder)))

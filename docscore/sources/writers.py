@@ -145,16 +145,22 @@ def write_batch(records: DataFrame, path: str) -> None:
         records.where(F.col("raw").isNotNull()).select("pdf", part).write.mode("overwrite").json(f"{path}/{part}")
 
 
+def _summary_head(records: DataFrame) -> dict:
+    """The number of documents and the hit rate of each field."""
+    wide = records.select(*[F.col(f"parsed.{f}").alias(f) for f in S.BUSINESS_FIELDS])
+    rates = {r["field"]: (r["n"], r["rate"]) for r in hit_rate(wide, S.BUSINESS_FIELDS).collect()}
+    return {"pdf_count": max((n for n, _ in rates.values()), default=0), "field_hit_rate": {f: rates[f][1] for f in S.BUSINESS_FIELDS if f in rates}}
+
+
 def write_batch_summary(records: DataFrame, path: str) -> None:
     """One JSON file with the number of documents, the hit rate of each field and a record per document, by document.
 
-    Written by the driver a row at a time, as readers of the summary expect one file.
+    Written by the driver a row at a time, as readers of the summary expect one file:
+    for people, so for small batches; ``write_packed_summary`` takes any number.
     """
     spark = records.sparkSession
-    wide = records.select(*[F.col(f"parsed.{f}").alias(f) for f in S.BUSINESS_FIELDS])
-    rates = {r["field"]: (r["n"], r["rate"]) for r in hit_rate(wide, S.BUSINESS_FIELDS).collect()}
-    head = {"pdf_count": max((n for n, _ in rates.values()), default=0), "field_hit_rate": {f: rates[f][1] for f in S.BUSINESS_FIELDS if f in rates}}
     cell = F.to_json(F.struct("pdf", "hits", "error", "parsed"), {"ignoreNullFields": "false"})
+    head = _summary_head(records)
 
     def parts() -> Iterator[bytes]:
         yield (json.dumps(head, ensure_ascii=False)[:-1] + ', "per_pdf": [').encode()
@@ -165,6 +171,14 @@ def write_batch_summary(records: DataFrame, path: str) -> None:
     scratch.write_parts(spark, path, parts())
 
 
+def write_packed_summary(records: DataFrame, path: str) -> None:
+    """The summary as a folder: ``head.json`` has the number of documents and the hit rates,
+    ``per_pdf`` is a table of JSON lines with a record per document, by document. Executors
+    write the records; the driver sees the head only."""
+    scratch.write_bytes(records.sparkSession, f"{path}/head.json", json.dumps(_summary_head(records), ensure_ascii=False).encode())
+    records.orderBy("pdf").select("pdf", "hits", "error", "parsed").write.mode("overwrite").json(f"{path}/per_pdf", ignoreNullFields=False)
+
+
 def word_rows(regions: DataFrame) -> DataFrame:
     """Recognised words with their boxes as flat columns, for a CSV file: the least corner, width and height."""
     xs, ys = F.transform("polygon", lambda p: p["x"]), F.transform("polygon", lambda p: p["y"])
