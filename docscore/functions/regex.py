@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\u001c-\u001f]"
+ASCII_SPACE = r"[\t\n\f\r ]"  # what SQL engines call a blank
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
@@ -21,7 +22,11 @@ def replace(text: Column, pattern: str, by: str = "") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return replace(text, rf"^{SPACE}+|{SPACE}+\z")
+    return strip_of(text, SPACE)
+
+
+def strip_of(text: Column, space: str) -> Column:
+    return replace(text, rf"^{space}+|{space}+\z")
 
 
 def lines(text: Column) -> Column:

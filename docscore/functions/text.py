@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docscore.functions.regex import SPACE, lines, replace, strip
+from docscore.functions.regex import SPACE, lines, replace, strip, strip_of
 
 # fixed values: Hebrew ranges, final letters, and abbreviations that text layers emit reversed
 HEBREW = r"[\u0590-\u05ff]"
@@ -57,14 +57,14 @@ def nfc_values(values: Column) -> Column:
     return _nfc_values(values)
 
 
-def norm_string(text: Column, compose: bool = True) -> Column:
-    """Composed and stripped; null if nothing is left. Printable ASCII without blanks is both already."""
-    stripped = F.nullif(strip(nfc(text) if compose else text), F.lit(""))
+def norm_string(text: Column, compose: bool = True, space: str = SPACE) -> Column:
+    """Composed and stripped of ``space``; null if nothing is left. Printable ASCII without blanks is both already."""
+    stripped = F.nullif(strip_of(nfc(text) if compose else text, space), F.lit(""))
     return stripped if compose else F.when(text.rlike(r"^[!-~]+\z"), text).otherwise(stripped)
 
 
-def norm_vendor(text: Column, compose: bool = True) -> Column:
-    joined = replace(norm_string(text, compose), f"{SPACE}+", " ")
+def norm_vendor(text: Column, compose: bool = True, space: str = SPACE) -> Column:
+    joined = replace(norm_string(text, compose, space), f"{space}+", " ")
     return joined if compose else F.when(text.rlike(r"^[!-~]+\z"), text).otherwise(joined)
 
 
