@@ -44,12 +44,12 @@ def parse_tolerant(text: Column) -> Column:
     last is the decimal point if one or two digits follow, else all group thousands. A
     single dot is always the decimal point, a single comma if one or two digits follow.
     """
-    return _by_separators(_bare(text))
+    return to_double(_by_separators(_bare(text)))
 
 
 def parse_each(values: Column, tolerant: bool = True) -> Column:
-    """The numbers of an array of texts; each text is cleaned once, then parsed."""
-    return F.transform(F.transform(values, _bare), _by_separators) if tolerant else F.transform(values, parse_strict)
+    """The numbers of an array of texts. Each step is a lambda of its own, as a lambda computes what it uses twice anew."""
+    return F.transform(F.transform(F.transform(values, _bare), _by_separators), to_double) if tolerant else F.transform(values, parse_strict)
 
 
 def _bare(text: Column) -> Column:
@@ -57,6 +57,7 @@ def _bare(text: Column) -> Column:
 
 
 def _by_separators(s: Column) -> Column:
+    """The number with a dot for its decimal point and without other separators."""
     dots, commas = F.split(s, r"\.", -1), F.split(s, ",", -1)
 
     def joined(parts: Column) -> Column:
@@ -67,14 +68,13 @@ def _by_separators(s: Column) -> Column:
     has_dot, has_comma = F.contains(s, F.lit(".")), F.contains(s, F.lit(","))
     dot_last = F.instr(F.reverse(s), ".") < F.instr(F.reverse(s), ",")
     first_comma = F.regexp_replace(F.regexp_replace(s, r"\.", ""), "^([^,]*),", "$1.")
-    plain = (
+    return (
         F.when(has_comma & has_dot & dot_last, F.regexp_replace(s, ",", ""))
         .when(has_comma & has_dot, F.regexp_replace(first_comma, ",", ""))
         .when(has_dot & (F.size(dots) > 2), joined(dots))
         .when(has_comma, joined(commas))
         .otherwise(s)
     )
-    return to_double(F.nullif(plain, F.lit("")))
 
 
 def norm_amount(raw: Column) -> Column:

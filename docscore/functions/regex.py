@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,33 @@ def positions(column: str, pattern: str) -> Column:
 def nearest(positions: Column, target: Column) -> Column:
     """Distance to the nearest position; 1e9 if there is none."""
     return F.coalesce(F.array_min(F.transform(positions, lambda p: F.abs(p - target))), F.lit(1_000_000_000))
+
+
+def places(text: Column, patterns: dict[str, tuple[str, int | None]]) -> Column:
+    """All matches of many patterns in short texts, a struct with an array for each pattern.
+
+    Patterns are Python's, with the group that is wanted, which begins where the match does: ``array<struct<pos, value>>``, or
+    ``array<int>`` of offsets where the group is none. ``matches`` goes through a text twice and adds
+    up lengths by lambdas; for a dozen patterns that takes some ten times as long. Null text has no matches.
+    """
+    kinds = {name: "array<int>" if group is None else "array<struct<pos int, value string>>" for name, (_, group) in patterns.items()}
+    rules = [(re.compile(pattern), group) for pattern, group in patterns.values()]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{name} {kind}" for name, kind in kinds.items()) + ">")
+    def found(texts: pa.Array) -> pa.Array:
+        rows, columns = [t or "" for t in texts.to_pylist()], []
+        for rule, group in rules:
+            ends, at, values = [0], [], []
+            for row in rows:
+                for m in rule.finditer(row):
+                    at.append(m.start())
+                    if group is not None:
+                        values.append(m[group])
+                ends.append(len(at))
+            each = pa.array(at, pa.int32())
+            if group is not None:
+                each = pa.StructArray.from_arrays([each, pa.array(values, pa.string())], names=["pos", "value"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each))
+        return pa.StructArray.from_arrays(columns, names=list(kinds))
+
+    return found(text)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docscore.functions import numbers as N
 from docscore.functions import text as X
-from docscore.functions.regex import all_groups, first_group, let, lines, matches, nearest, positions, rx, strip
+from docscore.functions.regex import all_groups, first_group, let, lines, matches, nearest, places, rx, strip
 
 VAT_RATE = 0.18
 FIELDS = ["vendor_name", "business_tax_id", "business_tax_id_valid", "invoice_number", "invoice_date", "amount_before_vat", "vat_amount", "total_amount", "allocation_number", "extraction_notes"]
@@ -54,6 +54,10 @@ HINTS = {
     "to_pay": r"[לכ][תפ][שסע][לחל][וויי]?[מם]|לתשלום|תשלום",
     "vat": r"[מחע][מחע][\"״׳'`]?[מם]|מעמ",
 }
+# fixed values: what the format-first extractor looks at, with the group that it takes
+LOOKED = {
+    **{name: (pattern, None) for name, pattern in HINTS.items()}, "digits": (r"\d{3,}", 0), "day_first": (DATE_DMY, 0), "year_first": (DATE_YMD, 0), "amount": (AMOUNT, 1), "percent": (PERCENT, 0),
+}
 ADDRESSEE_WORDS = ["לכבוד", "לכבוז", "לכבוד:"]
 
 # fixed values: notes of the record
@@ -66,9 +70,18 @@ NOTE_ARITHMETIC = "amount_before_vat / total via 18% arithmetic fallback"
 NOTE_ALLOCATION = "allocation_number via long-digit positional fallback"
 
 
+def looked(text: str) -> Column:
+    """All that the format-first extractor looks at in a text, which is what its steps take."""
+    return places(F.col(text), LOOKED)
+
+
 def digit_runs(text: str, least: int, most: int | None = None) -> Column:
     """``array<struct<pos, value>>`` of maximal digit runs with a length in the range."""
-    return F.filter(matches(text, r"\d+"), lambda m: (F.length(m["value"]) >= least) & (F.lit(True) if most is None else F.length(m["value"]) <= most))
+    return _of_length(matches(text, r"\d+"), least, most)
+
+
+def _of_length(runs: Column, least: int, most: int | None = None) -> Column:
+    return F.filter(runs, lambda m: (F.length(m["value"]) >= least) & (F.lit(True) if most is None else F.length(m["value"]) <= most))
 
 
 def _first(array: Column) -> Column:
@@ -181,47 +194,46 @@ def label_anchored(df: DataFrame, text_col: str = "text", reverse_tokens: bool =
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def nearest_id(text: str) -> Column:
+def nearest_id(found: str) -> Column:
     """The nine-digit run that ranks first: valid, near the addressee, near a tax label, early."""
-    hints = F.struct(
-        positions(text, HINTS["addressee"]).alias("addressee"), F.concat(positions(text, HINTS["dealer"]), positions(text, HINTS["party"])).alias("tax")
-    )
-    ranked = lambda h: F.transform(
-        digit_runs(text, 9, 9),
-        lambda m: F.struct((~N.checksum_valid(m["value"])).alias("invalid"), nearest(h["addressee"], m["pos"]).alias("a"), nearest(h["tax"], m["pos"]).alias("b"), m["pos"].alias("pos"), m["value"].alias("value")),
+    h = F.col(found)
+    tax = F.concat(h["dealer"], h["party"])
+    ranked = F.transform(
+        _of_length(h["digits"], 9, 9),
+        lambda m: F.struct((~N.checksum_valid(m["value"])).alias("invalid"), nearest(h["addressee"], m["pos"]).alias("a"), nearest(tax, m["pos"]).alias("b"), m["pos"].alias("pos"), m["value"].alias("value")),
     )
-    return F.array_min(let(hints, ranked))
+    return F.array_min(ranked)
 
 
-def windowed_number(text: str) -> Column:
+def windowed_number(text: str, found: str) -> Column:
     """A run of 3 to 7 digits within 60 characters of an invoice label, else the first not beside a dot, slash or hyphen."""
-    by_label = F.transform(positions(text, HINTS["invoice"]), lambda p: F.regexp_extract(F.substring(F.col(text), p + 1, F.lit(60)), rx(r"(?<!\d)(\d{3,7})(?!\d)"), 1))
-    alone = F.filter(digit_runs(text, 3, 7), lambda m: ~F.concat(
+    by_label = F.transform(F.col(found)["invoice"], lambda p: F.regexp_extract(F.substring(F.col(text), p + 1, F.lit(60)), rx(r"(?<!\d)(\d{3,7})(?!\d)"), 1))
+    alone = F.filter(_of_length(F.col(found)["digits"], 3, 7), lambda m: ~F.concat(
         F.substring(F.col(text), F.greatest(m["pos"] - 1, F.lit(1)), F.least(m["pos"], F.lit(2))), F.substring(F.col(text), m["pos"] + F.length(m["value"]) + 1, F.lit(2))
     ).rlike("[./-]"))
     return F.coalesce(_first(F.filter(by_label, lambda v: v != "")), _first(alone)["value"])
 
 
-def nearest_date(text: str) -> Column:
+def nearest_date(found: str) -> Column:
     """The checked date nearest to a source mark, then to a date label, then the first; day-first forms rank before year-first ones."""
-    hints = F.struct(positions(text, HINTS["source"]).alias("source"), positions(text, HINTS["date"]).alias("label"))
+    h = F.col(found)
 
-    def ranked(h: Column, pattern: str, kind: int, order: tuple[int, int, int]) -> Column:
-        part = lambda m, k: F.regexp_extract(m["value"], rx(pattern), k)
+    def ranked(name: str, kind: int, order: tuple[int, int, int]) -> Column:
+        # a date has three runs of digits with one character between two of them
+        parts = F.transform(h[name], lambda m: F.struct(m["pos"].alias("pos"), F.split(m["value"], r"(?U)\D", -1).alias("p")))
         return F.transform(
-            matches(text, pattern),
-            lambda m: F.struct(nearest(h["source"], m["pos"]).alias("a"), nearest(h["label"], m["pos"]).alias("b"), m["pos"].alias("pos"), F.lit(kind).alias("kind"), N.date_checked(*(part(m, k) for k in order)).alias("iso")),
+            parts, lambda m: F.struct(nearest(h["source"], m["pos"]).alias("a"), nearest(h["date"], m["pos"]).alias("b"), m["pos"].alias("pos"), F.lit(kind).alias("kind"), N.date_checked(*(m["p"][k] for k in order)).alias("iso")),
         )
 
-    every = let(hints, lambda h: F.concat(ranked(h, DATE_DMY, 0, (1, 2, 3)), ranked(h, DATE_YMD, 1, (3, 2, 1))))
+    every = F.concat(ranked("day_first", 0, (0, 1, 2)), ranked("year_first", 1, (2, 1, 0)))
     return F.array_min(F.filter(every, lambda r: r["iso"].isNotNull()))["iso"]
 
 
-def amount_candidates(text: str) -> Column:
+def amount_candidates(found: str) -> Column:
     """``array<struct<pos, v>>`` of amounts above 0 and below ten million."""
-    placed = lambda found: F.arrays_zip(F.transform(found, lambda m: m["pos"]).alias("pos"), N.parse_each(F.transform(found, lambda m: m["value"])).alias("v"))
-    found = let(matches(text, AMOUNT, 1), placed)
-    return F.filter(found, lambda a: (a["v"] > 0) & (a["v"] < 10_000_000))
+    amounts = F.col(found)["amount"]
+    parsed = F.arrays_zip(F.transform(amounts, lambda m: m["pos"]).alias("pos"), N.parse_each(F.transform(amounts, lambda m: m["value"])).alias("v"))
+    return F.filter(parsed, lambda a: (a["v"] > 0) & (a["v"] < 10_000_000))
 
 
 def vat_pair(amounts: Column, percent_at: Column, vat_rate: float = VAT_RATE) -> Column:
@@ -238,11 +250,12 @@ def vat_pair(amounts: Column, percent_at: Column, vat_rate: float = VAT_RATE) ->
 def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RATE) -> DataFrame:
     """Add the record fields found by their formats, with labels as hints. Null text gives an empty record."""
     df = df.withColumn("_t", X.preprocess(F.coalesce(F.col(text_col), F.lit(""))))
-    t = F.col("_t")
-    df = df.withColumn("_id", nearest_id("_t"))
+    df = df.withColumn("_found", looked("_t"))
+    t, found = F.col("_t"), F.col("_found")
+    df = df.withColumn("_id", nearest_id("_found"))
     df = df.withColumns({
-        "business_tax_id": F.col("_id.value"), "business_tax_id_valid": ~F.col("_id.invalid"), "invoice_number": windowed_number("_t"),
-        "invoice_date": nearest_date("_t"), "allocation_number": _first(digit_runs("_t", 15))["value"],
+        "business_tax_id": F.col("_id.value"), "business_tax_id_valid": ~F.col("_id.invalid"), "invoice_number": windowed_number("_t", "_found"),
+        "invoice_date": nearest_date("_found"), "allocation_number": _first(_of_length(found["digits"], 15))["value"],
     })
 
     def phrase(p: Column) -> Column:
@@ -250,11 +263,11 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
         window = F.when(F.contains(F.left(window, F.lit(30)), F.lit(":")), F.regexp_replace(window, r"^[^:]*:", "")).otherwise(window)
         stripped = F.transform(F.split(window, r"[\n\r]+", -1), lambda s: F.regexp_replace(s, r"^[ .,;:|\[\]()]+|[ .,;:|\[\]()]+$", ""))
         good = F.filter(stripped, lambda s: (s != "") & ~s.rlike(rx(r"\d")) & s.rlike("[א-ת]{2,}"))
-        found = F.transform(good, lambda s: strip(F.regexp_extract(s, rx("([א-ת][א-ת\\s\"'״׳.]*[א-ת])"), 1)))
-        return _first(F.filter(found, lambda s: (F.length(s) >= 3) & ~s.isin(*ADDRESSEE_WORDS)))
+        names = F.transform(good, lambda s: strip(F.regexp_extract(s, rx("([א-ת][א-ת\\s\"'״׳.]*[א-ת])"), 1)))
+        return _first(F.filter(names, lambda s: (F.length(s) >= 3) & ~s.isin(*ADDRESSEE_WORDS)))
 
-    df = df.withColumn("vendor_name", _first(F.filter(F.transform(positions("_t", HINTS["addressee"]), phrase), lambda s: s.isNotNull())))
-    df = df.withColumns({"_amounts": amount_candidates("_t"), "_pct": _first(matches("_t", PERCENT))})
+    df = df.withColumn("vendor_name", _first(F.filter(F.transform(found["addressee"], phrase), lambda s: s.isNotNull())))
+    df = df.withColumns({"_amounts": amount_candidates("_found"), "_pct": _first(found["percent"])})
     amounts, start = F.col("_amounts"), F.col("_pct.pos")
     end = start + F.length("_pct.value")
     df = df.withColumn("_pair", vat_pair(amounts, start, vat_rate))
@@ -266,7 +279,7 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
     gap = lambda a: F.least(F.abs(a["pos"] - start), F.abs(a["pos"] - end))
     outside = F.filter(amounts, lambda a: ~((a["pos"] >= start) & (a["pos"] < end)))
     beside = F.array_min(F.transform(outside, lambda a, i: F.struct(gap(a).alias("d"), i.alias("i"), a["v"].alias("v"))))
-    by_label = _first(F.filter(F.transform(positions("_t", HINTS["vat"]), lambda p: near(p, 30, 30)), lambda v: v.isNotNull()))
+    by_label = _first(F.filter(F.transform(found["vat"], lambda p: near(p, 30, 30)), lambda v: v.isNotNull()))
     df = df.withColumns({"_beside": F.when(start.isNotNull(), beside), "_labelled": by_label})
     df = df.withColumn("vat_amount", F.when(F.size("_amounts") > 0, F.coalesce(F.round(F.col("_pair.b") - F.col("_pair.a"), 2), F.when(F.col("_beside.d") <= 60, F.col("_beside.v")), F.col("_labelled"))))
     v, values = F.col("vat_amount"), F.transform(amounts, lambda a: a["v"])
@@ -275,7 +288,7 @@ def format_first(df: DataFrame, text_col: str = "text", vat_rate: float = VAT_RA
         "_b": F.coalesce(F.col("_pair.a"), F.when(real, _closest(values, v / vat_rate))),
         "_s": F.coalesce(F.col("_pair.b"), F.when(real, _closest(values, v / vat_rate + v))),
     })
-    to_pay = _first(F.filter(F.transform(positions("_t", HINTS["to_pay"]), lambda p: near(p, 30, 60)), lambda x: x.isNotNull()))
+    to_pay = _first(F.filter(F.transform(found["to_pay"], lambda p: near(p, 30, 60)), lambda x: x.isNotNull()))
     df = df.withColumn("total_amount", F.coalesce(F.col("_s"), to_pay))
     rest = F.col("total_amount") - v
     derived = F.when(rest > 0, _first(F.filter(values, lambda x: F.abs(x - rest) <= _tolerance(rest, 1.0))))

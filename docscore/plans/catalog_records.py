@@ -81,12 +81,12 @@ def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
         "\n", F.lit("01/02/2003"), far, F.concat(F.lit("לכבוד "), "business_tax_id"), F.concat(F.lit("חשבונית "), "invoice_number"), F.concat(F.lit("תאריך "), "invoice_date"),
         F.when(F.col("key") % 7 != 0, F.lit("3.33")), "amount_before_vat", "vat_amount", "total_amount", far, F.lit("123456789 04.05.2006"),
     )
-    d = t.select("key", text.alias("t"))
-    found = E.nearest_id("t")
-    amounts = F.filter(E.amount_candidates("t"), lambda a: (a["v"] != 4.05))
+    d = t.select("key", text.alias("t")).withColumn("f", E.looked("t"))
+    found = E.nearest_id("f")
+    amounts = F.filter(E.amount_candidates("f"), lambda a: (a["v"] != 4.05))
     d = d.withColumns({"i": found, "a": amounts}).withColumn("p", E.vat_pair(F.col("a"), F.lit(None).cast("int")))
     return d.select(
-        "key", F.concat("i.value", F.lit(":"), (~F.col("i.invalid")).cast("string")).alias("nearest_id"), E.windowed_number("t").alias("windowed_number"), E.nearest_date("t").alias("nearest_date"),
+        "key", F.concat("i.value", F.lit(":"), (~F.col("i.invalid")).cast("string")).alias("nearest_id"), E.windowed_number("t", "f").alias("windowed_number"), E.nearest_date("f").alias("nearest_date"),
         F.size("a").cast("long").alias("n_amounts"), F.col("p.a").alias("pair_low"), F.col("p.b").alias("pair_high"),
     )
 

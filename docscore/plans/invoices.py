@@ -22,7 +22,7 @@ def _grouped(money: Column, form: Column) -> Column:
 
 
 def _lines(*parts: Column) -> Column:
-    return F.array_join(F.array_compact(F.array(*parts)), "\n")
+    return F.concat_ws("\n", *parts)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

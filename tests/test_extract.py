@@ -104,3 +104,22 @@ def test_made_texts_are_dealt_over_the_cores(spark, name):
 
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in plan
+
+
+def test_places_are_those_of_matches(spark):
+    from docscore.functions import regex as R
+
+    texts = ["", None, "לכבוד 123456789 ב-1.2.2024", "𝒳 12 😀345 6", "a\n18 % 2024-01-02 1,000.50", "٣٤٥٦ 12345"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("f", E.looked("t")).orderBy("i")
+    got = [r.f.asDict(recursive=True) for r in rows.collect()]
+    for name, (pattern, group) in E.LOOKED.items():
+        want = rows.select(R.positions("t", pattern) if group is None else R.matches("t", pattern, group)).collect()
+        assert [f[name] for f in got] == [[m.asDict() if group is not None else m for m in r[0] or []] for r in want], name
+
+
+@pytest.mark.parametrize("name", ["extract_format_first"])
+def test_a_text_is_searched_once(spark, name):
+    from docscore.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [found(") == 1 and "regexp_extract_all" not in plan
