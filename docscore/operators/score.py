@@ -266,11 +266,16 @@ def block_failed_engines(facts: DataFrame, load_errors: DataFrame) -> DataFrame:
     }).drop("_failed")
 
 
-def compare_fields(truth: DataFrame, prediction: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Truth, prediction and scoring side by side, a row per document, engine and field of the truth."""
-    keys = ["document_id", "engine_id", "field"]
-    t = truth.select("document_id", F.explode("truth").alias("field", "expected"))
-    p = prediction.select("document_id", "engine_id", F.explode("prediction").alias("field", "predicted"))
-    o = outcomes.select(*keys, "presence", "correct", "error_label")
-    engines = prediction.select("document_id", "engine_id").distinct()
-    return t.join(engines, "document_id").join(p, keys, "left").join(o, keys, "left")
+def compare_fields(scores: DataFrame) -> DataFrame:
+    """Truth, prediction and scoring side by side, a row per document, engine and field of the truth.
+
+    Scored rows hold all three, so nothing is joined. Rows with an error have neither prediction nor scoring.
+    """
+
+    def cell(k: int, field: str) -> Column:
+        f, o = F.get("fields", F.lit(k)), F.get("outcomes", F.lit(k))
+        predicted = F.when(F.col("error_label").isNull(), f["predicted"])
+        return F.struct(F.lit(field).alias("field"), f["expected"].alias("expected"), predicted.alias("predicted"), o["presence"].alias("presence"), o["correct"].alias("correct"), o["error_label"].alias("error_label"))
+
+    cells = F.explode(F.array(*[cell(k, f) for k, f in enumerate(S.BUSINESS_FIELDS)]))
+    return scores.where("has_truth").select("document_id", "engine_id", cells.alias("c")).select("document_id", "engine_id", "c.*")

@@ -374,12 +374,7 @@ def cer_of_texts(spark: SparkSession, sf: str) -> DataFrame:
   LEFT JOIN outcomes o ON o.document_id = r.document_id AND o.engine_id = r.engine_id AND o.field = f.field""")
 def field_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Truth, prediction and judgement of every field side by side, for two engines."""
-    some = F.col("engine_id").isin("truncated", "blocked")
-    pairs = lambda side: F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field"], f[side])))
-    facts = P.facts(spark, sf).where(some)
-    truth = facts.where("engine_id = 'truncated'").select("document_id", pairs("expected").alias("truth"))
-    prediction = facts.select("document_id", "engine_id", F.when(F.col("error_label").isNull(), pairs("predicted")).alias("prediction"))
-    return C.compare_fields(truth, prediction, P.outcomes(spark, sf).where(some))
+    return C.compare_fields(C.scored(P.facts(spark, sf).where(F.col("engine_id").isin("truncated", "blocked"))))
 
 
 @register(P.SQL + """, f AS (SELECT engine_id, submitted FROM (SELECT engine_id, count(*) AS submitted FROM scores GROUP BY 1)) SELECT engine_id, round(3.0::DOUBLE / submitted, 9) AS upper_bound FROM f""")

@@ -259,3 +259,20 @@ def test_digits_of_rows_that_only_lost_some_are_one_pair(spark):
     long = C.outcomes_long(scores).where("presence = 'PRESENT' AND field <> 'vendor_name'")
     apart = L.digit_confusion(long.select(N.digits_of(F.col("predicted")).alias("predicted"), N.digits_of(F.col("expected")).alias("expected")))
     assert sorted(map(str, L.digit_confusion(pairs, within="within").collect())) == sorted(map(str, apart.collect()))
+
+
+def test_fields_are_compared_inside_their_row(spark):
+    rows = [("d", "e", None, WRONG, TRUTH, {}), ("d", "f", "BLOCKED", None, TRUTH, {}), ("x", "e", None, WRONG, None, None)]
+    got = {(r.document_id, r.engine_id, r.field): r for r in C.compare_fields(score(spark, rows)).collect()}
+    assert set(got) == {("d", engine, field) for engine in "ef" for field in TRUTH}
+    for field in TRUTH:
+        done, blocked = got["d", "e", field], got["d", "f", field]
+        assert (done.expected, done.predicted, done.presence, done.correct) == (TRUTH[field], WRONG[field], "PRESENT", False)
+        assert tuple(blocked)[3:] == (TRUTH[field], None, None, None, None)
+
+
+def test_field_comparison_shuffles_orders_only(spark):
+    from docscore.plans import catalog
+
+    plan = catalog.queries()["field_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(o_orderkey" in plan
