@@ -220,10 +220,14 @@ def judged(scores: DataFrame) -> DataFrame:
     return scores.where((F.col("status") == "ok") & F.col("has_truth"))
 
 
+def each_place(scores: DataFrame) -> DataFrame:
+    """A row for each place ``_k`` of the business fields."""
+    return scores.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(len(S.BUSINESS_FIELDS))])))
+
+
 def each_outcome(scores: DataFrame) -> DataFrame:
     """A row for each judged field: the columns of ``scores`` and ``o``, the outcome."""
-    places = F.array(*[F.lit(k) for k in range(len(S.BUSINESS_FIELDS))])
-    return judged(scores).withColumn("_k", F.explode(places)).withColumn("o", F.get("outcomes", F.col("_k"))).drop("_k")
+    return each_place(judged(scores)).withColumn("o", F.get("outcomes", F.col("_k"))).drop("_k")
 
 
 def outcomes_long(scores: DataFrame) -> DataFrame:
@@ -271,11 +275,6 @@ def compare_fields(scores: DataFrame) -> DataFrame:
 
     Scored rows hold all three, so nothing is joined. Rows with an error have neither prediction nor scoring.
     """
-
-    def cell(k: int, field: str) -> Column:
-        f, o = F.get("fields", F.lit(k)), F.get("outcomes", F.lit(k))
-        predicted = F.when(F.col("error_label").isNull(), f["predicted"])
-        return F.struct(F.lit(field).alias("field"), f["expected"].alias("expected"), predicted.alias("predicted"), o["presence"].alias("presence"), o["correct"].alias("correct"), o["error_label"].alias("error_label"))
-
-    cells = F.explode(F.array(*[cell(k, f) for k, f in enumerate(S.BUSINESS_FIELDS)]))
-    return scores.where("has_truth").select("document_id", "engine_id", cells.alias("c")).select("document_id", "engine_id", "c.*")
+    df = each_place(scores.where("has_truth")).select("document_id", "engine_id", "error_label", F.get("fields", F.col("_k")).alias("f"), F.get("outcomes", F.col("_k")).alias("o"))
+    predicted = F.when(F.col("error_label").isNull(), F.col("f.predicted"))
+    return df.select("document_id", "engine_id", "f.field", "f.expected", predicted.alias("predicted"), "o.presence", "o.correct", "o.error_label")
